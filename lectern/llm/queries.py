@@ -26,14 +26,14 @@ WITH w AS (
 ), f AS (
   SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM p) WHERE n > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, i + k AS at FROM f, unnest(range(0, 20)) AS t(k)
+  SELECT DISTINCT doc_id, i + k AS pos FROM f, unnest(range(0, 20)) AS t(k)
 ), g AS (
-  SELECT doc_id, list(at) AS ats, count(*) AS n FROM gone GROUP BY doc_id
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
 ), kept AS (
-  SELECT w.doc_id, string_agg(u.word, ' ' ORDER BY u.at) AS s
-  FROM w, LATERAL (SELECT unnest(words) AS word, generate_subscripts(words, 1) AS at) AS u
-  LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.at = u.at
-  WHERE gone.at IS NULL GROUP BY w.doc_id
+  SELECT w.doc_id, string_agg(u.word, ' ' ORDER BY u.pos) AS s
+  FROM w, LATERAL (SELECT unnest(words) AS word, generate_subscripts(words, 1) AS pos) AS u
+  LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.pos = u.pos
+  WHERE gone.pos IS NULL GROUP BY w.doc_id
 )
 SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256
 FROM w LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
