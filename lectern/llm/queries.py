@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from lectern.llm import suffix, superkmer
+from lectern.llm import minhash, suffix, superkmer
 from lectern.llm.common import read
 
 
+def op1_minhash_dedup(spark, sf_dir):
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark, sf_dir):
     return suffix.remove_repeated_bytes(read(spark, sf_dir, "documents"))
 
@@ -14,12 +18,12 @@ def op8_super_kmer_dedup(spark, sf_dir):
     return superkmer.remove_repeated_words(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_suffix_array_dedup, op8_super_kmer_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op7_suffix_array_dedup, op8_super_kmer_dedup)}
 
 #: DuckDB: words are what Python's bytes.split() gives; windows are lists of 20 words.
 _OP8 = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
 ), p AS (
   SELECT doc_id, i, array_to_string(list_slice(words, i, i + 19), ' ') AS win
   FROM w, unnest(range(1, len(words) - 18)) AS t(i)
@@ -39,4 +43,24 @@ SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_
 FROM w LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE = {"op8_super_kmer_dedup": _OP8}
+#: All pairs by shared shingles, then reachability.
+_OP1 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) = 1 THEN words[1] ELSE words[i] || ' ' || words[i + 1] END AS sh
+  FROM w, unnest(range(1, greatest(len(words), 2))) AS t(i) WHERE len(words) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)
+), b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+), r AS (
+  SELECT x, y FROM b UNION SELECT r.x, b.y FROM r JOIN b ON r.y = b.x
+), m AS (SELECT x, min(y) AS y FROM r GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m.y, w.doc_id)) AS component_id, w.doc_id <= coalesce(m.y, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = w.doc_id
+"""
+
+ORACLE = {"op1_minhash_dedup": _OP1, "op8_super_kmer_dedup": _OP8}
