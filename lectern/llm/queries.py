@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import minhash, suffix, superkmer
+from lectern.llm import decontam, minhash, sharding, suffix, superkmer
 from lectern.llm.common import read
 
 
@@ -10,6 +10,10 @@ def op1_minhash_dedup(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op6_benchmark_decontamination(spark, sf_dir):
+    return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_suffix_array_dedup(spark, sf_dir):
     return suffix.remove_repeated_bytes(read(spark, sf_dir, "documents"))
 
@@ -18,7 +22,11 @@ def op8_super_kmer_dedup(spark, sf_dir):
     return superkmer.remove_repeated_words(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op7_suffix_array_dedup, op8_super_kmer_dedup)}
+def op9_virtual_slot_sharding(spark, sf_dir):
+    return sharding.sharded(read(spark, sf_dir, "documents"), shards=40)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op6_benchmark_decontamination, op7_suffix_array_dedup, op8_super_kmer_dedup, op9_virtual_slot_sharding)}
 
 #: DuckDB: words are what Python's bytes.split() gives; windows are lists of 20 words.
 _OP8 = r"""
@@ -63,4 +71,28 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesc
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.x = w.doc_id
 """
 
-ORACLE = {"op1_minhash_dedup": _OP1, "op8_super_kmer_dedup": _OP8}
+#: Every window of a document against every window of an item.
+_OP6 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, list_slice(w, i, i + least(len(w), 10) - 1) AS win
+  FROM b, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS t(i) WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT n FROM bw
+), h AS (
+  SELECT doc_id, i, x.n, item_id
+  FROM (SELECT doc_id, sizes.n, i, list_slice(w, i, i + sizes.n - 1) AS win FROM d, sizes, unnest(range(1, len(w) - sizes.n + 2)) AS t(i)) x
+  JOIN bw ON bw.win = x.win AND bw.n = x.n
+), c AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM h, unnest(range(0, h.n)) AS t(k) GROUP BY doc_id
+), s AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+ORACLE = {"op6_benchmark_decontamination": _OP6, "op1_minhash_dedup": _OP1, "op8_super_kmer_dedup": _OP8}
