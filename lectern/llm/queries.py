@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontam, minhash, sharding, suffix, superkmer
+from lectern.llm import decontam, minhash, pq, sharding, suffix, superkmer
 from lectern.llm.common import read
 
 
@@ -10,6 +10,10 @@ def op1_minhash_dedup(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_product_quantisation_dedup(spark, sf_dir):
+    return pq.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op6_benchmark_decontamination(spark, sf_dir):
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -26,7 +30,7 @@ def op9_virtual_slot_sharding(spark, sf_dir):
     return sharding.sharded(read(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op6_benchmark_decontamination, op7_suffix_array_dedup, op8_super_kmer_dedup, op9_virtual_slot_sharding)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_product_quantisation_dedup, op6_benchmark_decontamination, op7_suffix_array_dedup, op8_super_kmer_dedup, op9_virtual_slot_sharding)}
 
 #: DuckDB: words are what Python's bytes.split() gives; windows are lists of 20 words.
 _OP8 = r"""
@@ -95,4 +99,20 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
-ORACLE = {"op6_benchmark_decontamination": _OP6, "op1_minhash_dedup": _OP1, "op8_super_kmer_dedup": _OP8}
+#: Brute force over all pairs in double precision, then reachability.
+_OP2 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+), u AS (
+  SELECT vec_id, x, sqrt(list_sum(list_transform(x, lambda a: a * a))) AS norm FROM v
+  WHERE x IS NOT NULL AND len(list_filter(x, lambda a: a IS NULL OR NOT isfinite(a))) = 0 AND list_sum(list_transform(x, lambda a: a * a)) > 0
+), e AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.9
+), r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
+), m AS (SELECT x, min(y) AS y FROM r GROUP BY x
+), n AS (SELECT x, count(*) AS n FROM e GROUP BY x)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(v.vec_id, coalesce(m.y, v.vec_id)) AS component_id, v.vec_id <= coalesce(m.y, v.vec_id) AS kept
+FROM v LEFT JOIN n ON n.x = v.vec_id LEFT JOIN m ON m.x = v.vec_id
+"""
+
+ORACLE = {"op2_product_quantisation_dedup": _OP2, "op6_benchmark_decontamination": _OP6, "op1_minhash_dedup": _OP1, "op8_super_kmer_dedup": _OP8}
