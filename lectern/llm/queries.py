@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontam, minhash, pq, sharding, suffix, superkmer
+from lectern.llm import decontam, minhash, packing, pii, pq, sharding, suffix, superkmer
 from lectern.llm.common import read
 
 
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_minhash_dedup(spark, sf_dir):
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -14,6 +20,14 @@ def op2_product_quantisation_dedup(spark, sf_dir):
     return pq.near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+def op3_pii_deobfuscation(spark, sf_dir):
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
+def op4_best_fit_packing(spark, sf_dir):
+    return packing.packed(read(spark, sf_dir, "documents"), tokenizer())
+
+
 def op6_benchmark_decontamination(spark, sf_dir):
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -30,7 +44,7 @@ def op9_virtual_slot_sharding(spark, sf_dir):
     return sharding.sharded(read(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_product_quantisation_dedup, op6_benchmark_decontamination, op7_suffix_array_dedup, op8_super_kmer_dedup, op9_virtual_slot_sharding)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_product_quantisation_dedup, op3_pii_deobfuscation, op4_best_fit_packing, op6_benchmark_decontamination, op7_suffix_array_dedup, op8_super_kmer_dedup, op9_virtual_slot_sharding)}
 
 #: DuckDB: words are what Python's bytes.split() gives; windows are lists of 20 words.
 _OP8 = r"""
