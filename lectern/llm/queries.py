@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.llm import decontam, minhash, packing, pii, pq, sharding, suffix, superkmer
+from lectern.llm import decontam, minhash, packing, pii, pq, quality, sharding, suffix, superkmer, toxicity
 from lectern.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op4_best_fit_packing(spark, sf_dir):
     return packing.packed(read(spark, sf_dir, "documents"), tokenizer())
 
 
+def op5_nearest_example_toxicity(spark, sf_dir):
+    return toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_benchmark_decontamination(spark, sf_dir):
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -44,7 +48,11 @@ def op9_virtual_slot_sharding(spark, sf_dir):
     return sharding.sharded(read(spark, sf_dir, "documents"), shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_product_quantisation_dedup, op3_pii_deobfuscation, op4_best_fit_packing, op6_benchmark_decontamination, op7_suffix_array_dedup, op8_super_kmer_dedup, op9_virtual_slot_sharding)}
+def op10_quadratic_discriminant_quality(spark, sf_dir):
+    return quality.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_product_quantisation_dedup, op3_pii_deobfuscation, op4_best_fit_packing, op5_nearest_example_toxicity, op6_benchmark_decontamination, op7_suffix_array_dedup, op8_super_kmer_dedup, op9_virtual_slot_sharding, op10_quadratic_discriminant_quality)}
 
 #: DuckDB: words are what Python's bytes.split() gives; windows are lists of 20 words.
 _OP8 = r"""
