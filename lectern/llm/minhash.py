@@ -221,3 +221,9 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     out = single.select("doc_id", "n_shingles", "d.d1", "d.d2").join(of_class, ["d1", "d2"], "left")
     cid = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), (F.col("doc_id") == cid).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without those that are linked to one of a smaller id; rows without an id stay."""
+    gone = near_duplicates(docs, words, percent).where("NOT kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -1,6 +1,6 @@
 """Operator 8: exact repeats of 20 words by super-k-mer partitioning.
 
-Consecutive windows that share a minimiser (the smallest hash of 6 consecutive words) travel as one
+Consecutive windows that share a minimiser (the smallest hash of 5 consecutive words) travel as one
 packed string, words joined by a space, to the bucket of that minimiser; there they are unpacked,
 sorted and counted exactly. See repeats.py for the frame, which also handles hot buckets.
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from lectern.llm.repeats import C, Kind, _rows, merged, mix, repeated_spans, runs, unpack
 
-WINDOW, GRAM = 20, 6
+WINDOW, GRAM = 20, 5
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 R = np.uint64(0x5851F42D4C957F2D)
 R_INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))

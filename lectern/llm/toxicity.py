@@ -1,7 +1,7 @@
 """Operator 5: toxicity from the nearest labelled examples, by exact TF-IDF cosine.
 
 Examples: of each class at most ``EXAMPLES`` labelled rows, by hash of the id. Vocabulary: at most
-``TERMS`` words that depend most on the label among the examples (chi-square); their document
+``TERMS`` words that depend most on the label among the examples (chi-square, at least ``CHI_SQUARE``); their document
 frequencies are counted over all documents. The examples' unit vectors form a block-max inverted
 index: for each term and block of examples, its postings and its largest weight there. A query walks
 the blocks by falling upper bound and stops when no block can enter the nearest ``NEAREST``: exact.
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import materialise
 
 EXAMPLES, TERMS, NEAREST, BLOCK = 3000, 1024, 15, 64
-#: Least chi-square of a vocabulary word (five standard deviations), least support, and weight of the prior in a vote.
-CHI_SQUARE, SUPPORT, PRIOR = 25.0, 2, 0.5
+#: Least chi-square of a vocabulary word (chance words that copies spread stay below), least support, and weight of the prior in a vote.
+CHI_SQUARE, SUPPORT, PRIOR = 60.0, 2, 0.5
 THRESHOLD = 0.3
 OUT = "doc_id long, score double, evidence array<long>"
 #: ASCII but letters becomes a space; letters lose their case.
@@ -201,8 +201,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
         chosen = own if chosen is None else chosen.unionByName(own)
     ids = chosen.select("doc_id", F.col("y").cast("long").alias("y")).collect()
     picked = docs.sparkSession.createDataFrame(ids, "doc_id long, y long")
-    sample = materialise(texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y"), "examples").dropDuplicates(["doc_id"])
-    a, b = (float(sum(r["y"] == y for r in ids)) for y in (1, 0))
+    sample = materialise(texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y"), "examples").dropDuplicates(["text", "y"])
+    distinct = {r["y"]: float(r["count"]) for r in sample.groupBy("y").count().collect()}
+    a, b = distinct.get(1, 0.0), distinct.get(0, 0.0)
     n = sample.mapInArrow(_distinct_words, "term binary, y long").groupBy("term").agg(F.sum("y").cast("double").alias("p"), F.count("*").cast("double").alias("n")).where(F.col("n") >= SUPPORT)
     p, q = F.col("p"), F.col("n") - F.col("p")
     chi = (a + b) * F.pow(p * (b - q) - q * (a - p), 2) / F.greatest(F.lit(a * b) * F.col("n") * (a + b - F.col("n")), F.lit(1.0))
