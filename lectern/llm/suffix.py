@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from lectern.llm.repeats import C, Kind, _rows, merged, mix, repeated_spans, runs, unpack
 
-WINDOW, GRAM, SHALLOW = 100, 32, 24
+WINDOW, GRAM, SHALLOW = 100, 20, 24
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -161,8 +161,8 @@ class Bytes(Kind):
             return runs(np.zeros(0, np.uint64), lengths, self.window, self.k)
         word = np.ndarray(shape=(len(text) - 7,), dtype="<u8", buffer=text, strides=(1,)).copy()
         h = word[:n] * C[0]
-        for i in (1, 2, 3):
-            h += word[8 * i : 8 * i + n] * C[i]
+        for i, at in ((1, 8), (2, self.k - 8)):  # 20 bytes in three reads
+            h += word[at : at + n] * C[i]
             h ^= h >> np.uint64(31)
         return runs(mix(h), lengths, self.window, self.k)
 
