@@ -169,7 +169,10 @@ def porter(word: str) -> str:
     return word
 
 
-@F.pandas_udf("string")
-def porter_stem(words: pd.Series) -> pd.Series:
+def porter_stem(words: Column | str) -> Column:
     """Porter stems; meant for the distinct vocabulary, joined back."""
-    return words.map(lambda w: None if w is None else porter(w))
+
+    def stems(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda w: None if w is None else porter(w))
+
+    return F.pandas_udf(stems, "string")(words)
