@@ -1,6 +1,6 @@
 """All registered queries of the engine."""
 
-from lectern.plans import aggregates, relational, scalars  # noqa: F401
+from lectern.plans import aggregates, relational, retrieval, scalars  # noqa: F401
 from lectern.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
