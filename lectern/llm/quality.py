@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import materialise
-from lectern.llm.toxicity import held_out, labelled, platt
+from lectern.llm.toxicity import by_hash, held_out, labelled, platt
 
 #: Shares of the pooled covariance and of the identity, rows for the curve, and the threshold.
 POOLED, IDENTITY, CURVE, THRESHOLD = 0.1, 0.02, 20_000, 0.7
@@ -139,7 +139,7 @@ def fit(measured: DataFrame, labels: DataFrame) -> Discriminant:
         total[r["place"]] = r["value"]
     model = Discriminant(total.reshape(2, d + 1, d + 1))
     if model.usable:
-        rows = teach.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CURVE).select("x", "y").collect()
+        rows = by_hash(teach, int(total.reshape(2, d + 1, d + 1)[:, 0, 0].sum()), CURVE).select("x", "y").collect()
         x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows], float)
         model.curve = platt(model.difference(x), y, np.ones(len(y)))
     return model
