@@ -42,7 +42,7 @@ def detect_language(tokens: DataFrame, spark: SparkSession, floor: float = 0.15,
     return n.join(best, "doc_id", "left").select("doc_id", F.when(F.col("hits") / F.col("n") >= floor, F.col("lang")).otherwise(default).alias("detected"))
 
 
-_REFERENCE = re.compile(r"((?:[1-3]\s*)?[^\W\d_]+(?:\s+[^\W\d_]+){0,6})\s+(\d{1,3})(?::(\d{1,3})(?:\s*[-–]\s*(?:(\d{1,3}):)?(\d{1,3}))?)?")
+_REFERENCE = re.compile(r"((?:(?:[1-3]\s*)?[^\W\d_]+\s+){1,7})(\d{1,3})(?::(\d{1,3})(?:\s*[-–]\s*(?:(\d{1,3}):)?(\d{1,3}))?)?")
 
 
 def parse_references(text: str, names: dict[str, int] | None = None) -> list[tuple[int, int]]:

@@ -17,7 +17,7 @@ _CAN = "can AS (SELECT doc_id, arg_min(chunk_id, chunk_index) AS chunk_id FROM c
 
 
 def _hits(frm: str, name: str, order: str = "score DESC, chunk_id", limit: int = 50, by: str = "") -> str:
-    return f"SELECT {by or '0'} AS query_id, chunk_id, rank, score::DOUBLE AS score, '{name}' AS retriever FROM (SELECT *, row_number() OVER ({f'PARTITION BY {by} ' if by else ''}ORDER BY {order}) AS rank FROM {frm}) WHERE rank <= {limit}"
+    return f"SELECT {by or '0::BIGINT'} AS query_id, chunk_id, rank, score::DOUBLE AS score, '{name}' AS retriever FROM (SELECT *, row_number() OVER ({f'PARTITION BY {by} ' if by else ''}ORDER BY {order}) AS rank FROM {frm}) WHERE rank <= {limit}"
 
 
 def question(t):
@@ -61,7 +61,7 @@ def title_tokens(t):
     return t.titles().select("doc_id", F.explode(terms(F.col("title"))).alias("term"))
 
 
-@query("tokens titles chunks", f"WITH {_Q}, {_TT}, {_BM.format(u='doc_id', t='tt')}, {_CAN}, r AS (SELECT u AS doc_id, row_number() OVER (ORDER BY score DESC, u) AS rank FROM bm) SELECT 0 AS query_id, chunk_id, rank, round(1 - (rank - 1) / (SELECT count(*) FROM r WHERE rank <= 20), 6) AS score, 'title' AS retriever FROM r JOIN can USING (doc_id) WHERE rank <= 20")
+@query("tokens titles chunks", f"WITH {_Q}, {_TT}, {_BM.format(u='doc_id', t='tt')}, {_CAN}, r AS (SELECT u AS doc_id, row_number() OVER (ORDER BY score DESC, u) AS rank FROM bm) SELECT 0::BIGINT AS query_id, chunk_id, rank, round(1 - (rank - 1) / (SELECT count(*) FROM r WHERE rank <= 20), 6) AS score, 'title' AS retriever FROM r JOIN can USING (doc_id) WHERE rank <= 20")
 def ret_02_title(t):
     return retrieve.by_title(title_tokens(t), question(t), t.chunks())
 
@@ -296,12 +296,12 @@ _THREE = (
 )
 
 
-@query("tokens titles chunks tags", f"WITH {_THREE}, w(retriever, weight) AS (VALUES ('fts', 1.0), ('title', 0.8), ('tag', 0.5)) SELECT 0 AS query_id, chunk_id, round(sum(weight / (60 + rank)), 8) AS score, list_sort(list_distinct(list(retriever))) AS retrievers FROM hits JOIN w USING (retriever) GROUP BY chunk_id")
+@query("tokens titles chunks tags", f"WITH {_THREE}, w(retriever, weight) AS (VALUES ('fts', 1.0), ('title', 0.8), ('tag', 0.5)) SELECT 0::BIGINT AS query_id, chunk_id, round(sum(weight / (60 + rank)), 8) AS score, list_sort(list_distinct(list(retriever))) AS retrievers FROM hits JOIN w USING (retriever) GROUP BY chunk_id")
 def fus_01_rrf(t):
     return fusion.rrf(_three(t), fusion.weights(t.spark).where("intent = 'thematic'"))
 
 
-@query("", "SELECT intent, retriever, weight FROM (VALUES " + ", ".join(f"('{i}', '{r}', {w})" for i, ws in fusion.WEIGHTS.items() for r, w in zip(fusion.RETRIEVERS, ws)) + ") AS w(intent, retriever, weight)")
+@query("", "SELECT intent, retriever, weight::DOUBLE AS weight FROM (VALUES " + ", ".join(f"('{i}', '{r}', {w})" for i, ws in fusion.WEIGHTS.items() for r, w in zip(fusion.RETRIEVERS, ws)) + ") AS w(intent, retriever, weight)")
 def fus_02_weights(t):
     return fusion.weights(t.spark)
 
@@ -314,12 +314,12 @@ def fus_03_rerank(t):
     return fusion.folded(v.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("score")), sims)
 
 
-@query("tokens titles chunks tags", f"WITH {_THREE} SELECT 0 AS query_id, chunk_id, round(sum(1.0 / (60 + rank)), 8) AS score, list_sort(list_distinct(list(retriever))) AS retrievers FROM hits GROUP BY chunk_id")
+@query("tokens titles chunks tags", f"WITH {_THREE} SELECT 0::BIGINT AS query_id, chunk_id, round(sum(1.0 / (60 + rank)), 8) AS score, list_sort(list_distinct(list(retriever))) AS retrievers FROM hits GROUP BY chunk_id")
 def fus_05_gather(t):
     return fusion.rrf(_three(t))
 
 
-@query("tokens titles chunks tags", f"WITH {_THREE}, f AS (SELECT chunk_id, round(sum(1.0 / (60 + rank)), 8) AS score FROM hits GROUP BY chunk_id), k AS (SELECT doc_id, min(tag[6:]) AS kind FROM tags WHERE tag LIKE 'kind:%' GROUP BY 1), r AS (SELECT kind, chunk_id, score, count(*) OVER w AS total, round(score / max(score) OVER w, 4) AS relative, row_number() OVER (PARTITION BY kind ORDER BY score DESC, chunk_id) AS place FROM f JOIN chunks USING (chunk_id) JOIN k USING (doc_id) WINDOW w AS (PARTITION BY kind)) SELECT 0 AS query_id, kind, chunk_id, score, relative, place, total FROM r WHERE place <= 8")
+@query("tokens titles chunks tags", f"WITH {_THREE}, f AS (SELECT chunk_id, round(sum(1.0 / (60 + rank)), 8) AS score FROM hits GROUP BY chunk_id), k AS (SELECT doc_id, min(tag[6:]) AS kind FROM tags WHERE tag LIKE 'kind:%' GROUP BY 1), r AS (SELECT kind, chunk_id, score, count(*) OVER w AS total, round(score / max(score) OVER w, 4) AS relative, row_number() OVER (PARTITION BY kind ORDER BY score DESC, chunk_id) AS place FROM f JOIN chunks USING (chunk_id) JOIN k USING (doc_id) WINDOW w AS (PARTITION BY kind)) SELECT 0::BIGINT AS query_id, kind, chunk_id, score, relative, place, total FROM r WHERE place <= 8")
 def fus_06_branches(t):
     kinds = t.chunks().select("chunk_id", "doc_id").join(tags.kind_of(t.tags()), "doc_id").select("chunk_id", "kind")
     return fusion.branches(fusion.rrf(_three(t)).drop("retrievers"), kinds)
@@ -417,7 +417,7 @@ def gr_05_taxonomy(t):
     return t.tags().where(F.col("tag").isin("kind:term", "source:src1", "source:SRC1")).select("doc_id").distinct()
 
 
-@query("edges", "WITH RECURSIVE r AS (SELECT source_id AS id, target_id AS ancestor, 1 AS hops FROM edges WHERE relation = 'located-in' UNION ALL SELECT r.id, e.target_id, hops + 1 FROM r JOIN edges e ON e.source_id = r.ancestor WHERE e.relation = 'located-in' AND hops < 8) SELECT id, ancestor, min(hops) AS hops FROM r GROUP BY 1, 2")
+@query("edges", "WITH RECURSIVE r AS (SELECT source_id AS id, target_id AS ancestor, 1::BIGINT AS hops FROM edges WHERE relation = 'located-in' UNION ALL SELECT r.id, e.target_id, hops + 1 FROM r JOIN edges e ON e.source_id = r.ancestor WHERE e.relation = 'located-in' AND hops < 8) SELECT id, ancestor, min(hops) AS hops FROM r GROUP BY 1, 2")
 def gr_06_ancestors(t):
     return graph.ancestors(t.edges(), "located-in")
 
