@@ -7,7 +7,8 @@ from bit counts. Candidates that the estimate doesn't rule out (five standard de
 confirmed on the full sets. Candidates form in two rounds, so that no group is expanded into pairs:
 
 1. each member of a band's bucket with the bucket's least document;
-2. in buckets that then still span several components, members of different components, in blocks.
+2. in buckets that then still span several components, members of different components, in blocks
+   that compare signatures and full sets in place and give away a spanning forest only.
 
 A pair at the threshold shares no band with probability (1 - .8^5)^40 = 1e-7.
 
@@ -36,7 +37,7 @@ HASHES = BANDS * ROWS
 #: Five standard deviations of the estimate at the threshold.
 MARGIN = 5
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 512
+BLOCK = 256
 _seeds = np.random.default_rng(20).integers(1, 1 << 63, size=(2, HASHES), dtype=np.uint64)
 MULTIPLY, ADD = (_seeds[0] | np.uint64(1)).astype(np.uint64), _seeds[1]
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -152,29 +153,53 @@ def _confirm(percent: int, words: int):
     return run
 
 
-def _across(threshold: float):
-    """Pairs of different components within the rows of one block pair; the bucket's least document has been tried."""
-    low = least_estimate(threshold)
+def _settle(percent: int, words: int):
+    """Links between different components within the rows of one block pair, on full sets, as a forest.
+
+    A pair meets in the first band that it shares only, and a bucket's least document has been tried before.
+    """
+    low = least_estimate(percent / 100)
 
     def run(key, table):
-        doc = table.column("doc_id").to_numpy()
-        comp, side = table.column("c").to_numpy(), table.column("side").to_numpy()
-        least = table.column("least").to_numpy()
+        doc, comp = table.column("doc_id").to_numpy(), table.column("c").to_numpy()
+        side, least = table.column("side").to_numpy(), table.column("least").to_numpy()
         sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(doc), -1)
-        fresh = doc != least
-        p = np.flatnonzero((side == key[1].as_py()) & fresh)
-        q = np.flatnonzero((side == key[2].as_py()) & fresh)
-        xs, ys = [], []
+        bands = np.array(table.column("bands").to_pylist(), np.int64)
+        texts, sets = table.column("text"), {}
+        at = int(np.flatnonzero(bands[0] == key[0].as_py())[0])
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                x = up
+            return x
+
+        def own(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_sets([(texts[i].as_py() or "").encode()], words)[0]
+            return sets[i]
+
+        p = np.flatnonzero((side == key[1].as_py()) & (doc != least))
+        q = np.flatnonzero((side == key[2].as_py()) & (doc != least))
+        out = []
         for i in p:
             rest = q[comp[q] != comp[i]]
             if key[1] == key[2]:
                 rest = rest[doc[rest] > doc[i]]
+            if at and len(rest):
+                rest = rest[~(bands[rest, :at] == bands[i, :at]).any(axis=1)]
             if len(rest):
                 rest = rest[agreement(sig[i][None], sig[rest]) >= low]
-                xs.append(np.minimum(doc[i], doc[rest]))
-                ys.append(np.maximum(doc[i], doc[rest]))
-        x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (xs, ys))
-        return pa.table({"x": x, "y": y})
+            for j in rest:
+                x, y = root(int(comp[i])), root(int(comp[j]))
+                if x == y:
+                    continue
+                a, b = own(i), own(j)
+                both = len(np.intersect1d(a, b, assume_unique=True)) if 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)) else 0
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    parent[max(x, y)] = min(x, y)
+                    out.append((int(doc[i]), int(doc[j])))
+        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
@@ -211,9 +236,9 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     split = crowd.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     placed = crowd.join(split, "band").withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    paired = placed.join(signatures, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "doc_id", "least", "c", "signature")
-    across = paired.groupBy("band", "p", "q").applyInArrow(_across(percent / 100), "x long, y long").distinct()
-    more = materialise(_verified(across, texts, percent, words), "links")
+    told = placed.join(heads, "doc_id").join(texts, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    paired = told.select("band", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "doc_id", "least", "c", "signature", "bands", "text")
+    more = materialise(paired.groupBy("band", "p", "q").applyInArrow(_settle(percent, words), "u long, v long").distinct(), "links")
     free_shuffles(spark)
     joined = components(links.unionByName(more)) if more.limit(1).count() else stars
     of_class = classes.join(joined.select(F.col("u").alias("doc_id"), "v"), "doc_id", "left").select("d1", "d2", F.coalesce("v", "doc_id").alias("component_id"))
