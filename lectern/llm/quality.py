@@ -78,7 +78,7 @@ def _moments(batches):
     total = np.zeros((2, d + 1, d + 1))
     for batch in batches:
         if batch.num_rows:
-            x = np.concatenate([np.ones((batch.num_rows, 1)), np.array(batch.column(0).values.slice(0)).reshape(-1, d)[: batch.num_rows]], 1) if not batch.column(0).offset else np.concatenate([np.ones((batch.num_rows, 1)), np.array(batch.column(0).to_pylist())], 1)
+            x = np.concatenate([np.ones((batch.num_rows, 1)), np.asarray(batch.column(0).flatten()).reshape(-1, d)], 1)
             y = batch.column(1).to_numpy()
             for c in (0, 1):
                 total[c] += x[y == c].T @ x[y == c]
