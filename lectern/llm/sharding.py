@@ -46,7 +46,7 @@ def balanced(sizes: list[tuple[int, int, int]], shards: int, slots: int = SLOTS)
 
 
 def grown(slot_map: list[int], sizes: list[tuple[int, int, int]], shards: int) -> list[int]:
-    """The map edited for one more shard, which only takes: from the heaviest shard its largest slot that still fits."""
+    """The map edited for one more shard, which only takes: from the heaviest shard that has one, its largest slot that still fits."""
     out, load, own, size = list(slot_map), [0] * (shards + 1), {}, dict.fromkeys(range(len(slot_map)), 0)
     for slot, n, _ in sizes:
         size[slot] = n
@@ -54,11 +54,13 @@ def grown(slot_map: list[int], sizes: list[tuple[int, int, int]], shards: int) -
         load[shard] += size[slot]
         own.setdefault(shard, []).append((size[slot], slot))
     target = sum(load) / (shards + 1)
-    while load[shards] < target:
-        donor = max(range(shards), key=lambda s: load[s])
+    able = set(range(shards))
+    while load[shards] < target and able:
+        donor = max(able, key=lambda s: (load[s], -s))
         fits = [x for x in own.get(donor, ()) if 0 < x[0] <= target - load[shards]]
         if not fits:
-            break
+            able.discard(donor)
+            continue
         n, slot = max(fits)
         own[donor].remove((n, slot))
         out[slot] = shards
