@@ -182,45 +182,49 @@ def repeated_spans(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
 
     docs: doc_id, text. spans: doc_id and a list of (s, e) item intervals, one row per document with any.
     """
-    spark, made = docs.sparkSession, []
-
-    def keep(df: DataFrame, label: str) -> DataFrame:
-        """Written apart: joins against it can be split where a key is hot, and shuffle files can go."""
-        made.append(materialise(df, label))
+    spark, left = docs.sparkSession, []
+    listed = F.collect_list(F.struct("s", "e"))
+
+    def keep(df: DataFrame, label: str, *done: DataFrame) -> DataFrame:
+        """Written apart: joins against it can be split where a key is hot; ``done`` and the shuffle files can go."""
+        left.append(materialise(df, label))
+        for x in done:
+            discard(x)
         free_shuffles(spark)
-        return made[-1]
+        return left[-1]
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     known = texts.where("doc_id IS NOT NULL")
     anchored = known.mapInArrow(_anchor_map(kind), "m long, doc_id long, pos long")
     repeated = keep(anchored.groupBy("m").count().where("count > 1").select("m"), "repeated")
-    flagged = keep(anchored.join(repeated, "m", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("m", "pos")).alias("found")), "flagged")
-    digested = keep(known.join(flagged, "doc_id").select("doc_id", "text", "found").mapInArrow(_digest_map(kind), "m long, d1 long, d2 long, doc_id long, pos long"), "runs")
-    discard(flagged)
-    first = keep(digested.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.min("m").alias("m")), "first")
+    flagged = keep(anchored.join(repeated, "m", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("m", "pos")).alias("found")), "flagged", repeated)
+    digested = keep(known.join(flagged, "doc_id").select("doc_id", "text", "found").mapInArrow(_digest_map(kind), "m long, d1 long, d2 long, doc_id long, pos long"), "runs", flagged)
+    first = keep(digested.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("n"), F.min("m").alias("m")), "first")
     start = F.shiftright("pos", 16)
     count = F.shiftright("pos", 8).bitwiseAND(F.lit(255).cast("long"))
-    copies = _later(digested, first.select("d1", "d2", "f")).select("doc_id", start.alias("s"), (start + count - 1 + kind.window).alias("e"))
+    copies = _later(digested.drop("m"), first).select("doc_id", start.alias("s"), (start + count - 1 + kind.window).alias("e"))
+    copies = keep(copies.groupBy("doc_id").agg(listed.alias("spans")), "copies", digested)
     single = first.select("m", F.col("f.doc_id").alias("doc_id"), F.col("f.pos").alias("pos"))
     crowd = keep(single.groupBy("m").agg(F.count("*").alias("c")).where("c > 1"), "crowd")
-    mixed = single.join(crowd, "m").groupBy("doc_id").agg(F.collect_list(F.struct("m", "c", "pos")).alias("found"))
-    routed = keep(known.join(mixed, "doc_id").select("doc_id", "text", "found").mapInArrow(_route_map(kind), ROUTE), "routed")
+    mixed = keep(single.join(crowd, "m").groupBy("doc_id").agg(F.collect_list(F.struct("m", "c", "pos")).alias("found")), "mixed", first, crowd)
+    routed = keep(known.join(mixed, "doc_id").select("doc_id", "text", "found").mapInArrow(_route_map(kind), ROUTE), "routed", mixed)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = routed.where("packed IS NOT NULL").select("m", "doc_id", "pos", "packed").repartition(n, "m").sortWithinPartitions("m", "doc_id", "pos")
-    edges = sorted_.mapInArrow(_bucket_map(kind), "doc_id long, s long, e long")
+    edges = keep(sorted_.mapInArrow(_bucket_map(kind), "doc_id long, s long, e long").groupBy("doc_id").agg(listed.alias("spans")), "edges")
     window = routed.where("packed IS NULL").select("d1", "d2", "doc_id", "pos")
-    origin = keep(window.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "pos")).alias("f")), "origin")
+    origin = keep(window.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1"), "origin")
     crowded = _later(window, origin).select("doc_id", F.col("pos").alias("s"), (F.col("pos") + kind.window).alias("e"))
-    spans = materialise(copies.unionByName(edges).unionByName(crowded).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
-    for df in made:
+    crowded = keep(crowded.groupBy("doc_id").agg(listed.alias("spans")), "crowded", routed, origin)
+    spans = materialise(copies.unionByName(edges).unionByName(crowded).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    for df in left:
         discard(df)
     free_shuffles(spark)
     return texts, spans
 
 
 def _later(df: DataFrame, first: DataFrame) -> DataFrame:
-    """The rows of a digest but the first one."""
-    return df.join(first, ["d1", "d2"]).where("doc_id != f.doc_id OR pos != f.pos")
+    """The rows of a digest but the first one; digests that occur once have none."""
+    return df.join(first.where("n > 1").select("d1", "d2", "f"), ["d1", "d2"]).where("doc_id != f.doc_id OR pos != f.pos")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:

@@ -161,8 +161,8 @@ class Bytes(Kind):
             return runs(np.zeros(0, np.uint64), lengths, self.window, self.k)
         word = np.ndarray(shape=(len(text) - 7,), dtype="<u8", buffer=text, strides=(1,)).copy()
         h = word[:n] * C[0]
-        for i, at in ((1, 8), (2, self.k - 8)):  # 20 bytes in three reads
-            h += word[at : at + n] * C[i]
+        for i, at in enumerate([*range(8, self.k - 8, 8), self.k - 8]):  # 8 bytes a read
+            h += word[at : at + n] * C[(i + 1) % len(C)]
             h ^= h >> np.uint64(31)
         return runs(mix(h), lengths, self.window, self.k)
 
