@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from lectern.llm.repeats import C, Kind, _rows, merged, mix, repeated_spans, runs, unpack
 
-WINDOW, GRAM, SHALLOW = 100, 20, 24
+WINDOW, GRAM, SHALLOW = 100, 40, 64
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
