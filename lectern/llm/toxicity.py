@@ -1,9 +1,9 @@
 """Operator 5: toxicity from the nearest labelled examples, by exact TF-IDF cosine.
 
-Examples: of each class at most ``EXAMPLES`` labelled rows, by hash of the id. Vocabulary: at most
-``TERMS`` words that depend most on the label among the examples (chi-square, at least ``CHI_SQUARE``); their document
-frequencies are counted over all documents. The examples' unit vectors form a block-max inverted
-index: for each term and block of examples, its postings and its largest weight there. A query walks
+Examples: of each class at most ``EXAMPLES`` labelled rows, by hash of the id. Vocabulary: all words
+of ``SUPPORT`` different examples and more whose rate among the toxic ones is ``RATIO`` times that among the
+others, a measure that does not grow with the examples; their document frequencies are counted over
+all documents. The examples' unit vectors form a block-max inverted index: for each term and block of examples, its postings and its largest weight there. A query walks
 the blocks by falling upper bound and stops when no block can enter the nearest ``NEAREST``: exact.
 The neighbours vote with their cosine, each class scaled to its share of all labels; a logistic
 curve fitted on votes that leave the example itself out turns them into probabilities.
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import materialise
 
-EXAMPLES, TERMS, NEAREST, BLOCK = 3000, 1024, 15, 64
-#: Least chi-square of a vocabulary word (chance words that copies spread stay below), least support, and weight of the prior in a vote.
-CHI_SQUARE, SUPPORT, PRIOR = 60.0, 2, 0.5
+EXAMPLES, NEAREST, BLOCK = 3000, 15, 64
+#: Least ratio of a vocabulary word's rates, least support, and weight of the prior in a vote.
+RATIO, SUPPORT, PRIOR = 5.0, 4, 0.5
 THRESHOLD = 0.3
 OUT = "doc_id long, score double, evidence array<long>"
 #: ASCII but letters becomes a space; letters lose their case.
@@ -195,7 +195,7 @@ def _example_vectors(terms: dict[bytes, int]):
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
-    """A model from documents and labels; what reaches the driver is bounded by EXAMPLES, TERMS and two counts."""
+    """A model from documents and labels; what reaches the driver is bounded by the words of EXAMPLES texts a class and two counts."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     teach = labelled(labels, column).join(texts.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id")
     shares = {r["y"]: r["count"] for r in teach.groupBy("y").count().collect()}
@@ -213,8 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
     a, b = distinct.get(1, 0.0), distinct.get(0, 0.0)
     n = sample.mapInArrow(_distinct_words, "term binary, y long").groupBy("term").agg(F.sum("y").cast("double").alias("p"), F.count("*").cast("double").alias("n")).where(F.col("n") >= SUPPORT)
     p, q = F.col("p"), F.col("n") - F.col("p")
-    chi = (a + b) * F.pow(p * (b - q) - q * (a - p), 2) / F.greatest(F.lit(a * b) * F.col("n") * (a + b - F.col("n")), F.lit(1.0))
-    terms = [bytes(r["term"]) for r in n.select("term", chi.alias("chi")).where(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(TERMS).collect()]
+    telling = p * F.lit(b) >= F.lit(RATIO * a) * (q + 0.5)  # half a text stands in for words that no other example has
+    terms = [bytes(r["term"]) for r in n.where(telling).select("term").orderBy("term").collect()]
     counts = texts.mapInArrow(_frequencies(terms), "term binary, n long, whole boolean").groupBy("term", "whole").agg(F.sum("n").alias("n")).collect()
     total = next((r["n"] for r in counts if r["whole"]), 0)
     df = {bytes(r["term"]): r["n"] for r in counts if not r["whole"]}

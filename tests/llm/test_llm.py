@@ -218,6 +218,17 @@ def test_toxicity_learns_and_keeps_out(spark):
     assert toxicity.scores(docs, labels.limit(0)).agg(F.max("predicted")).first()[0] == 1  # nothing known: 0.5
 
 
+def test_toxicity_learns_from_few_examples(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
+    rows = [(i, " ".join([rng.choice(words) for _ in range(40)] + [("vile", "nasty")[i % 2]] * (i < 14))) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i < 14)) for i in range(90)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.scores(docs, labels).collect()}
+    held = [i for i in range(14) if got[i]["held_out"]]
+    assert held and all(got[i]["predicted"] for i in held) and not got[50]["predicted"]
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(1)
     vectors = []
