@@ -3,7 +3,7 @@
 Base detectors find e-mail addresses, IPv4 addresses, payment cards and phone numbers in the text as it
 is. Then transducers rewrite it while carrying each output character's source interval: look-alike
 and compatibility characters become ASCII, invisible ones vanish, spelled digits become digits, and
-"at" / "dot" disguises become their signs. The same detectors run on the result, and what they find
+"at" / "dot" disguises become their signs: dots beside any "@", plain or disguised, and between digits. The same detectors run on the result, and what they find
 through at least one rewritten character maps back to source characters as an additional span.
 
 Counts and the base digest are of base spans only; ``spans`` holds all; ``n_added`` counts the rest.
@@ -63,6 +63,9 @@ _OPEN, _CLOSE = r"[\s\[\(\{<_]", r"[\s\]\)\}>_]"
 _AT = re.compile(rf"{_OPEN}{{1,8}}(?:(?:at|arroba|ät){_CLOSE}{{1,8}}|@{_CLOSE}{{0,8}})(?=[A-Za-z0-9])|@\s{{1,8}}(?=[A-Za-z0-9])", re.I)
 _DOT = re.compile(rf"{_OPEN}{{1,8}}(?:{_SIGN}|\.){_CLOSE}{{1,8}}(?=[A-Za-z0-9])", re.I)
 _AT_WORDS = frozenset((b"at", b"arroba", "ät".encode()))
+#: What a text with a disguised dot holds.
+_DOT_WORDS = (b"dot", b"punkt", b"punto", b"point")
+_BOXED = re.compile(r"[\[({<][\s\[({<_]*\.")
 _TO_SPACE = bytes.maketrans(bytes(range(0x21, 0x61)) + bytes(range(0x7B, 0x80)), b" " * 69)
 _WORD = re.compile(r"[A-Za-z0-9-]+")
 
@@ -151,15 +154,13 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
-def _disguised(text: str) -> list[tuple[int, int, str]]:
+def _disguised(text: str, dotted: bool) -> list[tuple[int, int, str]]:
     """Edits that put back "@" and "." where an address hides them."""
-    ats, dots, spelt = [], [], None
+    dots = [(d.start(), d.end(), ".") for d in _DOT.finditer(text) if d.start() and text[d.start() - 1].isalnum() and ("." not in d[0] or any(c in "[({<" for c in d[0]))] if dotted else []
+    ats, spelt = [], {s for s, _, _ in dots}
     for m in _AT.finditer(text):
         if not m.start() or text[m.start() - 1] not in _LOCAL:
             continue
-        if spelt is None:
-            dots = [(d.start(), d.end(), ".") for d in _DOT.finditer(text) if d.start() and text[d.start() - 1].isalnum() and ("." not in d[0] or any(c in "[({<" for c in d[0]))]
-            spelt = {s for s, _, _ in dots}
         if _WORD.match(text, m.end()).end() in spelt:
             ats.append((m.start(), m.end(), "@"))
         elif _DOMAIN.match(text, m.end()):  # a bare "at" counts only after what can't be a plain word
@@ -168,8 +169,10 @@ def _disguised(text: str) -> list[tuple[int, int, str]]:
                 start -= 1
             if "@" in m[0] or any(c in "[({<" for c in m[0]) or any(c in "0123456789_.+" for c in text[start : m.start()].strip(".")):
                 ats.append((m.start(), m.end(), "@"))
+    if not ats and "@" not in text:  # without an address, only an IPv4 address can hold them
+        dots = [d for d in dots if text[d[0] - 1].isdigit() and text[d[1]].isdigit()]
     edits, at = [], 0
-    for s, e, c in sorted(dots + ats) if ats else ():
+    for s, e, c in sorted(dots + ats):
         if s >= at:
             edits.append((s, e, c))
             at = e
@@ -184,14 +187,15 @@ def normalised(text: str) -> Mapped | None:
         if edits:
             out = Mapped(text)
             out.rewrite(edits)
-    words = set((out.text if out else text).lower().encode("utf-8", "surrogatepass").translate(_TO_SPACE).split())
+    low = (out.text if out else text).lower().encode("utf-8", "surrogatepass")
+    words, dotted = set(low.translate(_TO_SPACE).split()), any(w in low for w in _DOT_WORDS) or bool(_BOXED.search(out.text if out else text))
     if not words.isdisjoint(_NAMED):
         edits = _spelled(out.text if out else text)
         if edits:
             out = out or Mapped(text)
             out.rewrite(edits)
-    if "@" in (out.text if out else text) or not words.isdisjoint(_AT_WORDS):
-        edits = _disguised(out.text if out else text)
+    if dotted or "@" in (out.text if out else text) or not words.isdisjoint(_AT_WORDS):
+        edits = _disguised(out.text if out else text, dotted)
         if edits:
             out = out or Mapped(text)
             out.rewrite(edits)

@@ -154,6 +154,15 @@ def test_personal_data(text, found):
     assert pii.spelled(sorted(base + added)) == found
 
 
+@pytest.mark.parametrize("text,found", [
+    ("to jane@example dot com", "email:3:23"), ("jane@example[.]com", "email:0:18"), ("jane.doe@example (dot) com now", "email:0:26"), ("jane dot doe@example dot com", "email:0:28"),
+    ("10[.]0[.]0[.]1", "ip:0:14"), ("on 192 dot 168 dot 1 dot 1", "ip:3:26"), ("10.0[.]0.1", "ip:0:10"), ("300 dot 1 dot 1 dot 1", ""), ("a dot b dot c dot d", ""), ("5 point 3", ""),
+])
+def test_disguised_dots_alone(text, found):
+    base, added = pii.all_spans(text)
+    assert pii.spelled(sorted(base + added)) == found
+
+
 def test_base_spans_are_the_patterns():
     import re
 
