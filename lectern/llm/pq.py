@@ -2,14 +2,13 @@
 
 Vectors with equal components collapse first. A coarse k-means gives inverted lists; the residuals are
 cut into ``SUBSPACES`` parts, each coded by the nearest of ``CODES`` centroids. A partner q + d lies
-nearer to centroid c than to q's own centroid o only if d(q,c)^2 - d(q,o)^2 <= 2 d.(c - o). The last
-product has a standard deviation of |d| |c - o| / sqrt(dimensions) over directions of d, so a query
-visits the lists within ``SPREAD`` of them; a pair at the threshold is missed with probability 2e-4,
-closer pairs less. Within a list, table lookups give the distance to each coded vector, and those
+nearer to centroid c than to q's own centroid o only if d(q,c)^2 - d(q,o)^2 <= 2 d.(c - o), at most
+2 |d| |c - o|, so a query visits the lists within that and misses no pair at the threshold. Within a list, table lookups give the distance to each coded vector, and those
 within T plus the vector's own coding error (which loses nothing) are compared by exact cosine in double
-precision. Codebooks are fitted on at most ``SAMPLE`` vectors; all are indexed. The tests measure recall.
+precision. Codebooks are fitted on at most ``SAMPLE`` vectors; all are indexed.
 
-Lists of many members or visitors are cut into blocks that meet in separate tasks. Only counts and a
+Neighbouring lists of few members form one group, and a vector goes once to each group with a list it
+visits. Groups of many members or visitors are cut into blocks that meet in separate tasks. Only counts and a
 spanning forest of the links leave a task.
 
 Cases: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors
@@ -31,9 +30,7 @@ from lectern.llm.components import components
 SUBSPACES, CODES, SAMPLE = 8, 256, 20_000
 #: Inverted lists: LISTS times the root of the number of vectors, MOST_LISTS at the most.
 LISTS, MOST_LISTS = 1, 4096
-#: Standard deviations that probing allows for.
-SPREAD = 3.5
-#: Members and visitors of a list that meet in one task.
+#: Members and visitors of a group of lists that meet in one task.
 BLOCK = 4096
 HEAD = "vec_id long, dims int, v binary"
 
@@ -88,7 +85,6 @@ class Quantiser:
 
     def probes(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
         """Own list, and a mask of the lists to visit for vectors within ``reach``."""
-        reach *= min(1.0, SPREAD / self.width**0.5)
         d = distances(self.pad(x), self.coarse)
         home = d.argmin(1)
         own = d[np.arange(len(d)), home]
@@ -139,7 +135,6 @@ def _index(q: Quantiser, reach: float):
 
 def _search(q: Quantiser, threshold: float, reach: float):
     def run(key, table):
-        place = key[0].as_py()
         member = table.filter(table.column("member"))
         visitor = table.filter(pc.invert(table.column("member")))
         none = pa.table({"vec_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "least": pa.array([], pa.int64())})
@@ -148,25 +143,30 @@ def _search(q: Quantiser, threshold: float, reach: float):
         mid, vid = member.column("vec_id").to_numpy(), visitor.column("vec_id").to_numpy()
         mx, vx = unit(member.column("v").to_pylist(), member.column("dims").to_pylist(), q.width), unit(visitor.column("v").to_pylist(), visitor.column("dims").to_pylist(), q.width)
         md, vd = member.column("dims").to_numpy(), visitor.column("dims").to_numpy()
-        vhome = visitor.column("home").to_numpy()
+        mhome, vhome = member.column("home").to_numpy(), visitor.column("home").to_numpy()
+        probes = visitor.column("probes").combine_chunks()
+        vlist, vrow = probes.flatten().to_numpy(), np.repeat(np.arange(len(vid)), pc.list_value_length(probes).to_numpy())
         codes = np.frombuffer(b"".join(member.column("codes").to_pylist()), np.uint8).reshape(len(mid), -1)
         bound = ((reach + member.column("error").to_numpy()) ** 2 + 1e-6).astype(np.float32)
         left, right = [], []
-        for at in range(0, len(vid), 128):
-            sub = slice(at, at + 128)
-            tables = [t.astype(np.float32) for t in q.tables(vx[sub], place)]
-            d = tables[0][:, codes[:, 0]]
-            for i in range(1, SUBSPACES):
-                d += tables[i][:, codes[:, i]]
-            own = vhome[sub] == place  # within the own list, each pair once
-            i, j = np.nonzero(d <= bound[None])
-            keep = (vd[sub][i] == md[j]) & (~own[i] | (vid[sub][i] < mid[j]))
-            i, j = i[keep] + at, j[keep]
-            for k in range(0, len(i), 65536):
-                a, b = i[k : k + 65536], j[k : k + 65536]
-                hit = np.einsum("ij,ij->i", vx[a], mx[b]) >= threshold
-                left.append(a[hit])
-                right.append(b[hit])
+        for place in np.unique(mhome):
+            own_members, visiting = np.flatnonzero(mhome == place), vrow[vlist == place]
+            own_codes = codes[own_members]
+            for at in range(0, len(visiting), 128):
+                sub = visiting[at : at + 128]
+                tables = [t.astype(np.float32) for t in q.tables(vx[sub], place)]
+                d = tables[0][:, own_codes[:, 0]]
+                for i in range(1, SUBSPACES):
+                    d += tables[i][:, own_codes[:, i]]
+                i, j = np.nonzero(d <= bound[own_members][None])
+                i, j = sub[i], own_members[j]
+                keep = (vd[i] == md[j]) & ((vhome[i] != place) | (vid[i] < mid[j]))  # within the own list, each pair once
+                i, j = i[keep], j[keep]
+                for k in range(0, len(i), 65536):
+                    a, b = i[k : k + 65536], j[k : k + 65536]
+                    hit = np.einsum("ij,ij->i", vx[a], mx[b]) >= threshold
+                    left.append(a[hit])
+                    right.append(b[hit])
         if not sum(map(len, left)):
             return none
         i, j = np.concatenate(left), np.concatenate(right)
@@ -187,6 +187,17 @@ def _search(q: Quantiser, threshold: float, reach: float):
     return run
 
 
+def _groups(members: dict[int, int], lists: int) -> list[int]:
+    """The group of each list: neighbours in number with at most BLOCK members together, or one list."""
+    out, held = [], 0
+    for i in range(lists):
+        held += members.get(i, 0)
+        new = bool(out) and held > BLOCK
+        out.append(out[-1] + new if out else 0)
+        held = members.get(i, 0) if new else held
+    return out
+
+
 def _sample(classes: DataFrame, total: int) -> DataFrame:
     """At most SAMPLE vectors by hash of the id; few more reach the last sort."""
     place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
@@ -209,13 +220,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
         index = materialise(classes.select("vec_id", "dims", "n", "v").mapInArrow(_index(q, reach), "vec_id long, dims int, n long, v binary, home int, codes binary, error double, probes array<int>"), "index")
         row = ("vec_id", "dims", "n", "v", "home", "codes", "error")
         counts = lambda df: {r["list"]: r["count"] for r in df.groupBy("list").count().collect()}  # noqa: E731  at most MOST_LISTS rows
-        members = counts(index.select(F.col("home").alias("list")))
-        visits = counts(index.select(F.explode("probes").alias("list")))
-        lists = len(q.coarse)
-        parts = lambda of: F.element_at(F.split(F.lit(",".join(str(-(-of.get(i, 0) // BLOCK) or 1) for i in range(lists))), ",").cast("array<int>"), F.col("list") + 1)
+        group = _groups(counts(index.select(F.col("home").alias("list"))), len(q.coarse))
+        numbers = lambda ns: F.split(F.lit(",".join(map(str, ns))), ",").cast("array<int>")
+        of = lambda c: F.element_at(numbers(group), c + 1)
+        homes = index.select(of(F.col("home")).alias("list"), *row, F.lit(None).cast("array<int>").alias("probes"))
+        calls = index.withColumn("list", F.explode(F.array_distinct(F.transform("probes", of)))).select("list", *row, F.filter("probes", lambda c: of(c) == F.col("list")).alias("probes"))
+        members, visits = counts(homes), counts(calls)
+        parts = lambda n: F.element_at(numbers(-(-n.get(i, 0) // BLOCK) or 1 for i in range(group[-1] + 1)), F.col("list") + 1)
         side = lambda df, own, is_member: df.withColumns({"mb": parts(members), "vb": parts(visits), "member": F.lit(is_member)}).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col(own)).cast("int"))
-        held = side(index.select(F.col("home").alias("list"), *row), "mb", True).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("vb") - 1))).select("list", F.col("own").alias("p"), F.col("at").alias("q"), "member", *row)
-        come = side(index.select(F.explode("probes").alias("list"), *row), "vb", False).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).select("list", F.col("at").alias("p"), F.col("own").alias("q"), "member", *row)
+        held = side(homes, "mb", True).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("vb") - 1))).select("list", F.col("own").alias("p"), F.col("at").alias("q"), "member", *row, "probes")
+        come = side(calls, "vb", False).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).select("list", F.col("at").alias("p"), F.col("own").alias("q"), "member", *row, "probes")
         found = materialise(held.unionByName(come).groupBy("list", "p", "q").applyInArrow(_search(q, threshold, reach), "vec_id long, n long, least long"), "found")
     else:
         found = spark.createDataFrame([], "vec_id long, n long, least long")

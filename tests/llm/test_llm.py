@@ -144,6 +144,19 @@ def test_near_vectors(spark):
     assert all(got[i]["component_id"] == got[int(j)]["component_id"] for i in range(300) for j in np.flatnonzero(sim[i] >= 0.9))
 
 
+@pytest.mark.parametrize("block", [4096, 100])
+def test_near_vectors_of_few_varying_dimensions(spark, block, monkeypatch):
+    monkeypatch.setattr(pq, "BLOCK", block)  # 100: many groups, in blocks
+    rng = np.random.default_rng(4)
+    x = np.zeros((1200, 64))
+    x[:, :6] = rng.normal(size=(1200, 6))
+    x[600:] = x[:600] + np.pad(rng.normal(size=(600, 6)) * 0.15, ((0, 0), (0, 58)))
+    f = x.astype(np.float32).astype(float)
+    got = {r["vec_id"]: r["n_links"] for r in pq.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(f)], "vec_id long, embedding array<float>")).collect()}
+    f /= np.linalg.norm(f, axis=1)[:, None]
+    assert got == dict(enumerate(((f @ f.T) >= 0.9).sum(1) - 1))
+
+
 @pytest.mark.parametrize("text,found", [
     ("write a.b+c@x-y.example.com. or x@y", "email:6:27"), ("at 10.0.0.1 and 300.1.1.1", "ip:3:11"), ("card 4111 1111 1111 1111!", "card:5:24"), ("call +1 (555) 010-9999 now", "phone:5:22"),
     ("jane dot doe at example dot com", "email:0:31"), ("jane [at] example (dot) com", "email:0:27"), ("jоhn@exаmple.com", "email:0:16"), ("plus one five five five 0 1 0 nine nine nine nine", "phone:0:49"),
