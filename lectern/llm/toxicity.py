@@ -1,14 +1,18 @@
 """Operator 5: toxicity from the nearest labelled examples, by exact TF-IDF cosine.
 
-Examples: of each class at most ``EXAMPLES`` labelled rows, by hash of the id. Vocabulary: all words
-of ``SUPPORT`` different examples and more whose rate among the toxic ones is ``RATIO`` times that among the
-others, a measure that does not grow with the examples; their document frequencies are counted over
-all documents. The examples' unit vectors form a block-max inverted index: for each term and block of examples, its postings and its largest weight there. A query walks
-the blocks by falling upper bound and stops when no block can enter the nearest ``NEAREST``: exact.
-The neighbours vote with their cosine, each class scaled to its share of all labels; a logistic
-curve fitted on votes that leave the example itself out turns them into probabilities.
-
-Cases: null or empty texts, and texts without a word of the vocabulary, get the score of texts
+Examples: of each class at most ``EXAMPLES`` labelled rows, by hash of the id. All their words are the
+vocabulary; document frequencies are counted over all documents. A term's weight is its TF-IDF times a
+relevance that is never zero: ``FLOOR`` plus the lower confidence bound (``SPREAD`` standard errors) of the
+log odds ratio between toxic and other examples, where that is positive. Plain TF-IDF finds texts of
+like subject, not of like tone (README has the figures).
+
+The examples' unit vectors form a block-max inverted index: postings by term and block of examples, and the
+largest weight of each frequent term in each block. A query scores the rare terms, adds the frequent ones' block maxima as
+bounds, and opens blocks by falling bound until none left can enter the nearest ``NEAREST``: exact. The neighbours vote with their cosine, each class
+scaled to its share of all labels; a logistic curve turns votes into probabilities. It is fitted on votes
+of examples whose weights were learned from the other half of the examples.
+
+Cases: null or empty texts, and texts without a word of any example, get the score of texts
 without evidence; unlabelled and null labels teach nothing; a document labelled twice is toxic if any
 label says so; without labels of both classes every score is the share of toxic labels (0.5 without
 labels); rows without an id are scored and not held out; repeated rows give repeated rows; other
@@ -17,18 +21,18 @@ columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise
-
-EXAMPLES, NEAREST, BLOCK = 3000, 15, 64
-#: Least ratio of a vocabulary word's rates, least support, and weight of the prior in a vote.
-RATIO, SUPPORT, PRIOR = 5.0, 4, 0.5
+EXAMPLES, NEAREST, BLOCK, COMMON = 1500, 15, 64, 8
+#: Weight that every term keeps, standard errors under the log odds ratio, and weight of the prior in a vote.
+FLOOR, SPREAD, PRIOR = 0.01, 1.0, 0.5
 THRESHOLD = 0.3
 OUT = "doc_id long, score double, evidence array<long>"
 #: ASCII but letters becomes a space; letters lose their case.
@@ -56,81 +60,133 @@ def by_hash(df: DataFrame, rows: int, most: int) -> DataFrame:
     return near.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id").limit(most)
 
 
+def spread_out(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each interval, one interval behind the other."""
+    return np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
+
+
 class BlockMaxIndex:
-    """Unit vectors of examples, by term and block, with the largest weight of each term in each block."""
-
-    def __init__(self, vectors: list[dict[int, float]], terms: int, block: int = BLOCK):
-        self.n, self.block = len(vectors), block
-        self.blocks = -(-len(vectors) // block)
-        self.top = np.zeros((terms, max(self.blocks, 1)), np.float64)
-        self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        held: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                held.setdefault((t, i // block), []).append((i % block, w))
-        for (t, b), rows in held.items():
-            at, w = zip(*rows)
-            self.postings[t, b] = np.array(at), np.array(w)
-            self.top[t, b] = max(w)
-
-    def nearest(self, query: dict[int, float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest positive cosine, ties to the smaller number."""
-        if not query or not self.n:
-            return []
-        terms = list(query)
-        bound = np.fromiter(query.values(), np.float64, len(query)) @ self.top[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0] - 1e-12):
+    """Unit vectors by term, then example: postings, and for frequent terms a table by block with its largest weights.
+
+    doc, term, weight: one posting each, no (doc, term) twice. Terms in more than one of ``common`` examples are the
+    frequent ones. Examples are placed so that those with the same most frequent terms share blocks, which keeps the
+    blocks' maxima tight.
+    """
+
+    def __init__(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, docs: int, terms: int, block: int = BLOCK, common: int = COMMON):
+        self.n, self.block, self.blocks = docs, block, -(-docs // block)
+        n = np.bincount(term, minlength=terms)
+        self.row = np.where(n * common > docs, np.cumsum(n * common > docs) - 1, -1)
+        lead = np.argsort(-n, kind="stable")[:16]
+        has = np.zeros((len(lead), docs), bool)
+        for r, t in enumerate(lead):
+            has[r, doc[term == t]] = True
+        self.number = np.lexsort(has[::-1])  # the example at each place
+        place = np.empty(docs, np.int64)
+        place[self.number] = np.arange(docs)
+        order = np.lexsort((place[doc], term))
+        self.place, self.weight, term = place[doc[order]].astype(np.int32), weight[order], term[order]
+        self.cells = np.searchsorted(term, np.arange(terms + 1))  # a term's postings
+        self.table = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "table": None, "top": None}
+
+    def _open(self) -> None:
+        """The frequent terms' weights by block, and the largest of each block."""
+        held = np.flatnonzero(self.row >= 0)
+        table = np.zeros((len(held), self.blocks * self.block))
+        for r, t in enumerate(held):
+            at = slice(self.cells[t], self.cells[t + 1])
+            table[r, self.place[at]] = self.weight[at]
+        self.table = np.ascontiguousarray(table.reshape(len(held), self.blocks, self.block).transpose(1, 0, 2))
+        self.top = self.table.max(2).T.copy()
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and numbers of the k examples of largest positive cosine, ties to the smaller number."""
+        if self.table is None:
+            self._open()
+        row = self.row[terms]
+        often = row >= 0
+        rows, held, rest = row[often], weights[often], terms[~often]
+        size = self.cells[rest + 1] - self.cells[rest]
+        at = spread_out(self.cells[rest], size) if len(rest) else np.zeros(0, np.int64)
+        score = np.bincount(self.place[at], np.repeat(weights[~often], size) * self.weight[at], self.blocks * self.block).reshape(self.blocks, self.block)
+        bound = score.max(1) + held @ self.top[rows]
+        order = np.argsort(-bound, kind="stable")
+        best, number = np.zeros(0), np.zeros(0, np.int64)
+        for opened in range(0, self.blocks, 8):
+            some = order[opened : opened + 8]
+            some = some[bound[some] >= (best[-1] if len(best) == k else 0) - 1e-12]
+            if not len(some):
                 break
-            score = np.zeros(self.block)
-            for t in terms:
-                if p := self.postings.get((t, int(b))):
-                    score[p[0]] += query[t] * p[1]
-            best += [(-float(score[i]), int(b) * self.block + int(i)) for i in np.flatnonzero(score) if int(b) * self.block + i != without]
-            best = sorted(best)[:k]
-        return [(-s, i) for s, i in best]
+            exact = np.concatenate([score[b] + held @ self.table[b][rows] for b in some])
+            near = np.flatnonzero(exact > max(best[-1] - 1e-12 if len(best) == k else 0, 1e-12))
+            own = self.number[(some[:, None] * self.block + np.arange(self.block)).reshape(-1)[near]]
+            near, own = near[own != without], own[own != without]
+            best, number = np.concatenate((best, exact[near])), np.concatenate((number, own))
+            keep = np.lexsort((number, -best.round(12)))[:k]
+            best, number = best[keep], number[keep]
+        return best, number
 
 
 class Model:
-    """Vocabulary, index, votes and the curve from votes to probabilities."""
-
-    def __init__(self, terms: list[bytes], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], shares: tuple[float, float]):
-        self.terms = {t: i for i, t in enumerate(terms)}
-        self.idf, self.share = idf, shares[1] / max(sum(shares), 1e-9) if sum(shares) else 0.5
-        self.ids, self.y = [x[0] for x in examples], np.array([x[1] for x in examples], int)
-        vectors = [self.vector(x[2]) for x in examples]
-        self.index = BlockMaxIndex(vectors, max(len(terms), 1))
-        n = np.bincount(self.y, minlength=2) if len(examples) else np.zeros(2)
+    """Vocabulary, weights, index, votes and the curve from votes to probabilities.
+
+    terms: sorted; frequency: documents that hold each, of ``total``; ids, y: the examples; doc, term, count: their postings.
+    """
+
+    def __init__(self, terms: list[bytes], frequency: np.ndarray, total: int, ids: np.ndarray, y: np.ndarray, doc: np.ndarray, term: np.ndarray, count: np.ndarray, shares: tuple[float, float]):
+        self.spelt, self.number = b"\n".join(terms), None
+        self.idf = np.log((1 + total) / (1 + frequency)) + 1
+        self.share = shares[1] / max(sum(shares), 1e-9) if sum(shares) else 0.5
+        self.ids, self.y = ids, y
+        n = np.bincount(y, minlength=2)
         self.scale = np.array([shares[c] / n[c] if n[c] else 0.0 for c in (0, 1)])
         self.scale = self.scale / max(self.scale.max(), 1e-9)
-        self.curve, self.blank = (1.0, 0.0), self.share
-        if len(examples) and n.all():
-            votes = np.array([self.vote(v, i)[0] for i, v in enumerate(vectors)])
-            empty = np.array([not v for v in vectors])
-            weight = self.scale[self.y]
-            self.blank = float((weight[empty] * self.y[empty]).sum() + self.share) / (float(weight[empty].sum()) + 1)
-            if (~empty).any():
-                self.curve = platt(logit(votes[~empty]), self.y[~empty], weight[~empty])
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + np.log(c)) * self.idf[t] for t, c in counts.items()}
-        norm = sum(w * w for w in v.values()) ** 0.5
-        return {t: w / norm for t, w in v.items()} if norm else {}
-
-    def vote(self, v: dict[int, float], without: int = -1) -> tuple[float, list[int]]:
-        near = self.index.nearest(v, NEAREST, without)
-        weight = np.array([s * self.scale[self.y[i]] for s, i in near])
+        self.curve, self.usable = (1.0, 0.0), bool(n.all())
+        if not self.usable:
+            return
+        part = np.fromiter((zlib.crc32(str(i).encode()) // 4 % 2 for i in ids.tolist()), np.int64, len(ids))  # halves, for votes that the curve learns from
+        own = np.split(np.arange(len(doc)), np.searchsorted(doc, np.arange(1, len(ids))))
+        votes = np.zeros(len(ids))
+        for h in (0, 1):
+            self._learn(doc, term, count, part != h)
+            for i in np.flatnonzero(part == h):
+                votes[i] = self.vote(term[own[i]], count[own[i]], int(i))[0]
+        self._learn(doc, term, count, np.ones(len(ids), bool))
+        self.curve = platt(logit(votes), y, self.scale[y])
+
+    def _learn(self, doc: np.ndarray, term: np.ndarray, count: np.ndarray, taught: np.ndarray) -> None:
+        """The terms' weights from the taught examples, and the index of all examples under them."""
+        use = taught[doc]
+        p, q = (np.bincount(term[use & (self.y[doc] == c)], minlength=len(self.idf)) for c in (1, 0))
+        a, b = (int((taught & (self.y == c)).sum()) for c in (1, 0))
+        odds = np.log((p + 0.5) / (a - p + 0.5)) - np.log((q + 0.5) / (b - q + 0.5))
+        error = np.sqrt(1 / (p + 0.5) + 1 / (a - p + 0.5) + 1 / (q + 0.5) + 1 / (b - q + 0.5))
+        self.weights = self.idf * (FLOOR + np.maximum(odds - SPREAD * error, 0))
+        w = (1 + np.log(count)) * self.weights[term]
+        norm = np.sqrt(np.bincount(doc, w * w, len(self.ids)))
+        self.index = BlockMaxIndex(doc, term, w / norm[doc], len(self.ids), len(self.idf))
+
+    def vote(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[float, list[int]]:
+        if not len(terms):
+            return self.share, []
+        w = (1 + np.log(counts)) * self.weights[terms]
+        cosine, near = self.index.nearest(terms, w / np.sqrt((w * w).sum()), NEAREST, without)
+        weight = cosine * self.scale[self.y[near]]
         prior = PRIOR * float(self.scale.mean())
-        vote = (sum(w * self.y[i] for w, (_, i) in zip(weight, near)) + prior * self.share) / (weight.sum() + prior) if near else self.share
-        return float(vote), [self.ids[i] for _, i in near[:3]]
+        return float((weight @ self.y[near] + prior * self.share) / (weight.sum() + prior)), self.ids[near[:3]].tolist()
 
     def score(self, text: bytes) -> tuple[float, list[int]]:
+        if not self.usable:
+            return self.share, []
+        if self.number is None:
+            self.number = {t: i for i, t in enumerate(self.spelt.split(b"\n"))}
         found = Counter(words(text))
-        own = self.terms.keys() & found.keys()
-        if not own:
-            return self.blank, []
-        vote, evidence = self.vote(self.vector({self.terms[t]: found[t] for t in own}))
+        own = [(self.number[t], found[t]) for t in self.number.keys() & found.keys()] if len(found) > len(self.number) else [(i, c) for t, c in found.items() if (i := self.number.get(t)) is not None]
+        terms, counts = (np.array(x, np.int64) for x in (zip(*sorted(own)) if own else ((), ())))
+        vote, evidence = self.vote(terms, counts)
         a, b = self.curve
         return float(1 / (1 + np.exp(-(a * logit(np.array(vote)) + b)))), evidence
 
@@ -161,21 +217,11 @@ def _texts(batches, with_label: bool):
         yield from zip(ids, texts, batch.column(2).to_pylist() if with_label else ids)
 
 
-def _distinct_words(batches):
-    for batch in batches:
-        terms, ys = [], []
-        for _, text, y in _texts([batch], True):
-            own = set(words(text))
-            terms += own
-            ys += [y] * len(own)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.binary()), pa.array(ys, pa.int64())], ["term", "y"])
-
-
 def _frequencies(terms: list[bytes]):
-    known = frozenset(terms)
+    spelt = b"\n".join(terms)
 
     def run(batches):
-        n, rows = Counter(), 0
+        known, n, rows = frozenset(spelt.split(b"\n")), Counter(), 0
         for _, text, _ in _texts(batches, False):
             n.update(known.intersection(words(text)))
             rows += 1
@@ -185,43 +231,44 @@ def _frequencies(terms: list[bytes]):
     return run
 
 
-def _example_vectors(terms: dict[bytes, int]):
-    def run(batches):
-        for doc_id, text, y in _texts(batches, True):
-            own = [(terms[t], c) for t, c in Counter(words(text)).items() if t in terms]
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id]), pa.array([y], pa.int64()), pa.array([[t for t, _ in own]], pa.list_(pa.int64())), pa.array([[c for _, c in own]], pa.list_(pa.int64()))], ["doc_id", "y", "t", "c"])
-
-    return run
+def _example_terms(batches):
+    for batch in batches:
+        for doc_id, text, y in _texts([batch], True):
+            own = Counter(words(text))
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id]), pa.array([y], pa.int64()), pa.array([list(own)], pa.list_(pa.binary())), pa.array([list(own.values())], pa.list_(pa.int64()))], ["doc_id", "y", "t", "c"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
-    """A model from documents and labels; what reaches the driver is bounded by the words of EXAMPLES texts a class and two counts."""
+    """A model from documents and labels; what reaches the driver is bounded by the words of EXAMPLES texts a class and their counts."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     teach = labelled(labels, column).join(texts.where("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id")
     shares = {r["y"]: r["count"] for r in teach.groupBy("y").count().collect()}
     share = (shares.get(0, 0), shares.get(1, 0))
+    none = np.zeros(0, np.int64)
     if not all(share):
-        return Model([], np.zeros(0), [], share)
+        return Model([], none, 0, none, none, none, none, none, share)
     chosen = None
     for y in (0, 1):
         own = by_hash(teach.where(F.col("y") == y), shares[y], EXAMPLES)
         chosen = own if chosen is None else chosen.unionByName(own)
     ids = chosen.select("doc_id", F.col("y").cast("long").alias("y")).collect()
     picked = docs.sparkSession.createDataFrame(ids, "doc_id long, y long")
-    sample = materialise(texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y"), "examples").dropDuplicates(["text", "y"])
-    distinct = {r["y"]: float(r["count"]) for r in sample.groupBy("y").count().collect()}
-    a, b = distinct.get(1, 0.0), distinct.get(0, 0.0)
-    n = sample.mapInArrow(_distinct_words, "term binary, y long").groupBy("term").agg(F.sum("y").cast("double").alias("p"), F.count("*").cast("double").alias("n")).where(F.col("n") >= SUPPORT)
-    p, q = F.col("p"), F.col("n") - F.col("p")
-    telling = p * F.lit(b) >= F.lit(RATIO * a) * (q + 0.5)  # half a text stands in for words that no other example has
-    terms = [bytes(r["term"]) for r in n.where(telling).select("term").orderBy("term").collect()]
-    counts = texts.mapInArrow(_frequencies(terms), "term binary, n long, whole boolean").groupBy("term", "whole").agg(F.sum("n").alias("n")).collect()
-    total = next((r["n"] for r in counts if r["whole"]), 0)
-    df = {bytes(r["term"]): r["n"] for r in counts if not r["whole"]}
-    idf = np.array([np.log((1 + total) / (1 + df.get(t, 0))) + 1 for t in terms])
-    number = {t: i for i, t in enumerate(terms)}
-    examples = sorted((r["doc_id"], r["y"], dict(zip(r["t"], r["c"]))) for r in sample.mapInArrow(_example_vectors(number), "doc_id long, y long, t array<long>, c array<long>").collect())
-    return Model(terms, idf, examples, share)
+    sample = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")
+    alike = sample.groupBy(F.sha2("text", 256).alias("d"), "y").agg(F.min_by("text", "doc_id").alias("text"), F.min("doc_id").alias("doc_id"))
+    found = alike.select("doc_id", "text", "y").mapInArrow(_example_terms, "doc_id long, y long, t array<binary>, c array<long>").toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")]).combine_chunks()
+    ids, ys = found.column("doc_id").to_numpy(), found.column("y").to_numpy()
+    doc = np.repeat(np.arange(len(ids)), pc.list_value_length(found.column("t")).to_numpy())
+    coded = pc.dictionary_encode(found.column("t").combine_chunks().flatten())
+    count = found.column("c").combine_chunks().flatten().to_numpy()
+    spelt, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    order = sorted(range(len(spelt)), key=spelt.__getitem__)
+    terms = [spelt[i] for i in order]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    counts = texts.mapInArrow(_frequencies(terms), "term binary, n long, whole boolean").groupBy("term", "whole").agg(F.sum("n").alias("n")).toArrow()
+    held = dict(zip(counts.column("term").to_pylist(), counts.column("n").to_pylist()))
+    frequency = np.array([held.get(t, 0) for t in terms], np.int64)
+    return Model(terms, frequency, held.get(b"", 0), ids, ys, doc, rank[code], count, share)
 
 
 def _score(model: Model):

@@ -253,15 +253,46 @@ def test_toxicity_learns_from_few_examples(spark):
 
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(1)
-    vectors = []
-    for _ in range(300):
-        t = rng.choice(50, 6, replace=False)
-        w = rng.random(6)
-        vectors.append(dict(zip(t.tolist(), (w / np.linalg.norm(w)).tolist())))
-    index = toxicity.BlockMaxIndex(vectors, 50, 16)
-    for q in vectors[:40]:
-        sims = sorted(((sum(w * v.get(t, 0) for t, w in q.items()), -i) for i, v in enumerate(vectors)), reverse=True)[:9]
-        assert np.allclose([s for s, _ in index.nearest(q, 9)], [s for s, _ in sims if s > 0])
+    dense = rng.random((300, 50)) * (rng.random((300, 50)) < 0.15)
+    dense[7] = dense[3]  # a tie
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
+    doc, term = np.nonzero(dense)
+    index = toxicity.BlockMaxIndex(doc, term, dense[doc, term], 300, 50, 16)
+    for i in range(40):
+        terms = np.flatnonzero(dense[i])
+        got, number = index.nearest(terms, dense[i, terms], 9, without=i)
+        want = dense @ dense[i]
+        want[i] = -1
+        order = np.lexsort((np.arange(300), -want.round(12)))[:9]
+        assert np.allclose(got, want[order][want[order] > 0]) and (i != 10 or number.tolist() == order.tolist())
+
+
+def test_toxicity_is_the_vote_of_brute_force(spark, sf_dir):
+    """Every score of the query again, by dense matrices over all words of the examples."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op5_nearest_example_toxicity"](spark, sf_dir).collect()}
+    model = toxicity.fit(read("documents"), read("labels"))
+    names = {t: i for i, t in enumerate(model.spelt.split(b"\n"))}
+    texts = {r["doc_id"]: toxicity.words((r["text"] or "").encode()) for r in read("documents").collect()}
+    holds = Counter(t for w in texts.values() for t in set(w))
+    assert np.allclose(model.idf, [np.log((1 + len(texts)) / (1 + holds[t])) + 1 for t in names])
+
+    def vector(w):
+        v = np.zeros(len(names))
+        for t, c in Counter(w).items():
+            if t in names:
+                v[names[t]] = (1 + np.log(c)) * model.weights[names[t]]
+        return v / max(np.linalg.norm(v), 1e-300)
+
+    examples = np.stack([vector(texts[i]) for i in model.ids.tolist()])
+    prior = 0.5 * model.scale.mean()
+    for i, w in texts.items():
+        cosine = examples @ vector(w)
+        near = np.lexsort((np.arange(len(cosine)), -cosine.round(12)))[:15]
+        near = near[cosine[near] > 0]
+        weight = cosine[near] * model.scale[model.y[near]]
+        vote = (weight @ model.y[near] + prior * model.share) / (weight.sum() + prior) if len(near) else model.share
+        assert abs(got[i] - 1 / (1 + np.exp(-(model.curve[0] * toxicity.logit(np.array(vote)) + model.curve[1])))) < 1e-6, i
 
 
 def test_quality_separates(spark):
