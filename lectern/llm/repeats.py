@@ -10,8 +10,12 @@ repeat. All steps are keyed on hashes, pre-aggregate before the shuffle and neve
 2. fetch the runs' content beside their own document, reduced to a 128-bit digest;
 3. of runs with one digest only the first can be new; the later ones are repeats as a whole;
 4. runs with the same ``m`` but different content (edges of repeats) travel as packed strings to
-   their bucket, which the operator's own sorting resolves; buckets of more than ``BUCKET`` different
-   strings are resolved window by window through an ordinary aggregate instead, equally exact.
+   their bucket, which the operator's own sorting resolves. Buckets of more than ``BLOCK`` strings are
+   dealt into blocks, each sorted the same way; of each window only its first place in the block goes
+   on, by a 128-bit digest, to one more aggregate. A window met by every document thus leaves a block once.
+
+Copies are told by 128-bit BLAKE2b digests of whole runs (no comparison of bytes follows: two different
+strings share one with probability 2^-128).
 """
 
 from __future__ import annotations
@@ -26,11 +30,12 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import byte_blocks, discard, free_shuffles, materialise, text_or_empty
 
-#: Different strings in a bucket up to which it is sorted in one task.
-BUCKET = 32
+#: Different strings of a bucket that are sorted together.
+BLOCK = 2048
 C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F], dtype=np.uint64)
 POS = 20  # low bits that hold a position inside a block
-ROUTE = "m long, d1 long, d2 long, doc_id long, pos long, packed binary"
+ROUTE = "m long, part int, whole boolean, doc_id long, pos long, packed binary"
+SORTED = "doc_id long, s long, e long, d1 long, d2 long"
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -92,8 +97,13 @@ class Kind:
         """Gives the packed content of items start to end of one text."""
         raise NotImplementedError
 
-    def bucket(self, rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int]]:
-        """For (m, doc_id, pos, packed) rows sorted by m, whole buckets: (doc_id, start, end) repeated, of item spans."""
+    def cut(self, packed: bytes, number: int) -> bytes:
+        """One window of a packed string."""
+        raise NotImplementedError
+
+    def bucket(self, info: list[tuple[int, int, int]], packed: list[bytes], group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For strings with their (start, windows, anchor offset), by group and then place: each window's string,
+        number in it, and the string whose equal window of the group comes first."""
         raise NotImplementedError
 
 
@@ -135,8 +145,13 @@ def _digest_map(kind: Kind):
     return run
 
 
-def _route_map(kind: Kind):
-    """Packed strings for ordinary buckets; a digest for each window of a hot one."""
+def digest(x: bytes) -> tuple[int, int]:
+    d = blake2b(x, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def _route_map(kind: Kind, most: int):
+    """Packed strings with their bucket's block."""
 
     def run(batches):
         for batch in batches:
@@ -144,35 +159,54 @@ def _route_map(kind: Kind):
                 cut, out = kind.slicer(text), []
                 for x in found:
                     start, n, _ = unpack(x["pos"])
-                    if x["c"] <= BUCKET:
-                        out.append((x["m"], 0, 0, doc_id, x["pos"], cut(start, start + n - 1 + kind.window)))
-                        continue
-                    for s in range(start, start + n):
-                        d = blake2b(cut(s, s + kind.window), digest_size=16).digest()
-                        out.append((x["m"], int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), doc_id, s, None))
+                    blocks = -(-x["c"] // most)
+                    part = ((doc_id * 0x9E3779B97F4A7C15 + x["pos"] * 0xC2B2AE3D27D4EB4F) >> 23 & 0xFFFFFFFF) % blocks
+                    out.append((x["m"], part, blocks == 1, doc_id, x["pos"], cut(start, start + n - 1 + kind.window)))
                 for i in range(0, len(out), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 20_000]), [pa.int64()] * 5 + [pa.binary()])], ["m", "d1", "d2", "doc_id", "pos", "packed"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 20_000]), [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()])], [f.split()[0] for f in ROUTE.split(", ")])
 
     return run
 
 
+def _resolved(kind: Kind, rows: list[tuple]) -> pa.RecordBatch:
+    """Of whole blocks: repeated spans, and the digests of the first windows of blocks that aren't a whole bucket."""
+    info, doc = [unpack(r[4]) for r in rows], np.array([r[3] for r in rows], np.int64)
+    group = np.cumsum(np.array([False] + [a[:2] != b[:2] for a, b in zip(rows[1:], rows)], bool)).astype(np.int64)
+    row, j, first = kind.bucket(info, [r[5] for r in rows], group)
+    start = np.array([i[0] for i in info], np.int64)
+    whole = np.array([r[2] for r in rows], bool)
+    anchor = start + np.array([i[2] for i in info], np.int64)
+    again = (first != row) & ((doc[first] != doc[row]) | (anchor[first] != anchor[row]))  # equal places are one document's versions
+    r, k = row[again], j[again]
+    order = np.lexsort((k, r))
+    r, k = r[order], k[order]
+    cut = np.concatenate(([True], (r[1:] != r[:-1]) | (k[1:] != k[:-1] + 1))) if len(r) else np.zeros(0, bool)
+    at = np.flatnonzero(cut)
+    last = np.concatenate((at[1:], [len(r)])) - 1 if len(at) else at
+    alone = np.flatnonzero((first == row) & ~whole[row])
+    named = [digest(kind.cut(rows[i][5], x)) for i, x in zip(row[alone].tolist(), j[alone].tolist())]
+    s = np.concatenate((start[r[at]] + k[at], start[row[alone]] + j[alone]))
+    e = np.concatenate((start[r[at]] + k[last], start[row[alone]] + j[alone])) + kind.window
+    none = [None] * len(at)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate((doc[r[at]], doc[row[alone]]))), pa.array(s), pa.array(e), pa.array(none + [x for x, _ in named], pa.int64()), pa.array(none + [x for _, x in named], pa.int64())],
+        [f.split()[0] for f in SORTED.split(", ")],
+    )
+
+
 def _bucket_map(kind: Kind):
     def run(batches):
         held: list[tuple] = []
-
-        def flush(rows):
-            found = kind.bucket(rows)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["doc_id", "s", "e"])
-
         for batch in batches:
             held += zip(*(c.to_pylist() for c in batch.columns))
             if len(held) > 4000:
-                last = held[-1][0]
-                edge = next((i for i in range(len(held) - 1, -1, -1) if held[i][0] != last), -1) + 1
-                yield from flush(held[:edge])
-                held = held[edge:]
-        yield from flush(held)
+                last = held[-1][:2]
+                edge = next((i for i in range(len(held) - 1, -1, -1) if held[i][:2] != last), -1) + 1
+                if edge:
+                    yield _resolved(kind, held[:edge])
+                    held = held[edge:]
+        if held:
+            yield _resolved(kind, held)
 
     return run
 
@@ -207,14 +241,14 @@ def repeated_spans(docs: DataFrame, kind: Kind) -> tuple[DataFrame, DataFrame]:
     single = first.select("m", F.col("f.doc_id").alias("doc_id"), F.col("f.pos").alias("pos"))
     crowd = keep(single.groupBy("m").agg(F.count("*").alias("c")).where("c > 1"), "crowd")
     mixed = keep(single.join(crowd, "m").groupBy("doc_id").agg(F.collect_list(F.struct("m", "c", "pos")).alias("found")), "mixed", first, crowd)
-    routed = keep(known.join(mixed, "doc_id").select("doc_id", "text", "found").mapInArrow(_route_map(kind), ROUTE), "routed", mixed)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = routed.where("packed IS NOT NULL").select("m", "doc_id", "pos", "packed").repartition(n, "m").sortWithinPartitions("m", "doc_id", "pos")
-    edges = keep(sorted_.mapInArrow(_bucket_map(kind), "doc_id long, s long, e long").groupBy("doc_id").agg(listed.alias("spans")), "edges")
-    window = routed.where("packed IS NULL").select("d1", "d2", "doc_id", "pos")
+    routed = known.join(mixed, "doc_id").select("doc_id", "text", "found").mapInArrow(_route_map(kind, BLOCK), ROUTE)
+    resolved = keep(routed.repartition(n, "m", "part").sortWithinPartitions("m", "part", "doc_id", "pos").mapInArrow(_bucket_map(kind), SORTED), "resolved", mixed)
+    edges = keep(resolved.where("d1 IS NULL").groupBy("doc_id").agg(listed.alias("spans")), "edges")
+    window = resolved.where("d1 IS NOT NULL").select("d1", "d2", "doc_id", F.col("s").alias("pos"))
     origin = keep(window.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "pos")).alias("f"), F.count("*").alias("n")).where("n > 1"), "origin")
     crowded = _later(window, origin).select("doc_id", F.col("pos").alias("s"), (F.col("pos") + kind.window).alias("e"))
-    crowded = keep(crowded.groupBy("doc_id").agg(listed.alias("spans")), "crowded", routed, origin)
+    crowded = keep(crowded.groupBy("doc_id").agg(listed.alias("spans")), "crowded", resolved, origin)
     spans = materialise(copies.unionByName(edges).unionByName(crowded).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     for df in left:
         discard(df)

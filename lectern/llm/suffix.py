@@ -3,8 +3,9 @@
 The suffixes that are sorted start at the anchors of repeats.py (a synchronising set: equal 100-byte
 strings hold an anchor at the same place). Within a bucket of equal anchors a multikey quicksort on
 8-byte characters orders them to ``SHALLOW`` bytes; blind tries order the remaining groups with long
-common prefixes. Prefix lengths between neighbours, with the common extension to the left of the
-anchor, say which windows two runs share.
+common prefixes. The reversed prefixes to the left of the anchors are ordered in the same way. Prefix lengths
+between neighbours of the two orders give, for each offset of the anchor, the classes of equal windows: n log n
+steps for a bucket of n strings, with no comparison of pairs.
 
 Cases: null text counts as empty; rows without an id are returned whole and never count as earlier;
 rows that share an id are one document's versions, every span found in any of them goes from each;
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lectern.llm.repeats import C, Kind, _rows, merged, mix, repeated_spans, runs, unpack
+from lectern.llm.repeats import C, Kind, _rows, merged, mix, repeated_spans, runs
 
 WINDOW, GRAM, SHALLOW = 100, 40, 64
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -169,36 +170,33 @@ class Bytes(Kind):
     def slicer(self, text):
         return lambda s, e: text[s:e]
 
-    def bucket(self, rows):
-        """Sort the suffixes at the anchors, then join prefix lengths with the extension to the left."""
-        if not rows:
-            return []
-        info = [unpack(r[2]) for r in rows]
-        group = np.cumsum(np.array([False] + [a[0] != b[0] for a, b in zip(rows[1:], rows)], bool)).astype(np.int64)
-        order, lcp = deep_shallow([r[3][i[2] :] for r, i in zip(rows, info)], group)
-        lefts = [r[3][: i[2]][::-1] for r, i in zip(rows, info)]
+    def cut(self, packed, number):
+        return packed[number : number + self.window]
+
+    def bucket(self, info, packed, group):
+        """Sort the suffixes right of the anchors and the reversed prefixes left of them: windows with the anchor at
+        offset t are equal where the ones share window - t bytes and the others t bytes."""
+        n, a = (np.array([x[i] for x in info], np.int64) for i in (1, 2))
+        sides = []
+        for keys in ([p[i[2] :] for p, i in zip(packed, info)], [p[: i[2]][::-1] for p, i in zip(packed, info)]):
+            order, shared = deep_shallow(keys, group)
+            fresh = np.concatenate(([True], group[order][1:] != group[order][:-1]))
+            sides.append((order, shared, fresh))
         out = []
-        n, i = len(order), 0
-        while i < n:
-            j = i + 1
-            while j < n and group[order[j]] == group[order[i]]:
-                j += 1
-            for x in range(i, j):
-                shared = self.window
-                for y in range(x + 1, j):
-                    shared = min(shared, int(lcp[y]))
-                    if shared < self.k:
-                        break
-                    p, q = int(order[x]), int(order[y])
-                    (sp, _, ap), (sq, _, aq) = info[p], info[q]
-                    if (rows[p][1], sp + ap) < (rows[q][1], sq + aq):
-                        p, sp, ap, q, sq, aq = q, sq, aq, p, sp, ap
-                    most = min(common_prefix(lefts[p], lefts[q]), ap, aq, self.window - self.k)
-                    least = max(self.window - shared, 0)
-                    if most >= least and (rows[p][1], sp + ap) != (rows[q][1], sq + aq):
-                        out.append((rows[p][1], sp + ap - most, sp + ap - least + self.window))
-            i = j
-        return out
+        for t in range(int((a - n + 1).min()), int(a.max()) + 1):
+            rows = np.flatnonzero((a - n < t) & (t <= a))
+            if not len(rows):
+                continue
+            key = np.zeros(len(a), np.int64)
+            for (order, shared, fresh), depth in zip(sides, (self.window - t, t)):
+                label = np.empty(len(a), np.int64)
+                label[order] = np.cumsum(fresh | (shared < depth))
+                key = key * (len(a) + 1) + label
+            order = np.argsort(key[rows], kind="stable")
+            rows, key = rows[order], key[rows[order]]
+            head = np.concatenate(([True], key[1:] != key[:-1]))
+            out.append((rows, a[rows] - t, rows[np.maximum.accumulate(np.where(head, np.arange(len(rows)), 0))]))
+        return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _removal(batches):

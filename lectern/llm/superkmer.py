@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lectern.llm.repeats import C, Kind, _rows, merged, mix, repeated_spans, runs, unpack
+from lectern.llm.repeats import C, Kind, _rows, merged, mix, repeated_spans, runs
 
 WINDOW, GRAM = 20, 5
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -79,22 +79,22 @@ class Words(Kind):
         words = text.split()
         return lambda s, e: b" ".join(words[s:e])
 
-    def bucket(self, rows):
-        """Unpack the windows, sort them, and count each: all but the first of a kind are repeats."""
+    def cut(self, packed, number):
+        return b" ".join(packed.split(b" ", number + self.window)[number : number + self.window])
+
+    def bucket(self, info, packed, group):
+        """Unpack the windows and sort them: equal ones stand together, the first place of each first."""
         windows = []
-        for m, doc_id, pos, packed in rows:
-            start, n, _ = unpack(pos)
-            words = packed.split(b" ")
-            windows += [(m, b" ".join(words[j : j + self.window]), doc_id, start + j) for j in range(n)]
+        for i, ((_, n, _), string, g) in enumerate(zip(info, packed, group.tolist())):
+            words = string.split(b" ")
+            windows += [(g, b" ".join(words[j : j + self.window]), i, j) for j in range(n)]
         windows.sort()
-        out, first = [], None
+        first, out = None, []
         for x in windows:
-            if first is not None and x[0] == first[0] and x[1] == first[1]:
-                if x[2:] != first[2:]:
-                    out.append((x[2], x[3], x[3] + self.window))
-            else:
+            if first is None or x[1] != first[1] or x[0] != first[0]:
                 first = x
-        return out
+            out.append((x[2], x[3], first[2]))
+        return tuple(np.array(c, np.int64) for c in zip(*out))
 
 
 def _removal(batches):

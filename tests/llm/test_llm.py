@@ -61,18 +61,19 @@ def covered(window, split):
     return out
 
 
-@pytest.mark.parametrize("bucket", [32, 1])
-def test_repeated_bytes(docs, bucket, monkeypatch):
-    monkeypatch.setattr("lectern.llm.repeats.BUCKET", bucket)  # 1: every bucket takes the way of hot ones
+@pytest.mark.parametrize("block", [2048, 3])
+def test_repeated_bytes(docs, block, monkeypatch):
+    monkeypatch.setattr("lectern.llm.repeats.BLOCK", block)  # 3: buckets in several blocks
     got = {r["doc_id"]: r for r in suffix.remove_repeated_bytes(docs).collect()}
     for i, (text, mark) in covered(100, lambda b: b).items():
         kept = bytes(c for c, m in zip(text, mark) if not m)
-        assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (sum(mark), sha256(kept).hexdigest()), i
+        spans = sum(m and not (at and mark[at - 1]) for at, m in enumerate(mark))
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(text), sum(mark), spans, sha256(kept).hexdigest()), i
 
 
-@pytest.mark.parametrize("bucket", [32, 1])
-def test_repeated_words(docs, bucket, monkeypatch):
-    monkeypatch.setattr("lectern.llm.repeats.BUCKET", bucket)
+@pytest.mark.parametrize("block", [2048, 3])
+def test_repeated_words(docs, block, monkeypatch):
+    monkeypatch.setattr("lectern.llm.repeats.BLOCK", block)
     got = {r["doc_id"]: r for r in superkmer.remove_repeated_words(docs).collect()}
     for i, (words, mark) in covered(20, lambda b: b.split()).items():
         kept = b" ".join(w for w, m in zip(words, mark) if not m)
