@@ -13,14 +13,21 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares for intermediates; a temporary one only where none is configured."""
+    """The folder that the cluster shares for intermediates; a temporary one only for a local master without any."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def columns(df: DataFrame) -> list[str]:
+    """The column names, quoted, so that dots and spaces in them stay part of the name."""
+    return ["`" + c.replace("`", "``") + "`" for c in df.columns]
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
@@ -41,11 +48,12 @@ def discard(df: DataFrame) -> None:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished queries before the next large one starts."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.7)  # the cleaner works in the background
+    """Let Spark's cleaner drop shuffle files of finished queries before the next large one starts; a local master keeps them."""
+    if not spark.sparkContext.master.startswith("local"):
+        for _ in range(2):
+            gc.collect()
+            spark._jvm.System.gc()
+            time.sleep(0.3)  # the cleaner works in the background
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

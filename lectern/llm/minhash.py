@@ -7,8 +7,9 @@ from bit counts. Candidates that the estimate doesn't rule out (five standard de
 confirmed on the full sets. Candidates form in two rounds, so that no group is expanded into pairs:
 
 1. each member of a band's bucket with the bucket's least document;
-2. in buckets that then still span several components, members of different components, in blocks
-   that compare signatures and full sets in place and give away a spanning forest only.
+2. in buckets that then still span several components, the members outside the bucket's largest component
+   with all others, in blocks that compare signatures and full sets in place and give away a spanning forest only.
+   A text goes to one block for each block of such outsiders, an outsider to every block.
 
 A pair at the threshold shares no band with probability (1 - .8^5)^40 = 1e-7.
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import byte_blocks, free_shuffles, materialise, text_or_empty
+from lectern.llm.common import byte_blocks, columns, discard, free_shuffles, materialise, text_or_empty
 from lectern.llm.components import components
 from lectern.llm.repeats import C, _rows, mix
 from lectern.llm.superkmer import word_hashes
@@ -37,7 +38,7 @@ HASHES = BANDS * ROWS
 #: Five standard deviations of the estimate at the threshold.
 MARGIN = 5
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 256
+BLOCK = 512
 _seeds = np.random.default_rng(20).integers(1, 1 << 63, size=(2, HASHES), dtype=np.uint64)
 MULTIPLY, ADD = (_seeds[0] | np.uint64(1)).astype(np.uint64), _seeds[1]
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -233,14 +234,20 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
     free_shuffles(spark)
     stars = components(links)
     crowd = member.where("n > 2").join(stars.select(F.col("u").alias("doc_id"), "v"), "doc_id", "left").select("band", "doc_id", "least", "n", F.coalesce("v", "doc_id").alias("c"))
-    split = crowd.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = crowd.join(split, "band").withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    told = placed.join(heads, "doc_id").join(texts, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    shares = crowd.groupBy("band", "c").agg(F.count("*").alias("own"))
+    split = shares.groupBy("band").agg(F.max_by("c", F.struct("own", "c")).alias("top"), F.max("own").alias("inside"), F.sum("own").alias("all")).where("inside < all")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sized = crowd.join(split, "band").withColumns({"ours": blocks(F.col("inside")), "others": blocks(F.col("all") - F.col("inside")), "main": F.col("c") == F.col("top")})
+    place = F.xxhash64("doc_id")
+    placed = sized.withColumn("side", F.when(F.col("main"), F.pmod(place, F.col("ours"))).otherwise(F.col("ours") + F.pmod(place, F.col("others"))).cast("int"))
+    met = F.explode(F.sequence(F.when(F.col("main"), F.col("ours")).otherwise(F.lit(0)), F.col("ours") + F.col("others") - 1))
+    told = placed.join(heads, "doc_id").join(texts, "doc_id").withColumn("other", met)
     paired = told.select("band", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "doc_id", "least", "c", "signature", "bands", "text")
     more = materialise(paired.groupBy("band", "p", "q").applyInArrow(_settle(percent, words), "u long, v long").distinct(), "links")
     free_shuffles(spark)
     joined = components(links.unionByName(more)) if more.limit(1).count() else stars
+    for done in (heads, member, links, more, *([stars] if joined is not stars else [])):
+        discard(done)
     of_class = classes.join(joined.select(F.col("u").alias("doc_id"), "v"), "doc_id", "left").select("d1", "d2", F.coalesce("v", "doc_id").alias("component_id"))
     single = signed.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min(F.struct("d1", "d2")).alias("d"))
     out = single.select("doc_id", "n_shingles", "d.d1", "d.d2").join(of_class, ["d1", "d2"], "left")
@@ -249,6 +256,11 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that are linked to one of a smaller id; rows without an id stay."""
+    """The documents without those that are linked to one of a smaller id; of rows that share an id, the least by its
+    other columns stays; rows without an id stay all."""
     gone = near_duplicates(docs, words, percent).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    order = columns(docs)
+    shared = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    left = docs.join(gone, "doc_id", "left_anti").select(order)
+    first = left.join(shared, "doc_id", "left_semi").select("doc_id", F.struct(*order).alias("row")).groupBy("doc_id").agg(F.min("row").alias("row"))
+    return left.join(shared, "doc_id", "left_anti").select(order).unionByName(first.select("row.*"))
