@@ -5,7 +5,8 @@ cut into ``SUBSPACES`` parts, each coded by the nearest of ``CODES`` centroids.
 nearer to centroid c than to q's own centroid o only if d(q,c)^2 - d(q,o)^2 <= 2 d.(c - o), at most
 2 |d| |c - o|, so a query visits the lists within that and misses no pair at the threshold. Within a list, table lookups give the distance to each coded vector, and those
 within T plus the vector's own coding error (which loses nothing) are compared by exact cosine in double
-precision. Codebooks are fitted on at most ``SAMPLE`` vectors; all are indexed.
+precision. The lists are as many as the root of the number of vectors. Codebooks are fitted on at most ``MOST``
+vectors; all are indexed.
 
 Neighbouring lists of few members form one group, and a vector goes once to each group with a list it
 visits. Groups of many members or visitors are cut into blocks that meet in separate tasks. Only counts and a
@@ -13,7 +14,7 @@ spanning forest of the links leave a task.
 
 Cases: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors
 of different lengths never link; rows without an id are dropped; rows that share an id are one vector
-(any one of them); empty tables give no rows; other columns are ignored.
+(the least of them in order of components); empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise
+from lectern.llm.common import discard, materialise
 from lectern.llm.components import components
 
-SUBSPACES, CODES, SAMPLE = 8, 256, 20_000
-#: Inverted lists: LISTS times the root of the number of vectors, MOST_LISTS at the most.
-LISTS, MOST_LISTS = 1, 4096
+SUBSPACES, CODES = 8, 256
+#: Vectors that codebooks are fitted on: SAMPLE, or SHARE a list where these are more, MOST at the most.
+SAMPLE, SHARE, MOST = 20_000, 4, 131_072
 #: Members and visitors of a group of lists that meet in one task.
 BLOCK = 4096
 HEAD = "vec_id long, dims int, v binary"
@@ -133,6 +134,18 @@ def _index(q: Quantiser, reach: float):
     return run
 
 
+def unite(label: np.ndarray, p: np.ndarray, r: np.ndarray) -> None:
+    """Join the classes of p and r, pair by pair; a label is the least number of its class, before and after."""
+    while True:
+        a, b = label[p], label[r]
+        differ = a != b
+        if not differ.any():
+            return
+        np.minimum.at(label, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
+        while not np.array_equal(label, up := label[label]):
+            label[:] = up
+
+
 def _search(q: Quantiser, threshold: float, reach: float):
     def run(key, table):
         member = table.filter(table.column("member"))
@@ -148,7 +161,10 @@ def _search(q: Quantiser, threshold: float, reach: float):
         vlist, vrow = probes.flatten().to_numpy(), np.repeat(np.arange(len(vid)), pc.list_value_length(probes).to_numpy())
         codes = np.frombuffer(b"".join(member.column("codes").to_pylist()), np.uint8).reshape(len(mid), -1)
         bound = ((reach + member.column("error").to_numpy()) ** 2 + 1e-6).astype(np.float32)
-        left, right = [], []
+        ids = np.unique(np.concatenate((vid, mid)))
+        vat, mat = np.searchsorted(ids, vid), np.searchsorted(ids, mid)
+        mn, vn = member.column("n").to_numpy(), visitor.column("n").to_numpy()
+        n, label = np.zeros(len(ids)), np.arange(len(ids))
         for place in np.unique(mhome):
             own_members, visiting = np.flatnonzero(mhome == place), vrow[vlist == place]
             own_codes = codes[own_members]
@@ -165,24 +181,11 @@ def _search(q: Quantiser, threshold: float, reach: float):
                 for k in range(0, len(i), 65536):
                     a, b = i[k : k + 65536], j[k : k + 65536]
                     hit = np.einsum("ij,ij->i", vx[a], mx[b]) >= threshold
-                    left.append(a[hit])
-                    right.append(b[hit])
-        if not sum(map(len, left)):
-            return none
-        i, j = np.concatenate(left), np.concatenate(right)
-        ids = np.unique(np.concatenate((vid[i], mid[j])))
-        p, r = np.searchsorted(ids, vid[i]), np.searchsorted(ids, mid[j])
-        n = np.bincount(p, member.column("n").to_numpy()[j], len(ids)) + np.bincount(r, visitor.column("n").to_numpy()[i], len(ids))
-        label = np.arange(len(ids))
-        while True:  # least label reachable within the block
-            before = label.copy()
-            low = np.minimum(label[p], label[r])
-            np.minimum.at(label, p, low)
-            np.minimum.at(label, r, low)
-            label = label[label]
-            if (label == before).all():
-                break
-        return pa.table({"vec_id": ids, "n": n.astype(np.int64), "least": ids[label]})
+                    a, b = a[hit], b[hit]
+                    n += np.bincount(vat[a], mn[b], len(ids)) + np.bincount(mat[b], vn[a], len(ids))
+                    unite(label, vat[a], mat[b])
+        linked = np.flatnonzero(n)
+        return pa.table({"vec_id": ids[linked], "n": n[linked].astype(np.int64), "least": ids[label[linked]]})
 
     return run
 
@@ -199,16 +202,17 @@ def _groups(members: dict[int, int], lists: int) -> list[int]:
 
 
 def _sample(classes: DataFrame, total: int) -> DataFrame:
-    """At most SAMPLE vectors by hash of the id; few more reach the last sort."""
+    """The vectors to fit on, by hash of the id; few more reach the last sort."""
+    most = min(MOST, max(SAMPLE, SHARE * int(total**0.5)))
     place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
-    near = classes.where(place < int(min(1.0, (1.1 * SAMPLE + 50) / total) * (1 << 30)) + 1)
-    return near.orderBy(place, "vec_id").limit(SAMPLE).select("v", "dims")
+    near = classes.where(place < int(min(1.0, (1.1 * most + 50) / total) * (1 << 30)) + 1)
+    return near.orderBy(place, "vec_id").limit(most).select("v", "dims")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept, one row per vector."""
     spark = vectors.sparkSession
-    known = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id IS NOT NULL").dropDuplicates(["vec_id"])
+    known = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     usable = known.mapInArrow(_heads, HEAD).select("vec_id", "dims", "v", F.sha2("v", 256).alias("digest"))
     classed = materialise(usable.select("vec_id", "digest"), "classed")
     classes = materialise(usable.groupBy("digest").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("dims").alias("dims"), F.first("v").alias("v")), "classes")
@@ -216,10 +220,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     reach = float(np.sqrt(2 - 2 * threshold)) + 1e-9
     if total:
         fitted = _sample(classes, total).collect()
-        q = Quantiser(unit([bytes(r["v"]) for r in fitted], [r["dims"] for r in fitted], width), max(1, min(MOST_LISTS, int(LISTS * total**0.5))))
+        q = Quantiser(unit([bytes(r["v"]) for r in fitted], [r["dims"] for r in fitted], width), max(1, min(MOST // SHARE, int(total**0.5))))
         index = materialise(classes.select("vec_id", "dims", "n", "v").mapInArrow(_index(q, reach), "vec_id long, dims int, n long, v binary, home int, codes binary, error double, probes array<int>"), "index")
         row = ("vec_id", "dims", "n", "v", "home", "codes", "error")
-        counts = lambda df: {r["list"]: r["count"] for r in df.groupBy("list").count().collect()}  # noqa: E731  at most MOST_LISTS rows
+        counts = lambda df: {r["list"]: r["count"] for r in df.groupBy("list").count().collect()}  # noqa: E731  a row a list
         group = _groups(counts(index.select(F.col("home").alias("list"))), len(q.coarse))
         numbers = lambda ns: F.split(F.lit(",".join(map(str, ns))), ",").cast("array<int>")
         of = lambda c: F.element_at(numbers(group), c + 1)
@@ -233,6 +237,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
         found = materialise(held.unionByName(come).groupBy("list", "p", "q").applyInArrow(_search(q, threshold, reach), "vec_id long, n long, least long"), "found")
     else:
         found = spark.createDataFrame([], "vec_id long, n long, least long")
+    discard(index) if total else None
     joined = components(found.select(F.col("vec_id").alias("u"), F.col("least").alias("v")))
     links = found.groupBy("vec_id").agg(F.sum("n").alias("links"))
     of_class = classes.select("digest", "vec_id", "n").join(links, "vec_id", "left").join(joined.select(F.col("u").alias("vec_id"), "v"), "vec_id", "left").select("digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("v", "vec_id").alias("component_id"))
