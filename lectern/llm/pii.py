@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import map_rows
+
 KINDS = ("email", "ip", "card", "phone")
 OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
@@ -253,7 +255,7 @@ def masked(text: str | None) -> str | None:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with personal data masked; all other columns, and nulls, as they were."""
-    schema, at = docs.schema, docs.columns.index("text")
+    at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
@@ -261,4 +263,4 @@ def redact(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array([masked(t) for t in columns[at].to_pylist()], batch.schema.types[at])
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run)

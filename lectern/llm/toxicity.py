@@ -30,6 +30,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import map_rows
+
 EXAMPLES, NEAREST, BLOCK, COMMON = 1500, 15, 64, 8
 #: Weight that every term keeps, standard errors under the log odds ratio, and weight of the prior in a vote.
 FLOOR, SPREAD, PRIOR = 0.01, 1.0, 0.5
@@ -291,11 +293,11 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with a score under the threshold, with all their columns."""
-    model, schema, at = fit(docs, labels), docs.schema, docs.columns.index("text")
+    model, at = fit(docs, labels), docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array([model.score(t or b"")[0] < THRESHOLD for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return map_rows(docs, run)

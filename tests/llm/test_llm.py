@@ -322,6 +322,32 @@ def test_decontamination(spark):
     assert decontam.contamination(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+@pytest.mark.parametrize("broadcast", [64 << 20, 0])
+def test_windows_of_all_sizes(spark, broadcast):
+    """hits() against every window by hand, broadcast or shuffled; items of 1 to 14 words, one without an id, extra columns."""
+    rng = random.Random(3)
+    prose = lambda n: [rng.choice("abcdef") + rng.choice("xyz") for _ in range(n)]
+    items = {i: prose(i) for i in range(1, 15)}
+    texts = {i: prose(rng.randrange(0, 40)) for i in range(30)} | {50: items[12] + prose(3) + items[14], 51: prose(30_000)}
+    bench = spark.createDataFrame([(i, " ".join(w), 1) for i, w in items.items()] + [(None, "ax by", 2)], "item_id long, text string, doc_id long")
+    docs = spark.createDataFrame([(i, " ".join(w), 0) for i, w in texts.items()], "doc_id long, text string, item_id long")
+    got = {tuple(r) for r in decontam.hits(docs, bench, 10, broadcast).collect()}
+    want = set()
+    for item, w in [*items.items(), (None, ["ax", "by"])]:
+        n = min(len(w), 10)
+        windows = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+        want |= {(i, s, n, item) for i, t in texts.items() for s in range(len(t) - n + 1) if tuple(t[s : s + n]) in windows}
+    assert got == want and any(x[2] == 10 for x in want)
+
+
+def test_names_with_dots(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", "x"), (2, "a b c d e f g", "y"), (3, "to a@b.co", None), (3, "to a@b.co", None)], "doc_id long, text string, `a.b` string")
+    bench = spark.createDataFrame([(1, "zz yy")], "item_id long, text string")
+    assert [r["doc_id"] for r in minhash.drop_near_duplicates(docs).orderBy("doc_id").collect()] == [1, 3]
+    assert decontam.drop_contaminated(docs, bench).columns == docs.columns and decontam.drop_contaminated(docs, bench).count() == 4
+    assert {r["text"] for r in pii.redact(docs).collect()} == {"a b c d e f g", "to <EMAIL>"} and pii.redact(docs).columns == docs.columns
+
+
 def test_sharding(docs, spark, tmp_path):
     rows = sharding.sharded(docs, shards=5).collect()
     load, places = Counter(), {}
