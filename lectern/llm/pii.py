@@ -2,7 +2,8 @@
 
 Base detectors find e-mail addresses, IPv4 addresses, payment cards and phone numbers in the text as it
 is. Then transducers rewrite it while carrying each output character's source interval: look-alike
-and compatibility characters become ASCII, invisible ones vanish, spelled digits become digits, and
+and compatibility characters and the digits of any script become ASCII, invisible ones vanish, spelled digits
+(also tens and "double five") become digits, and
 "at" / "dot" disguises become their signs: dots beside any "@", plain or disguised, and between digits. The same detectors run on the result, and what they find
 through at least one rewritten character maps back to source characters as an additional span.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from hashlib import sha256
 
 import pyarrow as pa
@@ -40,9 +42,6 @@ _HIDDEN = "­​‌‍‎‏⁠﻿"
 _SPACES = "             　"
 _DOTS, _DASHES = "․。｡·‧", "‐‑‒–—−"
 CHARS = dict(zip(_LOOKS, _LATIN)) | dict.fromkeys(_HIDDEN, "") | dict.fromkeys(_SPACES, " ") | dict.fromkeys(_DOTS, ".") | dict.fromkeys(_DASHES, "-")
-#: Besides: full-width forms, small forms, mathematical letters and digits, enclosed and other digits, by rule.
-_ODD = re.compile("[" + re.escape("".join(CHARS)) + "٠-٩۰-۹०-९⁰-⁹₀-₉①-⓿﹐-﹫！-～\U0001d400-\U0001d7ff]")
-
 #: The digits' names, zero to nine, in English, German, Spanish and French.
 _NAMES = (
     ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"),
@@ -51,15 +50,21 @@ _NAMES = (
     ("zéro", "un", "deux", "trois", "quatre", "cinq", "six", "sept", "huit", "neuf"),
 )
 DIGITS = {name: str(i) for names in _NAMES for i, name in enumerate(names)} | {"oh": "0"}
-_NAME = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
+#: English numbers of two digits, and words that repeat the digit behind them.
+TEENS = {name: str(i) for i, name in enumerate(("ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"), 10)}
+TENS = {name: str(i) for i, name in enumerate(("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"), 2)}
+TIMES = {"double": 2, "triple": 3}
+_any = lambda names: "(?:" + "|".join(sorted(names, key=len, reverse=True)) + ")"
+_NAME, _TENS, _TEENS = _any(DIGITS), _any(TENS), _any(TEENS)
+_UNIT = _any(n for n in _NAMES[0] if n != "zero")
 _SIGN = r"(?:dot|punkt|punto|point)"
-_ONE = rf"(?:{_NAME}|[0-9])"
+_ONE = rf"(?:(?:double|triple)\s{{1,3}}(?:{_NAME}|[0-9])|{_TENS}(?:[\s-]{{1,2}}{_UNIT}(?![^\W_]))?|{_TEENS}|{_NAME}|[0-9])"
 #: Four digits and more of which at least one is spelled; a spelled dot, dash or plus may stand between.
 _SPELLED = re.compile(rf"(?<![^\W_])(?:plus[\s,-]{{0,4}})?{_ONE}(?:[\s,.()-]{{0,4}}(?:(?:{_SIGN}|dash|minus|hyphen)[\s,.()-]{{0,4}})?{_ONE}){{3,}}(?![^\W_])", re.I)
-_PART = re.compile(rf"(plus)|({_NAME})|([0-9])|({_SIGN})|(dash|minus|hyphen)|(\.)|([\s,()-]+)", re.I)
+_PART = re.compile(rf"(plus)|(double|triple)\s{{1,3}}({_NAME}|[0-9])|({_TENS})(?:[\s-]{{1,2}}({_UNIT})(?![^\W_]))?|({_TEENS})|({_NAME})|([0-9])|({_SIGN})|(dash|minus|hyphen)|(\.)|([\s,()-]+)", re.I)
 #: Names that start the search; "un" alone is too common a word, so a sequence needs another name.
-_NAMED = frozenset(n.encode() for n in DIGITS if n != "un")
-_HAS_NAME = re.compile(rf"(?<![^\W_])(?!un\b){_NAME}(?![^\W_])", re.I)
+_NAMED = frozenset(n.encode() for n in [*DIGITS, *TENS, *TEENS] if n != "un")
+_HAS_NAME = re.compile(rf"(?<![^\W_])(?!un\b)(?:{_NAME}|{_TENS}|{_TEENS})(?![^\W_])", re.I)
 
 _OPEN, _CLOSE = r"[\s\[\(\{<_]", r"[\s\]\)\}>_]"
 _AT = re.compile(rf"{_OPEN}{{1,8}}(?:(?:at|arroba|ät){_CLOSE}{{1,8}}|@{_CLOSE}{{0,8}})(?=[A-Za-z0-9])|@\s{{1,8}}(?=[A-Za-z0-9])", re.I)
@@ -130,6 +135,7 @@ class Mapped:
         self.text, self.start, self.end, self.new = "".join(text), start, end, new
 
 
+@lru_cache(maxsize=1 << 16)
 def plain(c: str) -> str:
     """The ASCII reading of a look-alike, compatibility or foreign digit character."""
     if c in CHARS:
@@ -146,8 +152,14 @@ def _spelled(text: str) -> list[tuple[int, int, str]]:
         if not _HAS_NAME.search(m[0]):
             continue
         for p in _PART.finditer(text, m.start(), m.end()):
-            plus, name, digit, dot, dash, _, gap = p.groups()
-            if name:
+            plus, times, repeated, tens, unit, teens, name, digit, dot, dash, _, gap = p.groups()
+            if times:
+                edits.append((p.start(), p.end(), DIGITS.get(repeated.lower(), repeated) * TIMES[times.lower()]))
+            elif tens:
+                edits.append((p.start(), p.end(), TENS[tens.lower()] + (DIGITS[unit.lower()] if unit else "0")))
+            elif teens:
+                edits.append((p.start(), p.end(), TEENS[teens.lower()]))
+            elif name:
                 edits.append((p.start(), p.end(), DIGITS[name.lower()]))
             elif plus or dot or dash:
                 edits.append((p.start(), p.end(), "+" if plus else "." if dot else "-"))
@@ -185,10 +197,10 @@ def normalised(text: str) -> Mapped | None:
     """All transducers in turn; None where nothing is rewritten."""
     out = None
     if not text.isascii():
-        edits = [(m.start(), m.end(), plain(m[0])) for m in _ODD.finditer(text)]
-        if edits:
+        odd = "".join(sorted(c for c in set(text) if c > "\x7f" and plain(c) != c))
+        if odd:
             out = Mapped(text)
-            out.rewrite(edits)
+            out.rewrite([(m.start(), m.end(), plain(m[0])) for m in re.finditer(f"[{re.escape(odd)}]", text)])
     low = (out.text if out else text).lower().encode("utf-8", "surrogatepass")
     words, dotted = set(low.translate(_TO_SPACE).split()), any(w in low for w in _DOT_WORDS) or bool(_BOXED.search(out.text if out else text))
     if not words.isdisjoint(_NAMED):

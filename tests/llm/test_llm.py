@@ -177,6 +177,32 @@ def test_disguised_dots_alone(text, found):
     assert pii.spelled(sorted(base + added)) == found
 
 
+@pytest.mark.parametrize("text,found", [
+    ("¹⁰.0.0.1", "ip:0:8"), ("১২৭.0.0.1", "ip:0:9"), ("plus one double five five twenty-two thirty three 0 1 9", "phone:0:55"), ("triple one two three forty-four went by", ""), ("eleven twelve men", ""), ("jane@exⅯple.com", "email:0:15"), ("é ü ß … ½", ""),
+])
+def test_digits_of_any_script_and_tens(text, found):
+    base, added = pii.all_spans(text)
+    assert pii.spelled(sorted(base + added)) == found
+
+
+def test_find_keeps_odd_rows(spark):
+    long = "x " * 300_000 + "a@b.co"
+    rows = [(1, None), (1, None), (None, "10.0.0.1"), (2, ""), (3, long)]
+    got = sorted((r["doc_id"] or 0, r["spans"]) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, "ip:0:8"), (1, ""), (1, ""), (2, ""), (3, f"email:{len(long) - 6}:{len(long)}")]
+
+
+def test_base_cards_and_phones_are_the_patterns():
+    import re
+
+    rng = random.Random(4)
+    for _ in range(400):
+        t = "".join(rng.choice(["4111", "1111 ", "-", " ", "+", "(5", ") ", "55", "x", ".", "4012888888881881"]) for _ in range(30))
+        cards = [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(d := re.sub("[ -]", "", m[0])) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0]
+        phones = [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+        assert [x[1:] for x in pii.detect(t) if x[0] == 2] == cards and [x[1:] for x in pii.detect(t) if x[0] == 3] == phones
+
+
 def test_base_spans_are_the_patterns():
     import re
 
@@ -220,6 +246,12 @@ def test_shortcut_of_the_encoder():
         assert e.encode(t) == e.whole(t)
 
 
+def test_shortcut_only_for_its_kind():
+    other = packing.Encoder(tokenizer("byte_bpe_50k.json"))
+    assert not other.short and packing.Encoder(tokenizer()).short
+    assert all(other.encode(t) == other.whole(t) for t in ("Hello World, it's 12ab", "É ÀÉ ß", "plain words here"))
+
+
 def test_toxicity_learns_and_keeps_out(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
@@ -364,6 +396,10 @@ def test_sharding(docs, spark, tmp_path):
     assert all(a == b or b == 5 for a, b in zip(first, second)) and 5 in second
     for version, m in enumerate((first, second), 1):
         sharding.save_map(spark, str(tmp_path / "map"), version, m)
+    with pytest.raises(ValueError):
+        sharding.save_map(spark, str(tmp_path / "map"), 2, first)
+    third = sharding.grown_to(first, per_slot, 5, 3)
+    assert set(third) == set(range(8)) and all(a == b or b >= 5 for a, b in zip(first, third))
     assert sharding.load_map(spark, str(tmp_path / "map")) == second and sharding.load_map(spark, str(tmp_path / "map"), 1) == first
 
 
