@@ -6,8 +6,8 @@ go only those that a later round can use: bins at most half full (best-fit leave
 each node that meets them, as many hosts with the most room. That bounds what moves up, at any size,
 and loses nothing, for more than FAN_IN half-empty bins never meet in a node.
 
-Token ids come from the given tokenizer. Texts of ASCII and Latin-1 letters take a shortcut with the
-same result: they are cut where the tokenizer would cut them and each distinct word is encoded once.
+Token ids come from the given tokenizer. With a lower-casing word tokenizer, as probes at loading tell, texts
+of ASCII and Latin-1 letters take a shortcut with the same result: they are cut where the tokenizer would cut them and each distinct word is encoded once.
 
 Cases: null or empty text is the end id alone; rows without an id or with the same id are packed like
 any other, each row by itself; empty tables give no rows; other columns are ignored.
@@ -35,6 +35,8 @@ _TYPES = [pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32()
 
 _EASY = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 _CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+#: Texts whose ids say whether a tokenizer cuts as the shortcut does.
+_PROBES = ("Hello World, it's 12ab", "É ÀÉ ß", "plain words here", "x_y ''s DON'T 3.14\n\tq-r  (s)", "naïve'd über # a@b.co")
 #: Distinct words whose ids a worker keeps.
 WORDS = 400_000
 
@@ -52,6 +54,9 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
         self.last[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.short = True
+        self.short = bool(self.last.any()) and all(self.encode(t) == self.whole(t) for t in _PROBES)  # only for tokenizers of its kind
+        self.words.clear()
 
     def learn(self, words: list[str]) -> None:
         """Encode words together and take their ids apart at the word ends."""
@@ -69,7 +74,7 @@ class Encoder:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not _EASY.fullmatch(text):
+        if not self.short or not _EASY.fullmatch(text):
             return self.whole(text)
         cut, words = _CUT.findall(text.lower()), self.words
         try:
