@@ -2,7 +2,9 @@
 
 A record's slot is a hash of its id over a fixed number of slots. One aggregate sums bytes and rows
 per slot; a slot-to-shard map, versioned, says where each slot lives, and rebalancing edits the map,
-never the hash. The query keeps the law ``bytes``: slots, largest first, go to the lightest shard.
+never the hash. The query keeps the law ``bytes``: slots, largest first, go to the lightest shard; it stores the
+map as version 1 and places the records by what it reads back. Records with equal texts are not held together:
+a group may hold a third of all rows, and shards near equal in bytes must then share it.
 
 Cases: null text counts as no bytes; rows without an id hash like any value; repeated rows take
 separate places; equal ids share a slot; empty tables give no rows; other columns are ignored.
@@ -11,11 +13,14 @@ separate places; equal ids share a slot; empty tables give no rows; other column
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.llm.common import checkpoint_root
+
 SLOTS, HEADER = 8192, 16
 
 
@@ -69,8 +74,18 @@ def grown(slot_map: list[int], sizes: list[tuple[int, int, int]], shards: int) -
     return out
 
 
+def grown_to(slot_map: list[int], sizes: list[tuple[int, int, int]], shards: int, more: int) -> list[int]:
+    """The map edited for ``more`` shards on top of ``shards``, one after the other."""
+    for k in range(more):
+        slot_map = grown(slot_map, sizes, shards + k)
+    return slot_map
+
+
 def save_map(spark: SparkSession, path: str, version: int, slot_map: list[int]) -> None:
-    """Add a version of the map; older ones stay readable."""
+    """Add a version of the map; older ones stay readable, and none is written twice."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder) and spark.read.parquet(path).where(F.col("version") == version).limit(1).count():
+        raise ValueError(f"version {version} of the map is there")
     values = ",".join(map(str, slot_map))
     spark.range(1).select(F.lit(version).alias("version"), F.posexplode(_array(values)).alias("slot", "shard")).write.mode("append").parquet(path)
 
@@ -101,5 +116,7 @@ def sharded(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: the ``bytes`` law over a fresh map."""
     records = sized(docs, slots)
     sizes = slot_sizes(records)
-    placed = place(records, balanced(sizes, shards, slots), sizes)
+    path = f"{checkpoint_root(docs.sparkSession)}/slot-map-{uuid.uuid4().hex}"
+    save_map(docs.sparkSession, path, 1, balanced(sizes, shards, slots))
+    placed = place(records, load_map(docs.sparkSession, path), sizes)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
