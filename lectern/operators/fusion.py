@@ -10,9 +10,17 @@ K = 60
 #: Weights by intent of the retrievers, in this order; a missing intent counts as thematic.
 RETRIEVERS = ("fts", "title", "passage", "scripture", "tag", "vector", "lexicon", "morphology", "entity", "bible", "topic", "xref", "cfabric", "aquifer", "speaker", "semdomain")
 WEIGHTS = {
-    "thematic": (1.0, 0.8, 0.6, 0.0, 0.5, 1.0, 0.4, 0.2, 0.5, 0.8, 0.9, 0.4, 0.3, 0.6, 0.5, 0.5),
-    "passage_specific": (0.6, 0.4, 1.5, 0.0, 0.4, 0.6, 0.3, 0.5, 0.4, 1.2, 0.4, 0.9, 0.6, 0.6, 0.4, 0.5),
-    "word_study": (0.6, 0.4, 0.4, 0.0, 0.6, 0.6, 1.6, 0.8, 0.3, 0.5, 0.3, 0.3, 0.8, 0.4, 0.3, 1.0),
+    "thematic": (1.0, 0.5, 1.0, 0.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.5, 0.0, 0.0, 0.0, 0.5, 0.0, 0.8),
+    "entity_lookup": (1.0, 2.5, 0.8, 0.0, 1.5, 1.0, 0.0, 0.0, 0.5, 0.5, 0.0, 0.0, 0.0, 0.2, 0.0, 0.0),
+    "passage_specific": (1.0, 0.6, 1.2, 0.0, 1.0, 1.0, 0.0, 0.0, 0.0, 2.0, 0.0, 0.5, 1.5, 0.2, 0.0, 0.0),
+    "passage_book": (1.0, 0.6, 1.1, 0.0, 1.0, 1.0, 0.0, 0.0, 0.0, 1.5, 0.0, 0.0, 0.5, 0.2, 0.0, 0.0),
+    "methodology": (1.0, 1.5, 1.0, 0.0, 1.0, 1.2, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+    "word_study": (0.3, 0.5, 0.0, 0.0, 0.5, 0.5, 3.0, 1.5, 0.0, 0.0, 0.0, 0.0, 2.0, 0.2, 0.0, 1.0),
+    "morphology": (0.3, 0.3, 0.5, 0.0, 0.5, 0.0, 1.0, 3.0, 0.0, 0.5, 0.0, 0.0, 2.5, 0.2, 0.0, 0.0),
+    "genealogy": (0.5, 1.0, 0.0, 0.0, 1.0, 0.5, 0.0, 0.0, 3.0, 0.5, 0.0, 0.0, 0.0, 0.2, 0.0, 0.0),
+    "topic": (0.5, 0.5, 0.5, 0.0, 0.5, 0.5, 0.0, 0.0, 0.0, 0.5, 3.0, 0.0, 0.0, 0.4, 0.0, 0.5),
+    "xref": (0.5, 0.5, 0.5, 0.0, 0.5, 0.5, 0.0, 0.0, 0.0, 0.5, 0.0, 3.0, 0.0, 0.2, 0.0, 0.0),
+    "speaker": (0.5, 0.3, 0.0, 0.0, 0.5, 0.5, 0.0, 0.0, 0.0, 0.5, 0.0, 0.0, 0.0, 0.3, 3.0, 0.0),
 }
 
 
@@ -41,9 +49,20 @@ def rrf(hits: DataFrame, weighted: DataFrame | None = None, k: int = K) -> DataF
 def folded(base: DataFrame, sims: DataFrame, k: int = K) -> DataFrame:
     """chunk_id, score of a base order and a cosine order, ranks from 0, fused."""
     both = base.join(sims, "chunk_id")
-    b = F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")) - 1
-    c = F.row_number().over(Window.orderBy(F.desc("sim"), "chunk_id")) - 1
-    return both.select("chunk_id", F.round(1.0 / (k + b) + 1.0 / (k + c), 8).alias("score"))
+    by_score, by_similarity = places(both, "score"), places(both, "sim")
+    return by_score.join(by_similarity, "chunk_id").select("chunk_id", F.round(1.0 / (k + F.col("score_at")) + 1.0 / (k + F.col("sim_at")), 8).alias("score"))
+
+
+def places(df: DataFrame, value: str) -> DataFrame:
+    """chunk_id and its place from 0 by falling value, ties by id: rows are numbered inside ranges of values and the
+    ranges' sizes added in front, so no task sorts the table."""
+    edges = df.select(F.percentile_approx(value, [i / 64 for i in range(1, 64)]).alias("p")).select(F.array_distinct("p").alias("p"))
+    part = F.size(F.filter("p", lambda x: F.col(value) <= x))
+    ranged = df.select("chunk_id", value).crossJoin(F.broadcast(edges)).select("chunk_id", value, part.alias("part"))  # edges: one row
+    n = ranged.groupBy("part").count()  # at most 64 rows
+    before = n.withColumn("before", F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(F.desc(value), "chunk_id")) - 1
+    return ranged.withColumn("at", inside).join(F.broadcast(before), "part").select("chunk_id", (F.col("at") + F.coalesce("before", F.lit(0))).alias(f"{value}_at"))
 
 
 def branches(fused: DataFrame, kinds: DataFrame, per_branch: int = 8) -> DataFrame:

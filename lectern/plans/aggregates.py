@@ -127,13 +127,6 @@ def agg_17_first_last(t):
 _REG = "g AS (SELECT DISTINCT strong, surface, is_content FROM words), e AS (SELECT surface, count(DISTINCT strong) FILTER (is_content = 1) AS k FROM g GROUP BY surface), n AS (SELECT strong, count(*) AS n FROM words GROUP BY strong)"
 
 
-@query("words", f"WITH {_REG} SELECT strong, n.n, min(g.surface) AS gloss, max(e.k) AS elaboration, count(DISTINCT g.surface) AS surfaces FROM n JOIN g USING (strong) JOIN e USING (surface) GROUP BY strong, n.n")
-def agg_18_concept_registry(t):
-    from lectern.operators.derive import concept_registry
-
-    return concept_registry(t.words())
-
-
 @query("words", "SELECT strong, surface, CASE WHEN grouping(morph) = 1 THEN 'all' ELSE morph END AS method, count(*) AS n, count(DISTINCT book * 1000000 + chapter * 1000 + verse) AS verses FROM words GROUP BY GROUPING SETS ((strong, surface, morph), (strong, surface))")
 def agg_19_attestation(t):
     from lectern.operators.derive import attestation
@@ -216,12 +209,6 @@ def agg_31_anchor_matches(t):
     return t.tokens().join(t.titles(), "doc_id").where(F.contains(F.lower("title"), "term")).groupBy("chunk_id").agg(F.count("*").alias("n"))
 
 
-@query("", "SELECT event_type, round(avg(value), 4) AS mean, count(*) FILTER (value > 50) AS passed, round(avg((value > 50)::INT), 4) AS rate FROM events GROUP BY 1")
-def agg_32_eval(t):
-    p = F.col("value") > 50
-    return t.table("events").groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.count_if(p).alias("passed"), F.round(F.avg(p.cast("int")), 4).alias("rate"))
-
-
 @query("chunks refs tags", "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'chunks', count(*) FROM chunks UNION ALL SELECT 'refs', count(*) FROM refs UNION ALL SELECT 'tags', count(*) FROM tags")
 def agg_33_index_stats(t):
     n = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
@@ -326,13 +313,6 @@ def etl_03_heads(t):
     return ranking.first_wins(c, ["strong"], F.desc("c"), F.desc("n"), F.col("surface")).select("strong", "surface", "n")
 
 
-@query("words", "WITH a AS (SELECT lemma, min(strong) AS strong FROM words WHERE is_content = 1 GROUP BY lemma), b AS (SELECT lemma, max(surface) AS alt FROM words GROUP BY lemma) SELECT lemma, coalesce(a.strong, b.alt) AS gloss FROM b LEFT JOIN a USING (lemma)")
-def etl_05_fill(t):
-    w = t.words()
-    a = w.where("is_content = 1").groupBy("lemma").agg(F.min("strong").alias("strong"))
-    return w.groupBy("lemma").agg(F.max("surface").alias("alt")).join(a, "lemma", "left").select("lemma", F.coalesce("strong", "alt").alias("gloss"))
-
-
 @query("", "SELECT event_id, (props->>'k')::BIGINT * 1000 + 1 AS s, event_type IN ('click', 'view') AS flag FROM events ORDER BY 1")
 def etl_06_json_ranges(t):
     e = t.table("events").select("event_id", "event_type", F.from_json("props", "k long").alias("p"))

@@ -62,13 +62,6 @@ def flt_08_language_gate(t):
     return tags.language_gate(t.refs(), t.tags(), "de").select("doc_id")
 
 
-@query("tokens", "WITH f AS (SELECT term, count(*) AS n, count(DISTINCT doc_id) AS d FROM tokens GROUP BY term) SELECT doc_id, bool_and(n >= 3 AND d >= 2) AS known, count(*) AS words FROM (SELECT DISTINCT doc_id, term FROM tokens) JOIN f USING (term) GROUP BY doc_id")
-def flt_09_word_gates(t):
-    k = t.tokens()
-    f = k.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d"))
-    return k.select("doc_id", "term").distinct().join(f, "term").groupBy("doc_id").agg(F.bool_and((F.col("n") >= 3) & (F.col("d") >= 2)).alias("known"), F.count("*").alias("words"))
-
-
 @query("words", "SELECT book, chapter, verse, idx FROM words WHERE morph ILIKE '%v%' AND chapter = 2")
 def flt_10_morph_pattern(t):
     return t.words().where(F.col("morph").ilike("%v%") & (F.col("chapter") == 2)).select("book", "chapter", "verse", "idx")
@@ -121,12 +114,6 @@ def flt_18_stale(t):
     return t.table("pages").where(~F.col("url").rlike("/(fr|de)/")).select("page_id")
 
 
-@query("titles refs tags", "SELECT t.doc_id, title, s, e, n FROM titles t JOIN refs USING (doc_id) JOIN (SELECT doc_id, count(*) AS n FROM tags GROUP BY doc_id) USING (doc_id)")
-def prj_01_card(t):
-    n = t.tags().groupBy("doc_id").agg(F.count("*").alias("n"))
-    return t.titles().join(t.refs(), "doc_id").join(n, "doc_id").select("doc_id", "title", "s", "e", "n")
-
-
 @query("titles chunks refs", "SELECT c.chunk_id, t.title, rtrim(c.body[1:80]) AS preview, '/' || r.s || '/' || r.e AS permalink FROM chunks c JOIN titles t USING (doc_id) JOIN refs r USING (doc_id)")
 def prj_02_preview(t):
     link = F.concat(F.lit("/"), F.col("s").cast("string"), F.lit("/"), F.col("e").cast("string"))

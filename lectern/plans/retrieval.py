@@ -231,11 +231,6 @@ def exp_07_siblings(t):
     return expand.siblings(ranking.share(c, "centrality", ["strong"], digits=12))
 
 
-@query("words", "SELECT DISTINCT book * 1000000 + chapter * 1000 + verse AS ref FROM words WHERE morph ILIKE '%n-m%' AND book < 20")
-def exp_08_morph_points(t):
-    return t.words().where(F.col("morph").ilike("%n-m%") & (F.col("book") < 20)).select((F.col("book") * 1000000 + F.col("chapter") * 1000 + F.col("verse")).alias("ref")).distinct()
-
-
 @query("", f"WITH {_NN} SELECT q, (vec_id % 66 + 1) * 1000000 + 1001 AS ref, sim FROM nn WHERE sim >= 0.3 AND rn <= 10")
 def exp_09_clause_points(t):
     v = t.table("embeddings")
@@ -296,12 +291,28 @@ _THREE = (
 )
 
 
-@query("tokens titles chunks tags", f"WITH {_THREE}, w(retriever, weight) AS (VALUES ('fts', 1.0), ('title', 0.8), ('tag', 0.5)) SELECT 0::BIGINT AS query_id, chunk_id, round(sum(weight / (60 + rank)), 8) AS score, list_sort(list_distinct(list(retriever))) AS retrievers FROM hits JOIN w USING (retriever) GROUP BY chunk_id")
+@query("tokens titles chunks tags", f"WITH {_THREE}, w(retriever, weight) AS (VALUES ('fts', 1.0), ('title', 0.5), ('tag', 1.0)) SELECT 0::BIGINT AS query_id, chunk_id, round(sum(weight / (60 + rank)), 8) AS score, list_sort(list_distinct(list(retriever))) AS retrievers FROM hits JOIN w USING (retriever) GROUP BY chunk_id")
 def fus_01_rrf(t):
     return fusion.rrf(_three(t), fusion.weights(t.spark).where("intent = 'thematic'"))
 
 
-@query("", "SELECT intent, retriever, weight::DOUBLE AS weight FROM (VALUES " + ", ".join(f"('{i}', '{r}', {w})" for i, ws in fusion.WEIGHTS.items() for r, w in zip(fusion.RETRIEVERS, ws)) + ") AS w(intent, retriever, weight)")
+#: The matrix written out once more, so that the SQL doesn't come from the value it is to check.
+_WEIGHTS = """
+thematic 1.0 0.5 1.0 0.0 1.0 1.0 0.0 0.0 0.0 0.5 0.0 0.0 0.0 0.5 0.0 0.8
+entity_lookup 1.0 2.5 0.8 0.0 1.5 1.0 0.0 0.0 0.5 0.5 0.0 0.0 0.0 0.2 0.0 0.0
+passage_specific 1.0 0.6 1.2 0.0 1.0 1.0 0.0 0.0 0.0 2.0 0.0 0.5 1.5 0.2 0.0 0.0
+passage_book 1.0 0.6 1.1 0.0 1.0 1.0 0.0 0.0 0.0 1.5 0.0 0.0 0.5 0.2 0.0 0.0
+methodology 1.0 1.5 1.0 0.0 1.0 1.2 0.0 0.0 0.0 0.0 0.0 0.0 0.0 0.0 0.0 0.0
+word_study 0.3 0.5 0.0 0.0 0.5 0.5 3.0 1.5 0.0 0.0 0.0 0.0 2.0 0.2 0.0 1.0
+morphology 0.3 0.3 0.5 0.0 0.5 0.0 1.0 3.0 0.0 0.5 0.0 0.0 2.5 0.2 0.0 0.0
+genealogy 0.5 1.0 0.0 0.0 1.0 0.5 0.0 0.0 3.0 0.5 0.0 0.0 0.0 0.2 0.0 0.0
+topic 0.5 0.5 0.5 0.0 0.5 0.5 0.0 0.0 0.0 0.5 3.0 0.0 0.0 0.4 0.0 0.5
+xref 0.5 0.5 0.5 0.0 0.5 0.5 0.0 0.0 0.0 0.5 0.0 3.0 0.0 0.2 0.0 0.0
+speaker 0.5 0.3 0.0 0.0 0.5 0.5 0.0 0.0 0.0 0.5 0.0 0.0 0.0 0.3 3.0 0.0
+"""
+
+
+@query("", "WITH m AS (SELECT string_split(line, ' ') AS x FROM (SELECT unnest(string_split('" + _WEIGHTS.strip().replace("\n", "|") + "', '|')) AS line)) SELECT x[1] AS intent, ['fts', 'title', 'passage', 'scripture', 'tag', 'vector', 'lexicon', 'morphology', 'entity', 'bible', 'topic', 'xref', 'cfabric', 'aquifer', 'speaker', 'semdomain'][i] AS retriever, x[i + 1]::DOUBLE AS weight FROM m, unnest(range(1, 17)) AS t(i)")
 def fus_02_weights(t):
     return fusion.weights(t.spark)
 
@@ -506,11 +517,6 @@ def cor_12_gloss(t):
     return t.words().groupBy("lemma").agg(F.coalesce(least("V-qal"), least("N-msa"), F.min("surface")).alias("gloss"))
 
 
-@query("words", "SELECT strong, count(*) AS n, count(DISTINCT surface) AS surfaces, count(DISTINCT book) AS books, min(surface) AS gloss FROM words GROUP BY strong")
-def cor_13_word_study(t):
-    return t.words().groupBy("strong").agg(F.count("*").alias("n"), F.countDistinct("surface").alias("surfaces"), F.countDistinct("book").alias("books"), F.min("surface").alias("gloss"))
-
-
 @query("words", f"WITH {_DOM} SELECT domain, strong, centrality AS n, round(share, 3) AS share FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY centrality DESC, round(share, 3) DESC, strong) AS rn FROM d) WHERE rn <= 200")
 def cor_14_domain_members(t):
     c = ranking.share(t.words().groupBy("strong", F.substring("lemma", 1, 3).alias("domain")).agg(F.count("*").alias("n")), "n", ["strong"])
@@ -527,11 +533,6 @@ def cor_16_keyness(t):
     return _keyness(t).withColumn("is_key", F.col("keyness") > 3)
 
 
-@query("words", "WITH c AS (SELECT surface, strong, count(*) AS n, row_number() OVER (PARTITION BY surface ORDER BY count(*) DESC, strong) AS rn FROM words GROUP BY 1, 2) SELECT surface, strong, n FROM c WHERE rn <= 5")
-def cor_17_concept(t):
-    return ranking.per_key(t.words().groupBy("surface", "strong").agg(F.count("*").alias("n")), ["surface"], 5, F.desc("n"), F.col("strong")).select("surface", "strong", "n")
-
-
 @query()
 def seq_01_lcs(t):
     w = t.words().withColumn("key", (F.col("book") * 1000000 + F.col("chapter") * 1000 + F.col("verse"))).select("key", corpus.node().alias("n"), "strong", "is_content")

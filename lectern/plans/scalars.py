@@ -269,7 +269,3 @@ def fn_13_detect_language(t):
     return detect_language(t.tokens(), t.spark, floor=0.02)
 
 
-@query("chunks", "SELECT chunk_id, regexp_matches(lower(body), '(^|\\s)(the|die|les|los)(\\s|$)') AS study, len(string_split(body, ' ')) <= 4 AS short, ends_with(body, '?') AS question FROM chunks")
-def fn_26_sub_intents(t):
-    b = F.col("body")
-    return t.chunks().select("chunk_id", F.lower(b).rlike(r"(^|\s)(the|die|les|los)(\s|$)").alias("study"), (F.size(F.split(b, " ")) <= 4).alias("short"), b.endswith("?").alias("question"))

@@ -29,9 +29,9 @@ def src_06_usfm(t):
     return v.withColumn("text", F.trim(F.regexp_replace("text", "^@", "")))
 
 
-@query("words", "SELECT book, chapter, verse, idx + 1 AS idx, surface, strong[2:]::BIGINT::VARCHAR AS strong, morph FROM words WHERE book < 12 AND verse < 20")
+@query("words", "SELECT book, chapter, verse, idx + 1 AS idx, surface, strong[2:]::BIGINT::VARCHAR AS strong, morph FROM words")
 def src_08_inline_tagged(t):
-    w = t.words().where("book < 12 AND verse < 20").withColumn("key", corpus.node())
+    w = t.words().withColumn("key", corpus.node())
     marked = w.select("book", "chapter", "verse", (F.col("idx") + 1).alias("at"), F.concat("surface", F.lit("<S>"), F.substring("strong", 2, 10).cast("long").cast("string"), F.lit("</S><m>"), "morph", F.lit("</m>")).alias("x"))
     return files.inline_tagged(marked, ["book", "chapter", "verse", "at"], "x").drop("idx").withColumnRenamed("at", "idx")
 
@@ -257,12 +257,6 @@ def sup_41_composite(t):
     return t.words().groupBy("strong", F.regexp_extract(f, r"([GH]\d+)", 1).alias("code"), F.split_part(f, F.lit("="), F.lit(2)).alias("m")).agg(F.count("*").alias("n"))
 
 
-@query("words", "SELECT strong, surface, round(share, 3) AS share FROM (SELECT strong, surface, n / sum(n) OVER (PARTITION BY strong) AS share FROM (SELECT strong, surface, count(*) AS n FROM words GROUP BY 1, 2)) WHERE share >= 0.5")
-def sup_42_dominant(t):
-    c = t.words().groupBy("strong", "surface").agg(F.count("*").alias("n"))
-    return ranking.share(c, "n", ["strong"], digits=12).where("share >= 0.5").select("strong", "surface", F.round("share", 3).alias("share"))
-
-
 @query("words", "SELECT lemma, count(DISTINCT morph) AS stems FROM words GROUP BY lemma HAVING count(DISTINCT morph) >= 2")
 def sup_43_multi_stem(t):
     return t.words().groupBy("lemma").agg(F.countDistinct("morph").alias("stems")).where("stems >= 2")
@@ -315,9 +309,3 @@ def api_06_overview(t):
     return t.tags().groupBy(tags.namespace(F.col("tag")).alias("tree")).agg(F.countDistinct("tag").alias("branches"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query("titles", "SELECT doc_id, upper(title[1]) AS letter, len(title) AS n FROM titles WHERE title ILIKE 'th%' ORDER BY title, doc_id LIMIT 100")
-def api_05_lookup(t):
-    own = t.titles().where(F.col("title").ilike("th%")).orderBy("title", "doc_id").limit(100)
-    return own.select("doc_id", F.upper(F.substring("title", 1, 1)).alias("letter"), F.length("title").cast("long").alias("n"))
-
-
