@@ -8,6 +8,7 @@ import time
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,13 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that a worker holds the Python objects of few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def byte_blocks(rows: Iterator[tuple], most: int = 1 << 17) -> Iterator[list[tuple]]:
     """Group (key, bytes, ...) rows so that a block holds about ``most`` bytes, or one longer row."""
     held, size = [], 0

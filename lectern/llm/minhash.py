@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import byte_blocks, columns, discard, free_shuffles, materialise, text_or_empty
+from lectern.llm.common import byte_blocks, columns, discard, free_shuffles, materialise, small, text_or_empty
 from lectern.llm.components import components
 from lectern.llm.repeats import C, _rows, mix
 from lectern.llm.superkmer import word_hashes
@@ -110,7 +110,7 @@ def least_estimate(threshold: float) -> float:
 
 def _sign(words: int):
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             for block in byte_blocks(_rows(batch)):
                 out = []
                 for (doc_id, _), s in zip(block, shingle_sets([x[1] for x in block], words)):

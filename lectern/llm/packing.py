@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialise
+from lectern.llm.common import materialise, small
 
 LENGTH, END, FAN_IN, LEAF = 2048, 0, 8, 50_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -96,7 +96,7 @@ def _pieces(path: str, length: int):
 
     def run(batches):
         e = encoder(path)
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = e.encode(text) + end

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_rows
+from lectern.llm.common import map_rows, small
 
 KINDS = ("email", "ip", "card", "phone")
 OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
@@ -234,7 +234,7 @@ def spelled(spans: list[tuple[int, int, int]]) -> str:
 
 
 def _find(batches):
-    for batch in batches:
+    for batch in small(batches):
         out = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             base, added = all_spans(text)
@@ -270,7 +270,7 @@ def redact(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             columns = list(batch.columns)
             columns[at] = pa.array([masked(t) for t in columns[at].to_pylist()], batch.schema.types[at])
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)

@@ -30,9 +30,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_rows
+from lectern.llm.common import map_rows, small
 
-EXAMPLES, NEAREST, BLOCK, COMMON = 1500, 15, 64, 8
+EXAMPLES, NEAREST, BLOCK, COMMON = 1000, 15, 64, 8
 #: Weight that every term keeps, standard errors under the log odds ratio, and weight of the prior in a vote.
 FLOOR, SPREAD, PRIOR = 0.01, 1.0, 0.5
 THRESHOLD = 0.3
@@ -213,29 +213,31 @@ def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) ->
     return float(w[0]), float(w[1])
 
 
-def _texts(batches, with_label: bool):
-    for batch in batches:
+def _texts(batches, with_label: bool = False):
+    for batch in small(batches):
         ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
         yield from zip(ids, texts, batch.column(2).to_pylist() if with_label else ids)
 
 
 def _frequencies(terms: list[bytes]):
+    """Of a partition: how many texts hold each term; under the empty term, how many texts there are."""
     spelt = b"\n".join(terms)
 
     def run(batches):
-        known, n, rows = frozenset(spelt.split(b"\n")), Counter(), 0
-        for _, text, _ in _texts(batches, False):
-            n.update(known.intersection(words(text)))
+        names = spelt.split(b"\n")
+        number, n, rows = {t: i for i, t in enumerate(names)}, np.zeros(len(names), np.int64), 0
+        for _, text, _ in _texts(batches):
+            n[[i for t in set(words(text)) if (i := number.get(t)) is not None]] += 1
             rows += 1
-        out = [(b"", rows, True), *((t, c, False) for t, c in n.items())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.bool_()))], ["term", "n", "whole"])
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([b""] + [names[i] for i in held], pa.binary()), pa.array(np.concatenate(([rows], n[held]))), pa.array(np.arange(len(held) + 1) == 0)], ["term", "n", "whole"])
 
     return run
 
 
 def _example_terms(batches):
     for batch in batches:
-        for doc_id, text, y in _texts([batch], True):
+        for doc_id, text, y in _texts([batch], with_label=True):
             own = Counter(words(text))
             yield pa.RecordBatch.from_arrays([pa.array([doc_id]), pa.array([y], pa.int64()), pa.array([list(own)], pa.list_(pa.binary())), pa.array([list(own.values())], pa.list_(pa.int64()))], ["doc_id", "y", "t", "c"])
 
@@ -275,10 +277,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> Model:
 
 def _score(model: Model):
     def run(batches):
-        for batch in batches:
-            out = [(i, *model.score(t)) for i, t, _ in _texts([batch], False)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.float64(), pa.list_(pa.int64())))], ["doc_id", "score", "evidence"])
+        for batch in small(batches):
+            out = [(i, *model.score(t)) for i, t, _ in _texts([batch])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.float64(), pa.list_(pa.int64())))], ["doc_id", "score", "evidence"])
 
     return run
 
@@ -296,7 +297,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model, at = fit(docs, labels), docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array([model.score(t or b"")[0] < THRESHOLD for t in texts], pa.bool_()))
 
