@@ -43,7 +43,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: No SQL expresses the learned and searched stages; the tests hold run() against brute force.
+#: No SQL expresses the learned and searched stages; the tests hold each stage's operator against brute force, and of
+#: run() as a whole only its shape.
 ORACLE_SQL = None
 
 
