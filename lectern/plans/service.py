@@ -23,7 +23,9 @@ class Service:
 
     def _hits(self, question: str, book: int | None = None) -> tuple[DataFrame, dict]:
         """All retrievers that a question calls for, as one union, and its analysis."""
-        s, found = self.store, analyze.analyse(question, [r["speaker"] for r in self.store.speakers().select("speaker").distinct().limit(1000).collect()])
+        s = self.store
+        named = s.speakers().select("speaker").distinct().where(F.contains(F.lit(question.lower()), F.lower("speaker")))  # as many as a question can name
+        found = analyze.analyse(question, [r["speaker"] for r in named.collect()])
         q, tokens, chunks = self._terms(found["keywords"]), s.tokens(), s.chunks()
         out = retrieve.by_text(tokens, q)
         title_tokens = s.titles().select("doc_id", F.explode(terms(F.col("title"))).alias("term"))
