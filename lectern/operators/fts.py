@@ -1,7 +1,8 @@
 """Full-text search with tables: postings, BM25, phrases, snippets, a concordance.
 
-BM25 with k1 = 1.2, b = 0.75 and idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Postings are small rows keyed
-by term, so a query reads its terms only; statistics are per partition, isolated corpora don't mix.
+BM25 with k1 = 1.2, b = 0.75 and idf = ln(1 + (N - df + 0.5) / (df + 0.5)). It reads bags: one row per unit with
+its ``words`` as an array. Lengths and document frequencies are counted inside the rows, so only the words that a
+query names are shuffled; statistics are per partition, isolated corpora don't mix.
 """
 
 from __future__ import annotations
@@ -18,24 +19,45 @@ def postings(tokens: DataFrame, unit: str = "chunk_id") -> DataFrame:
     return tokens.groupBy("term", unit).agg(F.count("*").alias("tf"))
 
 
-def bm25(tokens: DataFrame, terms: list[str] | DataFrame, unit: str = "chunk_id") -> DataFrame:
-    """unit, score of every unit that holds a query term. terms: words, or a table of (term)."""
-    p = postings(tokens, unit)
-    length = tokens.groupBy(unit).agg(F.count("*").alias("dl"))
-    stats = length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    own = p.where(F.col("term").isin(*terms)) if isinstance(terms, list) else p.join(F.broadcast(terms.select("term")), "term", "left_semi")
-    df = own.groupBy("term").agg(F.count("*").alias("df"))
-    scored = own.join(df, "term").join(length, unit).crossJoin(F.broadcast(stats))
+def named(bags: DataFrame, terms: list[str] | DataFrame, *keys: str) -> DataFrame:
+    """keys, dl, term, tf of the query's words in each unit. terms: words, or a table of (term), broadcast."""
+    # outer, since the optimizer would else compute the words again for a filter on their size
+    every = bags.select(*keys, F.size("words").alias("dl"), F.explode_outer("words").alias("term"))
+    own = every.where(F.col("term").isin(*terms)) if isinstance(terms, list) else every.join(F.broadcast(terms.select("term")), "term", "left_semi")
+    return own.groupBy(*keys, "dl", "term").agg(F.count("*").alias("tf"))
+
+
+def scored(own: DataFrame, df: DataFrame, stats: DataFrame, by: list[str], unit: str) -> DataFrame:
+    """by, unit, score from the query's postings, their frequencies and the statistics of each partition."""
+    known = own.join(F.broadcast(df), [*by, "term"])
+    known = known.join(F.broadcast(stats), by) if by else known.crossJoin(F.broadcast(stats))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy(unit).agg(F.round(F.sum(part), 6).alias("score"))
+    part: Column = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return known.groupBy(*by, unit).agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def _statistics(bags: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, avgdl over the units that hold a word."""
+    return bags.select(*by, F.size("words").alias("dl")).groupBy(*by).agg(F.count_if(F.col("dl") > 0).alias("n"), F.avg(F.when(F.col("dl") > 0, F.col("dl"))).alias("avgdl"))
 
 
-def frequent_terms(tokens: DataFrame, n: int = 3, most: float = 0.2, unit: str = "chunk_id") -> DataFrame:
-    """term: the n most frequent terms that fewer than ``most`` of the units hold."""
-    total = tokens.agg(F.countDistinct(unit).alias("total"))
-    df = tokens.groupBy("term").agg(F.countDistinct(unit).alias("df")).crossJoin(F.broadcast(total)).where(F.col("df") < most * F.col("total"))
-    return df.orderBy(F.desc("df"), "term").limit(n).select("term")
+def bm25(bags: DataFrame, terms: list[str] | DataFrame, unit: str = "chunk_id") -> DataFrame:
+    """unit, score of every unit that holds a query term. bags: unit, words, one row a unit."""
+    own = named(bags, terms, unit)
+    df = own.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # reads tf, so that both use one shuffle
+    return scored(own, df, _statistics(bags, []), [], unit)
+
+
+def frequent_terms(bags: DataFrame, n: int = 3, most: float = 0.2) -> DataFrame:
+    """term: the n most frequent terms that fewer than ``most`` (1 at most) of the units hold.
+
+    Each unit also counts the empty word once, whose frequency, the greatest, is the number of units. A filter on
+    the empty word would go below the counts and make them run twice; the bound on df drops it.
+    """
+    words = F.when(F.size("words") > 0, F.array_append(F.array_distinct("words"), F.lit("")))
+    df = bags.select("words").select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    total = df.agg(F.max("df").alias("total"))
+    return df.crossJoin(F.broadcast(total)).where(F.col("df") < most * F.col("total")).orderBy(F.desc("df"), "term").limit(n).select("term")
 
 
 def ngrams(tokens: DataFrame, n: int, unit: str = "chunk_id") -> DataFrame:
@@ -69,17 +91,12 @@ def corpus_of(tags: DataFrame) -> DataFrame:
     return own.select("doc_id", F.when(F.col("a") == 1, "aquifer").when(F.col("b") == 1, "bible").when(F.col("l") == 1, "lexicon").when(F.col("m") == 1, "morphology").otherwise("main").alias("corpus"))
 
 
-def bm25_by_corpus(tokens: DataFrame, corpus: DataFrame, terms: DataFrame) -> DataFrame:
+def bm25_by_corpus(bags: DataFrame, corpus: DataFrame, terms: DataFrame) -> DataFrame:
     """corpus, chunk_id, score with each corpus's own statistics."""
-    t = tokens.join(corpus, "doc_id")
-    length = t.groupBy("corpus", "chunk_id").agg(F.count("*").alias("dl"))
-    stats = length.groupBy("corpus").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    own = t.join(F.broadcast(terms.select("term")), "term", "left_semi").groupBy("corpus", "term", "chunk_id").agg(F.count("*").alias("tf"))
-    df = own.groupBy("corpus", "term").agg(F.count("*").alias("df"))
-    scored = own.join(df, ["corpus", "term"]).join(length, ["corpus", "chunk_id"]).join(F.broadcast(stats), "corpus")
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part: Column = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.groupBy("corpus", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
+    t = bags.join(corpus, "doc_id")
+    own = named(t, terms, "corpus", "chunk_id")
+    df = own.groupBy("corpus", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    return scored(own, df, _statistics(t, ["corpus"]), ["corpus"], "chunk_id")
 
 
 def concordance(chunks: DataFrame, words: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +37,31 @@ def view(edges: DataFrame) -> DataFrame:
     return out.unionByName(edges.select(F.col("target_id").alias("id"), "relation", F.lit("in").alias("direction"), F.col("source_id").alias("other")))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """A frontier without its lineage, in the shared checkpoint folder; a temporary one only for a local master."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp())
+    return df.checkpoint()
+
+
 def ancestors(edges: DataFrame, relation: str, depth: int = 8) -> DataFrame:
-    """id, ancestor, hops: up to ``depth`` hops along a relation, each step one join."""
-    e = edges.where(F.col("relation") == relation).select("source_id", "target_id")
+    """id, ancestor, hops: up to ``depth`` hops along a relation, the fewest of each pair.
+
+    Each hop joins only the pairs that the one before reached for the first time, and the walk ends with none left.
+    """
+    e = _cut(edges.where(F.col("relation") == relation).select("source_id", "target_id").distinct())
     now = e.select(F.col("source_id").alias("id"), F.col("target_id").alias("ancestor"), F.lit(1).cast("long").alias("hops"))
     out = now
     for hop in range(2, depth + 1):
-        now = now.join(e, F.col("ancestor") == F.col("source_id")).select("id", F.col("target_id").alias("ancestor"), F.lit(hop).cast("long").alias("hops"))
+        met = now.join(e, F.col("ancestor") == F.col("source_id")).select("id", F.col("target_id").alias("ancestor")).distinct()
+        now = _cut(met.join(out, ["id", "ancestor"], "left_anti").withColumn("hops", F.lit(hop).cast("long")))
+        if now.isEmpty():
+            break
         out = out.unionByName(now)
-    return out.groupBy("id", "ancestor").agg(F.min("hops").alias("hops"))
+    return out
 
 
 def without_dangling(edges: DataFrame, entities: DataFrame) -> DataFrame:

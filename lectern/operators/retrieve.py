@@ -19,13 +19,13 @@ def canonical(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("doc_id").agg(F.min_by("chunk_id", "chunk_index").alias("chunk_id"))
 
 
-def by_text(tokens: DataFrame, terms: DataFrame, retriever: str = "fts", limit: int = 50) -> DataFrame:
-    return ranked(fts.bm25(tokens, terms), retriever, limit=limit)
+def by_text(bags: DataFrame, terms: DataFrame, retriever: str = "fts", limit: int = 50) -> DataFrame:
+    return ranked(fts.bm25(bags, terms), retriever, limit=limit)
 
 
-def by_title(title_tokens: DataFrame, terms: DataFrame, chunks: DataFrame, limit: int = 20) -> DataFrame:
+def by_title(title_bags: DataFrame, terms: DataFrame, chunks: DataFrame, limit: int = 20) -> DataFrame:
     """BM25 over titles, scored by place."""
-    hit = ranked(fts.bm25(title_tokens, terms, "doc_id").withColumnRenamed("doc_id", "chunk_id"), "title", limit=limit)
+    hit = ranked(fts.bm25(title_bags, terms, "doc_id").withColumnRenamed("doc_id", "chunk_id"), "title", limit=limit)
     n = hit.agg(F.count("*").alias("n"))
     placed = hit.crossJoin(F.broadcast(n)).withColumn("score", F.round(1 - (F.col("rank") - 1) / F.col("n"), 6)).withColumnRenamed("chunk_id", "doc_id")
     return placed.join(canonical(chunks), "doc_id").select("query_id", "chunk_id", "rank", "score", "retriever")
@@ -44,9 +44,9 @@ def by_tags(tags: DataFrame, chunks: DataFrame, wanted: list[str], isolated: str
     return ranked(ids.join(canonical(chunks), "doc_id").withColumn("score", F.lit(1.0)), "tag", F.col("chunk_id"), limit=limit)
 
 
-def by_kind_text(tokens: DataFrame, tags: DataFrame, kind: str, terms: DataFrame, retriever: str, limit: int = 50) -> DataFrame:
+def by_kind_text(bags: DataFrame, tags: DataFrame, kind: str, terms: DataFrame, retriever: str, limit: int = 50) -> DataFrame:
     """BM25 within the documents of a kind, with their own statistics."""
-    return by_text(tagged(tokens, tags, f"kind:{kind}"), terms, retriever, limit)
+    return by_text(tagged(bags, tags, f"kind:{kind}"), terms, retriever, limit)
 
 
 def tiered(retriever: str, *tiers: tuple[DataFrame, float], limit: int = 50) -> DataFrame:
@@ -81,11 +81,11 @@ def minted(ranges: DataFrame, limit: int = 20) -> DataFrame:
     return hit.withColumn("score", F.round(1 - (F.col("rank") - 1) / limit, 6))
 
 
-def by_speaker(tokens: DataFrame, terms: DataFrame, refs: DataFrame, speakers: DataFrame, name: str, limit: int = 40) -> DataFrame:
+def by_speaker(bags: DataFrame, terms: DataFrame, refs: DataFrame, speakers: DataFrame, name: str, limit: int = 40) -> DataFrame:
     """BM25 hits whose passage begins inside the ranges of a speaker."""
     said = within(refs.select("doc_id", F.col("s").alias("ref")), speakers.where(F.col("speaker") == name).select("s", "e"), "ref").select("doc_id").distinct()
-    ids = tokens.select("chunk_id", "doc_id").distinct().join(said, "doc_id").select("chunk_id")
-    return ranked(fts.bm25(tokens, terms).join(ids, "chunk_id"), "speaker", limit=limit)
+    ids = bags.select("chunk_id", "doc_id").join(said, "doc_id").select("chunk_id")
+    return ranked(fts.bm25(bags, terms).join(ids, "chunk_id"), "speaker", limit=limit)
 
 
 def by_domain(tokens: DataFrame, members: DataFrame, limit: int = 50) -> DataFrame:

@@ -1,7 +1,11 @@
-"""Vector search with built-in expressions: exact cosine, sign-bit search with rerank, centroids."""
+"""Vector search: exact neighbours by blocks, exact cosine, sign-bit search with rerank, centroids."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,13 +26,58 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
+#: Vectors of a block, on either side, and the queries that one multiplication takes: 512 x 8192 products of 8 bytes.
+BLOCK, SLICE = 8192, 512
+
+
+def _cell(k: int):
+    """The k best of each query of one block among the vectors of another, as a function of two Arrow tables."""
+    schema = pa.schema([("q", pa.int64()), ("vec_id", pa.int64()), ("sim", pa.float64())])
+
+    def matrix(t: pa.Table, name: str) -> np.ndarray:
+        flat = pa.concat_arrays([c.flatten() for c in t.column(name).chunks]).to_numpy(zero_copy_only=False)
+        return flat.astype("float64").reshape(t.num_rows, -1)
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        order = np.argsort(right.column("vec_id").to_numpy(), kind="stable")
+        ids, x = right.column("vec_id").to_numpy()[order], matrix(right, "embedding")[order]
+        names, y = left.column("q").to_numpy(), matrix(left, "qe")
+        out: list[tuple[np.ndarray, ...]] = []
+        for at in range(0, len(y), SLICE):
+            sims = np.round(y[at : at + SLICE] @ x.T, 6)
+            sims[(ids == names[at : at + SLICE, None]) | ~np.isfinite(sims)] = -np.inf
+            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # stable: equal ones by id
+            sim = np.take_along_axis(sims, top, 1)
+            kept = sim > -np.inf
+            q = np.broadcast_to(names[at : at + SLICE, None], sim.shape)
+            out.append((q[kept], ids[top][kept], sim[kept]))
+        return pa.table([np.concatenate(c) for c in zip(*out)], schema=schema)
+
+    return best
+
+
 def ranked_neighbours(queries: DataFrame, vectors: DataFrame, k: int | None = None) -> DataFrame:
-    """q, vec_id, sim, rn: every other vector by falling dot product, for a stated set of queries.
+    """q, vec_id, sim, rn: other vectors by falling dot product, for a stated set of queries; the best k if given.
 
-    The queries are the small side (broadcast only by Spark's own size rule); the vectors stream past in blocks.
+    Queries and vectors are dealt into blocks of some ``BLOCK`` rows by hash, every block of queries meets every block
+    of vectors in one multiplication, and only the k best of each query and block are shuffled. Vectors meet those of
+    their own length; null vectors, null components and products that aren't finite give no neighbour. Without
+    k, all pairs are the result, by a join of the query set with the table.
     """
     q = queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
-    sim = vectors.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(dot("qe", "embedding"), 6).alias("sim"))
+    if k is None:
+        sim = vectors.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(dot("qe", "embedding"), 6).alias("sim"))
+    else:
+        rows, columns = (max(1, math.ceil(df.count() / BLOCK)) for df in (queries, vectors))
+        deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        sound = lambda name: (F.size(name) > 0) & ~F.exists(name, lambda x: x.isNull())
+        left = q.where(sound("qe")).select(F.col("q").cast("long").alias("q"), "qe", F.size("qe").alias("_d"), deal("q", rows).alias("_i"), every(columns).alias("_j"))
+        v = vectors.where(sound("embedding"))
+        right = v.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.size("embedding").alias("_d"), deal("vec_id", columns).alias("_j"), every(rows).alias("_i"))
+        sim = left.groupBy("_d", "_i", "_j").cogroup(right.groupBy("_d", "_i", "_j")).applyInArrow(_cell(k), "q long, vec_id long, sim double")
     out = sim.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "vec_id")).cast("long"))
     return out if k is None else out.where(F.col("rn") <= k)
 

@@ -22,7 +22,7 @@ def _hits(frm: str, name: str, order: str = "score DESC, chunk_id", limit: int =
 
 def question(t):
     """The query terms: the most frequent words under a fifth of the chunks."""
-    return fts.frequent_terms(t.tokens(), 3)
+    return fts.frequent_terms(t.bags(), 3)
 
 
 @query("tokens", "SELECT term, chunk_id, count(*) AS tf FROM tokens GROUP BY 1, 2")
@@ -45,30 +45,27 @@ def fts_03_partitions(t):
 
 @query("tokens", f"WITH {_FTS} SELECT u AS chunk_id, score FROM bm")
 def fts_04_bm25(t):
-    return fts.bm25(t.tokens(), question(t))
+    return fts.bm25(t.bags(), question(t))
 
 
 @query("tokens tags", f"WITH {_FTS}, f AS (SELECT DISTINCT chunk_id, doc_id FROM tokens), {_CORPUS} SELECT u AS chunk_id, score FROM bm JOIN f ON f.chunk_id = u WHERE doc_id IN (SELECT doc_id FROM tags WHERE tag = 'lang:en') ORDER BY score DESC, chunk_id LIMIT 50")
 def fts_05_filtered(t):
     own = tags.tagged(t.chunks().select("chunk_id", "doc_id"), t.tags(), "lang:en").select("chunk_id")
-    return fts.bm25(t.tokens(), question(t)).join(own, "chunk_id").orderBy(F.desc("score"), "chunk_id").limit(50)
+    return fts.bm25(t.bags(), question(t)).join(own, "chunk_id").orderBy(F.desc("score"), "chunk_id").limit(50)
 
 
 _TT = "tt AS (SELECT doc_id, unnest(regexp_extract_all(lower(title), '[a-zà-öø-ÿß]{3,}')) AS term FROM titles)"
 
 
-def title_tokens(t):
-    return t.titles().select("doc_id", F.explode(terms(F.col("title"))).alias("term"))
-
 
 @query("tokens titles chunks", f"WITH {_Q}, {_TT}, {_BM.format(u='doc_id', t='tt')}, {_CAN}, r AS (SELECT u AS doc_id, row_number() OVER (ORDER BY score DESC, u) AS rank FROM bm) SELECT 0::BIGINT AS query_id, chunk_id, rank, round(1 - (rank - 1) / (SELECT count(*) FROM r WHERE rank <= 20), 6) AS score, 'title' AS retriever FROM r JOIN can USING (doc_id) WHERE rank <= 20")
 def ret_02_title(t):
-    return retrieve.by_title(title_tokens(t), question(t), t.chunks())
+    return retrieve.by_title(t.title_bags(), question(t), t.chunks())
 
 
 @query("tokens titles", f"WITH {_Q}, {_TT}, {_BM.format(u='doc_id', t='tt')} SELECT u AS doc_id, score FROM bm")
 def fts_06_titles(t):
-    return fts.bm25(title_tokens(t), question(t), "doc_id")
+    return fts.bm25(t.title_bags(), question(t), "doc_id")
 
 
 @query("tokens", "WITH hit AS (SELECT chunk_id, min(pos) AS p FROM tokens WHERE term = 'les' GROUP BY chunk_id) SELECT chunk_id, string_agg(CASE WHEN term = 'les' THEN '<<les>>' ELSE term END, ' ' ORDER BY pos) AS snippet FROM tokens JOIN hit USING (chunk_id) WHERE pos BETWEEN p - 7 AND p + 8 GROUP BY chunk_id")
@@ -96,12 +93,12 @@ def fts_04b_phrase(t):
 
 @query("tags tokens", f"WITH {_Q}, {_CORPUS}, t AS (SELECT corpus, chunk_id, term FROM tokens JOIN corp USING (doc_id)), dl AS (SELECT corpus, chunk_id, count(*) AS dl FROM t GROUP BY 1, 2), st AS (SELECT corpus, count(*) AS n, avg(dl) AS avgdl FROM dl GROUP BY 1), p AS (SELECT corpus, chunk_id, term, count(*) AS tf FROM t JOIN q USING (term) GROUP BY 1, 2, 3), df AS (SELECT corpus, term, count(*) AS df FROM p GROUP BY 1, 2) SELECT corpus, chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM p JOIN df USING (corpus, term) JOIN dl USING (corpus, chunk_id) JOIN st USING (corpus) GROUP BY 1, 2")
 def fts_05b_isolated(t):
-    return fts.bm25_by_corpus(t.tokens(), fts.corpus_of(t.tags()), question(t))
+    return fts.bm25_by_corpus(t.bags(), fts.corpus_of(t.tags()), question(t))
 
 
 @query("tokens", f"WITH {_FTS} " + _hits("(SELECT u AS chunk_id, score FROM bm)", "fts"))
 def ret_01_fts(t):
-    return retrieve.by_text(t.tokens(), question(t))
+    return retrieve.by_text(t.bags(), question(t))
 
 
 _PASS = "ps AS (SELECT doc_id AS query_id, s AS qs, e AS qe FROM refs WHERE doc_id % 50 = 0)"
@@ -115,7 +112,7 @@ def ret_03_passage(t):
 
 @query("tokens tags", f"WITH tk AS (SELECT * FROM tokens WHERE doc_id IN (SELECT doc_id FROM tags WHERE tag = 'kind:bible')), {_Q}, {_BM.format(u='chunk_id', t='tk')} " + _hits("(SELECT u AS chunk_id, score FROM bm)", "scripture"))
 def ret_04_scripture(t):
-    return retrieve.by_kind_text(t.tokens(), t.tags(), "bible", question(t), "scripture")
+    return retrieve.by_kind_text(t.bags(), t.tags(), "bible", question(t), "scripture")
 
 
 @query("chunks tags", f"WITH {_CAN} " + _hits("(SELECT chunk_id, 1.0 AS score FROM can WHERE doc_id IN (SELECT doc_id FROM tags WHERE tag IN ('toxic:1', 'kind:term')) AND doc_id NOT IN (SELECT doc_id FROM tags WHERE tag = 'resource:aquifer'))", "tag", "chunk_id"))
@@ -174,12 +171,12 @@ def ret_13_minted(t):
 
 @query("tokens tags", f"WITH tk AS (SELECT * FROM tokens WHERE doc_id IN (SELECT doc_id FROM tags WHERE tag = 'resource:aquifer')), {_Q}, {_BM.format(u='chunk_id', t='tk')} " + _hits("(SELECT u AS chunk_id, score FROM bm)", "aquifer"))
 def ret_14_isolated(t):
-    return retrieve.by_text(tags.tagged(t.tokens(), t.tags(), "resource:aquifer"), question(t), "aquifer")
+    return retrieve.by_text(tags.tagged(t.bags(), t.tags(), "resource:aquifer"), question(t), "aquifer")
 
 
 @query("tokens refs speakers", f"WITH {_FTS}, said AS (SELECT DISTINCT doc_id FROM refs r JOIN speakers x ON r.s BETWEEN x.s AND x.e WHERE speaker = 'user'), c AS (SELECT DISTINCT chunk_id FROM tokens WHERE doc_id IN (SELECT doc_id FROM said)) " + _hits("(SELECT u AS chunk_id, score FROM bm WHERE u IN (SELECT chunk_id FROM c))", "speaker", limit=40))
 def ret_15_speaker(t):
-    return retrieve.by_speaker(t.tokens(), question(t), t.refs(), t.speakers(), "user")
+    return retrieve.by_speaker(t.bags(), question(t), t.refs(), t.speakers(), "user")
 
 
 @query("tokens", "WITH m AS (SELECT term FROM tokens GROUP BY term ORDER BY count(*) DESC, term LIMIT 60), n AS (SELECT chunk_id, count(DISTINCT term) AS score FROM tokens JOIN m USING (term) GROUP BY 1) " + _hits("n", "semdomain"))
@@ -277,8 +274,7 @@ def exp_14_synthetic_tags(t):
 
 
 def _three(t):
-    k = t.tokens()
-    return retrieve.by_text(k, question(t)).unionByName(retrieve.by_title(title_tokens(t), question(t), t.chunks())).unionByName(retrieve.by_tags(t.tags(), t.chunks(), ["toxic:1", "kind:term"]))
+    return retrieve.by_text(t.bags(), question(t)).unionByName(retrieve.by_title(t.title_bags(), question(t), t.chunks())).unionByName(retrieve.by_tags(t.tags(), t.chunks(), ["toxic:1", "kind:term"]))
 
 
 _THREE = (

@@ -1,6 +1,6 @@
 """The service's calls as compositions of operators over one store.
 
-A store is a set of DataFrames with the columns of ``views.Tables`` (chunks, titles, tokens, tags, refs, topics,
+A store is a set of DataFrames with the columns of ``views.Tables`` (chunks, titles, tokens, bags, title_bags, tags, refs, topics,
 xref, speakers, entities, edges, words, embeddings through ``table``). Every call returns a lazy DataFrame.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text import excerpt, terms
+from lectern.functions.text import excerpt
 from lectern.operators import analyze, corpus, fts, fusion, graph, intervals, retrieve, tags, vectors
 from lectern.plans.views import Tables
 
@@ -26,12 +26,11 @@ class Service:
         s = self.store
         named = s.speakers().select("speaker").distinct().where(F.contains(F.lit(question.lower()), F.lower("speaker")))  # as many as a question can name
         found = analyze.analyse(question, [r["speaker"] for r in named.collect()])
-        q, tokens, chunks = self._terms(found["keywords"]), s.tokens(), s.chunks()
-        out = retrieve.by_text(tokens, q)
-        title_tokens = s.titles().select("doc_id", F.explode(terms(F.col("title"))).alias("term"))
-        out = out.unionByName(retrieve.by_title(title_tokens, q, chunks))
-        out = out.unionByName(retrieve.by_kind_text(tokens, s.tags(), "bible", q, "bible"))
-        out = out.unionByName(retrieve.by_text(tags.tagged(tokens, s.tags(), "resource:aquifer"), q, "aquifer"))
+        q, bags, chunks = self._terms(found["keywords"]), s.bags(), s.chunks()
+        out = retrieve.by_text(bags, q)
+        out = out.unionByName(retrieve.by_title(s.title_bags(), q, chunks))
+        out = out.unionByName(retrieve.by_kind_text(bags, s.tags(), "bible", q, "bible"))
+        out = out.unionByName(retrieve.by_text(tags.tagged(bags, s.tags(), "resource:aquifer"), q, "aquifer"))
         spans = found["passages"] or ([(book * 1000000, book * 1000000 + 999999)] if book else [])
         if spans:
             p = s.spark.createDataFrame([(0, a, b) for a, b in spans], "query_id long, qs long, qe long")
@@ -39,7 +38,7 @@ class Service:
             sources = s.spark.createDataFrame([(a,) for a, _ in spans], "source long")
             out = out.unionByName(retrieve.by_cross_reference(s.xref(), sources, s.refs(), chunks))
         if found["speaker"]:
-            out = out.unionByName(retrieve.by_speaker(tokens, q, s.refs(), s.speakers(), found["speaker"]))
+            out = out.unionByName(retrieve.by_speaker(bags, q, s.refs(), s.speakers(), found["speaker"]))
         if found["keywords"]:
             out = out.unionByName(retrieve.by_topic(s.topics(), " ".join(found["keywords"]), s.refs(), chunks))
         return out, found

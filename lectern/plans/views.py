@@ -19,9 +19,18 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def dealt(self, name: str, *columns: str) -> DataFrame:
+        """Columns of a table whose texts are to be parsed, dealt evenly over the cores if it has fewer files than them.
+
+        A file of one row group is read by one task. Tables of many files stay where they are read, without a shuffle.
+        """
+        df, cores = self.table(name), self.spark.sparkContext.defaultParallelism
+        own = df.select(*columns)
+        return own.repartition(cores) if len(df.inputFiles()) < cores else own
+
     def chunks(self) -> DataFrame:
         """chunk_id, doc_id, chunk_index, body: the documents' lines."""
-        lines = self.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "body")).where(F.trim("body") != "")
+        lines = self.dealt("documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "body")).where(F.trim("body") != "")
         return lines.select(F.format_string("%d:%04d", "doc_id", "i").alias("chunk_id"), "doc_id", F.col("i").cast("long").alias("chunk_index"), "body")
 
     def titles(self) -> DataFrame:
@@ -33,6 +42,14 @@ class Tables:
         """chunk_id, doc_id, pos, term."""
         return self.chunks().select("chunk_id", "doc_id", F.posexplode(terms(F.col("body"))).alias("pos", "term")).withColumn("pos", F.col("pos").cast("long"))
 
+    def bags(self) -> DataFrame:
+        """chunk_id, doc_id, words: the terms of each chunk as one array."""
+        return self.chunks().select("chunk_id", "doc_id", terms(F.col("body")).alias("words"))
+
+    def title_bags(self) -> DataFrame:
+        """doc_id, words of the title."""
+        return self.titles().select("doc_id", terms(F.col("title")).alias("words"))
+
     def tags(self) -> DataFrame:
         """doc_id, tag: language, source, kind, labels and one resource."""
         d = self.table("documents")
@@ -97,7 +114,7 @@ class Tables:
 
     def words(self) -> DataFrame:
         """book, chapter, verse, idx, surface, strong, lemma, morph, is_content: conversations as a word store."""
-        t = self.table("conversations").select(F.col("conv_id").cast("long").alias("c"), F.col("turn").cast("long").alias("t"), F.posexplode(terms(F.col("text"))).alias("i", "surface"))
+        t = self.dealt("conversations", "conv_id", "turn", "text").select(F.col("conv_id").cast("long").alias("c"), F.col("turn").cast("long").alias("t"), F.posexplode(terms(F.col("text"))).alias("i", "surface"))
         n = F.length("surface")
         return t.select(
             (F.col("c") % 66 + 1).alias("book"), (F.col("t") + 1).alias("chapter"), (F.floor(F.col("c") / 66) * 20 + F.floor(F.col("i") / 12) + 1).cast("long").alias("verse"), (F.col("i") % 12).cast("long").alias("idx"), "surface",

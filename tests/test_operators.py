@@ -125,3 +125,53 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
 def test_language_by_script(spark):
     df = spark.createDataFrame([("привет",), ("hello",)], "t string").select(analyze.script_language(F.col("t")).alias("l"))
     assert [r["l"] for r in df.collect()] == ["rus", None]
+
+
+@pytest.mark.parametrize("block,k", [(8192, 3), (7, 3), (7, 100)])
+def test_ranked_neighbours_are_brute_force(spark, monkeypatch, block, k):
+    import numpy as np
+
+    from lectern.operators import vectors
+
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(60)] + [(60, None), (61, [1.0, None, 0.0, 0.0]), (62, [1.0, 2.0]), (64, [2.0, 2.0]), (65, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["q"], r["rn"], r["vec_id"], r["sim"]) for r in vectors.ranked_neighbours(df.where("vec_id % 2 = 0"), df, k).collect())
+    sound = {i: x for i, x in rows if x and None not in x}
+    want = []
+    for q in sorted(i for i in sound if i % 2 == 0):
+        near = sorted((-sum(a * b for a, b in zip(sound[q], x)), i) for i, x in sound.items() if i != q and len(x) == len(sound[q]))
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(near[:k], 1)]
+    assert got == want
+    assert vectors.ranked_neighbours(df.where("false"), df, k).count() == 0
+
+
+def test_ancestors_of_a_cycle_and_a_diamond(spark):
+    from lectern.operators import graph
+
+    edges = spark.createDataFrame([(a, b, "r") for a, b in ["ab", "bc", "ca", "xy", "xz", "yw", "zw", "xw", "wv"]] + [("v", "u", "s")], "source_id string, target_id string, relation string")
+    got = {tuple(r) for r in graph.ancestors(edges, "r").collect()}
+    assert {x for x in got if x[0] in "abc"} == {("a", "b", 1), ("a", "c", 2), ("a", "a", 3), ("b", "c", 1), ("b", "a", 2), ("b", "b", 3), ("c", "a", 1), ("c", "b", 2), ("c", "c", 3)}
+    assert {x for x in got if x[0] == "x"} == {("x", "y", 1), ("x", "z", 1), ("x", "w", 1), ("x", "v", 2)}
+    assert graph.ancestors(edges, "none").count() == 0
+
+
+def test_bm25_is_brute_force(spark):
+    import math
+
+    from lectern.operators import fts
+
+    bags = [("a", ["x", "y", "x"]), ("b", ["y"]), ("c", ["z", "x"]), ("d", []), ("e", None)]
+    df = spark.createDataFrame(bags, "chunk_id string, words array<string>")
+    full = {u: w for u, w in bags if w}
+    mean = sum(map(len, full.values())) / len(full)
+    want = {}
+    for u, words in full.items():
+        for term in {"x", "z"} & set(words):
+            tf, n = words.count(term), sum(term in w for w in full.values())
+            want[u] = want.get(u, 0) + math.log(1 + (len(full) - n + 0.5) / (n + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / mean))
+    for terms in (["x", "z"], spark.createDataFrame([("x",), ("z",)], "term string")):
+        assert {r["chunk_id"]: r["score"] for r in fts.bm25(df, terms).collect()} == {u: round(s, 6) for u, s in want.items()}
+    assert [r["term"] for r in fts.frequent_terms(df, 2, 1.0).collect()] == ["x", "y"]
+    assert fts.bm25(df.where("false"), ["x"]).count() == 0 and fts.frequent_terms(df.where("false")).count() == 0
