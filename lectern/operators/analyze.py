@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,6 +75,31 @@ def speaker(question: str, names: list[str], generic: frozenset[str] = frozenset
     return None
 
 
+def references(questions: DataFrame, key: str, text: str) -> DataFrame:
+    """key, place, s, e: the intervals that each question names, numbered from 0. Arrow batches, no shuffle."""
+    kind = dict(questions.dtypes)[key]
+
+    def run(batches):
+        for pdf in batches:
+            own = [(k, i, s, e) for k, q in zip(pdf[key], pdf[text]) for i, (s, e) in enumerate(parse_references(q or ""))]
+            yield pd.DataFrame(own, columns=[key, "place", "s", "e"])
+
+    return questions.select(key, text).mapInPandas(run, f"`{key}` {kind}, place long, s long, e long")
+
+
+def spoken_by(questions: DataFrame, names: DataFrame, key: str, text: str, generic: tuple[str, ...] = ("man", "woman", "people")) -> DataFrame:
+    """key, speaker: as ``speaker``, for a table of questions (key, text) and one of names (name); null where nobody speaks.
+
+    Questions meet names by the name's first word, so that no question is compared with every name.
+    """
+    low, quoted = F.lower(text), F.concat(F.lit(r"\Q"), F.lower("name"), F.lit(r"\E"))
+    said = F.concat(F.lit(r"\b"), quoted, F.lit(r"('s\b|\s+(said|says|say|spoke|speak|told|answered)\b)|\bwords of "), quoted, F.lit(r"\b"))
+    first = names.where(~F.lower("name").isin(*generic)).select("name", F.regexp_extract(F.lower("name"), r"\w+", 0).alias("_w")).distinct()
+    words = questions.select(key, low.alias("_q"), F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"\w+"), 0))).alias("_w"))
+    best = words.join(first, "_w").where(F.regexp_like("_q", said)).groupBy(key).agg(F.min_by("name", F.struct(-F.length("name"), "name")).alias("speaker"))
+    return questions.select(key).join(best, key, "left")
+
+
 def analyse(question: str, names: list[str] = ()) -> dict:
     """Keywords, intervals, speaker and intent of one question."""
     passages = parse_references(question)

@@ -58,3 +58,15 @@ def consolidated(points: DataFrame, gap: int = 2) -> DataFrame:
     new = F.when(F.col("s") - F.lag("s").over(chapter) <= gap, 0).otherwise(1)
     i = p.withColumn("new", new).withColumn("island", F.sum("new").over(chapter.rowsBetween(Window.unboundedPreceding, 0)))
     return i.groupBy("chapter", "island").agg(F.min("s").alias("s"), F.max("s").alias("e"), F.count("*").alias("n"), F.min("doc_id").alias("best")).drop("chapter", "island")
+
+
+def article_text(documents: DataFrame, reachable: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, text without heading marks, of the documents whose key is reachable."""
+    plain = F.regexp_replace(text, r"(?md)^#+ *", "")
+    return documents.join(reachable.select(key).distinct(), key, "left_semi").select(key, plain.alias("text"))
+
+
+def flat_dictionary(files: DataFrame) -> DataFrame:
+    """lang, code, gloss: the entries of dictionary files (lang, body as a JSON list of entries); a malformed file has none."""
+    entries = F.from_json("body", "array<struct<code string, gloss string>>")
+    return files.select("lang", F.explode(entries).alias("x")).select("lang", "x.code", "x.gloss").where("code IS NOT NULL")

@@ -66,3 +66,10 @@ def kind_of(tags: DataFrame) -> DataFrame:
 
 def namespace(tag: Column) -> Column:
     return F.split_part(tag, F.lit(":"), F.lit(1))
+
+
+def source_tree(tags: DataFrame, refs: DataFrame, namespace: str = "source") -> DataFrame:
+    """source, book, documents, passages: what each source of a namespace holds, by book. refs: doc_id, s, e."""
+    own = tags.where(F.col("tag").startswith(f"{namespace}:")).select("doc_id", F.substring("tag", len(namespace) + 2, 1 << 30).alias("source")).distinct()
+    placed = own.join(refs, "doc_id").groupBy("source", F.floor(F.col("s") / 1000000).alias("book"), "doc_id").agg(F.count("*").alias("m"))
+    return placed.groupBy("source", "book").agg(F.count("*").alias("documents"), F.sum("m").alias("passages"))
