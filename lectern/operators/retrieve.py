@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.operators import fts
 from lectern.operators.fusion import ranked
 from lectern.operators.intervals import overlap_join, within
+from lectern.operators.postings import Postings
 from lectern.operators.tags import tagged, untagged
 
 
@@ -31,6 +32,19 @@ def by_title(title_bags: DataFrame, terms: DataFrame, chunks: DataFrame, limit:
     return placed.join(canonical(chunks), "doc_id").select("query_id", "chunk_id", "rank", "score", "retriever")
 
 
+def by_index(index: Postings, terms: list[str], retriever: str = "fts", limit: int = 50) -> DataFrame:
+    """The best chunks out of a stored index, without the blocks that cannot hold one."""
+    return ranked(index.best(terms, limit), retriever, limit=limit)
+
+
+def by_title_index(index: Postings, terms: list[str], heads: DataFrame, limit: int = 20) -> DataFrame:
+    """The best titles out of a stored index (its units are document ids), scored by place. heads: doc_id, chunk_id."""
+    hit = ranked(index.best(terms, limit, "chunk_id"), "title", limit=limit)
+    n = hit.agg(F.count("*").alias("n"))
+    placed = hit.crossJoin(F.broadcast(n)).withColumn("score", F.round(1 - (F.col("rank") - 1) / F.col("n"), 6)).withColumnRenamed("chunk_id", "doc_id")
+    return placed.join(heads.select("doc_id", "chunk_id"), "doc_id").select("query_id", "chunk_id", "rank", "score", "retriever")
+
+
 def by_passage(refs: DataFrame, chunks: DataFrame, tags: DataFrame, passages: DataFrame, limit: int = 50) -> DataFrame:
     """Documents that overlap a passage and are at most 3000 wide, narrowest first; no bible or morphology."""
     own = untagged(refs.where("e - s <= 3000"), tags, "kind:bible", "kind:morphology")
@@ -69,7 +83,7 @@ def by_topic(topics: DataFrame, name: str, refs: DataFrame, chunks: DataFrame, l
 
 def by_cross_reference(xref: DataFrame, sources: DataFrame, refs: DataFrame, chunks: DataFrame, limit: int = 50) -> DataFrame:
     """Documents over the targets of source verses: editorial ones first, then by rank, nulls last."""
-    own = xref.join(F.broadcast(sources.select("source")), "source", "left_semi")
+    own = xref.join(sources.select("source"), "source", "left_semi")
     met = overlap_join(refs, own).groupBy("doc_id").agg(F.min(F.struct(F.when(F.col("attribution") == "F", 0).otherwise(1).alias("p"), F.coalesce("rank", F.lit(1 << 40)).alias("r"), "ts")).alias("best"))
     return ranked(met.join(canonical(chunks), "doc_id").withColumn("score", F.lit(1.0)), "xref", F.col("best"), F.col("chunk_id"), limit=limit)
 

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,6 +29,8 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 #: Vectors of a block, on either side, and the queries that one multiplication takes: 512 x 8192 products of 8 bytes.
 BLOCK, SLICE = 8192, 512
+#: Query vectors that travel to every task instead of being dealt into blocks; 8 bytes a component.
+CARRIED = 4096
 
 
 def _cell(k: int):
@@ -58,10 +61,46 @@ def _cell(k: int):
     return best
 
 
+def _carried(queries: DataFrame) -> pa.Table | None:
+    """The sound queries (q, qe) as a table if they are few."""
+    own = queries.where((F.size("qe") > 0) & ~F.exists("qe", lambda x: x.isNull())).select(F.col("q").cast("long").alias("q"), "qe")
+    few = own.limit(CARRIED + 1).toArrow()
+    return few if few.num_rows <= CARRIED else None
+
+
+def _met(queries: pa.Table, k: int):
+    """The k best of each query among the vectors of a partition, some thousand at a time; lengths meet their own."""
+    best, lengths = _cell(k), pc.list_value_length(queries.column("qe"))
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= BLOCK:
+                yield from _some(held)
+                held, rows = [], 0
+        yield from _some(held)
+
+    def _some(batches):
+        own = pa.Table.from_batches(batches) if batches else None
+        if own is None or not own.num_rows or not queries.num_rows:
+            return
+        size = pc.list_value_length(own.column("embedding"))
+        whole = pa.array([v is not None and None not in v for v in own.column("embedding").to_pylist()]) if own.column("embedding").combine_chunks().flatten().null_count or own.column("embedding").null_count else None
+        for n in pc.unique(size).to_pylist():
+            if n:
+                mine = pc.equal(size, n) if whole is None else pc.and_(pc.equal(size, n), whole)
+                yield from best(queries.filter(pc.equal(lengths, n)), own.filter(mine)).to_batches()
+
+    return run
+
+
 def ranked_neighbours(queries: DataFrame, vectors: DataFrame, k: int | None = None) -> DataFrame:
     """q, vec_id, sim, rn: other vectors by falling dot product, for a stated set of queries; the best k if given.
 
-    Queries and vectors are dealt into blocks of some ``BLOCK`` rows by hash, every block of queries meets every block
+    At most ``CARRIED`` queries are sent to the tasks that read the vectors, as one matrix (their number is counted first);
+    only the k best of each query and batch are shuffled. More queries and vectors are dealt into blocks of some ``BLOCK`` rows by hash, every block of queries meets every block
     of vectors in one multiplication, and only the k best of each query and block are shuffled. Vectors meet those of
     their own length; null vectors, null components and products that aren't finite give no neighbour. Without
     k, all pairs are the result, by a join of the query set with the table.
@@ -70,6 +109,10 @@ def ranked_neighbours(queries: DataFrame, vectors: DataFrame, k: int | None = No
     if k is None:
         sim = vectors.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(dot("qe", "embedding"), 6).alias("sim"))
     else:
+        few = _carried(q)
+        if few is not None:
+            sim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_met(few, k), "q long, vec_id long, sim double")
+            return sim.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "vec_id")).cast("long")).where(F.col("rn") <= k)
         rows, columns = (max(1, math.ceil(df.count() / BLOCK)) for df in (queries, vectors))
         deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.text import concordance_words, terms
-from lectern.operators import align, cards, corpus, expand, fts, fusion, graph, ranking, retrieve, tags, vectors
+from lectern.operators import align, cards, corpus, expand, fts, fusion, graph, lists, ranking, retrieve, tags, vectors
 from lectern.plans.registry import query
+from lectern.plans.views import doc_of
 from lectern.streaming import windows
 
 _Q = "q AS (SELECT term FROM (SELECT term, count(DISTINCT chunk_id) AS df FROM tokens GROUP BY term) WHERE df < 0.2 * (SELECT count(DISTINCT chunk_id) FROM tokens) ORDER BY df DESC, term LIMIT 3)"
@@ -45,13 +46,15 @@ def fts_03_partitions(t):
 
 @query("tokens", f"WITH {_FTS} SELECT u AS chunk_id, score FROM bm")
 def fts_04_bm25(t):
-    return fts.bm25(t.bags(), question(t))
+    index = t.index()
+    return index.bm25(index.frequent(3))
 
 
 @query("tokens tags", f"WITH {_FTS}, f AS (SELECT DISTINCT chunk_id, doc_id FROM tokens), {_CORPUS} SELECT u AS chunk_id, score FROM bm JOIN f ON f.chunk_id = u WHERE doc_id IN (SELECT doc_id FROM tags WHERE tag = 'lang:en') ORDER BY score DESC, chunk_id LIMIT 50")
 def fts_05_filtered(t):
-    own = tags.tagged(t.chunks().select("chunk_id", "doc_id"), t.tags(), "lang:en").select("chunk_id")
-    return fts.bm25(t.bags(), question(t)).join(own, "chunk_id").orderBy(F.desc("score"), "chunk_id").limit(50)
+    index = t.index()
+    found = index.bm25(index.frequent(3)).withColumn("doc_id", doc_of(F.col("chunk_id")))
+    return tags.tagged(found, t.tags(), "lang:en").select("chunk_id", "score").orderBy(F.desc("score"), "chunk_id").limit(50)
 
 
 _TT = "tt AS (SELECT doc_id, unnest(regexp_extract_all(lower(title), '[a-zà-öø-ÿß]{3,}')) AS term FROM titles)"
@@ -60,12 +63,12 @@ _TT = "tt AS (SELECT doc_id, unnest(regexp_extract_all(lower(title), '[a-zà-ö
 
 @query("tokens titles chunks", f"WITH {_Q}, {_TT}, {_BM.format(u='doc_id', t='tt')}, {_CAN}, r AS (SELECT u AS doc_id, row_number() OVER (ORDER BY score DESC, u) AS rank FROM bm) SELECT 0::BIGINT AS query_id, chunk_id, rank, round(1 - (rank - 1) / (SELECT count(*) FROM r WHERE rank <= 20), 6) AS score, 'title' AS retriever FROM r JOIN can USING (doc_id) WHERE rank <= 20")
 def ret_02_title(t):
-    return retrieve.by_title(t.title_bags(), question(t), t.chunks())
+    return retrieve.by_title_index(t.title_index(), t.index().frequent(3), t.heads())
 
 
 @query("tokens titles", f"WITH {_Q}, {_TT}, {_BM.format(u='doc_id', t='tt')} SELECT u AS doc_id, score FROM bm")
 def fts_06_titles(t):
-    return fts.bm25(t.title_bags(), question(t), "doc_id")
+    return t.title_index().bm25(t.index().frequent(3), "doc_id")
 
 
 @query("tokens", "WITH hit AS (SELECT chunk_id, min(pos) AS p FROM tokens WHERE term = 'les' GROUP BY chunk_id) SELECT chunk_id, string_agg(CASE WHEN term = 'les' THEN '<<les>>' ELSE term END, ' ' ORDER BY pos) AS snippet FROM tokens JOIN hit USING (chunk_id) WHERE pos BETWEEN p - 7 AND p + 8 GROUP BY chunk_id")
@@ -98,7 +101,7 @@ def fts_05b_isolated(t):
 
 @query("tokens", f"WITH {_FTS} " + _hits("(SELECT u AS chunk_id, score FROM bm)", "fts"))
 def ret_01_fts(t):
-    return retrieve.by_text(t.bags(), question(t))
+    return retrieve.by_index(t.index(), t.index().frequent(3))
 
 
 _PASS = "ps AS (SELECT doc_id AS query_id, s AS qs, e AS qe FROM refs WHERE doc_id % 50 = 0)"
@@ -274,7 +277,9 @@ def exp_14_synthetic_tags(t):
 
 
 def _three(t):
-    return retrieve.by_text(t.bags(), question(t)).unionByName(retrieve.by_title(t.title_bags(), question(t), t.chunks())).unionByName(retrieve.by_tags(t.tags(), t.chunks(), ["toxic:1", "kind:term"]))
+    index, heads = t.index(), t.heads()
+    words = index.frequent(3)
+    return retrieve.by_index(index, words).unionByName(retrieve.by_title_index(t.title_index(), words, heads)).unionByName(retrieve.by_tags(t.tags(), heads, ["toxic:1", "kind:term"]))
 
 
 _THREE = (
@@ -328,8 +333,9 @@ def fus_05_gather(t):
 
 @query("tokens titles chunks tags", f"WITH {_THREE}, f AS (SELECT chunk_id, round(sum(1.0 / (60 + rank)), 8) AS score FROM hits GROUP BY chunk_id), k AS (SELECT doc_id, min(tag[6:]) AS kind FROM tags WHERE tag LIKE 'kind:%' GROUP BY 1), r AS (SELECT kind, chunk_id, score, count(*) OVER w AS total, round(score / max(score) OVER w, 4) AS relative, row_number() OVER (PARTITION BY kind ORDER BY score DESC, chunk_id) AS place FROM f JOIN chunks USING (chunk_id) JOIN k USING (doc_id) WINDOW w AS (PARTITION BY kind)) SELECT 0::BIGINT AS query_id, kind, chunk_id, score, relative, place, total FROM r WHERE place <= 8")
 def fus_06_branches(t):
-    kinds = t.chunks().select("chunk_id", "doc_id").join(tags.kind_of(t.tags()), "doc_id").select("chunk_id", "kind")
-    return fusion.branches(fusion.rrf(_three(t)).drop("retrievers"), kinds)
+    fused = fusion.rrf(_three(t)).drop("retrievers")
+    kinds = fused.select("chunk_id", doc_of(F.col("chunk_id")).alias("doc_id")).join(tags.kind_of(t.tags()), "doc_id").select("chunk_id", "kind")
+    return fusion.branches(fused, kinds)
 
 
 @query("tokens titles chunks tags", f"WITH {_THREE}, f AS (SELECT chunk_id, round(sum(1.0 / (60 + rank)), 8) AS score, count(*) AS agree FROM hits GROUP BY chunk_id) SELECT chunk_id, score, agree, score >= 0.8 * max(score) OVER () AS featured FROM f ORDER BY score DESC, chunk_id LIMIT 10")
@@ -341,8 +347,8 @@ def fus_07_featured(t):
 
 @query("tokens titles chunks tags", f"WITH {_THREE}, f AS (SELECT chunk_id, round(sum(1.0 / (60 + rank)), 8) AS score FROM hits GROUP BY chunk_id) SELECT c.chunk_id, f.score, t.title FROM f JOIN chunks c USING (chunk_id) JOIN titles t USING (doc_id) ORDER BY score DESC, chunk_id LIMIT 10")
 def fus_08_flat(t):
-    top = fusion.rrf(_three(t)).orderBy(F.desc("score"), "chunk_id").limit(10)
-    return top.join(t.chunks(), "chunk_id").join(t.titles(), "doc_id").select("chunk_id", "score", "title")
+    top = fusion.rrf(_three(t)).orderBy(F.desc("score"), "chunk_id").limit(10).withColumn("doc_id", doc_of(F.col("chunk_id")))
+    return top.join(t.titles(), "doc_id").select("chunk_id", "score", "title")
 
 
 @query("", f"WITH {_NN} SELECT q, vec_id, sim, rn FROM nn WHERE rn <= 20")
@@ -351,6 +357,55 @@ def vec_01_knn(t):
     return vectors.ranked_neighbours(v.where("vec_id % 50 = 0"), v, 20)
 
 
+_KINDED = "ok AS (SELECT doc_id AS vec_id FROM tags WHERE tag = 'lang:en' AND doc_id IN (SELECT doc_id FROM tags WHERE tag IN ('kind:note', 'kind:article', 'kind:term')))"
+
+
+@query("tags", f"WITH {_NN}, {_KINDED}, f AS (SELECT q, vec_id, sim, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS rn FROM nn JOIN ok USING (vec_id) WHERE rn <= 160) SELECT * FROM f WHERE rn <= 20")
+def vec_01b_filtered(t):
+    """Over-fetched eightfold, then filtered by language and kind."""
+    v = t.table("embeddings")
+    return lists.post_filtered(vectors.ranked_neighbours(v.where("vec_id % 50 = 0"), v, 160), _scoped(t), 20)
+
+
+def _scoped(t):
+    own = t.table("documents").select("doc_id")
+    for wanted in (["lang:en"], ["kind:note", "kind:article", "kind:term"]):
+        own = tags.tagged(own, t.tags(), *wanted)
+    return own.withColumnRenamed("doc_id", "vec_id")
+
+
+@query("", "SELECT count(*) AS vectors, 2 * count(*) AS stored FROM embeddings WHERE embedding IS NOT NULL")
+def snk_08_lists(t):
+    return t.vector_index().lists().agg(F.countDistinct("vec_id").alias("vectors"), F.count("*").alias("stored"))
+
+
+@query("", "SELECT unnest(['plain', 'filtered']) AS search, count(*) FILTER (vec_id % 50 = 0) AS queries, true AS reached FROM embeddings")
+def snk_08_recall(t):
+    """Whether 95 of 100 of the exact 20 nearest come out of the stored lists, without and with a post-filter."""
+    v, index = t.table("embeddings"), t.vector_index()
+    q = v.where("vec_id % 50 = 0")
+    found = {"plain": (vectors.ranked_neighbours(q, v, 20), index.search(q, 20)), "filtered": (lists.post_filtered(vectors.ranked_neighbours(q, v, 160), _scoped(t), 20), lists.post_filtered(index.search(q, 20, over=8), _scoped(t), 20))}
+    asked = q.agg(F.count("*").alias("queries"))
+    out = None
+    for name, (exact, near) in found.items():
+        met = exact.select("q", "vec_id").join(near.select("q", "vec_id", F.lit(1).alias("hit")), ["q", "vec_id"], "left").agg((F.count("hit") >= 0.95 * F.count("*")).alias("reached"))
+        row = met.crossJoin(asked).select(F.lit(name).alias("search"), "queries", "reached")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("tokens titles", f"WITH {_TT} SELECT 'chunks' AS name, count(DISTINCT chunk_id) AS units, count(DISTINCT term) AS terms, count(DISTINCT (chunk_id, term)) AS postings, count(*) AS words FROM tokens UNION ALL SELECT 'titles', count(DISTINCT doc_id), count(DISTINCT term), count(DISTINCT (doc_id, term)), count(*) FROM tt")
+def snk_02_index(t):
+    """What the stored indexes hold, read back from their blocks."""
+    out = None
+    for name, index in (("chunks", t.index()), ("titles", t.title_index())):
+        own = index.spark.read.parquet(f"{index.path}/blocks")
+        n = own.agg(F.countDistinct("term").alias("terms"), F.sum("n").alias("postings"), F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda s, x: s + x)).alias("words"))
+        row = n.select(F.lit(name).alias("name"), F.lit(index.stats["n"]).cast("long").alias("units"), "terms", "postings", "words")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("", "SELECT d.doc_id, v.label FROM documents d JOIN embeddings v ON v.vec_id = d.doc_id")
 def vec_02_fetch(t):
     return t.table("documents").select("doc_id").join(t.table("embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id").select("doc_id", "label")

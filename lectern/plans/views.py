@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import terms
+from lectern.operators import lists, postings
+from lectern.sources import store
 
 KINDS = ("article", "note", "question", "term", "lexicon", "bible", "morphology", "transcript")
 
@@ -24,9 +26,32 @@ class Tables:
 
         A file of one row group is read by one task. Tables of many files stay where they are read, without a shuffle.
         """
-        df, cores = self.table(name), self.spark.sparkContext.defaultParallelism
-        own = df.select(*columns)
-        return own.repartition(cores) if len(df.inputFiles()) < cores else own
+        own, cores = self.table(name).select(*columns), self.spark.sparkContext.defaultParallelism
+        return own.repartition(cores) if store.files(self.spark, self.path(name)) < cores else own
+
+    def path(self, name: str) -> str:
+        return f"{self.dir}/{name}.parquet"
+
+    def index(self) -> postings.Postings:
+        """The chunks' stored inverted index, built once for the table as it lies there, with each document's first chunk."""
+
+        def build(path: str) -> dict:
+            self.chunks().select("chunk_id", "doc_id", "chunk_index").groupBy("doc_id").agg(F.min_by("chunk_id", "chunk_index").alias("chunk_id"), F.min("chunk_index").alias("chunk_index")).write.parquet(f"{path}/heads")
+            return postings.build(self.bags(), path)
+
+        return postings.Postings(self.spark, *store.derived(self.spark, "chunks", [self.path("documents")], build))
+
+    def title_index(self) -> postings.Postings:
+        """The titles' stored inverted index; its units are documents."""
+        return postings.Postings(self.spark, *store.derived(self.spark, "titles", [self.path("documents")], lambda path: postings.build(self.title_bags(), path, "doc_id")))
+
+    def heads(self) -> DataFrame:
+        """doc_id, chunk_id, chunk_index of each document's first chunk, as stored with the index."""
+        return self.spark.read.parquet(f"{self.index().path}/heads")
+
+    def vector_index(self) -> lists.Lists:
+        """The embeddings' stored inverted lists."""
+        return lists.Lists(self.spark, *store.derived(self.spark, "vectors", [self.path("embeddings")], lambda path: lists.build(self.table("embeddings"), path)))
 
     def chunks(self) -> DataFrame:
         """chunk_id, doc_id, chunk_index, body: the documents' lines."""
@@ -129,6 +154,11 @@ class Tables:
         return w.select((ref * 100 + F.col("idx")).alias("node"), ref.alias("ref"), F.col("lemma").alias("lex"), F.substring("morph", 1, 1).alias("stem"), (F.length("surface") % 4).cast("long").alias("sense"), "surface")
 
 
+def doc_of(chunk_id: Column) -> Column:
+    """The document of a chunk, which its key begins with."""
+    return F.substring_index(chunk_id, ":", 1).cast("long")
+
+
 _KEY = "({0} % 66 + 1) * 1000000 + ({0} * 7 % 50 + 1) * 1000 + {0} * 13 % 30 + 1"
 #: The same views as DuckDB CTEs; those they need come first.
 CTES = {
