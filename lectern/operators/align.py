@@ -6,6 +6,9 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lectern.operators.linkage import linked
 
 
 def lcs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
@@ -53,28 +56,11 @@ def block_diff(left: DataFrame, right: DataFrame, key: str, order: str, code: st
 
 
 def single_linkage(df: DataFrame, key: str, item: str, vector: str, threshold: float) -> DataFrame:
-    """key, item, cluster: within each key, items linked by a cosine of ``threshold`` or more, named by the least item."""
-    import numpy as np
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(item)
-        x = np.array(g[vector].tolist(), float)
-        size = np.sqrt((x * x).sum(1))
-        x = x / np.where(size > 0, size, 1)[:, None]
-        parent = list(range(len(g)))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for at in range(0, len(g), 512):
-            for i, j in zip(*np.nonzero(x[at : at + 512] @ x.T >= threshold)):
-                a, b = root(int(i) + at), root(int(j))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-        ids = g[item].tolist()
-        return pd.DataFrame({"key": g[key].iloc[0], "item": ids, "cluster": [ids[root(i)] for i in range(len(g))]}).astype("int64")
-
-    return df.groupBy(key).applyInPandas(run, "key long, item long, cluster long")
+    """key, item, cluster: within each key, items linked by a cosine of ``threshold`` or more, named by the least item.
+
+    Items (whole numbers, not below zero) are unique within their key; no key is held by one task.
+    """
+    name = F.concat_ws("|", F.col(key).cast("string"), F.lpad(F.col(item).cast("string"), 19, "0"))  # sorts as the number does
+    items = df.select(F.col(key).alias("key"), F.col(item).alias("item"), name.alias("id"), F.col(vector).alias("vector"))
+    found = linked(items.select("key", "id", "vector"), threshold)
+    return items.join(found, "id").select("key", "item", F.substring_index("cluster", "|", -1).cast("long").alias("cluster"))

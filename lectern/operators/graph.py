@@ -37,7 +37,7 @@ def view(edges: DataFrame) -> DataFrame:
     return out.unionByName(edges.select(F.col("target_id").alias("id"), "relation", F.lit("in").alias("direction"), F.col("source_id").alias("other")))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """A frontier without its lineage, in the shared checkpoint folder; a temporary one only for a local master."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -52,12 +52,12 @@ def ancestors(edges: DataFrame, relation: str, depth: int = 8) -> DataFrame:
 
     Each hop joins only the pairs that the one before reached for the first time, and the walk ends with none left.
     """
-    e = _cut(edges.where(F.col("relation") == relation).select("source_id", "target_id").distinct())
+    e = cut(edges.where(F.col("relation") == relation).select("source_id", "target_id").distinct())
     now = e.select(F.col("source_id").alias("id"), F.col("target_id").alias("ancestor"), F.lit(1).cast("long").alias("hops"))
     out = now
     for hop in range(2, depth + 1):
         met = now.join(e, F.col("ancestor") == F.col("source_id")).select("id", F.col("target_id").alias("ancestor")).distinct()
-        now = _cut(met.join(out, ["id", "ancestor"], "left_anti").withColumn("hops", F.lit(hop).cast("long")))
+        now = cut(met.join(out, ["id", "ancestor"], "left_anti").withColumn("hops", F.lit(hop).cast("long")))
         if now.isEmpty():
             break
         out = out.unionByName(now)
@@ -68,3 +68,21 @@ def without_dangling(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Edges whose ends both exist."""
     e = entities.select("id")
     return edges.join(e, edges["source_id"] == e["id"], "left_semi").join(e.withColumnRenamed("id", "tid"), F.col("target_id") == F.col("tid"), "left_semi")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component: the least node that each node of undirected edges (u, v) is connected with.
+
+    Every round takes the least label among the neighbours, then the label of that label, so long paths halve; it ends when no
+    label moves. Labels are minima, summed up before they are shuffled, and each round is cut from its lineage.
+    """
+    both = cut(edges.where("u != v").select("u", "v").union(edges.where("u != v").select("v", "u")).distinct())
+    now = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("component")).withColumnRenamed("u", "node"))
+    while True:
+        near = both.join(now, F.col("u") == F.col("node")).groupBy("v").agg(F.min("component").alias("least")).withColumnRenamed("v", "node")
+        least = now.join(near, "node").select("node", F.least("component", "least").alias("component"), F.col("component").alias("old"))
+        of = now.select(F.col("node").alias("component"), F.col("component").alias("of"))
+        moved = cut(least.join(of, "component").select("node", F.least("component", "of").alias("component"), "old"))
+        now = moved.drop("old")
+        if moved.where("component != old").isEmpty():
+            return now

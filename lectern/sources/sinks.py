@@ -63,12 +63,34 @@ def embed_missing(chunks: DataFrame, vectors: DataFrame, encode: Callable[[list[
     if stored_model not in (None, model):
         raise ValueError(f"the store holds vectors of {stored_model}, not of {model}")
     todo = chunks.where(F.trim("body") != "").join(vectors.select("id"), "id", "left_anti").select("id", "body")
+    return encoded(todo, "id", "body", encode).select("id", F.col("embedding").cast("array<float>").alias("embedding"))
+
+
+def encoded(texts: DataFrame, key: str, text: str, encode: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """key (text), embedding of each row, encoded in batches."""
 
     def run(batches):
         for pdf in batches:
-            yield pdf[["id"]].assign(embedding=encode(pdf.body.tolist()))
+            yield pdf[[key]].assign(embedding=encode(pdf[text].tolist()))
+
+    return texts.select(F.col(key).cast("string").alias(key), text).mapInPandas(run, f"`{key}` string, embedding array<double>")
+
 
-    return todo.mapInPandas(run, "id string, embedding array<float>")
+def embed_contexts(rows: DataFrame, key: str, text: str, encode: Callable[[list[str]], list[list[float]]], model: str, stored: DataFrame | None = None, stored_model: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new, joined): vectors (digest, embedding) of the distinct texts that ``stored`` lacks, and key, digest, embedding of all rows.
+
+    Equal texts are told by their SHA-256 and encoded once; blank and null texts have no vector. Refuses to mix models.
+    ``new`` is to be written before ``joined`` is read, which encodes it again otherwise.
+    """
+    if stored_model not in (None, model):
+        raise ValueError(f"the store holds vectors of {stored_model}, not of {model}")
+    own = rows.where(F.trim(text) != "").select(key, text, F.sha2(F.col(text), 256).alias("digest"))
+    todo = own.select("digest", text).dropDuplicates(["digest"])
+    if stored is not None:
+        todo = todo.join(stored.select("digest"), "digest", "left_anti")
+    new = encoded(todo, "digest", text, encode)
+    every = new if stored is None else new.unionByName(stored.select("digest", F.col("embedding").cast("array<double>").alias("embedding")))
+    return new, own.select(key, "digest").join(every, "digest")
 
 
 def hashed(texts: list[str], dims: int = 64) -> list[list[float]]:

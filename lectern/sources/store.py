@@ -38,6 +38,11 @@ def files(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getFileCount()
 
 
+def as_pattern(path: str) -> str:
+    """A path as a pattern that only it matches: a stream can then read a table that is one file as well as a folder of files."""
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def versions(spark: SparkSession, folder: str) -> list[int]:
     """Published versions, oldest first."""
     fs, p = _files(spark, folder)
