@@ -6,11 +6,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.vocabulary import SUFFIXES
+
 TERM = "[a-zà-öø-ÿß]{3,}"
-#: Function words that keyword extraction drops.
+#: Function words of four languages that the queries over the given tables drop; a parameter of the functions below.
 STOPWORDS = ("the", "and", "for", "with", "this", "that", "from", "was", "are", "der", "die", "das", "und", "les", "des", "que", "los", "las", "una", "por")
-#: English suffixes of the naive stripper, longest first.
-SUFFIXES = ("ations", "ation", "ings", "ness", "ing", "ies", "ed", "es", "s")
 #: Legacy language codes and their ISO 639-3 forms.
 LANGUAGES = {"en": "eng", "de": "deu", "es": "spa", "fr": "fra", "he": "heb", "el": "grc"}
 
@@ -41,12 +41,18 @@ def slug(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
-def strip_suffix(word: Column, least: int = 3) -> Column:
-    """The word without the first matching suffix that leaves ``least`` characters."""
-    tried = [F.when(word.endswith(s) & (F.length(word) - len(s) >= least), F.substring(word, F.lit(1), F.length(word) - len(s))) for s in SUFFIXES]
+def strip_suffix(word: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The word without the first of the suffixes that leaves more than two letters; itself without one."""
+    tried = [F.when(word.endswith(s) & (F.length(word) > len(s) + 2), F.substring(word, F.lit(1), F.length(word) - len(s))) for s in suffixes]
     return F.coalesce(*tried, word)
 
 
+def known_stem(word: Column, known: Column) -> Column:
+    """The word if the map or array ``known`` has it, else the first of its stripped forms that it has, else null."""
+    forms = [word, *[F.when(word.endswith(s) & (F.length(word) > len(s) + 2), F.substring(word, F.lit(1), F.length(word) - len(s))) for s in SUFFIXES]]
+    return F.coalesce(*[F.when(F.array_contains(known, f), f) for f in forms])
+
+
 def gloss(text: Column) -> Column:
     """A gloss without brackets, punctuation and function words."""
     flat = F.regexp_replace(F.regexp_replace(F.lower(text), r"\([^)]*\)|\[[^\]]*\]", " "), r"[^a-z ]+", " ")

@@ -111,16 +111,6 @@ def questions(t):
     return t.table("nation").select(n.alias("q"), text.alias("text"))
 
 
-@query("", f"WITH {_QUESTIONS}, {_PARTS} SELECT q, term, relation, name, CASE WHEN len(string_split(topic, ' ')) <= 4 THEN topic END AS topic, code, xref, morphology, methodology, book FROM parts")
-def fn_26_sub_classifiers(t):
-    return questions(t).select("q", *[c.alias(k) for k, c in study.sub_intents(F.col("text")).items()])
-
-
-@query("", f"WITH {_QUESTIONS}, {_PARTS} SELECT q, {_INTENT} AS intent FROM parts")
-def fn_28_analysis(t):
-    return questions(t).select("q", study.intent_of(study.sub_intents(F.col("text"))).alias("intent"))
-
-
 @query("", f"WITH {_QUESTIONS}, {_PARTS}, i AS (SELECT *, {_INTENT} AS intent FROM parts) SELECT q, CASE WHEN intent = 'topic' THEN 'Verses that the topical index groups under ''' || topic || '''' WHEN intent = 'xref' THEN 'Cross-references for GEN 1:' || (q + 1) WHEN intent = 'genealogy' THEN 'Entity graph: ' || relation || '-of of ' || name WHEN intent = 'word_study' THEN 'Lexicon entries for the queried word' END AS line FROM i")
 def sup_24_intent_line(t):
     p = study.sub_intents(F.col("text"))

@@ -90,7 +90,7 @@ def fn_15_slug(t):
     return t.titles().select("doc_id", text.slug(F.col("title")).alias("slug"))
 
 
-_STOP = "'" + "', '".join(text.STOPWORDS) + "'"
+_STOP = "'the','and','for','with','this','that','from','was','are','der','die','das','und','les','des','que','los','las','una','por'"
 
 
 @query("tokens", f"SELECT chunk_id, list(term ORDER BY pos) AS words FROM (SELECT chunk_id, term, min(pos) AS pos FROM tokens GROUP BY 1, 2) WHERE term NOT IN ({_STOP}) GROUP BY chunk_id")
@@ -109,7 +109,7 @@ def fn_18_porter(t):
     return vocabulary.select("term", text.porter_stem("term").alias("stem"))
 
 
-_STRIP = "coalesce(" + ", ".join(f"CASE WHEN w LIKE '%{s}' AND len(w) - {len(s)} >= 3 THEN w[1:len(w) - {len(s)}] END" for s in text.SUFFIXES) + ", w)"
+_STRIP = "coalesce(" + ", ".join(f"CASE WHEN suffix(w, '{s}') AND len(w) > {len(s) + 2} THEN w[1:len(w) - {len(s)}] END" for s in ("d", "s", "es", "ed", "ing", "er", "est", "ly", "ness")) + ", w)"
 
 
 @query("tokens", f"SELECT w, {_STRIP} AS stem FROM (SELECT DISTINCT term AS w FROM tokens)")
@@ -249,23 +249,3 @@ def fn_44_json(t):
 @query("entities", "SELECT id, lower(metadata->>'description')[1:160] AS summary FROM entities")
 def fn_45_json_summary(t):
     return t.entities().select("id", F.substring(F.lower(F.get_json_object("metadata", "$.description")), 1, 160).alias("summary"))
-
-
-#: The words that give a question's intent away, by precedence.
-INTENTS = (("xref", "(die|que)"), ("genealogy", "(der|los)"), ("word_study", "(the|les)"), ("topic", "(of|des)"))
-
-
-@query("titles", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(title), '(^|\\s){p}(\\s|$)') THEN '{n}'" for n, p in INTENTS) + " ELSE 'thematic' END AS intent FROM titles")
-def fn_27_intent(t):
-    from lectern.operators.analyze import intent
-
-    return t.titles().select("doc_id", intent(F.lower("title"), INTENTS).alias("intent"))
-
-
-@query("tokens", "WITH s(lang, term) AS (VALUES ('en','the'),('en','and'),('de','der'),('de','die'),('es','que'),('es','los'),('fr','les'),('fr','des')), h AS (SELECT doc_id, s.lang, count(*) AS hits FROM tokens JOIN s USING (term) GROUP BY 1, 2), n AS (SELECT doc_id, count(*) AS n FROM tokens GROUP BY 1), r AS (SELECT doc_id, lang, hits, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, lang) AS rn FROM h) SELECT n.doc_id, CASE WHEN r.hits / n.n >= 0.02 THEN r.lang ELSE 'en' END AS detected FROM n LEFT JOIN r ON r.doc_id = n.doc_id AND r.rn = 1")
-def fn_13_detect_language(t):
-    from lectern.operators.analyze import detect_language
-
-    return detect_language(t.tokens(), t.spark, floor=0.02)
-
-
