@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import components, decontam, minhash, packing, pii, pq, quality, sharding, suffix, superkmer, toxicity
+from lectern.llm import ballmeans, components, decontam, minhash, multiset, packing, periods, pii, pq, quality, sharding, suffix, superkmer, toxicity
 from lectern.llm.common import materialise
 from lectern.llm.queries import ORACLE, QUERIES, tokenizer
 
@@ -436,3 +436,211 @@ def test_oracle(name, spark, sf_dir):
     columns = [d[0] for d in r.description]
     assert sorted(columns) == sorted(df.columns)
     assert sorted(tuple(x[columns.index(c)] for c in sorted(columns)) for x in r.fetchall()) == sorted(tuple(x[c] for c in sorted(columns)) for x in df.collect())
+
+
+def lloyd(x, centroids, rounds):
+    """Plain k-means over whole numbers: (clusters, distances, centroids)."""
+    x, c = [list(map(int, v)) for v in x], [list(map(int, v)) for v in centroids]
+
+    def assign():
+        d = [[sum((a - b) ** 2 for a, b in zip(v, k)) for k in c] for v in x]
+        return [min(range(len(c)), key=lambda j: (row[j], j)) for row in d], [min(row) for row in d]
+
+    for _ in range(rounds):
+        own, _ = assign()
+        for j in range(len(c)):
+            mine = [v for v, o in zip(x, own) if o == j]
+            if mine:
+                c[j] = [sum(col) // len(mine) for col in zip(*mine)]
+    return *assign(), c
+
+
+@pytest.mark.parametrize("k", [8, 3])
+def test_ball_kmeans_is_lloyd(spark, k):
+    rng = np.random.default_rng(k)
+    x = np.concatenate([rng.normal(size=(60, 4)), rng.normal(size=(60, 4)) * 0.05 + 2, np.repeat([[0.5, -0.5, 0.25, 0.0]], 40, 0)])
+    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)]
+    odd = [(900, None, 1), (901, [1.0], 1), (902, [None] * 4, 1), (903, [float("nan")] * 4, 1), (904, [float("inf"), 0.0, 0.0, 0.0], 1), (905, [1e300, -1e300, 0.0, 0.0], 1), (None, [0.1, 0.2, 0.3, 0.4], 1), (7, rows[7][1], 1)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, cluster int").repartition(5)
+    kept = [(i, [max(-(1 << 26), min(1 << 26, int(np.floor(np.float64(v) * 1024)) if abs(v) < 1e20 else int(np.sign(v)) * (1 << 26))) for v in e]) for i, e, _ in rows + odd[5:]]
+    named = sorted((r for r in kept if r[0] is not None), key=lambda r: (sha256(f"3:{r[0]}".encode()).hexdigest(), r[1]))[:k]
+    own, far, centres = lloyd([v for _, v in kept], [v for _, v in named], 10)
+    got = sorted(((r["vec_id"] if r["vec_id"] is not None else -1, r["cluster"], r["distance"]) for r in ballmeans.clustered(df, clusters=k, dimensions=4).collect()))
+    assert got == sorted((i if i is not None else -1, c, d) for (i, _), c, d in zip(kept, own, far))
+    first = ballmeans.clustered(df, clusters=k, dimensions=4).where("vec_id = 0").first()
+    assert first["inertia"] == sum(far) and first["cluster_inertia"] == sum(d for c, d in zip(own, far) if c == first["cluster"])
+    assert first["centroid_sha256"] == sha256(",".join(map(str, centres[first["cluster"]])).encode()).hexdigest()
+
+
+def test_balls_spare_distances():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.integers(-30, 30, (300, 8)) + 1000 * np.eye(8, dtype=int)[i] for i in range(8)])
+    c = np.array([x[i * 300 : (i + 1) * 300].mean(0) for i in range(8)]).astype(np.int64)
+    own, d, all_done = ballmeans.Balls(c, None).nearest(x, None)
+    again, _, done = ballmeans.Balls(c, [int(d[own == i].max()) for i in range(8)]).nearest(x, own)
+    assert (again == own).all() and done == len(x) and all_done == 8 * len(x)  # all in stable cores
+
+
+def test_ball_kmeans_of_little(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert ballmeans.clustered(df).count() == 0
+    two = spark.createDataFrame([(1, [1.0] * 64), (2, [2.0] * 64)], "vec_id long, embedding array<float>")
+    assert sorted(r["distance"] for r in ballmeans.clustered(two).collect()) == [0, 0]
+
+
+def plain_sums(text):
+    """Fingerprint lanes of a text: identity lanes, then signed likeness lanes."""
+    import re
+    from hashlib import md5
+
+    identity, likeness = [0] * 16, [0] * 128
+    for p in text.split("\n"):
+        h = "".join(sha256(f"{k}:{p}".encode()).hexdigest() for k in range(2))
+        for i in range(16):
+            identity[i] = (identity[i] + int(h[8 * i : 8 * i + 8], 16)) % 2**32
+    for piece in re.findall(multiset.PIECE, text):
+        m = md5(piece.encode()).hexdigest()
+        for t in range(2):
+            b = int(m[16 * t : 16 * t + 16], 16)
+            for j in range(32):
+                for high in range(2):
+                    likeness[64 * t + 2 * j + high] += 1 if b >> (32 * high + j) & 1 else -1
+    return identity, likeness
+
+
+def plain_fingerprint(text):
+    identity, likeness = plain_sums(text)
+    return "".join(f"{v:08x}" for v in identity) + "".join(f"{v % 2**24:06x}" for v in likeness)
+
+
+def plain_likeness(a, b):
+    if plain_fingerprint(a) == plain_fingerprint(b):
+        return 1.0
+    x, y = plain_sums(a)[1], plain_sums(b)[1]
+    norm = (sum(v * v for v in x) * sum(v * v for v in y)) ** 0.5
+    return round(min(max(sum(p * q for p, q in zip(x, y)) / norm, 0.0), 1.0), 6) if norm else 0.0
+
+
+TEXTS = {1: "one, two three four five six.\nnext line\n\nlast", 2: None, 3: "", 4: "a", 5: "b\nc", 6: "c\nb", 7: "ü€𝄞 x\n" * 30, 8: "same text here", 9: "same text here", 10: "word " * 5000, 11: "\n\n"}
+
+
+@pytest.mark.parametrize("partitions", ["4", "1"])
+def test_multiset_fingerprints(spark, partitions):
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.createDataFrame([(i, t, 3) for i, t in TEXTS.items()] + [(None, "no id\nat all", 3)], "doc_id long, text string, sums int").repartition(3)
+        got = {r["doc_id"]: r for r in multiset.edited(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    order = sorted(TEXTS, reverse=True)
+    for i in [*TEXTS, None]:
+        text = (TEXTS[i] if i is not None else "no id\nat all") or ""
+        follows = TEXTS[order[(order.index(i) + 1) % len(order)]] or "" if i is not None else None
+        half = len(text) // 2
+        edit = text[: len(text) - half] + (follows or "")[:half]
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), sha256(edit.encode()).hexdigest()), i
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (plain_fingerprint(text), plain_fingerprint(edit)), i
+        assert r["near_edited"] == pytest.approx(plain_likeness(text, edit), abs=2e-6), i
+        assert r["near_next"] == (pytest.approx(plain_likeness(text, follows), abs=2e-6) if follows is not None else 0.0), i
+    assert got[5]["fingerprint"] == got[6]["fingerprint"] and got[8]["fingerprint"] == got[9]["fingerprint"] != got[5]["fingerprint"]
+
+
+def test_fingerprints_of_shared_ids(spark):
+    rows = [(5, f"text {i % 7}") for i in range(40)] + [(9, "top"), (1, "low")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = multiset.edited(df).collect()
+    assert len(got) == 42
+    heads = {i: [r for r in got if r["doc_id"] == i] for i in (9, 5, 1)}
+    half = lambda a, b: sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest()
+    assert heads[1][0]["edited_sha256"] == half("low", "top")
+    assert sum(r["edited_sha256"] == half("text 0", "low") for r in heads[5]) <= 1 and heads[9][0]["edited_sha256"] in {half("top", f"text {i}") for i in range(7)}
+    assert multiset.edited(df.where("false")).count() == 0
+    one = multiset.edited(df.where("doc_id = 9")).first()
+    assert one["near_next"] == 1.0 and one["edited_sha256"] == half("top", "top")
+
+
+def test_fingerprints_grow_and_shrink(spark):
+    df = spark.createDataFrame([("a, b c\nd", "e f\nd", "d\na, b c\ne f\nd")], "x string, y string, both string")
+    p = lambda c: multiset.fingerprints(df.select(F.lit(1).alias("doc_id"), F.col(c).alias("text"))).select(F.col("fingerprint").alias(c))
+    row = p("x").crossJoin(p("y")).crossJoin(p("both"))
+    r = row.select("*", multiset.inserted(F.col("x"), F.col("y")).alias("sum"), multiset.deleted(F.col("both"), F.col("y")).alias("rest"), multiset.likeness(multiset.decoded(F.col("both")), multiset.decoded(F.col("x"))).alias("near")).first()
+    assert r["sum"] == r["both"] and r["rest"] == r["x"] and 0.4 < r["near"] < 1
+
+
+def plain_runs(w):
+    """Every run by looking at every lag and place."""
+    out = []
+    for q in range(1, len(w) // 4 + 1):
+        s = 0
+        while s < len(w):
+            e = s
+            while e + q < len(w) and w[e] == w[e + q]:
+                e += 1
+            length = e - s + q
+            if e > s and length >= max(6, 4 * q) and not any(all(w[s + i] == w[s + i + d] for i in range(length - d)) for d in range(1, q)):
+                out.append((s, length, q))
+            s = e + 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("heavy", [64, 3])
+def test_periodic_runs(spark, monkeypatch, heavy):
+    monkeypatch.setattr(periods, "HEAVY", heavy)
+    rng = random.Random(heavy)
+    texts = {}
+    for i in range(120):
+        k = rng.choice([1, 2, 3, 30])
+        w = [f"w{rng.randrange(k)}" for _ in range(rng.randrange(0, 160))]
+        for _ in range(rng.randrange(4)):
+            unit = [f"w{rng.randrange(k)}" for _ in range(rng.randrange(1, 45))]
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = unit * rng.randrange(2, 7) + unit[: rng.randrange(len(unit))]
+        texts[i] = " ".join(w)
+    texts |= {500: None, 501: "", 502: "a a a a a", 503: "a a a a a a", 504: "\ta\x0bb a b\x0ca b a b ", 505: "x y z " * 4000}
+    batch = [(i, (t or "").encode().split()) for i, t in texts.items()]
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_arrays([pa.array([i for i, _ in batch]), pa.array([b" ".join(w) for _, w in batch])], ["doc_id", "text"])
+    found = {i: runs for i, _, runs in periods.searched([rows])}
+    for i, w in batch:
+        want = plain_runs(w) if i != 505 else [(0, 12000, 3)]
+        assert found[i] == want, i
+    df = spark.createDataFrame([(i, t, 1) for i, t in texts.items()] + [(None, "q " * 9, 1)], "doc_id long, text string, n_runs int").repartition(3)
+    got = {r["doc_id"]: r for r in periods.report(df, periods.planted).collect()}
+    for i, w in [*batch, (None, [b"q"] * 9)]:
+        w = periods.planted(i, w)
+        runs = plain_runs(w) if len(w) < 3000 else [(0, 12000, 3)]
+        gone = {k for s, n, q in runs for k in range(s + q, s + n)}
+        r, best = got[i], min(runs, key=lambda x: (-x[1], x[0], x[2]), default=None)
+        assert (r["n_runs"], r["start"], r["length"], r["period"]) == (len(runs), *(best or (None,) * 3)), i
+        assert r["exponent_milli"] == (1000 * best[1] // best[2] if best else None)
+        assert r["runs_sha256"] == sha256("".join("%d,%d,%d\n" % x for x in runs).encode()).hexdigest()
+        assert r["collapsed_sha256"] == sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest(), i
+    rows = sorted(map(tuple, periods.periodic_runs(df.where("doc_id = 505")).collect()))
+    assert rows == [(505, 0, 12000, 3)] and periods.collapsed(df.where("doc_id = 505")).first()["text"] == "x y z"
+    assert periods.report(df.where("false")).count() == 0
+
+
+def test_planted_follows_the_rule():
+    done = 0
+    for i in range(300):
+        words = [b"%d" % k for k in range(50)]
+        h = zlib.crc32(str(i).encode())
+        if h % 10:
+            assert periods.planted(i, words) == words
+            continue
+        g = h // 10
+        a, n = g % 50, 50
+        p = 1 + (n - a) // (3 + g % 8)
+        assert periods.planted(i, words) == [words[k] if k < a else words[a + (k - a) % p] for k in range(n)]
+        done += 1
+    assert done > 10 and periods.planted(None, [b"a"]) == [b"a"] and periods.planted(1, []) == []
+
+
+def test_many_lags_of_a_long_text():
+    rng = random.Random(3)
+    word = np.array([rng.randrange(2) for _ in range(60_000)])
+    counts, base = periods.lag_counts(word, np.array([len(word)]))
+    assert base.tolist() == [0, 15_001] and counts[7] == (word[7:] == word[:-7]).sum() and counts[15_000] == (word[15_000:] == word[:-15_000]).sum()
+    assert len(periods.runs_of(word, counts)) > 500
