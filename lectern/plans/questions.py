@@ -51,7 +51,7 @@ _RELATED = "MAP {'brother':'sibling-of','child':'father-of','children':'father-o
 _PARTS = rf"""{_Q}, {_SPANS},
 sp AS (SELECT p.k, arg_min(n.n_name, (-length(n.n_name), n.n_name)) AS said FROM p JOIN nation n ON n_nationkey % 2 = 0 AND regexp_matches(lower(text), '\b' || lower(n.n_name) || '(?:''s\b|\s+{_SPEECH}\b)|\b(?:did|does|do|will|would)\s+' || lower(n.n_name) || '\s+{_SPEECH}\b|\bwords? of ' || lower(n.n_name) || '\b') GROUP BY 1),
 x AS (SELECT p.k, text, spans, CASE WHEN len(spans) = 0 THEN said END AS speaker,
- list_filter(regexp_extract_all(lower(regexp_replace(text, '((?:(?:[1-3]\s*)?\pL+\s+){{1,7}})(\d{{1,3}})(?::(\d{{1,3}})(?:\s*[-–]\s*(?:(\d{{1,3}}):)?(\d{{1,3}}))?)?', ' ', 'g')), '[^\s\d_.,:;!?()"''/-]{{3,}}'), lambda w: w NOT IN ({_STOP}, {_FRAME})) AS words,
+ list_filter(regexp_extract_all(lower(regexp_replace(text, '((?:(?:[1-3]\s*)?\pL+\s+){{1,7}})(\d{{1,3}})(?::(\d{{1,3}})(?:\s*[-–]\s*(?:(\d{{1,3}}):)?(\d{{1,3}}))?)?', ' ', 'g')), '[^\s\d_.,:;!?()"''/]{{3,}}'), lambda w: w NOT IN ({_STOP}, {_FRAME})) AS words,
  coalesce(nullif(regexp_extract(text, '(?i)^who (?:is|are|was|were)\s+(?:the\s+)?([a-z][\w-]+)\??\s*$', 1), ''), nullif(regexp_extract(text, '(?i)^what does\s+(?:the term\s+)?([a-z][\w-]+)\s+mean\??\s*$', 1), ''), nullif(regexp_extract(text, '(?i)^what (?:is|are|was|were)\s+(?:the\s+|a\s+|an\s+)?([a-z][\w-]+)\??\s*$', 1), '')) AS term,
  nullif(regexp_extract(text, '(?i)\b(?:greek|hebrew)\s+word\s+([A-Za-z]{{2,}})\b', 1), '') AS studied, nullif(upper(regexp_extract(text, '(?i)\blook\s+up\s+strong''?s?\s+([GH]\d{{1,5}})\b', 1)), '') AS code,
  regexp_matches(text, '(?i)\bwhat\s+(?:tense|case|gender|mood|voice)\s+is\b') AS morphology, regexp_matches(text, '(?i)\b(?:translate|translating|translation|translated|how\s+(?:do|should|can|to)\s+(?:i|we|one|it|you))\b') AS method,

@@ -6,12 +6,12 @@ xref, speakers, entities, edges, words, embeddings through ``table``). Every cal
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from lectern.functions.text import excerpt
-from lectern.operators import analyze, corpus, fts, fusion, graph, intervals, retrieve, tags, vectors
-from lectern.plans.views import Tables
+from lectern.operators import corpus, fts, fusion, graph, intents, intervals, retrieve, tags, vectors
+from lectern.plans.views import Tables, doc_of
 
 
 class Service:
@@ -21,40 +21,56 @@ class Service:
     def _terms(self, words: list[str]) -> DataFrame:
         return self.store.spark.createDataFrame([(w,) for w in words] or [("",)], "term string")
 
-    def _hits(self, question: str, book: int | None = None) -> tuple[DataFrame, dict]:
-        """All retrievers that a question calls for, as one union, and its analysis."""
+    def analyse(self, question: str) -> Row:
+        """What a question asks for: intent, passages, keywords, tags, words, codes, related, topic, xref_source, speaker."""
         s = self.store
-        named = s.speakers().select("speaker").distinct().where(F.contains(F.lit(question.lower()), F.lower("speaker")))  # as many as a question can name
-        found = analyze.analyse(question, [r["speaker"] for r in named.collect()])
-        q, bags, chunks = self._terms(found["keywords"]), s.bags(), s.chunks()
-        out = retrieve.by_text(bags, q)
-        out = out.unionByName(retrieve.by_title(s.title_bags(), q, chunks))
-        out = out.unionByName(retrieve.by_kind_text(bags, s.tags(), "bible", q, "bible"))
-        out = out.unionByName(retrieve.by_text(tags.tagged(bags, s.tags(), "resource:aquifer"), q, "aquifer"))
-        spans = found["passages"] or ([(book * 1000000, book * 1000000 + 999999)] if book else [])
+        asked = s.spark.createDataFrame([(0, question)], "id long, text string")
+        return intents.analysed(asked, "id", "text", s.speakers().select(F.col("speaker").alias("name")).distinct()).first()
+
+    def _hits(self, question: str, book: int | None = None) -> tuple[DataFrame, Row]:
+        """All retrievers that a question calls for, as one union, and its analysis."""
+        s, found = self.store, self.analyse(question)
+        words = list(dict.fromkeys(found["keywords"]))
+        q, heads = self._terms(words), s.heads()
+        out = retrieve.by_index(s.index(), words)
+        out = out.unionByName(retrieve.by_title_index(s.title_index(), words, heads))
+        out = out.unionByName(retrieve.by_kind_text(s.bags(), s.tags(), "bible", q, "bible"))
+        out = out.unionByName(retrieve.by_text(tags.tagged(s.bags(), s.tags(), "resource:aquifer"), q, "aquifer"))
+        if found["tags"]:
+            out = out.unionByName(retrieve.by_tags(s.tags(), heads, found["tags"]))
+        spans = [(p["s"], p["e"]) for p in found["passages"]] or ([(book * 1000000, book * 1000000 + 999999)] if book else [])
         if spans:
             p = s.spark.createDataFrame([(0, a, b) for a, b in spans], "query_id long, qs long, qe long")
-            out = out.unionByName(retrieve.by_passage(s.refs(), chunks, s.tags(), p))
-            sources = s.spark.createDataFrame([(a,) for a, _ in spans], "source long")
-            out = out.unionByName(retrieve.by_cross_reference(s.xref(), sources, s.refs(), chunks))
+            out = out.unionByName(retrieve.by_passage(s.refs(), heads, s.tags(), p))
+        if found["xref_source"] is not None:
+            source = s.spark.createDataFrame([(found["xref_source"],)], "source long")
+            out = out.unionByName(retrieve.by_cross_reference(s.xref(), source, s.refs(), heads))
+        if found["words"]:
+            k = s.tokens()
+            out = out.unionByName(retrieve.tiered("lexicon", (k.where(F.col("term").isin(*found["words"])), 1.0), limit=200))
+        if found["related"] is not None:
+            named = s.entities().where(F.lower("name") == found["related"]["name"].lower())
+            relation = found["related"]["relation"].removesuffix("-rev")
+            out = out.unionByName(retrieve.by_entity(s.edges(), named, relation))
+        if found["topic"]:
+            out = out.unionByName(retrieve.by_topic(s.topics(), found["topic"], s.refs(), heads))
         if found["speaker"]:
-            out = out.unionByName(retrieve.by_speaker(bags, q, s.refs(), s.speakers(), found["speaker"]))
-        if found["keywords"]:
-            out = out.unionByName(retrieve.by_topic(s.topics(), " ".join(found["keywords"]), s.refs(), chunks))
+            out = out.unionByName(retrieve.by_speaker(s.bags(), q, s.refs(), s.speakers(), found["speaker"]))
         return out, found
 
     def search(self, question: str, language: str = "en", source: str = "all", top_k: int = 10, book: int | None = None) -> DataFrame:
-        """chunk_id, score, retrievers, title, excerpt: fused, gated by language and source."""
+        """chunk_id, score, retrievers, title, excerpt: fused by the intent's weights, gated by language and source."""
         hits, found = self._hits(question, book)
-        weights = fusion.weights(self.store.spark).where(F.col("intent") == (found["intent"] if found["intent"] in fusion.WEIGHTS else "thematic"))
+        weights = fusion.weights(self.store.spark).where(F.col("intent") == found["intent"])
         fused = fusion.rrf(hits, weights).join(self.store.chunks(), "chunk_id")
         own = tags.from_source(tags.language_gate(fused, self.store.tags(), language), self.store.tags(), source)
         return own.orderBy(F.desc("score"), "chunk_id").limit(top_k).join(self.store.titles(), "doc_id").select("chunk_id", "score", "retrievers", "title", excerpt(F.col("body")).alias("excerpt"))
 
     def branched(self, question: str, per_branch: int = 8) -> DataFrame:
         """Hits by kind, unweighted, each branch capped."""
-        kinds = self.store.chunks().select("chunk_id", "doc_id").join(tags.kind_of(self.store.tags()), "doc_id").select("chunk_id", "kind")
-        return fusion.branches(fusion.rrf(self._hits(question)[0]).drop("retrievers"), kinds, per_branch)
+        fused = fusion.rrf(self._hits(question)[0]).drop("retrievers")
+        kinds = fused.select("chunk_id", doc_of(F.col("chunk_id")).alias("doc_id")).join(tags.kind_of(self.store.tags()), "doc_id").select("chunk_id", "kind")
+        return fusion.branches(fused, kinds, per_branch)
 
     def passage(self, s: int, e: int) -> DataFrame:
         """Everything over an interval, narrowest first."""
@@ -82,6 +98,11 @@ class Service:
         return corpus.lexeme_feed(corpus.frame_filter(own, **features) if any(v is not None for v in features.values()) else own, order, limit)
 
     def similar(self, vec_id: int, k: int = 20) -> DataFrame:
+        """The nearest vectors out of the stored lists: only those that this one probes are read."""
+        v = self.store.table("embeddings").where(F.col("vec_id") == vec_id)
+        return self.store.vector_index().search(v, k)
+
+    def similar_exactly(self, vec_id: int, k: int = 20) -> DataFrame:
         v = self.store.table("embeddings")
         return vectors.ranked_neighbours(v.where(F.col("vec_id") == vec_id), v, k)
 

@@ -10,13 +10,27 @@ from lectern.sources import files, sinks
 
 def test_service(spark, sf_dir):
     s = Service(Tables(spark, sf_dir))
-    found = s.search("the words of user about thion in GEN 1:1-9", top_k=5).collect()
-    assert len(found) == 5 and found[0]["score"] >= found[-1]["score"]
-    assert s.branched("the and with").count() > 0
+    found = s.search("thor or inti, ntble", top_k=5).collect()
+    assert len(found) == 5
+    assert found[0]["score"] >= found[-1]["score"]
+    assert s.branched("thor or inti").count() > 0
     assert s.passage(1001001, 20001001).count() > 0 and s.tree("kind").count() == 8
     assert s.concordance("The", limit=3).count() == 3 and s.similar(0, 4).count() == 4
     assert s.words(morph="N-msa", limit=7).count() == 7 and s.health().count() == 3
-    assert s.entity("region").count() >= 0 and s.phrase("the", "the").count() > 0
+    asia = s.entity("ASIA").collect()
+    assert len(asia) == 5 and {(r["relation"], r["direction"]) for r in asia} == {("located-in", "in")}
+    assert s.entity("nobody").count() == 0 and s.phrase("the", "the").count() > 0
+    assert [r["vec_id"] for r in s.similar_exactly(0, 1).collect()] == [r["vec_id"] for r in s.similar(0, 1).collect()]
+
+
+def test_search_follows_the_intent(spark, sf_dir):
+    s = Service(Tables(spark, sf_dir))
+    seen = lambda q: {x for r in s._hits(q)[0].select("retriever").distinct().collect() for x in r}
+    assert "topic" in seen("verses about economy") and s.analyse("verses about economy")["intent"] == "topic"
+    assert s.analyse("cross-references for GEN 1:2")["xref_source"] == 1001002
+    assert seen("summarize EXO 8:1-40") == {"passage"}
+    assert s.analyse("what did user say about inti")["intent"] == "speaker" and "fts" in seen("what did user say about inti")
+    assert "lexicon" in seen("the Greek word inti")
 
 
 def test_index(spark, tmp_path):
