@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.operators.ranking import numbered
+
 K = 60
 #: Weights by intent of the retrievers, in this order; a missing intent counts as thematic.
 RETRIEVERS = ("fts", "title", "passage", "scripture", "tag", "vector", "lexicon", "morphology", "entity", "bible", "topic", "xref", "cfabric", "aquifer", "speaker", "semdomain")
@@ -54,15 +56,8 @@ def folded(base: DataFrame, sims: DataFrame, k: int = K) -> DataFrame:
 
 
 def places(df: DataFrame, value: str) -> DataFrame:
-    """chunk_id and its place from 0 by falling value, ties by id: rows are numbered inside ranges of values and the
-    ranges' sizes added in front, so no task sorts the table."""
-    edges = df.select(F.percentile_approx(value, [i / 64 for i in range(1, 64)]).alias("p")).select(F.array_distinct("p").alias("p"))
-    part = F.size(F.filter("p", lambda x: F.col(value) <= x))
-    ranged = df.select("chunk_id", value).crossJoin(F.broadcast(edges)).select("chunk_id", value, part.alias("part"))  # edges: one row
-    n = ranged.groupBy("part").count()  # at most 64 rows
-    before = n.withColumn("before", F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy(F.desc(value), "chunk_id")) - 1
-    return ranged.withColumn("at", inside).join(F.broadcast(before), "part").select("chunk_id", (F.col("at") + F.coalesce("before", F.lit(0))).alias(f"{value}_at"))
+    """chunk_id and its place from 0 by falling value, ties by id; no task sorts the table, however many values are equal."""
+    return numbered(df.select("chunk_id", value), F.desc(value), F.col("chunk_id"), name=f"{value}_at").drop(value)
 
 
 def branches(fused: DataFrame, kinds: DataFrame, per_branch: int = 8) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.operators.graph import cut
+
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(k)
@@ -55,8 +57,25 @@ def sliding(df: DataFrame, words: str, size: int = 800, overlap: int = 150) -> D
     return df.select("*", F.posexplode(starts).alias("chunk", "start")).withColumn("slice", F.slice(words, F.col("start") + 1, size))
 
 
-def suffixed(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
-    """Later rows of a key get ``-n``, n counting collisions over all keys in order of place."""
-    again = F.when(F.row_number().over(Window.partitionBy(key).orderBy(order)) > 1, 1).otherwise(0)
-    running = F.sum("_again").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_again", again).withColumn("_n", running).withColumn(name, F.when(F.col("_again") == 1, F.concat_ws("-", key, F.col("_n").cast("string"))).otherwise(F.col(key))).drop("_again", "_n")
+def numbered(df: DataFrame, *order: Column, name: str = "place") -> DataFrame:
+    """The rows with their place from 0 in a total order, without a task that holds them all.
+
+    The sort deals ranges to tasks, each row gets its number within its task, and the tasks' sizes (one row each) are
+    added in front. The sorted rows are written once, so that both steps see the same ranges.
+    """
+    own = cut(df.orderBy(*order).withColumn("_n", F.monotonically_increasing_id()))  # task << 33 | row
+    task = F.shiftright("_n", 33)
+    sizes = own.groupBy(task.alias("_t")).agg(F.count("*").alias("_c"))
+    before = sizes.select("_t", F.coalesce(F.sum("_c").over(Window.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    placed = own.withColumn("_t", task).join(F.broadcast(before), "_t")
+    return placed.withColumn(name, F.col("_b") + F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))).drop("_n", "_t", "_b")
+
+
+def suffixed(df: DataFrame, slug: str, key: str, out: str) -> DataFrame:
+    """Names made unique: by ``key``, a slug's first row keeps it, later ones get ``-n`` of one counter over all collisions."""
+    first = df.groupBy(slug).agg(F.min(key).alias("_first"))
+    known = df.join(first, slug)
+    again = numbered(known.where(F.col(key) > F.col("_first")).drop("_first"), F.col(key), name="_p")
+    once = known.where(F.col(key) == F.col("_first")).drop("_first")
+    named = again.withColumn(out, F.concat(F.col(slug), F.lit("-"), (F.col("_p") + 1).cast("string"))).drop("_p")
+    return named.unionByName(once.withColumn(out, F.col(slug)))

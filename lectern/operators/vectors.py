@@ -33,20 +33,22 @@ BLOCK, SLICE = 8192, 512
 CARRIED = 4096
 
 
+def matrix_of(t: pa.Table, name: str) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    flat = pa.concat_arrays([c.flatten() for c in t.column(name).chunks]).to_numpy(zero_copy_only=False)
+    return flat.astype("float64").reshape(t.num_rows, -1)
+
+
 def _cell(k: int):
     """The k best of each query of one block among the vectors of another, as a function of two Arrow tables."""
     schema = pa.schema([("q", pa.int64()), ("vec_id", pa.int64()), ("sim", pa.float64())])
 
-    def matrix(t: pa.Table, name: str) -> np.ndarray:
-        flat = pa.concat_arrays([c.flatten() for c in t.column(name).chunks]).to_numpy(zero_copy_only=False)
-        return flat.astype("float64").reshape(t.num_rows, -1)
-
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         order = np.argsort(right.column("vec_id").to_numpy(), kind="stable")
-        ids, x = right.column("vec_id").to_numpy()[order], matrix(right, "embedding")[order]
-        names, y = left.column("q").to_numpy(), matrix(left, "qe")
+        ids, x = right.column("vec_id").to_numpy()[order], matrix_of(right, "embedding")[order]
+        names, y = left.column("q").to_numpy(), matrix_of(left, "qe")
         out: list[tuple[np.ndarray, ...]] = []
         for at in range(0, len(y), SLICE):
             sims = np.round(y[at : at + SLICE] @ x.T, 6)
@@ -61,16 +63,53 @@ def _cell(k: int):
     return best
 
 
-def _carried(queries: DataFrame) -> pa.Table | None:
-    """The sound queries (q, qe) as a table if they are few."""
-    own = queries.where((F.size("qe") > 0) & ~F.exists("qe", lambda x: x.isNull())).select(F.col("q").cast("long").alias("q"), "qe")
-    few = own.limit(CARRIED + 1).toArrow()
-    return few if few.num_rows <= CARRIED else None
+def _sound(name: str) -> Column:
+    return (F.size(name) > 0) & ~F.exists(name, lambda x: x.isNull())
+
+
+def _meet(queries: DataFrame, vectors: DataFrame, cell, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """What ``cell`` makes of two tables, (q, qe, more) and (vec_id, embedding, label if there is one), over all queries and vectors.
+
+    At most ``CARRIED`` queries are sent to the tasks that read the vectors, as one table (their number is counted first).
+    More queries and vectors are dealt into blocks of some ``BLOCK`` rows by hash, and every block of queries meets every
+    block of vectors. Vectors meet those of their own length; null vectors and null components meet nothing.
+    """
+    labelled = ["label"] if "label" in vectors.columns else []
+    q = queries.where(_sound("embedding")).select(F.col("vec_id").cast("long").alias("q"), F.col("embedding").alias("qe"), *more)
+    v = vectors.where(_sound("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", *labelled)
+    few = q.limit(CARRIED + 1).toArrow()
+    if few.num_rows <= CARRIED:
+        return v.mapInArrow(_met(few, cell), schema)
+    rows, columns = (max(1, math.ceil(df.count() / BLOCK)) for df in (queries, vectors))
+    deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("_d", F.size("qe")).withColumn("_i", deal("q", rows)).withColumn("_j", every(columns))
+    right = v.withColumn("_d", F.size("embedding")).withColumn("_j", deal("vec_id", columns)).withColumn("_i", every(rows))
+
+    def both(a: pa.Table, b: pa.Table) -> pa.Table:
+        return cell(a, b) if a.num_rows and b.num_rows else _empty(schema)
+
+    return left.groupBy("_d", "_i", "_j").cogroup(right.groupBy("_d", "_i", "_j")).applyInArrow(both, schema)
+
+
+def _empty(schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "double": pa.float64()}
+    return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in schema.split(", "))]).empty_table()
 
 
-def _met(queries: pa.Table, k: int):
-    """The k best of each query among the vectors of a partition, some thousand at a time; lengths meet their own."""
-    best, lengths = _cell(k), pc.list_value_length(queries.column("qe"))
+def _met(queries: pa.Table, cell):
+    """``cell`` of the queries and the vectors of a partition, some thousand at a time."""
+    lengths = pc.list_value_length(queries.column("qe"))
+
+    def some(batches):
+        own = pa.Table.from_batches(batches) if batches else None
+        if own is None or not own.num_rows or not queries.num_rows:
+            return
+        size = pc.list_value_length(own.column("embedding"))
+        for n in pc.unique(size).to_pylist():
+            asked = queries.filter(pc.equal(lengths, n))
+            if asked.num_rows:
+                yield from cell(asked, own.filter(pc.equal(size, n))).to_batches()
 
     def run(batches):
         held, rows = [], 0
@@ -78,72 +117,112 @@ def _met(queries: pa.Table, k: int):
             held.append(batch)
             rows += batch.num_rows
             if rows >= BLOCK:
-                yield from _some(held)
+                yield from some(held)
                 held, rows = [], 0
-        yield from _some(held)
-
-    def _some(batches):
-        own = pa.Table.from_batches(batches) if batches else None
-        if own is None or not own.num_rows or not queries.num_rows:
-            return
-        size = pc.list_value_length(own.column("embedding"))
-        whole = pa.array([v is not None and None not in v for v in own.column("embedding").to_pylist()]) if own.column("embedding").combine_chunks().flatten().null_count or own.column("embedding").null_count else None
-        for n in pc.unique(size).to_pylist():
-            if n:
-                mine = pc.equal(size, n) if whole is None else pc.and_(pc.equal(size, n), whole)
-                yield from best(queries.filter(pc.equal(lengths, n)), own.filter(mine)).to_batches()
+        yield from some(held)
 
     return run
 
 
-def ranked_neighbours(queries: DataFrame, vectors: DataFrame, k: int | None = None) -> DataFrame:
-    """q, vec_id, sim, rn: other vectors by falling dot product, for a stated set of queries; the best k if given.
+def ranked_neighbours(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """q, vec_id, sim, rn: the k other vectors of greatest dot product of each of a stated set of queries.
 
-    At most ``CARRIED`` queries are sent to the tasks that read the vectors, as one matrix (their number is counted first);
-    only the k best of each query and batch are shuffled. More queries and vectors are dealt into blocks of some ``BLOCK`` rows by hash, every block of queries meets every block
-    of vectors in one multiplication, and only the k best of each query and block are shuffled. Vectors meet those of
-    their own length; null vectors, null components and products that aren't finite give no neighbour. Without
-    k, all pairs are the result, by a join of the query set with the table.
+    Only the k best of each query and batch are shuffled. Products that aren't finite give no neighbour.
     """
-    q = queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
-    if k is None:
-        sim = vectors.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(dot("qe", "embedding"), 6).alias("sim"))
-    else:
-        few = _carried(q)
-        if few is not None:
-            sim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_met(few, k), "q long, vec_id long, sim double")
-            return sim.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "vec_id")).cast("long")).where(F.col("rn") <= k)
-        rows, columns = (max(1, math.ceil(df.count() / BLOCK)) for df in (queries, vectors))
-        deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        sound = lambda name: (F.size(name) > 0) & ~F.exists(name, lambda x: x.isNull())
-        left = q.where(sound("qe")).select(F.col("q").cast("long").alias("q"), "qe", F.size("qe").alias("_d"), deal("q", rows).alias("_i"), every(columns).alias("_j"))
-        v = vectors.where(sound("embedding"))
-        right = v.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.size("embedding").alias("_d"), deal("vec_id", columns).alias("_j"), every(rows).alias("_i"))
-        sim = left.groupBy("_d", "_i", "_j").cogroup(right.groupBy("_d", "_i", "_j")).applyInArrow(_cell(k), "q long, vec_id long, sim double")
-    out = sim.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "vec_id")).cast("long"))
-    return out if k is None else out.where(F.col("rn") <= k)
-
-
-def sign_bits(a: Column | str) -> Column:
-    """The signs of a vector as an array of 0 and 1."""
-    return F.transform(a, lambda x: (x > 0).cast("int"))
-
-
-def hamming(a: Column, b: Column) -> Column:
-    """Places where two arrays differ."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    sim = _meet(queries, vectors, _cell(k), "q long, vec_id long, sim double")
+    return sim.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "vec_id")).cast("long")).where(F.col("rn") <= k)
+
+
+def _packed(x: np.ndarray) -> np.ndarray:
+    """The signs of each row as bits, eight to a byte."""
+    return np.packbits(x > 0, axis=1)
+
+
+def _coarse(over: int):
+    """The ``over`` nearest by sign bits of each query among some vectors, with their exact products."""
+    schema = pa.schema([("q", pa.int64()), ("vec_id", pa.int64()), ("far", pa.int64()), ("sim", pa.float64())])
+
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        order = np.argsort(right.column("vec_id").to_numpy(), kind="stable")
+        ids, x = right.column("vec_id").to_numpy()[order], matrix_of(right, "embedding")[order]
+        names, y = left.column("q").to_numpy(), matrix_of(left, "qe")
+        bits, asked, out = _packed(x), _packed(y), []
+        for i, name in enumerate(names.tolist()):
+            far = np.bitwise_count(bits ^ asked[i]).sum(1).astype(np.int64)
+            far[ids == name] = 1 << 40
+            top = np.argsort(far, kind="stable")[:over]  # stable: equal ones by id
+            top = top[far[top] < 1 << 40]
+            out.append((np.full(len(top), name), ids[top], far[top], np.round(x[top] @ y[i], 6)))
+        return pa.table([np.concatenate(c) for c in zip(*out)], schema=schema)
+
+    return near
 
 
 def quantised_search(queries: DataFrame, vectors: DataFrame, over: int, k: int) -> DataFrame:
-    """q, vec_id, rn: the nearest ``over`` by sign bits, reranked by exact cosine to ``k``."""
-    q = queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), sign_bits("embedding").alias("qb"))
-    near = vectors.withColumn("b", sign_bits("embedding")).join(q, F.col("vec_id") != F.col("q")).withColumn("far", hamming(F.col("qb"), F.col("b")))
-    coarse = near.withColumn("c", F.row_number().over(Window.partitionBy("q").orderBy("far", "vec_id"))).where(F.col("c") <= over)
-    fine = coarse.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round(dot("qe", "embedding"), 6)), "vec_id")).cast("long"))
+    """q, vec_id, rn: the nearest ``over`` by packed sign bits, reranked by exact product to ``k``.
+
+    Queries and vectors meet as in :func:`ranked_neighbours`; ``over`` candidates of each query and batch are shuffled.
+    """
+    near = _meet(queries, vectors, _coarse(over), "q long, vec_id long, far long, sim double")
+    best = near.withColumn("c", F.row_number().over(Window.partitionBy("q").orderBy("far", "vec_id"))).where(F.col("c") <= over)
+    fine = best.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "vec_id")).cast("long"))
     return fine.where(F.col("rn") <= k).select("q", "vec_id", "rn")
 
 
+def separation(queries: DataFrame, vectors: DataFrame, label: str) -> DataFrame:
+    """within, across: mean product of each query with the other vectors of its label, and of other labels; one row.
+
+    Sums of products are products of sums, so only the component sums of each label are shuffled, never a pair.
+    """
+    summed = lambda df, name: df.select(label, F.posexplode("embedding").alias("i", "x")).groupBy(label, "i").agg(F.sum(F.col("x").cast("double")).alias(name))
+    both = summed(queries, "a").join(summed(vectors, "b"), [label, "i"], "full")
+    own = both.groupBy("i").agg(F.sum(F.coalesce("a", F.lit(0.0)) * F.coalesce("b", F.lit(0.0))).alias("same"), (F.sum("a") * F.sum("b")).alias("every"))
+    product = own.agg(F.sum("same").alias("same"), F.sum("every").alias("every"))
+    n = queries.groupBy(label).agg(F.count("*").alias("a"), F.sum(dot("embedding", "embedding")).alias("self")).join(vectors.groupBy(label).agg(F.count("*").alias("b")), label, "full")
+    counts = n.agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.coalesce("a", F.lit(0)) * F.coalesce("b", F.lit(0))).alias("ab"), F.sum("self").alias("self"))
+    one = product.crossJoin(counts)  # a row each
+    within = (F.col("same") - F.col("self")) / F.nullif(F.col("ab") - F.col("a"), F.lit(0))
+    return one.select(within.alias("within"), ((F.col("every") - F.col("same")) / F.nullif(F.col("a") * F.col("b") - F.col("ab"), F.lit(0))).alias("across"))
+
+
+def first_hits(queries: DataFrame, vectors: DataFrame, label: str) -> DataFrame:
+    """q, first: the rank from 1 of each query's first neighbour with its own label; null without one.
+
+    Two passes, both with a few numbers for each query and batch: the best neighbour of the label, then how many of all come before.
+    """
+    named = lambda df: df.select("vec_id", "embedding", F.col(label).cast("long").alias("label"))
+    q, v = named(queries), named(vectors)
+
+    def own(left: pa.Table, right: pa.Table) -> pa.Table:
+        sims, ids, names = _products(left, right)
+        sims[left.column("label").to_numpy()[:, None] != right.column("label").to_numpy()[None, :]] = -np.inf
+        best = sims.max(1)
+        least = np.where(sims == best[:, None], ids[None, :], np.iinfo(np.int64).max).min(1)
+        met = best > -np.inf
+        return pa.table([names[met], best[met], least[met]], names=["q", "sim", "vec_id"])
+
+    best = _meet(q, v, own, "q long, sim double, vec_id long", ("label",)).groupBy("q").agg(F.max(F.struct("sim", (-F.col("vec_id")).alias("i"))).alias("b"))
+    marked = q.join(best.select(F.col("q").alias("vec_id"), F.col("b.sim").alias("mark"), (-F.col("b.i")).alias("at")), "vec_id")
+
+    def before(left: pa.Table, right: pa.Table) -> pa.Table:
+        sims, ids, names = _products(left, right)
+        mark, at = left.column("mark").to_numpy()[:, None], left.column("at").to_numpy()[:, None]
+        return pa.table([names, ((sims > mark) | (sims == mark) & (ids[None, :] < at)).sum(1)], names=["q", "n"])
+
+    ahead = _meet(marked, v, before, "q long, n long", ("mark", "at")).groupBy("q").agg((F.sum("n") + 1).alias("first"))
+    return queries.select(F.col("vec_id").alias("q")).join(ahead, "q", "left")
+
+
+def _products(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rounded products, ids, names) of two tables; a query with itself, and what isn't finite, is minus infinity."""
+    ids, names = right.column("vec_id").to_numpy(), left.column("q").to_numpy()
+    sims = np.round(matrix_of(left, "qe") @ matrix_of(right, "embedding").T, 6)
+    sims[(ids[None, :] == names[:, None]) | ~np.isfinite(sims)] = -np.inf
+    return sims, ids, names
+
+
 def centroids(vectors: DataFrame, key: str) -> DataFrame:
     """key, dim, value of the unit mean vector of each group."""
     mean = vectors.select(key, F.posexplode("embedding").alias("dim", "x")).groupBy(key, "dim").agg(F.avg(F.col("x").cast("double")).alias("m"))

@@ -448,10 +448,8 @@ def vec_09_centroids(t):
 @query("", f"WITH {_NN} SELECT round(avg(sim) FILTER (a.label = b.label), 4) AS within, round(avg(sim) FILTER (a.label <> b.label), 4) AS across FROM nn JOIN v a ON a.vec_id = nn.q JOIN v b ON b.vec_id = nn.vec_id")
 def vec_11_separation(t):
     v = t.table("embeddings")
-    near = vectors.ranked_neighbours(v.where("vec_id % 50 = 0"), v)
-    pair = near.join(v.select(F.col("vec_id").alias("q"), F.col("label").alias("a")), "q").join(v.select("vec_id", F.col("label").alias("b")), "vec_id")
-    mean = lambda c: F.round(F.avg(F.when(c, F.col("sim"))), 4)
-    return pair.agg(mean(F.col("a") == F.col("b")).alias("within"), mean(F.col("a") != F.col("b")).alias("across"))
+    own = vectors.separation(v.where("vec_id % 50 = 0"), v, "label")
+    return own.select(F.round("within", 4).alias("within"), F.round("across", 4).alias("across"))
 
 
 @query("entities", "SELECT id, type, name FROM entities WHERE starts_with(lower(name), 'customer#00000') AND NOT EXISTS (SELECT 1 FROM entities WHERE lower(name) = 'customer#00000') ORDER BY name, id LIMIT 8")

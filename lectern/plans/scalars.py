@@ -215,12 +215,13 @@ _SIM = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings), q
 
 @query("", f"WITH {_SIM} SELECT round(avg(1.0 / first), 4) AS mrr, round(avg((first <= 5)::INT), 4) AS r5, round(avg(p5), 4) AS p5 FROM (SELECT q, min(CASE WHEN ql = vl THEN rn END) AS first, sum(CASE WHEN ql = vl AND rn <= 5 THEN 1 ELSE 0 END) / 5.0 AS p5 FROM p GROUP BY q)")
 def fn_39_retrieval_metrics(t):
-    from lectern.operators.vectors import ranked_neighbours
+    from lectern.operators.vectors import first_hits, ranked_neighbours
 
     v = t.table("embeddings")
-    near = ranked_neighbours(v.where("vec_id % 50 = 0"), v).join(v.select(F.col("vec_id").alias("q"), F.col("label").alias("ql")), "q").join(v.select("vec_id", F.col("label").alias("vl")), "vec_id")
-    hit = F.col("ql") == F.col("vl")
-    per = near.groupBy("q").agg(F.min(F.when(hit, F.col("rn"))).alias("first"), (F.count_if(hit & (F.col("rn") <= 5)) / 5.0).alias("p5"))
+    q = v.where("vec_id % 50 = 0")
+    near = ranked_neighbours(q, v, 5).join(v.select(F.col("vec_id").alias("q"), F.col("label").alias("ql")), "q").join(v.select("vec_id", F.col("label").alias("vl")), "vec_id")
+    five = near.groupBy("q").agg((F.count_if(F.col("ql") == F.col("vl")) / 5.0).alias("p5"))
+    per = first_hits(q, v, "label").join(five, "q", "left")
     return per.agg(F.round(F.avg(1.0 / F.col("first")), 4).alias("mrr"), F.round(F.avg((F.col("first") <= 5).cast("int")), 4).alias("r5"), F.round(F.avg("p5"), 4).alias("p5"))
 
 
