@@ -28,11 +28,11 @@ def word_gates(words: DataFrame, glosses: DataFrame, stops: DataFrame, frames: D
 def concept_table(words: DataFrame, glosses: DataFrame, articles: DataFrame, keyness: DataFrame) -> DataFrame:
     """code, lemma, n, function, keyness, articles, key_term, gloss, elaboration of every code of a word store.
 
-    words (code, lemma, is_content), glosses (code, word), articles (code, slug, head, key), keyness (code, score).
+    words (code, lemma, n, is_content; any number of rows for each lemma), glosses (code, word), articles (code, slug, head, key), keyness (code, score).
     The lemma is the most frequent; only articles whose head names the code count; elaboration is the largest number
     of content codes that share one of the code's gloss words.
     """
-    lemmas = words.groupBy("code", "lemma").agg(F.count("*").alias("m"), F.max("is_content").alias("c"))
+    lemmas = words.groupBy("code", "lemma").agg(F.sum("n").alias("m"), F.max("is_content").alias("c"))
     base = lemmas.groupBy("code").agg(F.min_by("lemma", F.struct(-F.col("m"), "lemma")).alias("lemma"), F.sum("m").alias("n"), (F.max("c") == 0).alias("function"))
     own = articles.groupBy("code").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("head"), F.col("slug")))), " ").alias("articles"), F.bool_or("key").alias("key_term"))
     g = glosses.distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import context, ranking, study
 from lectern.operators.analyze import detect_language
+from lectern.operators.graph import cut
 from lectern.plans.registry import query
 
 #: Code-keyed dimensions out of the driver tables, as SQL; the functions below are the same in Spark.
@@ -50,8 +51,9 @@ def exp_03_bible_words(t):
 
 @query("words", f"WITH {_CODES}, {_KEY}, {_ART}, l AS (SELECT strong AS code, lemma, count(*) AS m FROM words GROUP BY 1, 2), b AS (SELECT code, arg_min(lemma, (-m, lemma)) AS lemma, sum(m)::BIGINT AS n FROM l GROUP BY 1), a AS (SELECT code, array_to_string(list_sort(list_distinct(list(slug) FILTER (head))), ' ') AS articles, bool_or(key) AS key_term FROM articles GROUP BY 1), g AS (SELECT DISTINCT strong AS code, lemma AS word FROM words), s AS (SELECT word, count(*) AS shared FROM g JOIN codes USING (code) WHERE NOT idle GROUP BY 1), e AS (SELECT code, max(shared) AS elaboration FROM g JOIN s USING (word) GROUP BY 1), f AS (SELECT code, min(word) AS gloss FROM g GROUP BY 1) SELECT b.code, b.lemma, b.n, c.idle AS function, k.score AS keyness, coalesce(a.articles, '') AS articles, coalesce(a.key_term, false) AS key_term, f.gloss, coalesce(e.elaboration, 0)::BIGINT AS elaboration FROM b JOIN codes c USING (code) LEFT JOIN keyness k USING (code) LEFT JOIN a USING (code) LEFT JOIN f USING (code) LEFT JOIN e USING (code)")
 def agg_18_concept_registry(t):
-    w = t.words().select(F.col("strong").alias("code"), "lemma", "is_content")
-    return study.concept_table(w, w.select("code", F.col("lemma").alias("word")), articles(t), keyness(t))
+    w = cut(t.words().groupBy(F.col("strong").alias("code"), "lemma").agg(F.count("*").alias("n"), F.max("is_content").alias("is_content")))  # read once, used four times
+    score = w.groupBy("code").agg(F.sum("n").alias("n")).where("n % 5 != 0").select("code", ((F.col("n") % 7) / F.lit(7.0)).alias("score"))
+    return study.concept_table(w, w.select("code", F.col("lemma").alias("word")), articles(t), score)
 
 
 @query("words", f"WITH {_CODES}, {_KEY}, w AS (SELECT strong AS code, surface, substr(morph, 1, 1) AS stem, book, substr(lemma, 1, 1) AS domain FROM words), s AS (SELECT code, surface, count(*) AS m FROM w GROUP BY 1, 2), b AS (SELECT code, arg_min(surface, (-m, surface)) AS gloss, sum(m)::BIGINT AS n FROM s GROUP BY 1), d AS (SELECT DISTINCT code, domain FROM w), f AS (SELECT code, min(domain) AS domain FROM d GROUP BY 1), r AS (SELECT domain, code AS other, row_number() OVER (PARTITION BY domain ORDER BY n DESC, code) AS place FROM f JOIN b USING (code)), x AS (SELECT f.code, other, row_number() OVER (PARTITION BY f.code ORDER BY place) AS rn FROM f JOIN r ON r.domain = f.domain AND other <> f.code WHERE place <= 7), n AS (SELECT code, list(other ORDER BY rn) AS siblings FROM x WHERE rn <= 6 GROUP BY 1), dl AS (SELECT code, list(domain ORDER BY domain) AS domains FROM d GROUP BY 1), st AS (SELECT code, list_sort(list(stem || '=' || m)) AS stems FROM (SELECT code, stem, count(*) AS m FROM w GROUP BY 1, 2) GROUP BY 1), bk AS (SELECT code, list_sort(list(book || '=' || m)) AS books FROM (SELECT code, book, count(*) AS m FROM w GROUP BY 1, 2) GROUP BY 1) SELECT b.code, gloss, b.n, k.score AS keyness, domains, coalesce(siblings, []) AS siblings, stems, books FROM b LEFT JOIN keyness k USING (code) LEFT JOIN dl USING (code) LEFT JOIN n USING (code) LEFT JOIN st USING (code) LEFT JOIN bk USING (code)")

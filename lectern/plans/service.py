@@ -109,7 +109,12 @@ class Service:
     def phrase(self, *words: str) -> DataFrame:
         return fts.phrase(self.store.tokens(), [w.lower() for w in words])
 
-    def health(self) -> DataFrame:
-        n = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        s = self.store
-        return n("chunks", s.chunks()).unionByName(n("tags", s.tags())).unionByName(n("refs", s.refs()))
+    def health(self, *names: str) -> DataFrame:
+        """name, n: the store's counts; a table that the store doesn't have is named without a count."""
+        out = None
+        for name in names or ("chunks", "tags", "refs"):
+            table = getattr(self.store, name, None)
+            n = table().agg(F.count("*").alias("n")) if callable(table) else self.store.spark.createDataFrame([(None,)], "n long")
+            row = n.select(F.lit(name).alias("name"), "n")
+            out = row if out is None else out.unionByName(row)
+        return out

@@ -72,14 +72,19 @@ def parse_markdown(path: str, text: str) -> tuple:
 def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     """One row a file; its id comes from the path below ``root``; an empty body is null and gives no chunk."""
     raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{md,markdown,mdx}").select(F.col("_metadata.file_path").alias("p"), "value")
-    below = raw.select(F.regexp_replace("p", "^.*?" + re.escape(root.split("://", 1)[-1].rstrip("/")) + "/", "").alias("p"), "value")
+    below = F.regexp_replace("p", "^.*?" + re.escape(root.split("://", 1)[-1].rstrip("/")) + "/", "")
+    return markdown_documents(raw.select(below.alias("path"), F.col("value").alias("raw")))
+
+
+def markdown_documents(raw: DataFrame) -> DataFrame:
+    """The documents of markdown texts (path, raw), in Arrow batches."""
 
     def run(batches):
         for pdf in batches:
-            rows = [parse_markdown(p, v) for p, v in zip(pdf.p, pdf.value)]
+            rows = [parse_markdown(p, v or "") for p, v in zip(pdf.path, pdf.raw)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in DOCUMENT.split(", ")])
 
-    return below.mapInPandas(run, DOCUMENT)
+    return raw.select("path", "raw").mapInPandas(run, DOCUMENT)
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = dict.fromkeys(MARKDOWN, read_markdown)
@@ -93,6 +98,13 @@ def reader(extension: str) -> Callable[[SparkSession, str], DataFrame]:
         raise ValueError(f"no reader for {extension!r}") from None
 
 
+def routed(paths: DataFrame) -> DataFrame:
+    """path, extension, reader of files (path): the registered reader's name, null for unknown extensions."""
+    extension = F.regexp_extract("path", r"\.([^./]+)$", 1)
+    known = F.create_map(*[F.lit(x) for e, f in sorted(READERS.items()) for x in (e, f.__name__.removeprefix("read_"))])
+    return paths.select("path", extension.alias("extension"), F.try_element_at(known, F.lower(extension)).alias("reader"))
+
+
 def file_digests(spark: SparkSession, root: str) -> DataFrame:
     """path, digest: the first 16 hex digits of each file's SHA-256."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.substring(F.sha2("content", 256), 1, 16).alias("digest"))
@@ -104,9 +116,18 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return (r.schema(schema) if schema else r).csv(path)
 
 
-def write_table(df: DataFrame, path: str, *order: str) -> None:
-    """A sorted tab-separated table; ranges of the order go to files in turn, so no task holds everything."""
+def write_table(df: DataFrame, path: str, *order: str, notes: tuple[str, ...] = ()) -> None:
+    """A sorted tab-separated table; ranges of the order go to files in turn, so no task holds everything.
+
+    ``notes`` (where the data come from) stand as ``#`` lines in a file of their own that sorts first; readers skip them.
+    """
     df.orderBy(*order).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+    if notes:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/00-notes.csv")
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+        out.write(bytearray("".join(f"# {n}\n" for n in notes).encode()))
+        out.close()
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -141,6 +162,20 @@ def usfm_words(text: str) -> list[tuple[int, int, int, str, str | None]]:
     return out
 
 
+def usfm_word_rows(text: Column) -> Column:
+    """The same as an array of (chapter, verse, idx, surface, strong), in expressions: chapters are cut first, then verses, then words."""
+    number = lambda x, p: F.coalesce(F.nullif(F.regexp_extract(x, p, 1), F.lit("")).cast("int"), F.lit(0))
+    word = r"\\w\s+([^|\\]*)(?:\|([^\\]*))?\\w\*"
+
+    def words(chapter: Column, piece: Column) -> Column:
+        found = F.regexp_extract_all(piece, F.lit(word), F.lit(0))
+        strong = lambda w: F.nullif(F.regexp_extract(F.regexp_extract(w, word, 2), 'strong="([^"]+)"', 1), F.lit(""))
+        return F.transform(found, lambda w, i: F.struct(chapter.alias("chapter"), number(piece, r"^\\v\s+(\d+)").alias("verse"), i.alias("idx"), F.trim(F.regexp_extract(w, word, 1)).alias("surface"), strong(w).alias("strong")))
+
+    chapters = F.split(text, r"(?=\\c\s+\d)")
+    return F.flatten(F.transform(chapters, lambda c: F.flatten(F.transform(F.split(c, r"(?=\\v\s+\d)"), lambda v: words(number(c, r"^\\c\s+(\d+)"), v)))))
+
+
 def inline_tagged(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, idx from 1, surface, strong, morph of ``word<S>123</S><m>N</m>`` text."""
     word = df.select(*keys, F.posexplode(F.split(F.trim(text), r"\s+")).alias("i", "w"))
