@@ -56,12 +56,6 @@ def agg_18_concept_registry(t):
     return study.concept_table(w, w.select("code", F.col("lemma").alias("word")), articles(t), score)
 
 
-@query("words", f"WITH {_CODES}, {_KEY}, w AS (SELECT strong AS code, surface, substr(morph, 1, 1) AS stem, book, substr(lemma, 1, 1) AS domain FROM words), s AS (SELECT code, surface, count(*) AS m FROM w GROUP BY 1, 2), b AS (SELECT code, arg_min(surface, (-m, surface)) AS gloss, sum(m)::BIGINT AS n FROM s GROUP BY 1), d AS (SELECT DISTINCT code, domain FROM w), f AS (SELECT code, min(domain) AS domain FROM d GROUP BY 1), r AS (SELECT domain, code AS other, row_number() OVER (PARTITION BY domain ORDER BY n DESC, code) AS place FROM f JOIN b USING (code)), x AS (SELECT f.code, other, row_number() OVER (PARTITION BY f.code ORDER BY place) AS rn FROM f JOIN r ON r.domain = f.domain AND other <> f.code WHERE place <= 7), n AS (SELECT code, list(other ORDER BY rn) AS siblings FROM x WHERE rn <= 6 GROUP BY 1), dl AS (SELECT code, list(domain ORDER BY domain) AS domains FROM d GROUP BY 1), st AS (SELECT code, list_sort(list(stem || '=' || m)) AS stems FROM (SELECT code, stem, count(*) AS m FROM w GROUP BY 1, 2) GROUP BY 1), bk AS (SELECT code, list_sort(list(book || '=' || m)) AS books FROM (SELECT code, book, count(*) AS m FROM w GROUP BY 1, 2) GROUP BY 1) SELECT b.code, gloss, b.n, k.score AS keyness, domains, coalesce(siblings, []) AS siblings, stems, books FROM b LEFT JOIN keyness k USING (code) LEFT JOIN dl USING (code) LEFT JOIN n USING (code) LEFT JOIN st USING (code) LEFT JOIN bk USING (code)")
-def cor_13_word_study(t):
-    w = t.words().select(F.col("strong").alias("code"), "surface", F.substring("morph", 1, 1).alias("stem"), "book", F.substring("lemma", 1, 1).alias("domain"))
-    return study.word_study(w, w.select("code", "domain"), keyness(t))
-
-
 @query("words", "WITH i AS (SELECT lemma AS word, strong AS code, count(*) AS n FROM words GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, code) AS place FROM i), o AS (SELECT DISTINCT strong AS code, book * 1000000 + chapter * 1000 + verse AS ref FROM words), s AS (SELECT code, list(ref ORDER BY ref) AS refs FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY ref) AS rn FROM o) WHERE rn <= 3 GROUP BY 1) SELECT word, code, place, refs FROM p LEFT JOIN s USING (code) WHERE place <= 5")
 def cor_17_concept(t):
     w = t.words()

@@ -548,18 +548,6 @@ def cor_09_lexeme(t):
     return t.words().groupBy("lemma").agg(F.count("*").alias("n"), F.min_by("strong", F.struct(corpus.node().alias("n"), F.col("strong"))).alias("first"))
 
 
-@query("words", "SELECT w.book, w.chapter, w.verse, w.idx, w.surface, g.gloss FROM words w LEFT JOIN (SELECT strong, min(surface) AS gloss FROM words WHERE is_content = 1 GROUP BY strong) g USING (strong)")
-def cor_10_interlinear(t):
-    w = t.words()
-    g = w.where("is_content = 1").groupBy("strong").agg(F.min("surface").alias("gloss"))
-    return w.join(g, "strong", "left").select("book", "chapter", "verse", "idx", "surface", "gloss")
-
-
-@query("words", "SELECT strong, n, least(n, 200) AS rows, n > 200 AS truncated FROM (SELECT strong, count(*) AS n FROM words GROUP BY strong)")
-def cor_11_concordance(t):
-    return t.words().groupBy("strong").agg(F.count("*").alias("n")).select("strong", "n", F.least("n", F.lit(200)).cast("long").alias("rows"), (F.col("n") > 200).alias("truncated"))
-
-
 @query("words", "WITH g AS (SELECT lemma, min(surface) FILTER (morph = 'V-qal') AS stem, min(surface) FILTER (morph = 'N-msa') AS noun, min(surface) AS any_ FROM words GROUP BY lemma) SELECT lemma, coalesce(stem, noun, any_) AS gloss FROM g")
 def cor_12_gloss(t):
     least = lambda m: F.min(F.when(F.col("morph") == m, F.col("surface")))
@@ -572,11 +560,6 @@ def cor_14_domain_members(t):
     return ranking.per_key(c, ["domain"], 200, F.desc("n"), F.desc("share"), F.col("strong")).select("domain", "strong", "n", "share")
 
 
-@query("words", "SELECT strong, list(lemma ORDER BY lemma) AS lexemes FROM (SELECT DISTINCT strong, lemma FROM words) GROUP BY strong")
-def cor_15_homographs(t):
-    return t.words().groupBy("strong").agg(F.array_sort(F.collect_set("lemma")).alias("lexemes"))
-
-
 @query("words", f"WITH {_KEY} SELECT strong, keyness, keyness > 3 AS is_key FROM k")
 def cor_16_keyness(t):
     return _keyness(t).withColumn("is_key", F.col("keyness") > 3)
