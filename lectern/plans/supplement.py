@@ -49,12 +49,6 @@ def src_10_consecutive(t):
     return files.consecutive(e, "event_id", "event_type", "v", ["user_id"])
 
 
-@query("words", "SELECT book, chapter, verse, list_sort(list_distinct(list('strongs:' || strong))) AS tags, count(*) AS words FROM words GROUP BY 1, 2, 3")
-def src_11_morph_docs(t):
-    tag = F.concat(F.lit("strongs:"), "strong")
-    return t.words().groupBy("book", "chapter", "verse").agg(F.array_sort(F.collect_set(tag)).alias("tags"), F.count("*").alias("words"))
-
-
 @query("xref", "SELECT source, ts, te, row_number() OVER (PARTITION BY source ORDER BY ts, te) AS place FROM (SELECT DISTINCT source, ts, te FROM xref)")
 def src_12_json_rank(t):
     x = t.xref().select("source", "ts", "te").distinct()
@@ -62,17 +56,6 @@ def src_12_json_rank(t):
     return own.select("source", F.posexplode("l").alias("i", "x")).select("source", "x.ts", "x.te", (F.col("i") + 1).cast("long").alias("place"))
 
 
-@query("titles tags", "SELECT doc_id, title, list_sort(list_distinct(list_append(list(tag), 'kind:bible'))) AS tags FROM titles JOIN tags USING (doc_id) GROUP BY 1, 2")
-def src_13_verse_docs(t):
-    own = t.tags().groupBy("doc_id").agg(F.array_sort(F.array_union(F.collect_set("tag"), F.array(F.lit("kind:bible")))).alias("tags"))
-    return t.titles().join(own, "doc_id")
-
-
-@query("", "SELECT p_partkey, trim(w) AS word FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part)")
-def src_14_lists(t):
-    return t.table("part").select("p_partkey", F.explode(F.transform(F.split("p_name", " "), F.trim)).alias("word"))
-
-
 @query("", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS topic FROM events")
 def src_15_current_topic(t):
     e = t.table("events").withColumn("m", F.when(F.col("event_type") == "purchase", F.col("event_id")))
@@ -95,28 +78,6 @@ def src_18_links(t):
     return t.table("pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit('href="[^"]*"'), F.lit(0))).cast("long").alias("links"))
 
 
-@query("tags refs", "SELECT tag, list_sort(list_distinct(list(s))) AS starts FROM tags JOIN refs USING (doc_id) WHERE tag LIKE 'source:%' GROUP BY tag")
-def src_19_inheritance(t):
-    return t.tags().where(F.col("tag").startswith("source:")).join(t.refs(), "doc_id").groupBy("tag").agg(F.array_sort(F.collect_set("s")).alias("starts"))
-
-
-@query("", "WITH a AS (SELECT l_partkey AS p, l_suppkey AS s, l_returnflag AS method, l_orderkey AS o, row_number() OVER (PARTITION BY l_partkey ORDER BY CASE l_returnflag WHEN 'A' THEN 0 ELSE 1 END, l_orderkey, l_linenumber, l_suppkey) AS rn FROM lineitem) SELECT a.p, a.s, p_name FROM a JOIN part ON p_partkey = a.p WHERE rn = 1")
-def src_20_alignment(t):
-    a = t.table("lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), "l_returnflag", "l_orderkey", "l_linenumber")
-    best = ranking.first_wins(a, ["p"], F.when(F.col("l_returnflag") == "A", 0).otherwise(1), F.col("l_orderkey"), F.col("l_linenumber"), F.col("s"))
-    return best.join(t.table("part").select(F.col("p_partkey").alias("p"), "p_name"), "p").select("p", "s", "p_name")
-
-
-@query("", "SELECT l_partkey AS p, l_suppkey AS s, list_sort(list_distinct(list(l_returnflag))) AS methods, count(*) AS n FROM lineitem GROUP BY 1, 2")
-def src_21_attestations(t):
-    return t.table("lineitem").groupBy(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).agg(F.array_sort(F.collect_set("l_returnflag")).alias("methods"), F.count("*").alias("n"))
-
-
-@query("refs", "SELECT doc_id, list_distinct([s, e]) <> [s] AS ranged, s // 1000000 AS book FROM refs")
-def src_25_chunk_passages(t):
-    return t.refs().select("doc_id", (F.size(F.array_distinct(F.array("s", "e"))) > 1).alias("ranged"), refs.book_of(F.col("s")).alias("book"))
-
-
 @query("", "SELECT event_id, try_cast(props->>'k' AS BIGINT) AS k FROM events WHERE try_cast(props->>'k' AS BIGINT) IS NOT NULL")
 def src_27_bad_numbers(t):
     k = F.get_json_object("props", "$.k").try_cast("long")
