@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,19 +40,6 @@ def lcs_align(left: DataFrame, right: DataFrame, key: str, order: str, code: str
     return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(run, "key long, i long, j long")
 
 
-def block_diff(left: DataFrame, right: DataFrame, key: str, order: str, code: str) -> DataFrame:
-    """key, op, n, of matching blocks, replacements, deletions and insertions between two sequences."""
-
-    def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        a, b = (x.sort_values(order)[code].tolist() for x in (l, r))
-        k = (l if len(l) else r)[key].iloc[0]
-        ops = [(op, max(i2 - i1, j2 - j1)) for op, i1, i2, j1, j2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes()]
-        out = pd.DataFrame(ops, columns=["op", "n"]).groupby("op", as_index=False).sum() if ops else pd.DataFrame({"op": [], "n": []})
-        return out.assign(key=k).astype({"key": "int64", "op": "object", "n": "int64"})[["key", "op", "n"]]
-
-    return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(run, "key long, op string, n long")
-
-
 def single_linkage(df: DataFrame, key: str, item: str, vector: str, threshold: float) -> DataFrame:
     """key, item, cluster: within each key, items linked by a cosine of ``threshold`` or more, named by the least item.
 

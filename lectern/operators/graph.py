@@ -18,6 +18,30 @@ def resolve(entities: DataFrame, name: str, limit: int = 8) -> DataFrame:
     return best.crossJoin(F.broadcast(least)).where("tier = least").orderBy("name", "id").limit(limit).select("id", "type", "name")
 
 
+def resolve_named(entities: DataFrame, name: str, bridge: DataFrame | None = None, limit: int = 8) -> DataFrame:
+    """id, type, name, tier: entities of a name, else of a prefix, else those that the name stands for in another language.
+
+    bridge: alias, name. The first tier that has any entity counts, at most ``limit`` of it.
+    """
+    low = F.lower("name")
+    tiers = [entities.where(low == name.lower()), entities.where(low.startswith(name.lower()))]
+    if bridge is not None:
+        meant = bridge.where(F.lower("alias") == name.lower()).select(F.lower("name").alias("_n")).distinct()
+        tiers.append(entities.join(meant, low == F.col("_n"), "left_semi"))
+    out = None
+    for i, t in enumerate(tiers):
+        own = t.orderBy("name", "id").limit(limit).select("id", "type", "name", F.lit(i).alias("tier"))  # a few rows
+        out = own if out is None else out.unionByName(own)
+    least = out.agg(F.min("tier").alias("least"))
+    return out.crossJoin(F.broadcast(least)).where("tier = least").drop("least")
+
+
+def full_view(edges: DataFrame, passages: DataFrame) -> DataFrame:
+    """id, relation, direction, other: the edges of every entity in both directions, and its passages (id, s, e) as ``passage``."""
+    place = F.concat_ws("-", F.col("s").cast("string"), F.col("e").cast("string"))
+    return view(edges).unionByName(passages.select("id", F.lit("mentioned").alias("relation"), F.lit("passage").alias("direction"), place.alias("other")))
+
+
 def neighbours(edges: DataFrame, ids: DataFrame, relation: str, reverse: bool = False) -> DataFrame:
     """id, other: one hop along a relation, or against it."""
     a, b = ("target_id", "source_id") if reverse else ("source_id", "target_id")

@@ -222,11 +222,6 @@ def agg_34_wide(t):
     return n.groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.first("n"))
 
 
-@query("words", "SELECT book, count(*) AS total, sum(is_content)::BIGINT AS matched, round(100.0 * sum(is_content) / count(*), 2) AS pct FROM words GROUP BY book")
-def agg_35_reconciliation(t):
-    return t.words().groupBy("book").agg(F.count("*").alias("total"), F.sum("is_content").alias("matched"), F.round(100.0 * F.sum("is_content") / F.count("*"), 2).alias("pct"))
-
-
 @query("words", "SELECT book, avg((morph = 'P')::INT) > 0.01 AS triangulation, avg(is_content) < 0.99 AS coverage FROM words GROUP BY book")
 def agg_36_fidelity(t):
     return t.words().groupBy("book").agg((F.avg((F.col("morph") == "P").cast("int")) > 0.01).alias("triangulation"), (F.avg("is_content") < 0.99).alias("coverage"))
@@ -260,13 +255,6 @@ def win_05_consolidation(t):
     return consolidated(t.refs().groupBy("s").agg(F.min("doc_id").alias("doc_id")), 2)
 
 
-@query("", "WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), i AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM f) SELECT user_id, min(ts) AS first, count(*) AS n FROM i GROUP BY user_id, k")
-def win_06_clusters(t):
-    from lectern.streaming.windows import sessions
-
-    return sessions(t.table("events").select("user_id", "ts"), "30 minutes")
-
-
 @query("", "SELECT event_id, lag(ts) OVER w AS since, lead(ts) OVER w AS until FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def win_07_segments(t):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")

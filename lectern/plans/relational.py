@@ -230,13 +230,6 @@ def jn_15_name_bridge(t):
     return ranking.first_wins(s, ["strong"], F.desc("n"), F.col("surface")).select("strong", "surface", "share")
 
 
-@query("", "SELECT a, b, common FROM (SELECT a.s_suppkey AS a, b.s_suppkey AS b, count(*) AS common, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY count(*) DESC, b.s_suppkey) AS rn FROM (SELECT l_suppkey AS s_suppkey, l_partkey AS p FROM lineitem GROUP BY ALL) a JOIN (SELECT l_suppkey AS s_suppkey, l_partkey AS p FROM lineitem GROUP BY ALL) b USING (p) WHERE a.s_suppkey <> b.s_suppkey GROUP BY 1, 2) WHERE rn = 1")
-def jn_16_fuzzy_match(t):
-    x = t.table("lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("p")).distinct()
-    pairs = x.join(x.withColumnRenamed("a", "b"), "p").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    return ranking.first_wins(pairs, ["a"], F.desc("common"), F.col("b"))
-
-
 @query("words", "WITH n AS (SELECT book, chapter, verse, count(*) AS n FROM words GROUP BY 1, 2, 3), b AS (SELECT book, chapter, verse, max(idx) AS last FROM words WHERE morph <> 'P' GROUP BY 1, 2, 3) SELECT w.book, w.chapter, w.verse, w.idx, least((w.idx * (b.last + 1)) // n.n, b.last) AS target FROM words w JOIN n USING (book, chapter, verse) JOIN b USING (book, chapter, verse) WHERE w.morph = 'P'")
 def jn_17_positional(t):
     from lectern.operators.corpus import positional

@@ -331,13 +331,6 @@ def fus_05_gather(t):
     return fusion.rrf(_three(t))
 
 
-@query("tokens titles chunks tags", f"WITH {_THREE}, f AS (SELECT chunk_id, round(sum(1.0 / (60 + rank)), 8) AS score FROM hits GROUP BY chunk_id), k AS (SELECT doc_id, min(tag[6:]) AS kind FROM tags WHERE tag LIKE 'kind:%' GROUP BY 1), r AS (SELECT kind, chunk_id, score, count(*) OVER w AS total, round(score / max(score) OVER w, 4) AS relative, row_number() OVER (PARTITION BY kind ORDER BY score DESC, chunk_id) AS place FROM f JOIN chunks USING (chunk_id) JOIN k USING (doc_id) WINDOW w AS (PARTITION BY kind)) SELECT 0::BIGINT AS query_id, kind, chunk_id, score, relative, place, total FROM r WHERE place <= 8")
-def fus_06_branches(t):
-    fused = fusion.rrf(_three(t)).drop("retrievers")
-    kinds = fused.select("chunk_id", doc_of(F.col("chunk_id")).alias("doc_id")).join(tags.kind_of(t.tags()), "doc_id").select("chunk_id", "kind")
-    return fusion.branches(fused, kinds)
-
-
 @query("tokens titles chunks tags", f"WITH {_THREE}, f AS (SELECT chunk_id, round(sum(1.0 / (60 + rank)), 8) AS score, count(*) AS agree FROM hits GROUP BY chunk_id) SELECT chunk_id, score, agree, score >= 0.8 * max(score) OVER () AS featured FROM f ORDER BY score DESC, chunk_id LIMIT 10")
 def fus_07_featured(t):
     f = fusion.rrf(_three(t)).withColumn("agree", F.size("retrievers").cast("long"))
@@ -452,11 +445,6 @@ def vec_11_separation(t):
     return own.select(F.round("within", 4).alias("within"), F.round("across", 4).alias("across"))
 
 
-@query("entities", "SELECT id, type, name FROM entities WHERE starts_with(lower(name), 'customer#00000') AND NOT EXISTS (SELECT 1 FROM entities WHERE lower(name) = 'customer#00000') ORDER BY name, id LIMIT 8")
-def gr_01_resolve(t):
-    return graph.resolve(t.entities(), "Customer#00000")
-
-
 @query("edges", "SELECT target_id AS id, source_id AS other FROM edges WHERE relation = 'located-in' AND target_id LIKE 'region:%'")
 def gr_02_hop(t):
     return graph.neighbours(t.edges(), t.entities().where("type = 'region'"), "located-in", reverse=True)
@@ -467,11 +455,6 @@ def gr_03_symmetric(t):
     return graph.symmetric(t.edges(), "same-segment")
 
 
-@query("edges", "SELECT source_id AS id, relation, 'out' AS direction, target_id AS other FROM edges UNION ALL SELECT target_id, relation, 'in', source_id FROM edges")
-def gr_04_view(t):
-    return graph.view(t.edges())
-
-
 @query("tags", "SELECT DISTINCT doc_id FROM tags WHERE tag IN ('kind:term', 'source:src1', 'source:SRC1')")
 def gr_05_taxonomy(t):
     return t.tags().where(F.col("tag").isin("kind:term", "source:src1", "source:SRC1")).select("doc_id").distinct()
@@ -495,11 +478,6 @@ def gr_08_frames(t):
     return t.table("lineitem").groupBy(F.col("l_orderkey").alias("verb")).agg(F.transform(F.array_sort(F.collect_list(x)), lambda y: y["a"]).alias("frame"))
 
 
-@query("", "SELECT l_returnflag AS role, count(DISTINCT l_orderkey) AS verbs, count(*) AS args FROM lineitem GROUP BY 1")
-def gr_09_frame_search(t):
-    return t.table("lineitem").groupBy(F.col("l_returnflag").alias("role")).agg(F.countDistinct("l_orderkey").alias("verbs"), F.count("*").alias("args"))
-
-
 @query("words", "SELECT book, count(DISTINCT chapter) AS chapters FROM words GROUP BY book")
 def cor_01_books(t):
     return t.words().groupBy("book").agg(F.countDistinct("chapter").alias("chapters"))
@@ -571,12 +549,6 @@ def seq_01_lcs(t):
     return align.lcs_align(w, w.where("is_content = 1"), "key", "n", "strong")
 
 
-@query()
-def seq_02_block_diff(t):
-    w = t.words().select("book", corpus.node().alias("n"), "strong", "is_content")
-    return align.block_diff(w, w.where("is_content = 1"), "book", "n", "strong")
-
-
 @query("", "WITH RECURSIVE v AS (SELECT label AS key, vec_id AS item, embedding::DOUBLE[] AS x FROM embeddings), e AS (SELECT a.item AS u, b.item AS v FROM v a JOIN v b ON a.key = b.key AND a.item <> b.item AND list_cosine_similarity(a.x, b.x) >= 0.72), r AS (SELECT item AS u, item AS v FROM v UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v) SELECT key, item, (SELECT min(r.v) FROM r WHERE r.u = item) AS cluster FROM v")
 def seq_03_linkage(t):
     return align.single_linkage(t.table("embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding", 0.72)
@@ -631,3 +603,42 @@ def str_01_delta(t):
 @query("edges entities", "SELECT source_id, target_id, relation FROM edges WHERE source_id IN (SELECT id FROM entities WHERE type <> 'supplier') AND target_id IN (SELECT id FROM entities WHERE type <> 'supplier')")
 def snk_04_dangling(t):
     return graph.without_dangling(t.edges(), t.entities().where("type <> 'supplier'"))
+
+
+_BRANCH = "CASE kind WHEN 'lexicon' THEN 'lexicon' WHEN 'term' THEN 'terms' WHEN 'question' THEN 'terms' WHEN 'bible' THEN 'verses' WHEN 'morphology' THEN 'morphology' ELSE 'other' END"
+
+
+@query("tokens titles chunks tags", f"""WITH {_THREE}, f0 AS (SELECT chunk_id, round(sum(1.0 / (60 + rank)), 8) AS score FROM hits GROUP BY chunk_id), f AS (SELECT chunk_id, score, split_part(chunk_id, ':', 1)::BIGINT AS d FROM f0 WHERE split_part(chunk_id, ':', 1)::BIGINT IN (SELECT doc_id FROM documents WHERE lang = 'en')), k AS (SELECT doc_id, min(tag[6:]) AS kind FROM tags WHERE tag LIKE 'kind:%' GROUP BY 1),
+b AS (SELECT chunk_id, score, {_BRANCH} AS branch, row_number() OVER (PARTITION BY {_BRANCH} ORDER BY score DESC, chunk_id) - 1 AS base, list_dot_product(v.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS sim FROM f JOIN k ON k.doc_id = d LEFT JOIN embeddings v ON v.vec_id = d),
+c AS (SELECT *, count(sim) OVER (PARTITION BY branch) AS m, CASE WHEN sim IS NOT NULL THEN row_number() OVER (PARTITION BY branch ORDER BY round(sim, 6) DESC NULLS LAST, base) - 1 END AS c FROM b), o AS (SELECT branch, chunk_id, score, 1 AS t, CASE WHEN m < 2 OR branch = 'terms' THEN base::DOUBLE ELSE -round(1.0 / (60 + base) + coalesce(1.0 / (60 + c), 0), 12) END AS by_, base FROM c),
+a AS (SELECT min(chunk_id) AS chunk_id, doc_id FROM chunks JOIN (SELECT DISTINCT doc_id FROM tags WHERE tag = 'kind:term') USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM tags WHERE tag = 'quality:1') AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') GROUP BY doc_id), l AS (SELECT 'terms' AS branch, chunk_id, 1.0::DOUBLE AS score, 0 AS t, -1.0::DOUBLE AS by_, 0 AS base FROM a WHERE chunk_id NOT IN (SELECT chunk_id FROM o WHERE branch = 'terms') ORDER BY chunk_id LIMIT 30),
+s AS (SELECT branch, chunk_id, score, count(*) OVER (PARTITION BY branch) AS total, row_number() OVER (PARTITION BY branch ORDER BY t, by_, base, chunk_id) AS place FROM (SELECT * FROM o UNION ALL SELECT * FROM l)), e(branch, featured, number) AS (VALUES ('lexicon', true, 0), ('study', true, 1), ('terms', false, 2), ('verses', true, 3), ('morphology', false, 4), ('methodology', false, 5), ('media', false, 6), ('other', false, 7))
+SELECT e.branch, featured, number, coalesce(place, 0) AS place, chunk_id, score, coalesce(total, 0) AS total FROM e LEFT JOIN s ON s.branch = e.branch AND place <= 8 WHERE chunk_id IS NOT NULL OR featured""")
+def fus_06_branches(t):
+    """Gated hits by branch: reranked by cosine, anchored articles leading the terms, empty branches only if featured."""
+    doc = doc_of(F.col("chunk_id")).alias("doc_id")
+    fused = tags.language_gate(fusion.rrf(_three(t)).drop("retrievers").withColumn("doc_id", doc), t.tags(), "en")
+    ids = fused.select("chunk_id", "doc_id")
+    kinds = ids.join(tags.kind_of(t.tags()), "doc_id").select("chunk_id", "kind")
+    q = t.table("embeddings").where("vec_id = 0").select(F.col("embedding").alias("qe"))
+    near = ids.join(t.table("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").crossJoin(F.broadcast(q))
+    sims = near.select("chunk_id", F.round(vectors.dot("qe", "embedding"), 6).alias("sim"))
+    articles = tags.language_gate(tags.with_all(t.heads(), t.tags(), "kind:term", "quality:1"), t.tags(), "en")
+    return fusion.branched(fused, kinds, ("lexicon", "study", "verses"), articles.select("chunk_id", F.lit(1).alias("m")), sims)
+
+
+@query("entities", "SELECT 0 AS q, id, type, name, 0 AS tier FROM entities WHERE lower(name) = 'nation_1' UNION ALL SELECT 1, id, type, name, 1 FROM (SELECT * FROM entities WHERE starts_with(lower(name), 'customer#00000') ORDER BY name, id LIMIT 8) UNION ALL SELECT 2, id, type, name, 2 FROM entities WHERE lower(name) = 'asia'")
+def gr_01_resolve(t):
+    """A name, a prefix, and a name of another language."""
+    bridge = t.table("region").select(F.concat(F.lit("Región "), "r_name").alias("alias"), F.col("r_name").alias("name"))
+    out = None
+    for i, name in enumerate(("Nation_1", "Customer#00000", "región ASIA")):
+        own = graph.resolve_named(t.entities(), name, bridge).select(F.lit(i).alias("q"), "id", "type", "name", "tier")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("edges refs", "SELECT source_id AS id, relation, 'out' AS direction, target_id AS other FROM edges UNION ALL SELECT target_id, relation, 'in', source_id FROM edges UNION ALL SELECT 'customer:' || doc_id, 'mentioned', 'passage', s || '-' || e FROM refs")
+def gr_04_view(t):
+    mentions = t.refs().select(F.concat(F.lit("customer:"), F.col("doc_id").cast("string")).alias("id"), "s", "e")
+    return graph.full_view(t.edges(), mentions)

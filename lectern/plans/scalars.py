@@ -122,11 +122,6 @@ def fn_20_gloss(t):
     return t.titles().select("doc_id", text.gloss(F.col("title")).alias("gloss"))
 
 
-@query("titles", "SELECT doc_id, nullif(trim(regexp_replace(lower(title), '^(the|a|an) ', '')), '') AS clean FROM titles")
-def fn_21_gloss_clean(t):
-    return t.titles().select("doc_id", F.nullif(F.trim(F.regexp_replace(F.lower("title"), "^(the|a|an) ", "")), F.lit("")).alias("clean"))
-
-
 @query("", "SELECT doc_id, CASE WHEN len(f) > 240 THEN rtrim(f[1:239]) || '…' ELSE f END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM documents)")
 def fn_22_excerpt(t):
     return t.table("documents").select("doc_id", text.excerpt(F.col("text")).alias("excerpt"))
@@ -144,12 +139,6 @@ def fn_24_morphology(t):
     return t.words().groupBy("morph").agg(F.count("*").alias("n")).select("morph", F.split(m, "-")[0].alias("head"), F.element_at(F.split(m, "-"), -1).alias("body"), F.substring(m, 1, 1).isin("N", "V", "A").alias("content"), "n")
 
 
-@query("", "SELECT doc_id, list_distinct(regexp_extract_all(text, '[0-9]{3,}')) <> [] AS cites, len(list_distinct(regexp_extract_all(text, '[0-9]{3,}'))) AS n FROM documents")
-def fn_29_citations(t):
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]{3,}"), F.lit(0)))
-    return t.table("documents").select("doc_id", (F.size(found) > 0).alias("cites"), F.size(found).cast("long").alias("n"))
-
-
 _COUNTS = "n AS (SELECT term, count(*) AS n FROM tokens GROUP BY term), total AS (SELECT sum(n) AS total FROM n)"
 
 

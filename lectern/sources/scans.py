@@ -68,7 +68,7 @@ def heading_documents(headings: DataFrame, resource: str, levels: tuple[str, ...
 
 def listed(field: Column) -> Column:
     """The non-empty parts of a comma list."""
-    return F.filter(F.transform(F.split(F.coalesce(field, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(field, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def graph(people: DataFrame, places: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

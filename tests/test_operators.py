@@ -55,25 +55,6 @@ def test_lcs():
     assert align.lcs([], ["a"]) == []
 
 
-def test_block_diff_covers_every_book(spark, sf_dir):
-    from collections import Counter
-    from difflib import SequenceMatcher
-
-    from lectern.plans.catalog import QUERIES
-    from lectern.plans.views import Tables
-
-    books: dict[int, list] = {}
-    for r in Tables(spark, sf_dir).words().select("book", "chapter", "verse", "idx", "strong", "is_content").collect():
-        books.setdefault(r["book"], []).append((r["chapter"], r["verse"], r["idx"], r["strong"], r["is_content"]))
-    want = Counter()
-    for book, rows in books.items():
-        rows.sort()
-        for op, i1, i2, j1, j2 in SequenceMatcher(None, [r[3] for r in rows], [r[3] for r in rows if r[4]], autojunk=False).get_opcodes():
-            want[book, op] += max(i2 - i1, j2 - j1)
-    got = {(r["key"], r["op"]): r["n"] for r in QUERIES["seq_02_block_diff"](spark, sf_dir).collect()}
-    assert len(books) == 20 and got == want
-
-
 def test_single_linkage(spark):
     df = spark.createDataFrame([(0, 1, [1.0, 0.0]), (0, 2, [0.9, 0.1]), (0, 3, [0.0, 1.0]), (0, 4, [0.0, 0.0])], "k long, i long, v array<double>")
     assert {r["item"]: r["cluster"] for r in align.single_linkage(df, "k", "i", "v", 0.8).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
