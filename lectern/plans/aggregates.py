@@ -301,12 +301,6 @@ def etl_03_heads(t):
     return ranking.first_wins(c, ["strong"], F.desc("c"), F.desc("n"), F.col("surface")).select("strong", "surface", "n")
 
 
-@query("", "SELECT event_id, (props->>'k')::BIGINT * 1000 + 1 AS s, event_type IN ('click', 'view') AS flag FROM events ORDER BY 1")
-def etl_06_json_ranges(t):
-    e = t.table("events").select("event_id", "event_type", F.from_json("props", "k long").alias("p"))
-    return e.select("event_id", (F.col("p.k") * 1000 + 1).alias("s"), F.col("event_type").isin("click", "view").alias("flag"))
-
-
 @query("", "WITH n AS (SELECT p_brand AS code, p_name AS name FROM part GROUP BY ALL), d AS (SELECT code, name, row_number() OVER (PARTITION BY code ORDER BY len(string_split(name, ' ')), len(name), name) AS rn FROM n), o AS (SELECT name FROM n GROUP BY name HAVING count(DISTINCT code) = 1) SELECT d.code, d.name AS display, (SELECT count(*) FROM n JOIN o USING (name) WHERE n.code = d.code) AS aliases FROM d WHERE rn = 1")
 def etl_07_names(t):
     n = t.table("part").select(F.col("p_brand").alias("code"), F.col("p_name").alias("name")).distinct()

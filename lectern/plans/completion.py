@@ -170,15 +170,6 @@ def sup_31_leaves(t):
     return ranking.per_key(own, ["kind"], 300, F.col("title"), F.col("doc_id"), name="place").select("kind", "doc_id", "title", "place")
 
 
-@query("chunks", "WITH a AS (SELECT 'line' AS strategy, count(*) AS chunks, sum(length(body)) AS chars FROM chunks), b AS (SELECT 'document', count(*), sum(length(text)) FROM documents), w AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT 'window', count(*), sum(length(array_to_string(list_slice(w, s + 1, s + 800), ' '))) FROM w, unnest(range(0, greatest(len(w), 1), 650)) AS t(s)) SELECT strategy, chunks, chars::BIGINT AS chars FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c")
-def sup_36_chunk_strategies(t):
-    d = t.table("documents").select("doc_id", "text")
-    words = d.select("doc_id", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("w"))
-    windows = ranking.sliding(words, "w").select(F.lit("window").alias("strategy"), F.array_join("slice", " ").alias("body"))
-    both = t.chunks().select(F.lit("line").alias("strategy"), "body").unionByName(d.select(F.lit("document").alias("strategy"), F.col("text").alias("body"))).unionByName(windows)
-    return both.groupBy("strategy").agg(F.count("*").alias("chunks"), F.sum(F.length("body")).alias("chars"))
-
-
 @query("", "SELECT page_id, regexp_extract(url, '([^/]+)/?$', 1) AS module FROM pages WHERE page_id IN (SELECT l_partkey FROM lineitem)")
 def sup_38_referenced(t):
     used = t.table("lineitem").select(F.col("l_partkey").alias("page_id")).distinct()

@@ -313,11 +313,6 @@ speaker 0.5 0.3 0.0 0.0 0.5 0.5 0.0 0.0 0.0 0.5 0.0 0.0 0.0 0.3 3.0 0.0
 """
 
 
-@query("", "WITH m AS (SELECT string_split(line, ' ') AS x FROM (SELECT unnest(string_split('" + _WEIGHTS.strip().replace("\n", "|") + "', '|')) AS line)) SELECT x[1] AS intent, ['fts', 'title', 'passage', 'scripture', 'tag', 'vector', 'lexicon', 'morphology', 'entity', 'bible', 'topic', 'xref', 'cfabric', 'aquifer', 'speaker', 'semdomain'][i] AS retriever, x[i + 1]::DOUBLE AS weight FROM m, unnest(range(1, 17)) AS t(i)")
-def fus_02_weights(t):
-    return fusion.weights(t.spark)
-
-
 @query("", "WITH b AS (SELECT vec_id, row_number() OVER (ORDER BY label DESC, vec_id) - 1 AS b, list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS sim FROM embeddings), c AS (SELECT vec_id, b, row_number() OVER (ORDER BY round(sim, 6) DESC, vec_id) - 1 AS c FROM b) SELECT vec_id AS chunk_id, round(1.0 / (60 + b) + 1.0 / (60 + c), 8) AS score FROM c")
 def fus_03_rerank(t):
     v = t.table("embeddings")
@@ -411,11 +406,6 @@ def vec_03_cosine(t):
     return v.crossJoin(F.broadcast(q)).select("vec_id", F.round(vectors.cosine("qe", "embedding"), 4).alias("score"))
 
 
-@query("", "SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT vec_id FROM embeddings) AND trim(d.text) <> ''")
-def vec_04_missing(t):
-    return t.table("documents").where(F.trim("text") != "").select("doc_id").join(t.table("embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
-
-
 _SIGN = "v AS (SELECT vec_id, embedding::DOUBLE[] AS x, list_transform(embedding, lambda a: (a > 0)::INT) AS b FROM embeddings), h AS (SELECT q.vec_id AS q, v.vec_id, list_dot_product(q.x, v.x) AS sim, list_sum(list_transform(list_zip(q.b, v.b), lambda p: (p[1] <> p[2])::INT)) AS far FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0), c AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY far, vec_id) AS c FROM h), f AS (SELECT q, vec_id, row_number() OVER (PARTITION BY q ORDER BY round(sim, 6) DESC, vec_id) AS rn FROM c WHERE c <= 80)"
 
 

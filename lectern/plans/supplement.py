@@ -117,11 +117,6 @@ def sup_06_refusal(t):
     return t.table("conversations").select("conv_id", "turn", evaluate.is_refusal(F.col("text")).alias("refusal"))
 
 
-@query("words", "SELECT book, count(*) FILTER (morph = 'P') AS noise, bool_or(morph = 'N-msa') AS present FROM words GROUP BY book")
-def sup_07_denoise(t):
-    return t.words().groupBy("book").agg(F.count_if(F.col("morph") == "P").alias("noise"), F.bool_or(F.col("morph") == "N-msa").alias("present"))
-
-
 @query("words", "WITH v AS (SELECT book, chapter, verse, min(lemma) AS lemma FROM words GROUP BY 1, 2, 3 HAVING count(DISTINCT lemma) = 1) SELECT book, chapter, verse, lemma FROM (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY book, chapter, verse) AS rn FROM v) WHERE rn <= 3")
 def sup_10_unambiguous(t):
     v = t.words().groupBy("book", "chapter", "verse").agg(F.min("lemma").alias("lemma"), F.countDistinct("lemma").alias("k")).where("k = 1").drop("k")
@@ -185,18 +180,6 @@ def sup_20_primary_domain(t):
     return p.groupBy("domain").agg(F.array_sort(F.collect_list("strong")).alias("members"))
 
 
-@query("topics", "WITH t AS (SELECT topic_id, name, s FROM topics WHERE starts_with(name, 'ECONOMY')) SELECT name, list_slice(list(s ORDER BY s, topic_id), 1, 10) AS refs FROM t GROUP BY name")
-def sup_23_topic_verses(t):
-    own = t.topics().where(F.col("name").startswith("ECONOMY"))
-    ordered = F.slice(F.array_sort(F.collect_list(F.struct("s", "topic_id"))), 1, 10)
-    return own.groupBy("name").agg(F.transform(ordered, lambda x: x["s"]).alias("refs"))
-
-
-@query("", "SELECT page_id, regexp_replace(lower(split_part(url, '/', 4)), '[^a-z0-9]+', '-', 'g') AS slug FROM pages")
-def sup_30_series(t):
-    return t.table("pages").select("page_id", F.regexp_replace(F.lower(F.split_part("url", F.lit("/"), F.lit(4))), "[^a-z0-9]+", "-").alias("slug"))
-
-
 @query("refs", "SELECT s // 1000000 AS book, count(DISTINCT s // 1000 % 1000) AS chapters, count(*) AS docs FROM refs GROUP BY 1")
 def sup_32_books(t):
     return t.refs().groupBy(refs.book_of(F.col("s")).alias("book")).agg(F.countDistinct(refs.chapter_of(F.col("s"))).alias("chapters"), F.count("*").alias("docs"))
@@ -212,12 +195,6 @@ def sup_37_book_span(t):
     return t.refs().select("doc_id", F.explode(F.sequence(refs.book_of(F.col("s")), refs.book_of(F.col("e")))).alias("book")).distinct()
 
 
-@query("words", "SELECT strong, regexp_extract(strong || '=' || morph, '([GH]\\d+)', 1) AS code, split_part(strong || '=' || morph, '=', 2) AS m, count(*) AS n FROM words GROUP BY ALL")
-def sup_41_composite(t):
-    f = F.concat_ws("=", "strong", "morph")
-    return t.words().groupBy("strong", F.regexp_extract(f, r"([GH]\d+)", 1).alias("code"), F.split_part(f, F.lit("="), F.lit(2)).alias("m")).agg(F.count("*").alias("n"))
-
-
 @query("words", "SELECT lemma, count(DISTINCT morph) AS stems FROM words GROUP BY lemma HAVING count(DISTINCT morph) >= 2")
 def sup_43_multi_stem(t):
     return t.words().groupBy("lemma").agg(F.countDistinct("morph").alias("stems")).where("stems >= 2")
@@ -236,11 +213,6 @@ def sup_45_languages(t):
     return t.table("documents").select("lang").distinct().withColumn("later", F.col("lang") != "en").orderBy("later", "lang")
 
 
-@query("", "SELECT page_id, trim(regexp_replace(lower(regexp_extract(url, '//([^./]+)', 1)), '^(the|der|la|el)-', '')) AS bare FROM pages")
-def sup_50_bare_names(t):
-    return t.table("pages").select("page_id", F.trim(F.regexp_replace(F.lower(F.regexp_extract("url", "//([^./]+)", 1)), "^(the|der|la|el)-", "")).alias("bare"))
-
-
 @query("refs", "SELECT s // 1000000 AS book, s // 1000 % 1000 AS chapter, count(*) AS docs, min(s % 1000) AS first FROM refs GROUP BY 1, 2")
 def api_08_tree(t):
     s = F.col("s")
@@ -268,5 +240,3 @@ def api_12_cross_refs(t):
 @query("tags", "SELECT split_part(tag, ':', 1) AS tree, count(DISTINCT tag) AS branches, count(DISTINCT doc_id) AS docs FROM tags GROUP BY 1")
 def api_06_overview(t):
     return t.tags().groupBy(tags.namespace(F.col("tag")).alias("tree")).agg(F.countDistinct("tag").alias("branches"), F.countDistinct("doc_id").alias("docs"))
-
-

@@ -16,7 +16,7 @@ OSIS = (
 WIKIDATA = "s7cc8b2"
 
 
-def _key(osis: Column) -> Column:
+def verse_key(osis: Column) -> Column:
     """The passage key of ``Gen.1.1``; three-letter codes are known too; null for all else."""
     parts = F.split(osis, r"\.")
     name = F.get(parts, F.lit(0))
@@ -57,7 +57,7 @@ def places(lines: DataFrame, line: str = "value") -> DataFrame:
     pairs = F.transform(resolutions, lambda r: F.split(F.try_variant_get(r, "$.lonlat", "string"), ",", 2))
     number = lambda p, i: F.trim(F.get(p, F.lit(i))).try_cast("double")
     usable = F.get(F.filter(F.transform(pairs, lambda p: F.struct(number(p, 0).alias("lon"), number(p, 1).alias("lat"))), lambda x: x["lon"].isNotNull() & x["lat"].isNotNull()), F.lit(0))
-    verses = F.transform(F.coalesce(get("$.verses", "array<variant>"), F.array().cast("array<variant>")), lambda v: _key(F.try_variant_get(v, "$.osis", "string")))
+    verses = F.transform(F.coalesce(get("$.verses", "array<variant>"), F.array().cast("array<variant>")), lambda v: verse_key(F.try_variant_get(v, "$.osis", "string")))
     wikidata = _text(f"$.linked_data.{WIKIDATA}.id")
     modern = F.transform(F.map_entries(get("$.modern_associations", "map<string,variant>")), lambda e: F.struct(
         e["key"].alias("id"), F.try_variant_get(e["value"], "$.name", "string").alias("name"), F.try_variant_get(e["value"], "$.score", "double").alias("score"), F.try_variant_get(e["value"], "$.url_slug", "string").alias("url_slug")))

@@ -173,3 +173,25 @@ def test_resolving_by_tiers(spark):
     bridge = spark.createDataFrame([("Гат", "gath")], "alias string, name string")
     one = lambda n: [(r["id"], r["tier"]) for r in graph.resolve_named(e, n, bridge).orderBy("id").collect()]
     assert one("dan") == [("1", 0)] and one("dani") == [("2", 1)] and one("гат") == [("3", 2)] and one("none") == []
+
+
+def test_tidying(spark):
+    from lectern.operators import tidying
+
+    rows = [("GEN.1.3", "GEN.1.1", " God ", None, "Q", None), ("Gen.1.1", "Gen.1.3", "God", "", "Q", ""), ("BAD", "GEN.1.1", "x", None, None, None), ("GEN.1.1", "GEN.1.1", " ", None, None, None), (None, None, None, None, None, None)]
+    named, skipped = tidying.speaker_ranges(spark.createDataFrame(rows, "start string, end string, speaker string, alt string, kind string, delivery string"), spark.createDataFrame([("God", False), ("God", True)], "name string, divine boolean"))
+    assert [tuple(r) for r in named.collect()] == [("God", "", 1001001, 1001003, "Q", "", "Y")] and skipped.first()["skipped"] == 3
+    docs = spark.createDataFrame([("s", "Talks — A b (one)"), ("s", "Talks — A b (two)"), ("s", "A-b"), ("s", "Other — (x)")], "series string, title string")
+    assert sorted((r["slug"], r["n"]) for r in tidying.series(docs, "Talks").collect()) == [("a-b", 3), ("other", 1)]
+    topics = spark.createDataFrame([(1, "Faith", 5), (1, "Faith", 4), (2, "Faithful", 1), (3, "faith", 9)], "topic_id long, name string, s long")
+    asked = spark.createDataFrame([("a", "FAITH"), ("b", "fait"), ("c", "none")], "q string, name string")
+    assert {r["q"]: r["refs"] for r in tidying.topic_verses(topics, asked).collect()} == {"a": [4, 5, 9], "b": [1, 4, 5, 9]}
+    res = spark.createDataFrame([("q", 2, "s"), ("q", 1, "n"), ("q", 3, None), ("p", 1, "s")], "q string, rank long, code string")
+    sub, bad = spark.createDataFrame([("q", "s"), ("p", "s")], "q string, code string"), spark.createDataFrame([("q", "n")], "q string, code string")
+    assert sorted(map(tuple, tidying.denoised(res, sub, bad).collect())) == [("p", 0, True, True), ("q", 1, False, True)]
+    f = spark.createDataFrame([("H9003/{H7225G}=N-x=y",), ("{G26}",), (None,)], "f string")
+    assert [(r[0], r[1]) for r in f.select(tidying.codes_in(F.col("f")), tidying.morphology_in(F.col("f"))).collect()] == [(["H7225G", "H9003"], "N-x=y"), (["G0026"], "{G26}"), ([], "")]
+    n = spark.createDataFrame([("К Римлянам",), ("1-е Коринфянам",), ("Бытие",)], "n string")
+    assert [r[0] for r in n.select(tidying.bare_forms(F.col("n"), ("К", "Ко"))).collect()] == [["Римлянам"], ["1 Коринфянам"], []]
+    cut = tidying.strategies(spark.createDataFrame([(1, "a b\n\nc"), (2, None), (3, "")], "doc_id long, text string"), 2, 1)
+    assert {"line:1:00000", "line:1:00002", "document:1:00000", "window:1:00001"} <= {r["id"] for r in cut.collect()}
