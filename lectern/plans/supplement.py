@@ -235,8 +235,3 @@ def api_12_cross_refs(t):
     b = t.refs().select(F.col("doc_id").alias("other"), F.col("s").alias("ts"), F.col("e").alias("te"))
     p = intervals.overlap_join(t.refs().where("e - s < 100"), b).where("doc_id <> other").select("doc_id", "other")
     return ranking.per_key(p, ["doc_id"], 10, F.col("other")).drop("rn")
-
-
-@query("tags", "SELECT split_part(tag, ':', 1) AS tree, count(DISTINCT tag) AS branches, count(DISTINCT doc_id) AS docs FROM tags GROUP BY 1")
-def api_06_overview(t):
-    return t.tags().groupBy(tags.namespace(F.col("tag")).alias("tree")).agg(F.countDistinct("tag").alias("branches"), F.countDistinct("doc_id").alias("docs"))

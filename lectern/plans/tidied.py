@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.operators import fusion, tidying
+from lectern.operators import fusion, tidying, trees
 from lectern.plans.registry import query
 from lectern.plans.retrieval import _THREE, _WEIGHTS, _three
 from lectern.plans.surface import _BOOK
@@ -84,3 +84,28 @@ def etl_06_json_ranges(t):
     )
     names = t.table("orders").select(F.concat(F.lit("S"), s(w)).alias("name"), (w % 7 == 0).alias("divine"))
     return tidying.speaker_ranges(rows, names)[0]
+
+
+_PATHS = {
+    "source": "SELECT tag[8:], s // 1000000, doc_id FROM tags JOIN refs USING (doc_id) WHERE tag LIKE 'source:%'",
+    "kind": "SELECT a.tag[6:], b.tag[6:], doc_id FROM tags a JOIN tags b USING (doc_id) WHERE a.tag LIKE 'kind:%' AND b.tag LIKE 'lang:%'",
+    "term": "SELECT upper(trim(title)[1]), title, doc_id FROM titles WHERE doc_id IN (SELECT doc_id FROM tags WHERE tag = 'kind:term')",
+    "methodology": "SELECT tag[8:], upper(trim(title)[1]), doc_id FROM titles JOIN tags USING (doc_id) WHERE tag LIKE 'source:%' AND doc_id IN (SELECT doc_id FROM tags WHERE tag = 'kind:methodology')",
+    "aquifer": "SELECT tag[6:], s // 1000000, doc_id FROM tags JOIN refs USING (doc_id) WHERE tag LIKE 'kind:%' AND doc_id IN (SELECT doc_id FROM tags WHERE tag = 'resource:aquifer')",
+    "topic": "SELECT upper(trim(name)[1]), name, topic_id FROM topics",
+    "entity": "SELECT type, upper(trim(name)[1]), id FROM entities",
+    "lexicon": "SELECT strong[1], strong[2], strong FROM words",
+    "morphology": "SELECT book, chapter, morph FROM words",
+    "transcript": "SELECT role, conv_id % 10, conv_id FROM conversations",
+}
+
+
+@query("tags refs titles topics entities words", "WITH " + ", ".join(f"p_{n} AS (SELECT DISTINCT a::VARCHAR AS a, b::VARCHAR AS b, c::VARCHAR AS c FROM ({q}) AS t(a, b, c) WHERE a IS NOT NULL)" for n, q in _PATHS.items()) + " " + " UNION ALL ".join(f"SELECT '{n}' AS tree, NULL::VARCHAR AS parent, a AS id, count(DISTINCT c) AS n FROM p_{n} GROUP BY a" + ("" if n in ("term", "topic") else f" UNION ALL SELECT '{n}', a, b, count(*) FROM p_{n} GROUP BY a, b") for n in _PATHS))
+def api_06_overview(t):
+    return trees.overview(t)
+
+
+@query("words", "SELECT 'morphology' AS tree, chapter::VARCHAR AS id, count(DISTINCT morph) AS n FROM words WHERE book = 1 GROUP BY 2 UNION ALL SELECT 'leaves', morph, 1 FROM words WHERE book = 1 AND chapter = 1 GROUP BY morph")
+def api_06_descend(t):
+    one, two = trees.descend(t, "morphology", "1"), trees.descend(t, "morphology", "1", "1")
+    return one.select(F.lit("morphology").alias("tree"), "id", "n").unionByName(two.select(F.lit("leaves").alias("tree"), "id", "n"))
