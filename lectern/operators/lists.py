@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Version of the stored form; a store of another one is built anew.
+FORMAT = 2
 #: Lists that each vector goes to; vectors that fit centroids and queries that tune the probes, at most; most lists.
 COPIES, SAMPLE, PROBED, MOST = 2, 65_536, 256, 8192
 
@@ -53,8 +55,11 @@ def sound(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") ->
     return vectors.select(F.col(key).alias("vec_id"), e.alias("embedding")).where("vec_id IS NOT NULL").where((F.size("embedding") > 0) & finite & F.exists("embedding", lambda x: x != 0))
 
 
-def build(vectors: DataFrame, path: str, recall: float = 0.97, k: int = 20) -> dict:
-    """Write the lists of vectors (vec_id, embedding, all of one length) below ``path``; returns the index's description."""
+def build(vectors: DataFrame, path: str, recall: float = 0.98, k: int = 20, deep: int = 160) -> dict:
+    """Write the lists of vectors (vec_id, embedding, all of one length) below ``path``; returns the index's description.
+
+    The probes are tuned for the ``k`` nearest, and for the ``deep`` nearest that a post-filtered search fetches.
+    """
     own = sound(vectors)
     n = own.count()
     if not n:
@@ -76,9 +81,10 @@ def build(vectors: DataFrame, path: str, recall: float = 0.97, k: int = 20) -> d
     # a list may hold a third of all vectors: its rows are dealt over several files
     copied.repartition("list", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // 1_000_000)))).write.partitionBy("list").parquet(f"{path}/lists")
     probes, reached = _tuned(own, hashed.limit(PROBED), centroids, recall, k, lists)
+    wide, deeply = _tuned(own, hashed.limit(PROBED), centroids, recall, deep, lists)
     flat = json.dumps([[float(v) for v in c] for c in centroids])
     vectors.sparkSession.createDataFrame([(flat,)], "centroids string").coalesce(1).write.parquet(f"{path}/centroids")
-    return {"n": n, "lists": lists, "probes": probes, "recall": reached, "dimensions": int(x.shape[1])}
+    return {"n": n, "lists": lists, "k": k, "probes": probes, "recall": reached, "deep_probes": max(probes, wide), "deep_recall": deeply, "dimensions": int(x.shape[1])}
 
 
 def _tuned(own: DataFrame, queries: DataFrame, centroids: np.ndarray, recall: float, k: int, lists: int) -> tuple[int, float]:
@@ -110,9 +116,9 @@ class Lists:
     def _centroids(self) -> np.ndarray:
         return np.array(json.loads(self.spark.read.parquet(f"{self.path}/centroids").first()[0]))
 
-    def routed(self, queries: DataFrame, probes: int | None = None) -> DataFrame:
+    def routed(self, queries: DataFrame, probes: int) -> DataFrame:
         """q, qe, list: each query with the lists it probes, nearest first."""
-        n = min(probes or self.stats["probes"], self.stats["lists"])
+        n = min(probes, self.stats["lists"])
         centroids = self._centroids()
 
         def route(batches):
@@ -138,7 +144,7 @@ class Lists:
         if not self.stats["n"]:
             return self.spark.createDataFrame([], "q long, vec_id long, sim double, rn long")
         most = k * over
-        routed = self.routed(queries, probes)
+        routed = self.routed(queries, probes or self.stats["probes" if most <= self.stats["k"] else "deep_probes"])
         numbers = [r["list"] for r in routed.select("list").distinct().collect()]
 
         def met(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from lectern.operators.fts import B, K1, scored
 
 SHARD, BLOCK = 512, 128
+#: Version of the stored form; a store of another one is built anew.
+FORMAT = 1
 #: Terms of a partition, most partitions, and units for each further file of a partition.
 TERMS, PARTS, FILED = 20_000, 4096, 2_000_000
 

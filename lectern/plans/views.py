@@ -39,11 +39,11 @@ class Tables:
             self.chunks().select("chunk_id", "doc_id", "chunk_index").groupBy("doc_id").agg(F.min_by("chunk_id", "chunk_index").alias("chunk_id"), F.min("chunk_index").alias("chunk_index")).write.parquet(f"{path}/heads")
             return postings.build(self.bags(), path)
 
-        return postings.Postings(self.spark, *store.derived(self.spark, "chunks", [self.path("documents")], build))
+        return postings.Postings(self.spark, *store.derived(self.spark, f"chunks-{postings.FORMAT}", [self.path("documents")], build))
 
     def title_index(self) -> postings.Postings:
         """The titles' stored inverted index; its units are documents."""
-        return postings.Postings(self.spark, *store.derived(self.spark, "titles", [self.path("documents")], lambda path: postings.build(self.title_bags(), path, "doc_id")))
+        return postings.Postings(self.spark, *store.derived(self.spark, f"titles-{postings.FORMAT}", [self.path("documents")], lambda path: postings.build(self.title_bags(), path, "doc_id")))
 
     def heads(self) -> DataFrame:
         """doc_id, chunk_id, chunk_index of each document's first chunk, as stored with the index."""
@@ -51,7 +51,7 @@ class Tables:
 
     def vector_index(self) -> lists.Lists:
         """The embeddings' stored inverted lists."""
-        return lists.Lists(self.spark, *store.derived(self.spark, "vectors", [self.path("embeddings")], lambda path: lists.build(self.table("embeddings"), path)))
+        return lists.Lists(self.spark, *store.derived(self.spark, f"vectors-{lists.FORMAT}", [self.path("embeddings")], lambda path: lists.build(self.table("embeddings"), path)))
 
     def chunks(self) -> DataFrame:
         """chunk_id, doc_id, chunk_index, body: the documents' lines."""
