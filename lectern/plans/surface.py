@@ -11,7 +11,7 @@ from lectern.operators import corpus, intents, senses, strategies
 from lectern.operators.graph import cut
 from lectern.plans.registry import query
 from lectern.plans.service import Service
-from lectern.sources import files, store
+from lectern.sources import files, sinks, store
 
 #: One question a customer, of five kinds, and what each is about.
 _ASK = "q AS (SELECT c_custkey AS k, c_nationkey AS n, c_custkey % 5 AS kind FROM customer)"
@@ -164,3 +164,24 @@ def sup_33_cross_references(t):
 def sup_35_health(t):
     """Counts of the store's tables; one that isn't there has none."""
     return Service(t).health("chunks", "tags", "refs", "missing")
+
+
+@query("tags", "WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 7 = 0 THEN 'aquifer' WHEN doc_id % 8 = 5 THEN 'bible' WHEN doc_id % 8 = 4 THEN 'lexicon' WHEN doc_id % 8 = 6 THEN 'morphology' ELSE 'main' END AS corpus FROM documents), w AS (SELECT corpus, doc_id, unnest(regexp_extract_all(lower(text), '[a-zà-öø-ÿß]{3,}')) AS term FROM d) SELECT corpus AS name, count(DISTINCT doc_id) AS units, count(DISTINCT (doc_id, term)) AS postings FROM w GROUP BY 1 UNION ALL SELECT 'documents', count(*), 0 FROM documents UNION ALL SELECT 'chunks', count(*), 0 FROM documents WHERE regexp_replace(coalesce(text, ''), '\\s+', '', 'g') <> '' UNION ALL SELECT 'vectors', count(*), 0 FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE regexp_replace(coalesce(text, ''), '\\s+', '', 'g') <> '')")
+def snk_02_published(t):
+    """The documents published as a whole index, and what its manifest counts: tables, orphan-free vectors, postings by corpus."""
+    d, none = F.col("doc_id"), F.array().cast("array<bigint>")
+    own = tags_of(t).join(t.table("documents").select("doc_id", "text"), "doc_id")
+    body = F.nullif(F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", ""), F.lit(""))
+    documents = own.select(d.cast("string").alias("id"), F.concat(d.cast("string"), F.lit(".md")).alias("path"), F.lit("t").alias("title"), body.alias("body"), "tags", none.alias("s"), none.alias("e"), F.lit("{}").alias("metadata"))
+    vectors = t.table("embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit(":0000")).alias("id"), "embedding")
+    folder = f"{store.shared_root(t.spark)}/published-1/{store.snapshot(t.spark, t.path('documents'), t.path('embeddings'))}"
+    if store.current(t.spark, folder) is None:
+        sinks.publish_index(documents, folder, vectors)
+    found = store.current(t.spark, folder)[1]
+    rows = [(n, s["n"], s["postings"]) for n, s in found["fts"].items() if s["n"]] + [(n, found["counts"][n], 0) for n in ("documents", "chunks", "vectors")]
+    return t.spark.createDataFrame(rows, "name string, units long, postings long")
+
+
+def tags_of(t):
+    """doc_id, tags: all tags of each document."""
+    return t.tags().groupBy("doc_id").agg(F.collect_set("tag").alias("tags"))

@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.text import terms
+from lectern.operators import postings
+from lectern.sources import store
+
 #: Tables of a store and their columns.
 SCHEMAS = {
     "documents": "id string, path string, title string, metadata string, corpus string",
@@ -53,6 +57,25 @@ def build_index(documents: DataFrame, root: str) -> dict[str, int]:
     return counts
 
 
+def publish_index(documents: DataFrame, folder: str, vectors: DataFrame | None = None) -> str:
+    """A whole index as one version of ``folder``, seen only when all of it is there: tables, vectors without orphans, and for
+    each corpus postings with statistics of its own. The manifest has all counts. documents: as ``tables_of``; vectors: id, embedding."""
+    spark = documents.sparkSession
+
+    def build(path: str) -> dict:
+        counts = build_index(documents, path)
+        chunks = spark.read.parquet(f"{path}/chunks")
+        if vectors is not None:
+            without_orphans(vectors, chunks).write.parquet(f"{path}/vectors")
+            counts["vectors"] = spark.read.parquet(f"{path}/vectors").count()
+        corpus = spark.read.parquet(f"{path}/documents").select(F.col("id").alias("doc_id"), "corpus")
+        bags = chunks.select(F.col("id").alias("chunk_id"), "doc_id", terms(F.col("body")).alias("words")).join(corpus, "doc_id")
+        names = [name for _, name in PARTITIONS] + ["main"]
+        return {"counts": counts, "fts": {name: postings.build(bags.where(F.col("corpus") == name), f"{path}/fts/{name}") for name in names}}
+
+    return store.publish(spark, folder, build)
+
+
 def without_orphans(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
     """The vectors whose chunk still exists."""
     return vectors.join(chunks.select("id"), "id", "left_semi")

@@ -129,3 +129,17 @@ def test_neighbours_of_mixed_lengths(spark, monkeypatch, carried):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 1.0, 0.0]), (5, None), (6, [None, 1.0]), (7, [])], "vec_id long, embedding array<double>")
     got = sorted((r["q"], r["vec_id"], r["sim"], r["rn"]) for r in ranked_neighbours(v, v, 3).collect())
     assert got == [(1, 2, 0.5, 1), (2, 1, 0.5, 1), (3, 4, 0.0, 1), (4, 3, 0.0, 1)]
+
+
+def test_a_whole_index_is_one_version(spark, root):
+    from lectern.sources import sinks
+
+    rows = [("a", "a.md", "A", "the word here", ["kind:bible"], [1], [2], "{}"), ("b", "b.md", "B", "the other word", [], [], [], "{}"), ("b", "b.md", "B", "the other word", [], [], [], "{}"), ("c", "c.md", "C", None, ["resource:aquifer"], [], [], "{}")]
+    docs = spark.createDataFrame(rows, "id string, path string, title string, body string, tags array<string>, s array<long>, e array<long>, metadata string")
+    vectors = spark.createDataFrame([("a:0000", [1.0]), ("gone:0000", [1.0])], "id string, embedding array<double>")
+    path = sinks.publish_index(docs, f"{root}/whole", vectors)
+    found, manifest = store.current(spark, f"{root}/whole")
+    assert found == path and manifest["counts"] == {"documents": 3, "chunks": 2, "passage_refs": 1, "tags": 2, "vectors": 1}
+    assert {n: s["n"] for n, s in manifest["fts"].items()} == {"aquifer": 0, "bible": 1, "lexicon": 0, "morphology": 0, "main": 1}
+    own = postings.Postings(spark, f"{path}/fts/bible", manifest["fts"]["bible"])
+    assert [r["chunk_id"] for r in own.best(["the", "word"], 5).collect()] == ["a:0000"]
