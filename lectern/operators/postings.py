@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators.fts import B, K1, scored
+from lectern.operators.graph import cut
 
 SHARD, BLOCK = 512, 128
 #: Version of the stored form; a store of another one is built anew.
@@ -41,7 +42,7 @@ def build(bags: DataFrame, path: str, unit: str = "chunk_id") -> dict:
     Null and empty bags and units without a key have no postings; units without words don't count. Repeated keys count
     as one unit whose words add up.
     """
-    held = bags.select(F.col(unit).alias("unit"), "words").where(F.col("unit").isNotNull() & (F.size("words") > 0))
+    held = cut(bags.select(F.col(unit).alias("unit"), "words").where(F.col("unit").isNotNull() & (F.size("words") > 0)))  # parsed once, read three times
     n, total = held.agg(F.count("*"), F.sum(F.size("words"))).first()
     if not n:
         return {"unit": held.schema["unit"].dataType.simpleString(), "n": 0, "avgdl": 0.0, "terms": 0, "postings": 0, "blocks": 0, "shards": 0, "parts": 0}
@@ -59,8 +60,8 @@ def build(bags: DataFrame, path: str, unit: str = "chunk_id") -> dict:
     counted = dealt.groupBy("part", "file", "term", "shard", "unit", "dl").agg(F.count("*").cast("int").alias("tf")).withColumn("i", impact(avgdl))
     best = F.array_sort(F.collect_list(F.struct((-F.col("i")).alias("i"), "unit", "tf", "dl")))
     grouped = counted.groupBy("part", "file", "term", "shard").agg(best.alias("p"))
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / BLOCK).cast("int")), lambda b: F.slice("p", b * BLOCK + 1, F.lit(BLOCK)))
-    blocks = grouped.select("part", "term", "shard", F.posexplode(cut).alias("block", "p"))
+    sliced = F.transform(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / BLOCK).cast("int")), lambda b: F.slice("p", b * BLOCK + 1, F.lit(BLOCK)))
+    blocks = grouped.select("part", "term", "shard", F.posexplode(sliced).alias("block", "p"))
     column = lambda c: F.transform("p", lambda x: x[c]).alias(c)
     rows = blocks.select("term", "shard", "block", (-F.get("p", F.lit(0))["i"]).alias("most"), F.size("p").alias("n"), column("unit"), column("tf"), column("dl"), "part")
     rows.sortWithinPartitions("part", "term", "shard", "block").write.partitionBy("part").parquet(f"{path}/blocks")
