@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import map_rows, small
 
-EXAMPLES, NEAREST, BLOCK, COMMON = 1000, 15, 64, 8
+EXAMPLES, NEAREST, BLOCK, COMMON = 2500, 15, 64, 8
 #: Weight that every term keeps, standard errors under the log odds ratio, and weight of the prior in a vote.
 FLOOR, SPREAD, PRIOR = 0.01, 1.0, 0.5
 THRESHOLD = 0.3
