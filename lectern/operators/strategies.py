@@ -52,14 +52,16 @@ def entity(asked: DataFrame, key: str, entities: DataFrame, edges: DataFrame, mo
     found = cut(own.join(met, "_n"))  # read four times below
     base = F.regexp_replace("relation", "-rev$", "")
     inward = F.col("relation").endswith("-rev")
-    hop = found.where("relation IS NOT NULL").select(key, "id", base.alias("relation"), inward.alias("inward"))
-    a = hop.where(F.col("inward") | F.col("relation").isin(*SYMMETRIC)).join(edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("other"), "relation"), ["id", "relation"])
-    b = hop.where(~F.col("inward") | F.col("relation").isin(*SYMMETRIC)).join(edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("other"), "relation"), ["id", "relation"])
-    others = a.unionByName(b).select(key, "other").distinct().join(entities.select(F.col("id").alias("other"), F.col("name").alias("relative")), "other").select(key, "relative").distinct()
-    few = per_key(others, [key], most, F.col("relative")).groupBy(key).agg(F.array_sort(F.collect_list("relative")).alias("relatives"))
+    by = ["id", "_base", "_in"]
+    found = found.withColumn("_base", base).withColumn("_in", inward)
+    hop = found.where("relation IS NOT NULL").select(*by).distinct()  # relatives belong to an entity, however many ask for them
+    a = hop.where(F.col("_in") | F.col("_base").isin(*SYMMETRIC)).join(edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("other"), F.col("relation").alias("_base")), ["id", "_base"])
+    b = hop.where(~F.col("_in") | F.col("_base").isin(*SYMMETRIC)).join(edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("other"), F.col("relation").alias("_base")), ["id", "_base"])
+    others = a.unionByName(b).select(*by, "other").distinct().join(entities.select(F.col("id").alias("other"), F.col("name").alias("relative")), "other").select(*by, "relative").distinct()
+    few = per_key(others, by, most, F.col("relative")).groupBy(*by).agg(F.array_sort(F.collect_list("relative")).alias("relatives"))
     text = F.trim(F.coalesce(F.get_json_object("metadata", "$.description"), F.lit("")))
     summary = F.substring(F.regexp_extract(F.regexp_replace(text, r"\[([^\]]+)\]\([^)]+\)", "$1"), r"(?s)^(.*?[.!?])(?=\s|$)|^(.*)$", 0), 1, 160)
-    own = found.join(few, key, "left")
+    own = found.join(few, by, "left")
     noun = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in NOUNS.items() for x in kv]), base), base)
     who = F.when(F.size("relatives") > 0, F.array_join("relatives", ", ")).otherwise("—")
     head = F.when(inward, noun).when(noun.isin("father", "mother"), "children").otherwise(F.concat(noun, F.lit("s")))
