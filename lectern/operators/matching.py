@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.text import fold
-from lectern.operators.ranking import per_key
 
 INLINE = r"\[([A-Za-z0-9:_\-]+)\]"
 
@@ -26,14 +25,18 @@ def fuzzy(found: DataFrame, known: DataFrame, mentions: DataFrame) -> DataFrame:
     A normalised name with one entity (known: id, name) is that one. With several, the entity that shares most verses (mentions: id, ref) wins,
     the first by id at a tie, and none if none is shared. Without a name that anyone has it is new.
     """
-    own = found.select("id", normal_name(F.col("name")).alias("_n"), "verses")
+    own = found.select("id", normal_name(F.col("name")).alias("_n"), F.array_sort(F.array_distinct("verses")).alias("verses"))
     named = known.select(F.col("id").alias("entity"), normal_name(F.col("name")).alias("_n")).where("_n != ''")
     counts = named.groupBy("_n").agg(F.count("*").alias("k"), F.min("entity").alias("entity"))
     met = own.join(counts, "_n", "left")
-    several = met.where("k > 1").select("id", "_n", F.explode("verses").alias("ref")).distinct()
-    shared = several.join(named, "_n").join(mentions.select(F.col("id").alias("entity"), "ref").distinct(), ["entity", "ref"]).groupBy("id", "entity").agg(F.count("*").alias("shared"))
-    best = per_key(shared, ["id"], 1, F.desc("shared"), F.col("entity")).select("id", F.col("entity").alias("best"))
-    out = met.join(best, "id", "left")
+    # places of one name and the same verses have one answer, and of a name's entities with the same verses the first stands for all
+    asked = met.where("k > 1").select("_n", "verses").distinct()
+    cited = mentions.groupBy(F.col("id").alias("entity")).agg(F.array_sort(F.collect_set("ref")).alias("refs"))
+    alike = named.join(asked.select("_n"), "_n", "left_semi").join(cited, "entity").groupBy("_n", "refs").agg(F.min("entity").alias("entity"))
+    by_verse = alike.select("_n", "entity", F.explode("refs").alias("ref"))
+    shared = asked.select("_n", "verses", F.explode("verses").alias("ref")).join(by_verse, ["_n", "ref"]).groupBy("_n", "verses", "entity").agg(F.count("*").alias("shared"))
+    best = shared.groupBy("_n", "verses").agg(F.min_by("entity", F.struct(-F.col("shared"), "entity")).alias("best"))
+    out = met.join(best, ["_n", "verses"], "left")
     how = F.when(F.col("k") == 1, "single").when(F.col("best").isNotNull(), "overlap").otherwise("new")
     return out.select("id", F.when(how == "single", F.col("entity")).otherwise(F.col("best")).alias("entity"), how.alias("how"))
 

@@ -45,4 +45,19 @@ def test_relatives_of_an_entity_are_found_once_for_all_questions(spark):
     assert moved < 20 * n
 
 
+def test_places_of_one_name_and_verses_meet_their_entities_once(spark):
+    n = 400
+    found = spark.range(n).select("id", F.lit("Dan").alias("name"), F.array(F.col("id") % 3, F.col("id") % 3 + 1).alias("verses"))
+    known = spark.range(n).select("id", F.lit("DAN").alias("name"))
+    mentions = known.select("id", (F.col("id") % 5).alias("ref"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, moved = shuffled(spark, matching.fuzzy(found, known, mentions).collect)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert {(r["id"], r["entity"], r["how"]) for r in rows} == {(i, i % 3, "overlap") for i in range(n)}
+    assert moved < 10 * n
+
+
 @pytest.mark.parametrize("name", ["agg_02_letters", "flt_15_other_letters"])
