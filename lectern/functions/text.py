@@ -15,6 +15,18 @@ STOPWORDS = ("the", "and", "for", "with", "this", "that", "from", "was", "are",
 LANGUAGES = {"en": "eng", "de": "deu", "es": "spa", "fr": "fra", "he": "heb", "el": "grc"}
 
 
+#: White space that DuckDB's trim drops: Unicode's space separators.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+#: Characters whose upper case has several letters ("SS"), with the one that stands for it, if there is one, else themselves.
+_SEVERAL = {c: c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x80, 0xFFFF)) if len(c.upper()) > 1} | {"ß": "ẞ"}
+
+
+def initial(text: Column) -> Column:
+    """The first character in upper case, always one character."""
+    c = F.substring(text, 1, 1)
+    return F.when(F.length(F.upper(c)) <= 1, F.upper(c)).otherwise(F.translate(c, "".join(_SEVERAL), "".join(_SEVERAL.values())))
+
+
 def terms(text: Column) -> Column:
     """Lower-cased words of three letters and more."""
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))

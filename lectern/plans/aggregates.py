@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions.text import initial
 from lectern.operators import corpus, ranking, tags
 from lectern.plans.registry import query
 
@@ -16,7 +17,7 @@ def agg_01_facets(t):
 
 @query("titles", "SELECT CASE WHEN upper(title[1]) BETWEEN 'A' AND 'Z' THEN upper(title[1]) ELSE '#' END AS letter, count(*) AS n FROM titles GROUP BY 1")
 def agg_02_letters(t):
-    c = F.upper(F.substring("title", 1, 1))
+    c = initial(F.col("title"))
     return t.titles().groupBy(F.when(c.between("A", "Z"), c).otherwise("#").alias("letter")).agg(F.count("*").alias("n"))
 
 

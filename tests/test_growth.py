@@ -60,4 +60,14 @@ def test_places_of_one_name_and_verses_meet_their_entities_once(spark):
     assert moved < 10 * n
 
 
-@pytest.mark.parametrize("name", ["agg_02_letters", "flt_15_other_letters"])
+def texts(spark, *lines):
+    return spark.createDataFrame([(8 * i + k, t, "en", "s", len(t)) for i, t in enumerate(lines) for k in (2, 3)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+ODD = ("ßa b", "ŉb c", "ﬁne day", "ǰc", "ᾳ", "ᾼ", "été", "abc", "Zed", "1st", "", "\u00a0nbsp first", "İx")
+
+
+@pytest.mark.parametrize("name", ["agg_02_letters"])
+def test_first_letters_of_any_script_are_one_character(name, spark, tmp_path):
+    got, want = against_sql(spark, name, tmp_path, documents=texts(spark, *ODD))
+    assert got == want
