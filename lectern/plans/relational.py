@@ -93,7 +93,7 @@ def flt_14_prefix(t):
 
 @query("titles", "SELECT doc_id FROM titles WHERE NOT upper(title[1]) BETWEEN 'A' AND 'Z'")
 def flt_15_other_letters(t):
-    return t.titles().where(~F.upper(F.substring("title", 1, 1)).between("A", "Z")).select("doc_id")
+    return t.titles().where(~text.initial(F.col("title")).between("A", "Z")).select("doc_id")
 
 
 @query("", f"WITH {_NEAR} SELECT q, vec_id, sim FROM near WHERE sim >= 0.5")
