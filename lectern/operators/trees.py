@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.text import SPACES, initial
 from lectern.operators import tags
 
 #: Trees that an overview leaves out, since clients build them, and those it shows one level of.
@@ -26,7 +27,7 @@ def _documents(store, kind: str) -> DataFrame:
 
 
 def _letter(text: Column) -> Column:
-    return F.upper(F.substring(F.trim(text), 1, 1))
+    return initial(F.trim(text, F.lit(SPACES)))
 
 
 def _book(ref: Column) -> Column:

@@ -71,3 +71,10 @@ ODD = ("ßa b", "ŉb c", "ﬁne day", "ǰc", "ᾳ", "ᾼ", "été", "abc", "Zed"
 def test_first_letters_of_any_script_are_one_character(name, spark, tmp_path):
     got, want = against_sql(spark, name, tmp_path, documents=texts(spark, *ODD))
     assert got == want
+
+
+def test_tree_letters_of_any_script_are_one_character(spark, tmp_path, sf_dir):
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    others = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(20) for t in ("region", "nation", "customer", "supplier", "part", "conversations")}
+    got, want = against_sql(spark, "api_06_overview", tmp_path, documents=texts(spark, *ODD), labels=labels, **others)
+    assert got == want
