@@ -292,8 +292,10 @@ def win_12_latency(t):
 
 @query("words occurrences", "WITH v AS (SELECT book * 1000000 + chapter * 1000 + verse AS ref, string_agg(surface, ' ' ORDER BY idx, surface) AS context FROM words GROUP BY 1) SELECT node, ref, lex, context FROM occurrences JOIN v USING (ref)")
 def etl_01_sidecar(t):
-    ref = F.col("book") * 1000000 + F.col("chapter") * 1000 + F.col("verse")
-    return t.occurrences().join(corpus.verses(t.words()).select(ref.alias("ref"), F.col("text").alias("context")), "ref").select("node", "ref", "lex", "context")
+    o = t.occurrences()
+    ordered = F.array_sort(F.collect_list(F.struct("node", "surface")))  # by reference: long verses of one chapter share those of the next
+    context = o.groupBy("ref").agg(F.array_join(F.transform(ordered, lambda x: x["surface"]), " ").alias("context"))
+    return o.join(context, "ref").select("node", "ref", "lex", "context")
 
 
 @query("words", "SELECT strong, surface, n FROM (SELECT strong, surface, count(*) AS n, row_number() OVER (PARTITION BY strong ORDER BY sum(is_content) DESC, count(*) DESC, surface) AS rn FROM words GROUP BY 1, 2) WHERE rn = 1")

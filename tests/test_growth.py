@@ -78,3 +78,15 @@ def test_tree_letters_of_any_script_are_one_character(spark, tmp_path, sf_dir):
     others = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(20) for t in ("region", "nation", "customer", "supplier", "part", "conversations")}
     got, want = against_sql(spark, "api_06_overview", tmp_path, documents=texts(spark, *ODD), labels=labels, **others)
     assert got == want
+
+
+def talk(spark):
+    """Conversations whose verses beyond 999, and whose turns of more than 240 words, meet others in one reference and node."""
+    long = " ".join(f"{a}{b}{c}x" for a in "abcdefg" for b in "abcdefg" for c in "abcdefg")
+    other = " ".join(f"{a}{b}{c}yy" for a in "nopqrst" for b in "nopqrst" for c in "nopqrst")
+    return spark.createDataFrame([(66 * 50, 0, "user", long), (0, 1, "user", other), (66, 1, "user", long), (132, 1, "user", other)], "conv_id long, turn int, role string, text string")
+
+
+def test_words_of_one_reference_whatever_their_chapter(spark, tmp_path):
+    got, want = against_sql(spark, "etl_01_sidecar", tmp_path, conversations=talk(spark))
+    assert got == want
