@@ -246,9 +246,9 @@ def jn_18_contained(t):
 
 @query("occurrences", "WITH i AS (SELECT lex, stem, sense, min(surface) AS label FROM occurrences GROUP BY ALL), f AS (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY node) AS rn FROM occurrences) SELECT f.ref, f.lex, i.label FROM f JOIN i USING (lex, stem, sense) WHERE rn = 1")
 def jn_19_senses(t):
-    o = t.occurrences()
+    o = t.occurrences("c", "t", "i")  # words that share a node: the first in reading order
     i = o.groupBy("lex", "stem", "sense").agg(F.min("surface").alias("label"))
-    return ranking.first_wins(o, ["ref"], F.col("node")).join(i, ["lex", "stem", "sense"]).select("ref", "lex", "label")
+    return ranking.first_wins(o, ["ref"], F.col("node"), *map(F.col, "cti")).join(i, ["lex", "stem", "sense"]).select("ref", "lex", "label")
 
 
 @query("occurrences refs", "SELECT DISTINCT r.doc_id, 'lex:' || o.lex AS tag FROM refs r JOIN occurrences o ON o.ref = r.s WHERE r.s = r.e")

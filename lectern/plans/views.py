@@ -137,21 +137,24 @@ class Tables:
             .unionByName(pair.select(F.least("x", "y").alias("source_id"), F.greatest("x", "y").alias("target_id"), F.lit("same-segment").alias("relation")))
         )
 
-    def words(self) -> DataFrame:
-        """book, chapter, verse, idx, surface, strong, lemma, morph, is_content: conversations as a word store."""
+    def words(self, *more: str) -> DataFrame:
+        """book, chapter, verse, idx, surface, strong, lemma, morph, is_content: conversations as a word store.
+
+        ``more`` may name c, t, i as well: the conversation, turn and place of a word, its place in reading order.
+        """
         t = self.dealt("conversations", "conv_id", "turn", "text").select(F.col("conv_id").cast("long").alias("c"), F.col("turn").cast("long").alias("t"), F.posexplode(terms(F.col("text"))).alias("i", "surface"))
         n = F.length("surface")
         return t.select(
             (F.col("c") % 66 + 1).alias("book"), (F.col("t") + 1).alias("chapter"), (F.floor(F.col("c") / 66) * 20 + F.floor(F.col("i") / 12) + 1).cast("long").alias("verse"), (F.col("i") % 12).cast("long").alias("idx"), "surface",
             F.concat(F.lit("H"), F.lpad((F.conv(F.substring(F.md5("surface"), 1, 4), 16, 10).cast("long") % 997).cast("string"), 4, "0")).alias("strong"),
-            F.substring("surface", 1, 5).alias("lemma"), F.when(n % 3 == 0, "N-msa").when(n % 3 == 1, "V-qal").otherwise("P").alias("morph"), (n > 4).cast("long").alias("is_content"),
+            F.substring("surface", 1, 5).alias("lemma"), F.when(n % 3 == 0, "N-msa").when(n % 3 == 1, "V-qal").otherwise("P").alias("morph"), (n > 4).cast("long").alias("is_content"), *more,
         )
 
-    def occurrences(self) -> DataFrame:
-        """node, ref, lex, stem, sense over the word store."""
-        w = self.words()
+    def occurrences(self, *more: str) -> DataFrame:
+        """node, ref, lex, stem, sense over the word store, and ``more`` of its columns."""
+        w = self.words(*more)
         ref = F.col("book") * 1000000 + F.col("chapter") * 1000 + F.col("verse")
-        return w.select((ref * 100 + F.col("idx")).alias("node"), ref.alias("ref"), F.col("lemma").alias("lex"), F.substring("morph", 1, 1).alias("stem"), (F.length("surface") % 4).cast("long").alias("sense"), "surface")
+        return w.select((ref * 100 + F.col("idx")).alias("node"), ref.alias("ref"), F.col("lemma").alias("lex"), F.substring("morph", 1, 1).alias("stem"), (F.length("surface") % 4).cast("long").alias("sense"), "surface", *more)
 
 
 def doc_of(chunk_id: Column) -> Column:

@@ -90,3 +90,11 @@ def talk(spark):
 def test_words_of_one_reference_whatever_their_chapter(spark, tmp_path):
     got, want = against_sql(spark, "etl_01_sidecar", tmp_path, conversations=talk(spark))
     assert got == want
+
+
+def test_words_that_share_a_node_in_reading_order(spark, tmp_path):
+    got = []
+    for i, order in enumerate((F.asc, F.desc)):
+        talk(spark).orderBy(order("conv_id"), order("turn")).coalesce(1).write.parquet(f"{tmp_path}/{i}/conversations.parquet")
+        got.append(sorted(map(tuple, QUERIES["jn_19_senses"](spark, f"{tmp_path}/{i}").collect())))
+    assert got[0] == got[1] and (1002001, "nnnyy", "nnnyy") in got[0]
