@@ -25,6 +25,8 @@ SHARD, BLOCK = 512, 128
 FORMAT = 1
 #: Terms of a partition, most partitions, and units for each further file of a partition.
 TERMS, PARTS, FILED = 20_000, 4096, 2_000_000
+#: Words that a task of the build groups, so that it sorts them in memory.
+GROUPED = 1_000_000
 
 
 def impact(avgdl: float) -> Column:
@@ -55,8 +57,8 @@ def build(bags: DataFrame, path: str, unit: str = "chunk_id") -> dict:
     files = max(8, n // FILED)
     shard = F.pmod(F.xxhash64("unit"), F.lit(shards)).cast("int")
     tokens = held.select(shard.alias("shard"), "unit", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    # one shuffle: both aggregates cluster on more than these two
-    dealt = tokens.withColumn("part", part_of(F.col("term"), parts)).withColumn("file", F.col("shard") % files).repartition("part", "file")
+    # one shuffle: both aggregates cluster on more than these two; its tasks grow with the words, whatever the session's number is
+    dealt = tokens.withColumn("part", part_of(F.col("term"), parts)).withColumn("file", F.col("shard") % files).repartition(max(8, total // GROUPED), "part", "file")
     counted = dealt.groupBy("part", "file", "term", "shard", "unit", "dl").agg(F.count("*").cast("int").alias("tf")).withColumn("i", impact(avgdl))
     best = F.array_sort(F.collect_list(F.struct((-F.col("i")).alias("i"), "unit", "tf", "dl")))
     grouped = counted.groupBy("part", "file", "term", "shard").agg(best.alias("p"))

@@ -4,21 +4,22 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import matching, strategies
+from lectern.operators import matching, postings, strategies
 from lectern.plans.catalog import ORACLE, QUERIES
 
 
-def shuffled(spark, run):
-    """(result, rows written to shuffles) of a run."""
+def stages(spark):
+    """The stages of the session so far."""
+    store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
+    known = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return [known.apply(i) for i in range(known.size())]
 
-    def rows():
-        store, jvm = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jvm
-        stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
-        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
-    before = rows()
+def shuffled(spark, run):
+    """(result, rows written to shuffles) of a run."""
+    last = max((s.stageId() for s in stages(spark)), default=-1)
     out = run()
-    return out, rows() - before
+    return out, sum(s.shuffleWriteRecords() for s in stages(spark) if s.stageId() > last)
 
 
 def against_sql(spark, name, folder, **tables):
@@ -98,3 +99,11 @@ def test_words_that_share_a_node_in_reading_order(spark, tmp_path):
         talk(spark).orderBy(order("conv_id"), order("turn")).coalesce(1).write.parquet(f"{tmp_path}/{i}/conversations.parquet")
         got.append(sorted(map(tuple, QUERIES["jn_19_senses"](spark, f"{tmp_path}/{i}").collect())))
     assert got[0] == got[1] and (1002001, "nnnyy", "nnnyy") in got[0]
+
+
+def test_tasks_that_group_an_index_grow_with_its_words(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "GROUPED", 100)
+    bags = spark.range(200).select(F.col("id").alias("doc_id"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("w"), ((F.col("id") * i) % 37).cast("string"))).alias("words"))
+    last = max((s.stageId() for s in stages(spark)), default=-1)
+    stats = postings.build(bags, f"{tmp_path}/index", "doc_id")
+    assert stats["n"] == 200 and 20 in {s.numTasks() for s in stages(spark) if s.stageId() > last}
