@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.linkage import linked
 
 
+#: Cells of a table beyond which its rows are filled by numpy.
+SMALL = 1024
+
+
 def lcs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Longest common subsequence as index pairs; empty codes never match; at a tie the left side advances."""
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if a[i] and a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
+    if len(a) * len(b) > SMALL:
+        table = _long_table(a, b)
+    else:
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                table[i][j] = table[i + 1][j + 1] + 1 if a[i] and a[i] == b[j] else max(table[i + 1][j], table[i][j + 1])
     out, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         if a[i] and a[i] == b[j]:
@@ -27,17 +37,38 @@ def lcs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def lcs_align(left: DataFrame, right: DataFrame, key: str, order: str, code: str) -> DataFrame:
-    """key, i, j: aligned positions of two code sequences of each key."""
+def _long_table(a: list[str], b: list[str]) -> np.ndarray:
+    """The same table row by row: a cell is the greatest at or after it of the row below and of the matches' diagonal plus one."""
+    table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    right = np.array(b, object)
+    at = {c: right == c for c in set(a) if c}
+    for i in range(len(a) - 1, -1, -1):
+        best = table[i + 1, :-1]
+        if a[i]:
+            best = np.where(at[a[i]], table[i + 1, 1:] + 1, best)
+        table[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
+    return table
+
 
-    def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(l) or not len(r):
-            return pd.DataFrame({"key": [], "i": [], "j": []}).astype({"key": "int64", "i": "int64", "j": "int64"})
-        l, r = l.sort_values(order), r.sort_values(order)
-        pairs = lcs(l[code].tolist(), r[code].tolist())
-        return pd.DataFrame({"key": l[key].iloc[0], "i": [p[0] for p in pairs], "j": [p[1] for p in pairs]}).astype({"key": "int64", "i": "int64", "j": "int64"})
+_PAIRS = pa.schema([("key", pa.int64()), ("i", pa.int64()), ("j", pa.int64())])
 
-    return left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(run, "key long, i long, j long")
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[tuple[int, int, int]] = []
+        for key, a, b in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b"))):
+            out += ((key, i, j) for i, j in lcs(a, b))
+        yield pa.record_batch([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], schema=_PAIRS)
+
+
+def lcs_align(left: DataFrame, right: DataFrame, key: str, order: str, code: str) -> DataFrame:
+    """key, i, j: aligned positions of two code sequences of each key; places of one order follow their codes.
+
+    Keys travel as rows of two arrays, many to a batch of a task, not as a group each.
+    """
+    codes = F.transform(F.array_sort(F.collect_list(F.struct(order, code))), lambda x: x[code])
+    both = left.groupBy(F.col(key).alias("key")).agg(codes.alias("a")).join(right.groupBy(F.col(key).alias("key")).agg(codes.alias("b")), "key")
+    return both.mapInArrow(_aligned, "key long, i long, j long")
 
 
 def single_linkage(df: DataFrame, key: str, item: str, vector: str, threshold: float) -> DataFrame:

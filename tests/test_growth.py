@@ -1,10 +1,12 @@
 """Queries whose work or rows went wrong only on larger or odd tables."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import matching, postings, strategies
+from lectern.operators import align, matching, postings, strategies
 from lectern.plans.catalog import ORACLE, QUERIES
 
 
@@ -107,3 +109,23 @@ def test_tasks_that_group_an_index_grow_with_its_words(spark, tmp_path, monkeypa
     last = max((s.stageId() for s in stages(spark)), default=-1)
     stats = postings.build(bags, f"{tmp_path}/index", "doc_id")
     assert stats["n"] == 200 and 20 in {s.numTasks() for s in stages(spark) if s.stageId() > last}
+
+
+def test_long_sequences_align_as_short_ones(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = [([rng.choice(["a", "b", "c", "", None]) for _ in range(rng.randrange(30))], [rng.choice(["a", "b", "c", "d", ""]) for _ in range(rng.randrange(30))]) for _ in range(200)]
+    short = [align.lcs(a, b) for a, b in pairs]
+    monkeypatch.setattr(align, "SMALL", 0)
+    assert [align.lcs(a, b) for a, b in pairs] == short
+
+
+def test_places_of_one_order_align_by_code(spark):
+    """Many keys meet in few batches; the order of the rows changes nothing."""
+    rows = [(k, n // 2, "abcab"[(k + n) % 5]) for k in range(300) for n in range(6)]
+    got = []
+    for own in (rows, rows[::-1]):
+        df = spark.createDataFrame(own, "k long, n long, c string")
+        out = align.lcs_align(df, df.where("n > 0"), "k", "n", "c")
+        assert "FlatMapCoGroups" not in out._jdf.queryExecution().toString()
+        got.append(sorted(map(tuple, out.collect())))
+    assert got[0] == got[1] and {r[0] for r in got[0]} == set(range(300)) and len(got[0]) == 1200
