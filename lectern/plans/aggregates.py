@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions.text import initial
-from lectern.operators import corpus, ranking, tags
+from lectern.operators import ranking, tags
+from lectern.operators.intervals import within
 from lectern.plans.registry import query
 
 
@@ -112,12 +113,17 @@ def agg_15_bridge_top(t):
     return ranking.per_key(c, ["s"], 4, F.desc("n"), F.col("p")).select("s", "p", "n")
 
 
+def topic_lexemes(t):
+    """name, lex, n: the words within a topic's passages; topics of one passage meet its words once, summed up by lexeme."""
+    counted = t.occurrences().groupBy("ref", "lex").agg(F.count("*").alias("c"))
+    topics = t.topics().groupBy("name", "s", "e").agg(F.count("*").alias("m"))
+    passages = within(counted, topics.select("s", "e").distinct(), "ref").groupBy("s", "e", "lex").agg(F.sum("c").alias("c"))
+    return topics.join(passages, ["s", "e"]).groupBy("name", "lex").agg(F.sum(F.col("m") * F.col("c")).alias("n"))
+
+
 @query("topics occurrences", "SELECT name, lex, count(*) AS n FROM topics JOIN occurrences ON ref BETWEEN s AND e GROUP BY 1, 2")
 def agg_16_topic_codes(t):
-    from lectern.operators.intervals import within
-
-    counted = t.occurrences().groupBy("ref", "lex").agg(F.count("*").alias("c"))
-    return within(counted, t.topics(), "ref").groupBy("name", "lex").agg(F.sum("c").alias("n"))
+    return topic_lexemes(t)
 
 
 @query("occurrences", "SELECT lex, stem, count(*) AS n, arg_max(sense, node) AS last_sense, arg_min(surface, node) AS first_surface FROM occurrences GROUP BY 1, 2")

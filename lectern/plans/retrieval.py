@@ -251,9 +251,9 @@ def exp_10_snowball(t):
 
 @query("topics occurrences", "WITH m AS (SELECT name, lex, count(*) AS n FROM topics JOIN occurrences ON ref BETWEEN s AND e GROUP BY 1, 2) SELECT name, lex, n FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n DESC, lex) AS rn FROM m) WHERE rn <= 5")
 def exp_11_topic_lemmas(t):
-    from lectern.operators.intervals import within
+    from lectern.plans.aggregates import topic_lexemes
 
-    m = within(t.occurrences().groupBy("ref", "lex").agg(F.count("*").alias("c")), t.topics(), "ref").groupBy("name", "lex").agg(F.sum("c").alias("n"))
+    m = topic_lexemes(t)
     return ranking.per_key(m, ["name"], 5, F.desc("n"), F.col("lex")).select("name", "lex", "n")
 
 

@@ -129,3 +129,12 @@ def test_places_of_one_order_align_by_code(spark):
         assert "FlatMapCoGroups" not in out._jdf.queryExecution().toString()
         got.append(sorted(map(tuple, out.collect())))
     assert got[0] == got[1] and {r[0] for r in got[0]} == set(range(300)) and len(got[0]) == 1200
+
+
+def test_topics_of_one_passage_meet_its_words_once(spark, tmp_path):
+    parts = spark.range(3000).select((F.col("id") * 3300).alias("p_partkey"), F.lit("t").alias("p_type"), (F.col("id") % 3).cast("string").alias("p_brand"))
+    words = spark.range(660).select("id", F.lit(0).alias("turn"), F.lit("user").alias("role"), F.lit("alpha beta gamma delta").alias("text")).withColumnRenamed("id", "conv_id")
+    got, want = against_sql(spark, "agg_16_topic_codes", tmp_path, part=parts, conversations=words)
+    assert got == want
+    plan = QUERIES["agg_16_topic_codes"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sum") < plan.rindex("sum") and "distinct" not in plan and plan.count("Join Inner") == 2
