@@ -213,7 +213,9 @@ def agg_30_domain_overlap(t):
 
 @query("tokens titles", "SELECT chunk_id, count(*) AS n FROM tokens JOIN titles USING (doc_id) WHERE contains(lower(title), term) GROUP BY chunk_id")
 def agg_31_anchor_matches(t):
-    return t.tokens().join(t.titles(), "doc_id").where(F.contains(F.lower("title"), "term")).groupBy("chunk_id").agg(F.count("*").alias("n"))
+    met = t.bags().join(t.titles().withColumn("title", F.lower("title")), "doc_id")  # a chunk travels as one row, not one for each word
+    n = F.size(F.filter("words", lambda w: F.contains("title", w)))
+    return met.select("chunk_id", n.alias("n")).where("n > 0").groupBy("chunk_id").agg(F.sum("n").alias("n"))
 
 
 @query("chunks refs tags", "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'chunks', count(*) FROM chunks UNION ALL SELECT 'refs', count(*) FROM refs UNION ALL SELECT 'tags', count(*) FROM tags")

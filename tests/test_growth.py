@@ -138,3 +138,14 @@ def test_topics_of_one_passage_meet_its_words_once(spark, tmp_path):
     assert got == want
     plan = QUERIES["agg_16_topic_codes"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("sum") < plan.rindex("sum") and "distinct" not in plan and plan.count("Join Inner") == 2
+
+
+def test_chunks_meet_titles_as_whole_rows(spark, tmp_path):
+    docs = texts(spark, *(f"word{i % 7} " + "alpha beta word1 " * 20 for i in range(100)))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        (got, want), moved = shuffled(spark, lambda: against_sql(spark, "agg_31_anchor_matches", tmp_path, documents=docs))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == want and moved < 10 * len(want)
