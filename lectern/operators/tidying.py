@@ -18,12 +18,14 @@ def speaker_ranges(projections: DataFrame, characters: DataFrame) -> tuple[DataF
     projections: start, end (``GEN.1.1``), speaker, alt, kind, delivery. A row counts with both verses and a speaker; ends are put in order.
     characters: name, divine (true if any row says so).
     """
-    own = projections.select(verse_key(F.col("start")).alias("a"), verse_key(F.col("end")).alias("b"), *[F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in ("speaker", "alt", "kind", "delivery")])
+    # equal rows are parsed once; the keys come out of a generator, so that no later step writes their expressions out again
+    once = projections.groupBy("start", "end", *[F.trim(F.coalesce(c, F.lit(""))).alias(c) for c in ("speaker", "alt", "kind", "delivery")]).agg(F.count("*").alias("n"))
+    own = once.select("*", F.inline(F.array(F.struct(verse_key(F.col("start")).alias("a"), verse_key(F.col("end")).alias("b")))))
     good = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("speaker") != "")
     known = characters.groupBy(F.col("name").alias("speaker")).agg(F.bool_or("divine").alias("d"))
     ranges = own.where(good).select("speaker", "alt", F.least("a", "b").alias("s"), F.greatest("a", "b").alias("e"), "kind", "delivery").distinct()
     named = ranges.join(known, "speaker", "left").select("speaker", "alt", "s", "e", "kind", "delivery", F.when(F.col("d"), "Y").otherwise("").alias("divine"))
-    return named, own.agg(F.count_if(~good).alias("skipped"))
+    return named, own.agg(F.coalesce(F.sum(F.when(~good, F.col("n"))), F.lit(0)).alias("skipped"))
 
 
 def series(documents: DataFrame, prefix: str) -> DataFrame:

@@ -175,6 +175,18 @@ def test_resolving_by_tiers(spark):
     assert one("dan") == [("1", 0)] and one("dani") == [("2", 1)] and one("гат") == [("3", 2)] and one("none") == []
 
 
+def test_speaker_ranges_parse_equal_rows_once(spark):
+    from lectern.operators import tidying
+
+    row = ("GEN.1.3", "GEN.1.1", "God", "", "", "")
+    df = spark.createDataFrame([row] * 5 + [("BAD", *row[1:])] * 3, "start string, end string, speaker string, alt string, kind string, delivery string")
+    made = df.withColumn("start", F.concat_ws(".", F.substring("start", 1, 3), F.substring("start", 5, 3)))
+    named, skipped = tidying.speaker_ranges(made, spark.createDataFrame([("God", True)], "name string, divine boolean"))
+    assert [tuple(r) for r in named.collect()] == [("God", "", 1001001, 1001003, "", "", "Y")] and skipped.first()["skipped"] == 3
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat_ws(") == 1  # the text is made once, not once for each use of its keys
+
+
 def test_tidying(spark):
     from lectern.operators import tidying
 
