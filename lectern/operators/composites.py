@@ -48,10 +48,12 @@ def homographs(lexemes: DataFrame, senses: DataFrame) -> DataFrame:
     share = F.round(F.col("n") / F.col("total"), 3)
     total = senses.groupBy("lex", "stem").agg(F.sum("n").alias("total"))
     told = F.concat("lex", F.lit("."), "stem", F.lit(": "), "gloss", F.lit(" ("), share.cast("string"), F.lit(")"))
-    listed = senses.join(total, ["lex", "stem"]).groupBy("lex").agg(F.array_sort(F.collect_list(F.struct("stem", (-F.col("n")).alias("m"), "gloss", told.alias("told")))).alias("told"))
+    # only the finished texts go to every code of a lexeme, without what they were ordered by
+    ordered = F.array_sort(F.collect_list(F.struct("stem", (-F.col("n")).alias("m"), "gloss", told.alias("told"))))
+    listed = senses.join(total, ["lex", "stem"]).groupBy("lex").agg(F.transform(ordered, lambda x: x["told"]).alias("told"))
     own = lexemes.select("code", "lex").distinct().join(listed, "lex", "left").groupBy("code").agg(F.array_sort(F.collect_list(F.struct("lex", "told"))).alias("x"))
     none = F.array().cast("array<string>")
-    return own.select("code", F.transform("x", lambda x: x["lex"]).alias("lexemes"), F.flatten(F.transform("x", lambda x: F.coalesce(F.transform(x["told"], lambda y: y["told"]), none))).alias("senses"))
+    return own.select("code", F.transform("x", lambda x: x["lex"]).alias("lexemes"), F.flatten(F.transform("x", lambda x: F.coalesce(x["told"], none))).alias("senses"))
 
 
 def cross_language(bridge: DataFrame, most: int = 3) -> DataFrame:

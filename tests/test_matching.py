@@ -168,6 +168,15 @@ def test_studies_of_stores(spark):
     assert {r["code"]: (r["lexemes"], r["senses"]) for r in composites.homographs(lex, inv).collect()} == {"H1": (["x", "y"], ["x.qal: go (0.75)", "x.qal: walk (0.25)", "y.nif: be (1.0)"]), "H2": (["z"], [])}
 
 
+def test_homographs_send_texts_only(spark):
+    lex = spark.createDataFrame([("H1", "x"), ("H2", "x")], "code string, lex string")
+    inv = spark.createDataFrame([("x", "qal", "walk", 1), ("x", "qal", "go", 3), ("x", "nif", "be", 2)], "lex string, stem string, gloss string, n long")
+    got = composites.homographs(lex, inv)
+    assert {tuple(r["senses"]) for r in got.collect()} == {("x.nif: be (1.0)", "x.qal: go (0.75)", "x.qal: walk (0.25)")}
+    listed = got._jdf.queryExecution().optimizedPlan().children().head().schema().simpleString()
+    assert "told:array<string>" in listed  # what a code's row collects
+
+
 def test_resolving_by_tiers(spark):
     e = spark.createDataFrame([("1", "t", "Dan"), ("2", "t", "Daniel"), ("3", "t", "Gath")], "id string, type string, name string")
     bridge = spark.createDataFrame([("Гат", "gath")], "alias string, name string")
