@@ -203,7 +203,7 @@ def first_hits(queries: DataFrame, vectors: DataFrame, label: str) -> DataFrame:
         met = best > -np.inf
         return pa.table([names[met], best[met], least[met]], names=["q", "sim", "vec_id"])
 
-    best = _meet(q, v, own, "q long, sim double, vec_id long", ("label",)).groupBy("q").agg(F.max(F.struct("sim", (-F.col("vec_id")).alias("i"))).alias("b"))
+    best = _meet(q, v, _sliced(own), "q long, sim double, vec_id long", ("label",)).groupBy("q").agg(F.max(F.struct("sim", (-F.col("vec_id")).alias("i"))).alias("b"))
     marked = q.join(best.select(F.col("q").alias("vec_id"), F.col("b.sim").alias("mark"), (-F.col("b.i")).alias("at")), "vec_id")
 
     def before(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -211,10 +211,19 @@ def first_hits(queries: DataFrame, vectors: DataFrame, label: str) -> DataFrame:
         mark, at = left.column("mark").to_numpy()[:, None], left.column("at").to_numpy()[:, None]
         return pa.table([names, ((sims > mark) | (sims == mark) & (ids[None, :] < at)).sum(1)], names=["q", "n"])
 
-    ahead = _meet(marked, v, before, "q long, n long", ("mark", "at")).groupBy("q").agg((F.sum("n") + 1).alias("first"))
+    ahead = _meet(marked, v, _sliced(before), "q long, n long", ("mark", "at")).groupBy("q").agg((F.sum("n") + 1).alias("first"))
     return queries.select(F.col("vec_id").alias("q")).join(ahead, "q", "left")
 
 
+def _sliced(cell):
+    """``cell`` of ``SLICE`` queries at a time, so that its products take no more memory when there are more queries."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.concat_tables([cell(left.slice(at, SLICE), right) for at in range(0, left.num_rows, SLICE)])
+
+    return run
+
+
 def _products(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rounded products, ids, names) of two tables; a query with itself, and what isn't finite, is minus infinity."""
     ids, names = right.column("vec_id").to_numpy(), left.column("q").to_numpy()

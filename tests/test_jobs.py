@@ -229,3 +229,32 @@ def test_contexts_are_encoded_once(spark):
     assert again.count() == 0 and joined.count() == 3
     with pytest.raises(ValueError):
         sinks.embed_contexts(rows, "id", "text", sinks.hashed, "m", new, "other")
+
+
+def test_first_hits_take_slices_of_queries(spark, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lectern.operators import vectors
+
+    cells = []
+    meet = vectors._meet
+    monkeypatch.setattr(vectors, "_meet", lambda q, v, cell, *more: cells.append(cell) or meet(q, v, cell, *more))
+    r = np.random.default_rng(3)
+    few = spark.createDataFrame([(i, r.normal(size=4).tolist(), i % 3) for i in range(40)], "vec_id long, embedding array<double>, label int")
+    vectors.first_hits(few, few, "label")
+    n, m = 4096, 2048
+    table = lambda k, name, at: pa.table({name: pa.array(range(at, at + k), pa.int64()), "qe" if name == "q" else "embedding": pa.array(list(r.normal(size=(k, 4)))), "label": pa.array([i % 3 for i in range(k)], pa.int64())})
+    left, right = table(n, "q", 0), table(m, "vec_id", n)
+    left = left.append_column("mark", pa.array([0.5] * n)).append_column("at", pa.array([n] * n, pa.int64()))
+    sims = np.round(vectors.matrix_of(left, "qe") @ vectors.matrix_of(right, "embedding").T, 6)
+    for cell in cells:
+        tracemalloc.start()
+        got = cell(left, right)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got.column("q").to_pylist() == list(range(n)) and peak < n * m * 8  # all products at once are as much alone
+    ahead = (sims > 0.5) | (sims == 0.5) & (np.arange(n, n + m) < n)
+    assert len(cells) == 2 and got.column("n").to_pylist() == ahead.sum(1).tolist()
