@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable
 from hashlib import sha256
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,15 +76,22 @@ def read_markdown(spark: SparkSession, root: str) -> DataFrame:
     return markdown_documents(raw.select(below.alias("path"), F.col("value").alias("raw")))
 
 
+#: Texts that are Python's at a time: of a batch of Arrow some thousand long texts, only so many are copied.
+FEW = 256
+_DOCUMENT = pa.schema([(n, {"string": pa.string(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}[k]) for n, k in (c.split() for c in DOCUMENT.split(", "))])
+
+
 def markdown_documents(raw: DataFrame) -> DataFrame:
-    """The documents of markdown texts (path, raw), in Arrow batches."""
+    """The documents of markdown texts (path, raw), in Arrow batches of ``FEW`` texts."""
 
     def run(batches):
-        for pdf in batches:
-            rows = [parse_markdown(p, v or "") for p, v in zip(pdf.path, pdf.raw)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in DOCUMENT.split(", ")])
+        for batch in batches:
+            for at in range(0, batch.num_rows, FEW):
+                some = batch.slice(at, FEW)
+                rows = [parse_markdown(p, v or "") for p, v in zip(*(some.column(c).to_pylist() for c in ("path", "raw")))]
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), _DOCUMENT)], schema=_DOCUMENT)
 
-    return raw.select("path", "raw").mapInPandas(run, DOCUMENT)
+    return raw.select("path", "raw").mapInArrow(run, DOCUMENT)
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = dict.fromkeys(MARKDOWN, read_markdown)

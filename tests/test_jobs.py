@@ -258,3 +258,25 @@ def test_first_hits_take_slices_of_queries(spark, monkeypatch):
         assert got.column("q").to_pylist() == list(range(n)) and peak < n * m * 8  # all products at once are as much alone
     ahead = (sims > 0.5) | (sims == 0.5) & (np.arange(n, n + m) < n)
     assert len(cells) == 2 and got.column("n").to_pylist() == ahead.sum(1).tolist()
+
+
+def test_markdown_is_parsed_few_texts_at_a_time():
+    import pyarrow as pa
+
+    from lectern.sources import files
+
+    class Raw:  # a table that hands back what would run in its tasks
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return lambda batch: run(iter([batch.to_pandas()]))
+
+        def mapInArrow(self, run, schema):
+            return lambda batch: run(iter([batch]))
+
+    n = 1000
+    made = [b if isinstance(b, pa.RecordBatch) else pa.RecordBatch.from_pandas(b) for b in files.markdown_documents(Raw())(pa.record_batch({"path": [f"a/{i}.md" for i in range(n)], "raw": [None if i == 5 else f"---\ntags: t{i}\n---\nx {i}" for i in range(n)]}))]
+    rows = [r for b in made for r in b.to_pylist()]
+    assert max(b.num_rows for b in made) <= 256 and [r["body"] for r in rows] == [None if i == 5 else f"x {i}" for i in range(n)]
+    assert rows[7]["tags"] == ["t7"] and rows[5]["tags"] == [] and rows[7]["s"] == []
