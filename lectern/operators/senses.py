@@ -18,7 +18,8 @@ def merge_by_vector(senses: DataFrame, vectors: DataFrame, threshold: float = 0.
     """
     own = senses.join(vectors, "sense").select("lex", "sense", "embedding")
     linked = single_linkage(own, "lex", "sense", "embedding", threshold).select(F.col("key").alias("lex"), F.col("item").alias("sense"), F.col("cluster").alias("merged"))
-    both = senses.join(linked, ["lex", "sense"])
+    found = linked.withColumnRenamed("lex", "_lex").withColumnRenamed("sense", "_sense")
+    both = senses.join(found, F.col("lex").eqNullSafe(F.col("_lex")) & (F.col("sense") == F.col("_sense")))  # a sense without a lexeme stays alone
     return both.groupBy("lex", "merged").agg(F.sum("n").alias("n"), F.min_by("label", F.struct(-F.col("n"), "sense")).alias("label"))
 
 

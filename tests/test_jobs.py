@@ -280,3 +280,11 @@ def test_markdown_is_parsed_few_texts_at_a_time():
     rows = [r for b in made for r in b.to_pylist()]
     assert max(b.num_rows for b in made) <= 256 and [r["body"] for r in rows] == [None if i == 5 else f"x {i}" for i in range(n)]
     assert rows[7]["tags"] == ["t7"] and rows[5]["tags"] == [] and rows[7]["s"] == []
+
+
+def test_sense_merge_keeps_senses_without_a_lexeme(spark):
+    from lectern.operators import senses
+
+    s = spark.createDataFrame([(1, 1, 2, "a"), (1, 2, 5, "b"), (None, 3, 1, "c"), (None, 4, 1, "d")], "lex long, sense long, n long, label string")
+    v = spark.createDataFrame([(i, [1.0, 0.1]) for i in range(1, 5)], "sense long, embedding array<double>")
+    assert sorted(senses.merge_by_vector(s, v).collect(), key=lambda r: r["merged"]) == [(1, 1, 7, "b"), (None, 3, 1, "c"), (None, 4, 1, "d")]
