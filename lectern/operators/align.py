@@ -71,12 +71,26 @@ def lcs_align(left: DataFrame, right: DataFrame, key: str, order: str, code: str
     return both.mapInArrow(_aligned, "key long, i long, j long")
 
 
-def single_linkage(df: DataFrame, key: str, item: str, vector: str, threshold: float) -> DataFrame:
+def single_linkage(df: DataFrame, key: str, item: str, vector: str, threshold: float, across: bool = False, undefined: bool = False) -> DataFrame:
     """key, item, cluster: within each key, items linked by a cosine of ``threshold`` or more, named by the least item.
 
-    Items (whole numbers, not below zero) are unique within their key; no key is held by one task.
+    Items are whole numbers, not below zero; rows of one number are one item of their key, or with ``across`` of all keys,
+    with the links of all these rows. Those without a number have no cluster. No key is held by one task. A cosine is
+    undefined if a vector is zero or holds a non-finite component: it links nothing, or with ``undefined`` all vectors of
+    the key, as where NaN counts as greater than any number.
     """
-    name = F.concat_ws("|", F.col(key).cast("string"), F.lpad(F.col(item).cast("string"), 19, "0"))  # sorts as the number does
+    number = F.lpad(F.col(item).cast("string"), 19, "0")  # sorts as the number does
+    name = number if across else F.when(number.isNotNull(), F.concat_ws("|", F.col(key).cast("string"), number))
     items = df.select(F.col(key).alias("key"), F.col(item).alias("item"), name.alias("id"), F.col(vector).alias("vector"))
-    found = linked(items.select("key", "id", "vector"), threshold)
-    return items.join(found, "id").select("key", "item", F.substring_index("cluster", "|", -1).cast("long").alias("cluster"))
+    own = items.where("id IS NOT NULL").select("key", "id", "vector")
+    found = linked(own, threshold, more=_unordered(own) if undefined else None)
+    return items.join(found, "id", "left").select("key", "item", F.substring_index("cluster", "|", -1).cast("long").alias("cluster"))
+
+
+def _unordered(items: DataFrame) -> DataFrame:
+    """u, v: links of all vectors of a key with its least one that has no cosine, where there is one."""
+    value = lambda x: x.cast("double")
+    odd = F.exists("vector", lambda x: F.isnan(value(x)) | (F.abs(value(x)) == float("inf"))) | F.forall("vector", lambda x: value(x) == 0)
+    held = items.where("key IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)")
+    least = held.where(odd).groupBy("key").agg(F.min("id").alias("v"))
+    return held.join(least, "key").select(F.col("id").alias("u"), "v")

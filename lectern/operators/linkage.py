@@ -70,12 +70,13 @@ def forests(items: DataFrame, threshold: float, block: int | None = None) -> Dat
     return groups.groupBy("key", "i", "j").applyInArrow(_forest(threshold), "u string, v string")
 
 
-def linked(items: DataFrame, threshold: float, block: int | None = None) -> DataFrame:
+def linked(items: DataFrame, threshold: float, block: int | None = None, more: DataFrame | None = None) -> DataFrame:
     """id, cluster: the least id of those that an item (key, id text, vector) is linked with, itself included.
 
-    Ids are unique over all keys. Items whose vector is null, zero, or holds null or non-finite components stay alone;
-    vectors of different length don't link.
+    Rows of one id are one item, whatever their keys. Items whose vector is null, zero, or holds null or non-finite
+    components stay alone but for ``more`` links (u, v); vectors of different length don't link.
     """
-    found = components(forests(items, threshold, block))
+    links = forests(items, threshold, block)
+    found = components(links if more is None else links.unionByName(more))
     named = items.select("id").distinct().join(found.withColumnRenamed("node", "id"), "id", "left")
     return named.select("id", F.coalesce("component", "id").alias("cluster"))

@@ -541,7 +541,7 @@ def seq_01_lcs(t):
 
 @query("", "WITH RECURSIVE v AS (SELECT label AS key, vec_id AS item, embedding::DOUBLE[] AS x FROM embeddings), e AS (SELECT a.item AS u, b.item AS v FROM v a JOIN v b ON a.key = b.key AND a.item <> b.item AND list_cosine_similarity(a.x, b.x) >= 0.72), r AS (SELECT item AS u, item AS v FROM v UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v) SELECT key, item, (SELECT min(r.v) FROM r WHERE r.u = item) AS cluster FROM v")
 def seq_03_linkage(t):
-    return align.single_linkage(t.table("embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding", 0.72)
+    return align.single_linkage(t.table("embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", "embedding", 0.72, across=True, undefined=True)
 
 
 @query("titles refs tags", cards.SQL)

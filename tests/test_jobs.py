@@ -56,6 +56,21 @@ def test_single_linkage_orders_numbers(spark):
     assert sorted(map(tuple, align.single_linkage(df, "k", "i", "v", 0.9).collect())) == [("a", 9, 9), ("a", 10, 9), ("b", 9, 9)]
 
 
+def test_linkage_equals_its_sql_on_odd_rows(spark, tmp_path):
+    """Ids that repeat over labels are one item, and a vector without a cosine is linked with all of its label."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    far = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    rows = [(i, far[i % 3], i // 3) for i in range(12)] + [(20, far[0], 0), (0, far[1], 1), (21, [0.0] * 3, 2), (22, [float("nan"), 0.0, 1.0], 3), (23, None, 3), (24, far[0], None), (None, far[0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(str, map(tuple, queries()["seq_03_linkage"](spark, str(tmp_path)).collect())))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        assert got == sorted(map(str, c.execute(oracle_sql()["seq_03_linkage"]).fetchall()))
+
+
 def test_senses_by_context(spark):
     rows = [("l", "q", "Walk", [1.0, 0.0]), ("l", "q", "walk", [1.0, 0.1]), ("l", "q", "go.out", [1.0, 0.05]), ("l", "q", "eat", [0.0, 1.0]), ("l", "p", "eat", [0.0, 1.0]), ("l", "p", " ", [1.0, 0.0]), ("l", "p", "x", None), (None, None, "n", [1.0, 1.0])]
     occ = spark.createDataFrame(rows, "lex string, stem string, gloss string, vector array<double>")
