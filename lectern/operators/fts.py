@@ -100,5 +100,9 @@ def bm25_by_corpus(bags: DataFrame, corpus: DataFrame, terms: DataFrame) -> Data
 
 
 def concordance(chunks: DataFrame, words: Column) -> DataFrame:
-    """word, chunk_id: every word of every chunk once."""
-    return chunks.select(F.explode(words).alias("word"), "chunk_id").dropDuplicates()
+    """word, chunk_id: every word of every chunk once. words: the words of a row, which may repeat.
+
+    A chunk travels as one array, not as a row a word; rows of one chunk meet, and their words are made distinct, in its row.
+    """
+    own = chunks.select("chunk_id", words.alias("words")).groupBy("chunk_id").agg(F.flatten(F.collect_list("words")).alias("words"))
+    return own.select(F.explode(F.array_distinct("words")).alias("word"), "chunk_id")

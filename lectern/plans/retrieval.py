@@ -86,7 +86,8 @@ def fts_09_concordance(t):
 
 @query("chunks", f"WITH {_CONC} SELECT * FROM conc WHERE word = 'thth' ORDER BY chunk_id LIMIT 20 OFFSET 5")
 def fts_10_lookup(t):
-    return ranking.page(fts.concordance(t.chunks(), concordance_words(F.col("body"))).where("word = 'thth'"), 5, 20, F.col("chunk_id"))
+    own = t.chunks().where(F.lower("body").contains("thth"))  # no other chunk travels
+    return ranking.page(fts.concordance(own, concordance_words(F.col("body"))).where("word = 'thth'"), 5, 20, F.col("chunk_id"))
 
 
 @query("tokens", "WITH b AS (SELECT chunk_id, pos, term, lead(term) OVER (PARTITION BY chunk_id ORDER BY pos) AS nxt FROM tokens) SELECT chunk_id, count(*) AS n FROM b WHERE term = 'the' AND nxt = 'the' GROUP BY chunk_id")

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import align, matching, postings, strategies
+from lectern.operators import align, fts, matching, postings, strategies
 from lectern.plans.catalog import ORACLE, QUERIES
 
 
@@ -149,3 +149,12 @@ def test_chunks_meet_titles_as_whole_rows(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert got == want and moved < 10 * len(want)
+
+
+def test_a_chunk_travels_as_one_row_to_its_concordance(spark):
+    """Words are made distinct in a chunk's row, so the shuffle has a row a chunk; rows of one chunk still meet."""
+    rows = [("a", ["x", "y", "x"]), ("a", ["y", "z"]), ("b", ["x"]), (None, ["x"]), (None, ["x"]), ("c", []), ("d", None)]
+    found = fts.concordance(spark.createDataFrame(rows, "chunk_id string, w array<string>"), F.col("w"))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("x", "a"), ("y", "a"), ("z", "a"), ("x", "b"), ("x", None)], key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" in plan[: plan.index("Aggregate")]  # words become rows only above what is shuffled
