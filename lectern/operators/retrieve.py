@@ -84,7 +84,11 @@ def by_topic(topics: DataFrame, name: str, refs: DataFrame, chunks: DataFrame, l
 def by_cross_reference(xref: DataFrame, sources: DataFrame, refs: DataFrame, chunks: DataFrame, limit: int = 50) -> DataFrame:
     """Documents over the targets of source verses: editorial ones first, then by rank, nulls last."""
     own = xref.join(sources.select("source"), "source", "left_semi")
-    met = overlap_join(refs, own).groupBy("doc_id").agg(F.min(F.struct(F.when(F.col("attribution") == "F", 0).otherwise(1).alias("p"), F.coalesce("rank", F.lit(1 << 40)).alias("r"), "ts")).alias("best"))
+    order = F.struct(F.when(F.col("attribution") == "F", 0).otherwise(1).alias("p"), F.coalesce("rank", F.lit(1 << 40)).alias("r"), "ts")
+    # the best of each target, and each interval of a document once: pairs grow with distinct intervals, not with lines and documents
+    best = own.groupBy("ts", "te").agg(F.min(order).alias("best"))
+    at = overlap_join(refs.select("s", "e").distinct(), best).groupBy("s", "e").agg(F.min("best").alias("best"))
+    met = refs.select("doc_id", "s", "e").join(at, ["s", "e"]).groupBy("doc_id").agg(F.min("best").alias("best"))
     return ranked(met.join(canonical(chunks), "doc_id").withColumn("score", F.lit(1.0)), "xref", F.col("best"), F.col("chunk_id"), limit=limit)
 
 

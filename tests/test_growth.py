@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import align, fts, matching, postings, strategies
+from lectern.operators import align, fts, matching, postings, retrieve, strategies
 from lectern.plans.catalog import ORACLE, QUERIES
 
 
@@ -158,3 +158,30 @@ def test_a_chunk_travels_as_one_row_to_its_concordance(spark):
     assert sorted(map(tuple, found.collect()), key=str) == sorted([("x", "a"), ("y", "a"), ("z", "a"), ("x", "b"), ("x", None)], key=str)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" in plan[: plan.index("Aggregate")]  # words become rows only above what is shuffled
+
+
+def test_cross_references_pair_distinct_intervals(spark):
+    """A target that many lines name meets an interval that many documents have once."""
+    refs = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 3 * 10 + 1001001).alias("s"), (F.col("id") % 3 * 10 + 1001004).alias("e"))
+    heads = refs.select("doc_id", F.concat("doc_id", F.lit(":0000")).alias("chunk_id"), F.lit(0).alias("chunk_index"))
+    lines = spark.range(600).select(F.lit(7).cast("long").alias("source"), (F.col("id") % 2 * 10 + 1001002).alias("ts"), (F.col("id") % 2 * 10 + 1001003).alias("te"), F.when(F.col("id") % 2 == 0, "O").otherwise("F").alias("attribution"), F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("rank"))
+    found = retrieve.by_cross_reference(lines, spark.createDataFrame([(7,)], "source long"), refs, heads, 150)
+    got = found.collect()
+    assert [r["chunk_id"] for r in got] == [f"{d}:0000" for k in (1, 0) for d in sorted((d for d in range(300) if d % 3 == k), key=lambda d: f"{d}:0000")][:150]
+    assert joined(found) < 1000
+
+
+def joined(df):
+    """The most rows that a join of an executed plan gave."""
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        elif "JoinExec" in name:
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return most
