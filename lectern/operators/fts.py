@@ -48,6 +48,22 @@ def bm25(bags: DataFrame, terms: list[str] | DataFrame, unit: str = "chunk_id")
     return scored(own, df, _statistics(bags, []), [], unit)
 
 
+def bm25_within(bags: DataFrame, docs: DataFrame, words: list[str], unit: str = "chunk_id") -> DataFrame:
+    """unit, score within some documents (doc_id, without repeats), with their own statistics. bags: unit, doc_id, words.
+
+    A unit travels with its length and the query's words alone, once: the counts below read one shuffle. A unit also
+    counts the empty word, which keeps its length; the greatest word of a term drops it after the counts.
+    """
+    narrow = bags.select(unit, "doc_id", F.size("words").alias("dl"), F.filter("words", lambda w: w.isin(*words)).alias("words"))
+    term = F.explode(F.array_append("words", F.lit("")))
+    own = narrow.join(docs.select("doc_id"), "doc_id").select(unit, "dl", term.alias("term")).groupBy(unit, "dl", "term").agg(F.count("*").alias("tf"))
+    df = own.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.max("term").alias("_t")).where("_t != ''").drop("_t")
+    lengths = own.groupBy(unit, "dl").agg(F.sum("tf").alias("tf"))
+    held = (F.col("dl") > 0) & (F.col("tf") > 0)  # reads tf, as the others do
+    stats = lengths.agg(F.count_if(held).alias("n"), F.avg(F.when(held, F.col("dl"))).alias("avgdl"))
+    return scored(own, df, stats, [], unit)
+
+
 def frequent_terms(bags: DataFrame, n: int = 3, most: float = 0.2) -> DataFrame:
     """term: the n most frequent terms that fewer than ``most`` (1 at most) of the units hold.
 

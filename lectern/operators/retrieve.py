@@ -58,9 +58,16 @@ def by_tags(tags: DataFrame, chunks: DataFrame, wanted: list[str], isolated: str
     return ranked(ids.join(canonical(chunks), "doc_id").withColumn("score", F.lit(1.0)), "tag", F.col("chunk_id"), limit=limit)
 
 
-def by_kind_text(bags: DataFrame, tags: DataFrame, kind: str, terms: DataFrame, retriever: str, limit: int = 50) -> DataFrame:
+def by_kind_text(bags: DataFrame, tags: DataFrame, kind: str, terms: DataFrame | list[str], retriever: str, limit: int = 50) -> DataFrame:
     """BM25 within the documents of a kind, with their own statistics."""
-    return by_text(tagged(bags, tags, f"kind:{kind}"), terms, retriever, limit)
+    return by_tagged_text(bags, tags, f"kind:{kind}", terms, retriever, limit)
+
+
+def by_tagged_text(bags: DataFrame, tags: DataFrame, tag: str, terms: DataFrame | list[str], retriever: str, limit: int = 50) -> DataFrame:
+    """BM25 within the documents of a tag, with their own statistics. terms: the words of a query, or a table of them."""
+    words = terms if isinstance(terms, list) else [r["term"] for r in terms.select("term").collect()]
+    own = tags.where(F.col("tag") == tag).select("doc_id").distinct()
+    return ranked(fts.bm25_within(bags, own, words), retriever, limit=limit)
 
 
 def tiered(retriever: str, *tiers: tuple[DataFrame, float], limit: int = 50) -> DataFrame:

@@ -175,7 +175,7 @@ def ret_13_minted(t):
 
 @query("tokens tags", f"WITH tk AS (SELECT * FROM tokens WHERE doc_id IN (SELECT doc_id FROM tags WHERE tag = 'resource:aquifer')), {_Q}, {_BM.format(u='chunk_id', t='tk')} " + _hits("(SELECT u AS chunk_id, score FROM bm)", "aquifer"))
 def ret_14_isolated(t):
-    return retrieve.by_text(tags.tagged(t.bags(), t.tags(), "resource:aquifer"), question(t), "aquifer")
+    return retrieve.by_tagged_text(t.bags(), t.tags(), "resource:aquifer", question(t), "aquifer")
 
 
 @query("tokens refs speakers", f"WITH {_FTS}, said AS (SELECT DISTINCT doc_id FROM refs r JOIN speakers x ON r.s BETWEEN x.s AND x.e WHERE speaker = 'user'), c AS (SELECT DISTINCT chunk_id FROM tokens WHERE doc_id IN (SELECT doc_id FROM said)) " + _hits("(SELECT u AS chunk_id, score FROM bm WHERE u IN (SELECT chunk_id FROM c))", "speaker", limit=40))

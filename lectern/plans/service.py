@@ -34,8 +34,8 @@ class Service:
         q, heads = self._terms(words), s.heads()
         out = retrieve.by_index(s.index(), words)
         out = out.unionByName(retrieve.by_title_index(s.title_index(), words, heads))
-        out = out.unionByName(retrieve.by_kind_text(s.bags(), s.tags(), "bible", q, "bible"))
-        out = out.unionByName(retrieve.by_text(tags.tagged(s.bags(), s.tags(), "resource:aquifer"), q, "aquifer"))
+        out = out.unionByName(retrieve.by_kind_text(s.bags(), s.tags(), "bible", words, "bible"))
+        out = out.unionByName(retrieve.by_tagged_text(s.bags(), s.tags(), "resource:aquifer", words, "aquifer"))
         if found["tags"]:
             out = out.unionByName(retrieve.by_tags(s.tags(), heads, found["tags"]))
         spans = [(p["s"], p["e"]) for p in found["passages"]] or ([(book * 1000000, book * 1000000 + 999999)] if book else [])

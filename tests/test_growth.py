@@ -171,6 +171,27 @@ def test_cross_references_pair_distinct_intervals(spark):
     assert joined(found) < 1000
 
 
+def test_a_search_within_a_tag_sends_lengths_and_its_words(spark):
+    """The other words of a unit don't travel, and its scores are those of the tagged bags."""
+    rng = random.Random(3)
+    words = [f"word{i:04d}" for i in range(400)]
+    rows = [(f"{d}:{i:04d}", d, rng.sample(words, 120) + ["common"] * (i % 3) + ["rare"] * (d % 11 == 0)) for d in range(120) for i in range(4)]
+    bags = spark.createDataFrame([*rows, ("3:9999", 3, []), ("3:9998", 3, None)], "chunk_id string, doc_id long, words array<string>").repartition(4)
+    tags = spark.range(120).select(F.col("id").alias("doc_id"), F.concat(F.lit("kind:"), (F.col("id") % 3).cast("string")).alias("tag"))
+    own = [r for r in rows if r[1] % 3 == 0]
+    asked = ["common", "rare", "absent"]
+    want = fts.bm25(spark.createDataFrame(own, "chunk_id string, doc_id long, words array<string>"), asked).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        last = max((s.stageId() for s in stages(spark)), default=-1)
+        got = retrieve.by_kind_text(bags, tags, "0", asked, "k", 1000).collect()
+        sent = sorted(s.shuffleWriteBytes() for s in stages(spark) if s.stageId() > last)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r["chunk_id"], r["score"]) for r in got} == {tuple(r) for r in want} and len(got) > 50
+    assert sum(sent[:-1]) < sent[-1] / 4  # beside the bags as they are dealt at first
+
+
 def joined(df):
     """The most rows that a join of an executed plan gave."""
     todo, most = [df._jdf.queryExecution().executedPlan()], 0
