@@ -64,7 +64,7 @@ def str_07_lookup_cache(t):
 def str_07b_expiring_stream(t):
     """The same as a stream with keyed state; answers expire at the end of the day."""
     spark, events = t.spark, t.table("events")
-    root = f"{store.shared_root(spark)}/lookups/{store.snapshot(spark, t.path('events'))}"
+    root = f"{store.shared_root(spark)}/lookups-2/{store.snapshot(spark, t.path('events'))}"
     conf = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(conf)
     spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

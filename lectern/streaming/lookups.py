@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+#: Buckets of keys of a stream, each with one state; a stream that has begun keeps their number.
+BUCKETS = 1024
 ANSWER = "key string, ts timestamp, id long, source string, value double"
 
 
@@ -37,36 +40,38 @@ def cached(requests: DataFrame, seconds: int | None = None) -> DataFrame:
 
 
 class Lookups(StatefulProcessor):
-    """Keeps a key's answer and its period as a value state."""
+    """Keeps the answers of a bucket's keys, each with its period, as one value state."""
 
     def __init__(self, seconds: int | None):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("answer", "period long, value double")
+        self.state = handle.getValueState("answers", "keys array<string>, periods array<long>, values array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        asked = pd.concat(list(rows)).sort_values(["ts", "id"], kind="stable")
-        held = self.state.get() if self.state.exists() else None
-        out, kept = [], held
-        for ts, i, ok, value in zip(asked.ts, asked.id, asked.ok, asked.value):
-            period = 0 if self.seconds is None else ts.value // (self.seconds * 1_000_000_000)
-            if kept is not None and kept[0] == period:
-                out.append((key[0], ts, i, "cache", kept[1]))
-            elif ok:
-                kept = (period, value)
-                out.append((key[0], ts, i, "fetched", value))
-            else:
-                out.append((key[0], ts, i, "failed", None))
-        if kept is not held:
-            self.state.update(kept)
-        yield pd.DataFrame(out, columns=["key", "ts", "id", "source", "value"]).astype({"value": "float64"})
+        asked = pd.concat(list(rows)).sort_values(["key", "ts", "id"], kind="stable").reset_index(drop=True)
+        time = asked["ts"].to_numpy("datetime64[ns]").astype("int64")
+        asked["period"] = 0 if self.seconds is None else time // (self.seconds * 1_000_000_000)
+        kept = self.state.get() or ([], [], [])
+        held = pd.DataFrame({"period": np.array(kept[1], "int64"), "value": np.array(kept[2], "float64")}, index=pd.Index(list(kept[0]), dtype=object))
+        known = held.reindex(asked["key"])
+        place, ok, value = np.arange(len(asked)), asked["ok"].eq(True).to_numpy(), asked["value"].to_numpy("float64")
+        first = pd.Series(np.where(ok, place, len(asked))).groupby([asked["key"], asked["period"]]).transform("min").to_numpy()
+        stored, later = known["period"].to_numpy() == asked["period"].to_numpy(), place > first
+        asked["source"] = np.where(stored | later, "cache", np.where(ok, "fetched", "failed"))
+        before = value[np.minimum(first, len(asked) - 1)]
+        asked["value"] = np.where(stored, known["value"].to_numpy(), np.where(later, before, np.where(ok, value, np.nan)))
+        new = asked[asked["source"] == "fetched"].drop_duplicates("key", keep="last").set_index("key")[["period", "value"]]
+        if len(new):
+            own = pd.concat([held[~held.index.isin(new.index)], new])
+            self.state.update((own.index.tolist(), own["period"].astype("int64").tolist(), own["value"].tolist()))
+        yield asked[["key", "ts", "id", "source", "value"]]
 
     def close(self) -> None:
         pass
 
 
 def cached_stream(requests: DataFrame, seconds: int | None = None) -> DataFrame:
-    """The same for a streaming table whose batches come in order of time; a key's rows of a batch meet in its state's task."""
+    """The same for a streaming table whose batches come in order of time; the rows of a bucket of keys meet its state once a batch."""
     own = requests.where("key IS NOT NULL AND ts IS NOT NULL").select(F.col("key").cast("string").alias("key"), "ts", "id", "ok", F.col("value").cast("double").alias("value"))
-    return own.groupBy("key").transformWithStateInPandas(statefulProcessor=Lookups(seconds), outputStructType=ANSWER, outputMode="Append", timeMode="None")
+    return own.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")).groupBy("bucket").transformWithStateInPandas(statefulProcessor=Lookups(seconds), outputStructType=ANSWER, outputMode="Append", timeMode="None")

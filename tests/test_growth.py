@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import align, fts, matching, postings, retrieve, strategies
 from lectern.plans.catalog import ORACLE, QUERIES
+from lectern.streaming import lookups
 
 
 def stages(spark):
@@ -206,3 +207,25 @@ def joined(df):
             most = max(most, p.metrics().apply("numOutputRows").value())
         todo += [p.children().apply(i) for i in range(p.children().size())]
     return most
+
+
+def test_a_stream_keeps_its_answers_by_buckets_of_keys(spark, tmp_path, monkeypatch):
+    """Many keys meet few states, over batches; the answers are those of the table, expiry, failures and nulls included."""
+    monkeypatch.setattr(lookups, "BUCKETS", 3)
+    ok, value = F.when(F.col("id") % 11 != 0, F.col("id") % 3 > 0), F.when(F.col("id") % 5 > 0, F.col("id") * 0.5)
+    rows = spark.range(900).select(F.concat(F.lit("k"), (F.col("id") * 7 % 60).cast("string")).alias("key"), F.timestamp_seconds(F.col("id") * 400).alias("ts"), "id", ok.alias("ok"), value.alias("value"))
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in (rows.where("id < 500"), rows.where("id >= 500")):
+            part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            run = lookups.cached_stream(stream, 86400).writeStream.option("checkpointLocation", f"{tmp_path}/state").option("path", f"{tmp_path}/out").trigger(availableNow=True).start()
+            run.awaitTermination()
+    finally:
+        spark.conf.set(conf, before)
+    got = spark.read.schema(lookups.ANSWER).parquet(f"{tmp_path}/out").collect()
+    assert sorted(map(tuple, got), key=lambda r: r[2]) == sorted(map(tuple, lookups.cached(rows, 86400).collect()), key=lambda r: r[2])
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress) <= 3  # of sixty keys
