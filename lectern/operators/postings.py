@@ -1,43 +1,85 @@
 """A stored inverted index: term-partitioned postings in blocks with their greatest impact, and statistics.
 
-Units (chunks or documents) belong to shards of some ``SHARD`` units by a hash of their key. A row of ``blocks`` holds at most
+Units (chunks or documents) belong to shards of some ``SHARD`` units, fewer of long ones, by a hash of their key. A row of ``blocks`` holds at most
 ``BLOCK`` postings of one term in one shard, by falling impact, with the greatest impact beside it: the BM25 part
 without the idf. Files are partitioned by a hash of the term (``part``) and sorted by term, so a query reads the
 partitions of its terms and, inside, their row groups. A hot term is spread over its shards, when built and when read.
 
 The best k of a query come without reading all blocks. The k best sums over the most promising blocks are a bound from
 below; a block can be skipped when its own greatest impact and the other terms' greatest ones in its shard stay
-under that bound, since a unit lies in one shard and in at most one block of a term. Shards are small, so that a rare word lifts few of them.
+under that bound, since a unit lies in one shard and in at most one block of a term. A rare word lifts the shards it is in; smaller
+shards would be fewer units each, but then most blocks hold one or two postings (1.7 on average with 512 units), and rows, not postings, set the build's time.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators.fts import B, K1, scored
 from lectern.operators.graph import cut
 
-SHARD, BLOCK = 512, 128
+SHARD, BLOCK = 32_768, 128
 #: Version of the stored form; a store of another one is built anew.
-FORMAT = 1
+FORMAT = 2
 #: Terms of a partition, most partitions, and units for each further file of a partition.
 TERMS, PARTS, FILED = 20_000, 4096, 2_000_000
-#: Words that a task of the build groups, so that it sorts them in memory.
+#: Words of a shard on average, at most, which a task of the build inverts in memory.
 GROUPED = 1_000_000
 
 
-def impact(avgdl: float) -> Column:
-    """The BM25 part of a posting (tf, dl) without the idf."""
-    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+def impact(avgdl: float, tf=None, dl=None):
+    """The BM25 part of a posting (tf, dl) without the idf: of the columns of these names, or of two arrays."""
+    tf, dl = (F.col("tf"), F.col("dl")) if tf is None else (tf, dl)
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
 
 
 def part_of(term: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
 
+def _ranks(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The rank of each value among the distinct ones, and these in order."""
+    own = values.dictionary_encode()
+    order = pc.array_sort_indices(own.dictionary)
+    ranks = np.empty(len(order), dtype=np.int64)
+    ranks[order.to_numpy()] = np.arange(len(order))
+    return ranks[own.indices.to_numpy()], own.dictionary.take(order)
+
+
+def _inverted(avgdl: float, size: int):
+    """The blocks of a shard, as a function of the Arrow table of its units (unit, words, shard)."""
+
+    def blocks(t: pa.Table) -> pa.Table:
+        words = t.column("words").combine_chunks()
+        lengths = pc.list_value_length(words).to_numpy().astype(np.int64)
+        known = words.flatten()
+        term, terms = _ranks(known.filter(known.is_valid()))
+        row = np.repeat(np.arange(len(lengths)), lengths)[pc.is_valid(known).to_numpy(zero_copy_only=False)]
+        unit, units = _ranks(t.column("unit").combine_chunks())
+        # rows of one key and length are one unit
+        each, own = np.unique(unit * (int(lengths.max()) + 1) + lengths, return_inverse=True)
+        pairs, tf = np.unique(term * len(each) + own[row], return_counts=True)
+        term, own = pairs // len(each), pairs % len(each)
+        dl, unit = each[own] % (int(lengths.max()) + 1), each[own] // (int(lengths.max()) + 1)
+        i = impact(avgdl, tf, dl)
+        best = np.lexsort((-i, term))  # stable: equal ones by unit
+        start = np.flatnonzero(np.diff(term, prepend=-1))
+        at = np.arange(len(term)) - np.repeat(start, np.diff(start, append=len(term)))
+        head = np.flatnonzero(at % size == 0)
+        offsets = pa.array(np.append(head, len(term)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (units.take(pa.array(unit[best])), pa.array(tf[best].astype(np.int32)), pa.array(dl[best].astype(np.int32)))]
+        whole = [pa.array(x.astype(np.int32)) for x in (np.full(len(head), t.column("shard")[0].as_py()), at[head] // size, np.diff(head, append=len(term)))]
+        return pa.table([terms.take(pa.array(term[head])), whole[0], whole[1], pa.array(i[best][head]), whole[2], *lists], ["term", "shard", "block", "most", "n", "unit", "tf", "dl"])
+
+    return blocks
+
+
 def build(bags: DataFrame, path: str, unit: str = "chunk_id") -> dict:
     """Write the index of bags (unit, words) below ``path``; returns its statistics.
 
@@ -48,24 +90,19 @@ def build(bags: DataFrame, path: str, unit: str = "chunk_id") -> dict:
     n, total = held.agg(F.count("*"), F.sum(F.size("words"))).first()
     if not n:
         return {"unit": held.schema["unit"].dataType.simpleString(), "n": 0, "avgdl": 0.0, "terms": 0, "postings": 0, "blocks": 0, "shards": 0, "parts": 0}
-    avgdl, shards = total / n, math.ceil(n / SHARD)
-    terms = held.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    avgdl, shards = total / n, math.ceil(max(n / SHARD, total / GROUPED))
+    terms = held.select(F.explode(F.array_distinct("words")).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
     terms.write.parquet(f"{path}/terms")
     stored = held.sparkSession.read.parquet(f"{path}/terms")
     distinct, postings = stored.agg(F.count("*"), F.sum("df")).first()
     parts = min(PARTS, max(8, distinct // TERMS))
     files = max(8, n // FILED)
     shard = F.pmod(F.xxhash64("unit"), F.lit(shards)).cast("int")
-    tokens = held.select(shard.alias("shard"), "unit", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    # one shuffle: both aggregates cluster on more than these two; its tasks grow with the words, whatever the session's number is
-    dealt = tokens.withColumn("part", part_of(F.col("term"), parts)).withColumn("file", F.col("shard") % files).repartition(max(8, total // GROUPED), "part", "file")
-    counted = dealt.groupBy("part", "file", "term", "shard", "unit", "dl").agg(F.count("*").cast("int").alias("tf")).withColumn("i", impact(avgdl))
-    best = F.array_sort(F.collect_list(F.struct((-F.col("i")).alias("i"), "unit", "tf", "dl")))
-    grouped = counted.groupBy("part", "file", "term", "shard").agg(best.alias("p"))
-    sliced = F.transform(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / BLOCK).cast("int")), lambda b: F.slice("p", b * BLOCK + 1, F.lit(BLOCK)))
-    blocks = grouped.select("part", "term", "shard", F.posexplode(sliced).alias("block", "p"))
-    column = lambda c: F.transform("p", lambda x: x[c]).alias(c)
-    rows = blocks.select("term", "shard", "block", (-F.get("p", F.lit(0))["i"]).alias("most"), F.size("p").alias("n"), column("unit"), column("tf"), column("dl"), "part")
+    # units travel as whole rows, and a shard is inverted at once; the tasks of both shuffles grow with the words, whatever the session's number is
+    key, tasks = held.schema["unit"].dataType.simpleString(), max(8, total // GROUPED)
+    dealt = held.withColumn("shard", shard).repartition(tasks, "shard")
+    blocks = dealt.groupBy("shard").applyInArrow(_inverted(avgdl, BLOCK), f"term string, shard int, block int, most double, n int, unit array<{key}>, tf array<int>, dl array<int>")
+    rows = blocks.withColumn("part", part_of(F.col("term"), parts)).repartition(tasks, "part", F.col("shard") % files)
     rows.sortWithinPartitions("part", "term", "shard", "block").write.partitionBy("part").parquet(f"{path}/blocks")
     count = held.sparkSession.read.parquet(f"{path}/blocks").count()
     return {"unit": held.schema["unit"].dataType.simpleString(), "n": n, "avgdl": avgdl, "terms": distinct, "postings": postings, "blocks": count, "shards": shards, "parts": parts}

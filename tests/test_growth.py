@@ -112,6 +112,17 @@ def test_tasks_that_group_an_index_grow_with_its_words(spark, tmp_path, monkeypa
     assert stats["n"] == 200 and 20 in {s.numTasks() for s in stages(spark) if s.stageId() > last}
 
 
+def test_an_index_is_built_from_units_not_from_rows_of_words(spark, tmp_path):
+    words = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("w"), ((F.col("id") * i) % 37).cast("string")))
+    bags = spark.range(200).select((F.col("id") % 190).cast("string").alias("chunk_id"), words.alias("words"))  # ten keys come twice
+    stats, n = shuffled(spark, lambda: postings.build(bags, f"{tmp_path}/index"))
+    own = postings.Postings(spark, f"{tmp_path}/index", stats)
+    want = bags.select("chunk_id", F.explode("words").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+    got = own.postings(spark.read.parquet(f"{tmp_path}/index/blocks")).select("term", F.col("unit").alias("chunk_id"), F.col("tf").cast("long"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert n < 2000  # 20,000 words
+
+
 def test_long_sequences_align_as_short_ones(spark, monkeypatch):
     rng = random.Random(5)
     pairs = [([rng.choice(["a", "b", "c", "", None]) for _ in range(rng.randrange(30))], [rng.choice(["a", "b", "c", "d", ""]) for _ in range(rng.randrange(30))]) for _ in range(200)]
