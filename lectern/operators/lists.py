@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 FORMAT = 2
 #: Lists that each vector goes to; vectors that fit centroids and queries that tune the probes, at most; most lists.
 COPIES, SAMPLE, PROBED, MOST = 2, 65_536, 256, 8192
+#: Bundles that vectors are searched in, at least; vectors of one, at most; queries that meet one at once.
+LEAST, BUNDLE, ASKED = 16, 65_536, 4096
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -116,20 +118,6 @@ class Lists:
     def _centroids(self) -> np.ndarray:
         return np.array(json.loads(self.spark.read.parquet(f"{self.path}/centroids").first()[0]))
 
-    def routed(self, queries: DataFrame, probes: int) -> DataFrame:
-        """q, qe, list: each query with the lists it probes, nearest first."""
-        n = min(probes, self.stats["lists"])
-        centroids = self._centroids()
-
-        def route(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    near = _nearest(_unit(_matrix(batch.column(1))), centroids, n)
-                    at = pa.array(np.repeat(np.arange(batch.num_rows), n))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(near.ravel().astype(np.int32))], ["q", "qe", "list"])
-
-        return sound(queries).mapInArrow(route, "q long, qe array<float>, list int")
-
     def lists(self, numbers: list[int] | None = None) -> DataFrame:
         """The stored rows of some lists: the other partitions aren't read."""
         known = self.spark.read.parquet(f"{self.path}/lists")
@@ -138,43 +126,57 @@ class Lists:
     def search(self, queries: DataFrame, k: int = 20, probes: int | None = None, over: int = 1) -> DataFrame:
         """q, vec_id, sim, rn: the ``k * over`` nearest other vectors by cosine among the probed lists.
 
-        For few queries the lists they name are collected (at most one number a list), and only those are read. A list's
-        vectors meet the queries that probe it in one multiplication; each gives its k best, which are shuffled.
+        The lists that the queries name are collected (at most one number a list), and only those are read. Their vectors are
+        dealt into bundles by hash, both copies of a vector into one, and meet blocks of the queries there; a vector counts for a
+        query that probes one of its lists. A bundle gives the k best of each query, which are shuffled: bundles, unlike
+        lists, don't grow in number until each holds some ``BUNDLE`` vectors.
         """
+        from lectern.operators.vectors import PRODUCTS, greatest
+
         if not self.stats["n"]:
             return self.spark.createDataFrame([], "q long, vec_id long, sim double, rn long")
         most = k * over
-        routed = self.routed(queries, probes or self.stats["probes" if most <= self.stats["k"] else "deep_probes"])
-        numbers = [r["list"] for r in routed.select("list").distinct().collect()]
+        probes = min(probes or self.stats["probes" if most <= self.stats["k"] else "deep_probes"], self.stats["lists"])
+        centroids, lists = self._centroids(), self.stats["lists"]
+
+        def named(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(_nearest(_unit(_matrix(batch.column(1))), centroids, probes)).astype(np.int32))], ["list"])
+
+        asked = sound(queries).select(F.col("vec_id").cast("long").alias("q"), F.col("embedding").alias("qe"))
+        numbers = [r["list"] for r in asked.mapInArrow(named, "list int").distinct().collect()]
 
         def met(left: pa.Table, right: pa.Table) -> pa.Table:
             schema = pa.schema([("q", pa.int64()), ("vec_id", pa.int64()), ("sim", pa.float64())])
             if not left.num_rows or not right.num_rows:
                 return schema.empty_table()
-            ids, names = right.column("vec_id").to_numpy(), left.column("q").to_numpy()
-            x, y = (_unit(_matrix(t.column(c).combine_chunks())) for t, c in ((right, "embedding"), (left, "qe")))
-            order = np.argsort(ids, kind="stable")
-            ids, x = ids[order], x[order]
-            out = []
-            for at in range(0, len(y), 256):
-                sims = np.round(y[at : at + 256] @ x.T, 6)
-                sims[ids == names[at : at + 256, None]] = -np.inf
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :most]
-                sim = np.take_along_axis(sims, top, 1)
-                good = sim > -np.inf
-                out.append((np.broadcast_to(names[at : at + 256, None], sim.shape)[good], ids[top][good], sim[good]))
+            names, y = left.column("q").to_numpy(), _unit(_matrix(left.column("qe").combine_chunks()))
+            every, home = right.column("vec_id").to_numpy(), right.column("list").to_numpy()
+            order = np.argsort(every, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(every[order]) != 0))  # rows of one id are adjacent
+            ids, x = every[order][first], _unit(_matrix(right.column("embedding").combine_chunks().take(pa.array(order[first]))))
+            out, step = [], max(1, PRODUCTS // len(x))
+            for at in range(0, len(y), step):
+                part = y[at : at + step]
+                wanted = np.zeros((len(part), lists), dtype=bool)
+                np.put_along_axis(wanted, _nearest(part, centroids, probes), True, 1)
+                seen = np.logical_or.reduceat(wanted[:, home[order]], first, axis=1)
+                sims = np.round(part @ x.T, 6)
+                sims[~seen | (ids == names[at : at + step, None])] = -np.inf
+                row, place = greatest(sims, most)
+                out.append((names[at + row], ids[place], sims[row, place]))
             return pa.table([np.concatenate(c) for c in zip(*out)], schema=schema)
 
-        own = self.lists(numbers).select("vec_id", "embedding", "list", F.pmod(F.xxhash64("vec_id"), F.lit(self._slices())).alias("slice"))
-        asked = routed.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self._slices() - 1).cast("long"))))
-        pairs = asked.groupBy("list", "slice").cogroup(own.groupBy("list", "slice")).applyInArrow(met, "q long, vec_id long, sim double")
-        best = pairs.dropDuplicates(["q", "vec_id"]).withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "vec_id")).cast("long"))
+        bundles, blocks = max(LEAST, math.ceil(self.stats["n"] / BUNDLE)), max(1, math.ceil(asked.count() / ASKED))
+        deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        own = self.lists(numbers).select("vec_id", "embedding", "list", deal("vec_id", bundles).alias("bundle")).withColumn("block", each(blocks))
+        dealt = asked.withColumn("block", deal("q", blocks)).withColumn("bundle", each(bundles))
+        pairs = dealt.groupBy("block", "bundle").cogroup(own.groupBy("block", "bundle")).applyInArrow(met, "q long, vec_id long, sim double")
+        best = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "vec_id")).cast("long"))
         return best.where(F.col("rn") <= most)
 
-    def _slices(self) -> int:
-        """Slices of a list, so that one holding a third of all vectors stays some hundred thousand rows a task."""
-        return max(1, self.stats["n"] // 1_000_000)
-
 
 def post_filtered(found: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
     """q, vec_id, sim, rn: of over-fetched neighbours those whose id (vec_id) is allowed, the first k of each query."""

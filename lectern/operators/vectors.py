@@ -31,6 +31,8 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 BLOCK, SLICE = 8192, 512
 #: Query vectors that travel to every task instead of being dealt into blocks; 8 bytes a component.
 CARRIED = 4096
+#: Vectors of a block of which only the k best of each query are kept, so that few are shuffled, and products of one multiplication.
+WIDE, PRODUCTS = 65_536, 4_194_304
 
 
 def matrix_of(t: pa.Table, name: str) -> np.ndarray:
@@ -39,6 +41,18 @@ def matrix_of(t: pa.Table, name: str) -> np.ndarray:
     return flat.astype("float64").reshape(t.num_rows, -1)
 
 
+def greatest(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k greatest values of each row that aren't -inf, greatest first, equal ones by column."""
+    n = sims.shape[1]
+    cut = np.partition(sims, n - k, axis=1)[:, n - k, None] if n > k else -np.inf
+    row, place = np.nonzero((sims >= cut) & (sims > -np.inf))
+    order = np.lexsort((-sims[row, place], row))  # stable: equal ones by column
+    row, place = row[order], place[order]
+    start = np.flatnonzero(np.diff(row, prepend=-1))
+    good = np.arange(len(row)) - np.repeat(start, np.diff(start, append=len(row))) < k
+    return row[good], place[good]
+
+
 def _cell(k: int):
     """The k best of each query of one block among the vectors of another, as a function of two Arrow tables."""
     schema = pa.schema([("q", pa.int64()), ("vec_id", pa.int64()), ("sim", pa.float64())])
@@ -50,14 +64,12 @@ def _cell(k: int):
         ids, x = right.column("vec_id").to_numpy()[order], matrix_of(right, "embedding")[order]
         names, y = left.column("q").to_numpy(), matrix_of(left, "qe")
         out: list[tuple[np.ndarray, ...]] = []
-        for at in range(0, len(y), SLICE):
-            sims = np.round(y[at : at + SLICE] @ x.T, 6)
-            sims[(ids == names[at : at + SLICE, None]) | ~np.isfinite(sims)] = -np.inf
-            top = np.argsort(-sims, axis=1, kind="stable")[:, :k]  # stable: equal ones by id
-            sim = np.take_along_axis(sims, top, 1)
-            kept = sim > -np.inf
-            q = np.broadcast_to(names[at : at + SLICE, None], sim.shape)
-            out.append((q[kept], ids[top][kept], sim[kept]))
+        step = max(1, PRODUCTS // len(x))
+        for at in range(0, len(y), step):
+            sims = np.round(y[at : at + step] @ x.T, 6)
+            sims[(ids == names[at : at + step, None]) | ~np.isfinite(sims)] = -np.inf
+            row, place = greatest(sims, k)
+            out.append((names[at + row], ids[place], sims[row, place]))
         return pa.table([np.concatenate(c) for c in zip(*out)], schema=schema)
 
     return best
@@ -67,11 +79,11 @@ def _sound(name: str) -> Column:
     return (F.size(name) > 0) & ~F.exists(name, lambda x: x.isNull())
 
 
-def _meet(queries: DataFrame, vectors: DataFrame, cell, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
+def _meet(queries: DataFrame, vectors: DataFrame, cell, schema: str, more: tuple[str, ...] = (), wide: int = 0) -> DataFrame:
     """What ``cell`` makes of two tables, (q, qe, more) and (vec_id, embedding, label if there is one), over all queries and vectors.
 
     At most ``CARRIED`` queries are sent to the tasks that read the vectors, as one table (their number is counted first).
-    More queries and vectors are dealt into blocks of some ``BLOCK`` rows by hash, and every block of queries meets every
+    More queries and vectors are dealt into blocks of some ``BLOCK`` rows (``wide`` vectors, if it is given) by hash, and every block of queries meets every
     block of vectors. Vectors meet those of their own length; null vectors and null components meet nothing.
     """
     labelled = ["label"] if "label" in vectors.columns else []
@@ -79,8 +91,8 @@ def _meet(queries: DataFrame, vectors: DataFrame, cell, schema: str, more: tuple
     v = vectors.where(_sound("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", *labelled)
     few = q.limit(CARRIED + 1).toArrow()
     if few.num_rows <= CARRIED:
-        return v.mapInArrow(_met(few, cell), schema)
-    rows, columns = (max(1, math.ceil(df.count() / BLOCK)) for df in (queries, vectors))
+        return v.mapInArrow(_met(few, cell, wide or BLOCK), schema)
+    rows, columns = (max(1, math.ceil(df.count() / n)) for df, n in ((queries, BLOCK), (vectors, wide or BLOCK)))
     deal = lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = q.withColumn("_d", F.size("qe")).withColumn("_i", deal("q", rows)).withColumn("_j", every(columns))
@@ -97,7 +109,7 @@ def _empty(schema: str) -> pa.Table:
     return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in schema.split(", "))]).empty_table()
 
 
-def _met(queries: pa.Table, cell):
+def _met(queries: pa.Table, cell, block: int):
     """``cell`` of the queries and the vectors of a partition, some thousand at a time."""
     lengths = pc.list_value_length(queries.column("qe"))
 
@@ -116,7 +128,7 @@ def _met(queries: pa.Table, cell):
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
-            if rows >= BLOCK:
+            if rows >= block:
                 yield from some(held)
                 held, rows = [], 0
         yield from some(held)
@@ -129,7 +141,7 @@ def ranked_neighbours(queries: DataFrame, vectors: DataFrame, k: int) -> DataFra
 
     Only the k best of each query and batch are shuffled. Products that aren't finite give no neighbour.
     """
-    sim = _meet(queries, vectors, _cell(k), "q long, vec_id long, sim double")
+    sim = _meet(queries, vectors, _cell(k), "q long, vec_id long, sim double", wide=WIDE)
     return sim.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "vec_id")).cast("long")).where(F.col("rn") <= k)
 
 

@@ -3,10 +3,11 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import align, fts, matching, postings, retrieve, strategies
+from lectern.operators import align, fts, lists, matching, postings, retrieve, strategies, vectors
 from lectern.plans.catalog import ORACLE, QUERIES
 from lectern.streaming import lookups
 
@@ -123,6 +124,31 @@ def test_an_index_is_built_from_units_not_from_rows_of_words(spark, tmp_path):
     assert n < 2000  # 20,000 words
 
 
+def test_a_search_of_lists_sends_the_best_of_bundles_not_of_lists(spark, tmp_path):
+    x = np.random.default_rng(3).integers(-3, 4, size=(1500, 16)).astype(float)
+    x[700:720] = x[5]  # equal products
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    own = lists.Lists(spark, f"{tmp_path}/lists", lists.build(v, f"{tmp_path}/lists"))
+    found, n = shuffled(spark, lambda: own.search(v.where("vec_id % 50 = 5"), 20, probes=own.stats["lists"]).collect())
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 6)
+    np.fill_diagonal(sims, -np.inf)
+    want = [(q, i) for q in range(5, 1500, 50) for i in sorted(range(1500), key=lambda j: (-sims[q, j], j))[:20]]
+    assert [(r["q"], r["vec_id"]) for r in sorted(found, key=lambda r: (r["q"], r["rn"]))] == want
+    assert n < 20_000  # 30 queries, 58 lists: 34,800 from each list
+
+
+def test_greatest_values_of_rows():
+    rng = np.random.default_rng(4)
+    sims = rng.integers(0, 6, (50, 40)).astype(float)
+    sims[rng.random(sims.shape) < 0.3] = -np.inf
+    sims[0] = -np.inf
+    for k in (1, 7, 40, 99):
+        row, place = vectors.greatest(sims, k)
+        want = [(i, j) for i, s in enumerate(sims) for j in sorted(range(40), key=lambda j: (-s[j], j))[:k] if s[j] > -np.inf]
+        assert list(zip(row.tolist(), place.tolist())) == want
+
+
 def test_long_sequences_align_as_short_ones(spark, monkeypatch):
     rng = random.Random(5)
     pairs = [([rng.choice(["a", "b", "c", "", None]) for _ in range(rng.randrange(30))], [rng.choice(["a", "b", "c", "d", ""]) for _ in range(rng.randrange(30))]) for _ in range(200)]
