@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import terms
 from lectern.operators import postings
+from lectern.operators.graph import cut
 from lectern.sources import store
 
 #: Tables of a store and their columns.
@@ -69,7 +70,7 @@ def publish_index(documents: DataFrame, folder: str, vectors: DataFrame | None =
             without_orphans(vectors, chunks).write.parquet(f"{path}/vectors")
             counts["vectors"] = spark.read.parquet(f"{path}/vectors").count()
         corpus = spark.read.parquet(f"{path}/documents").select(F.col("id").alias("doc_id"), "corpus")
-        bags = chunks.select(F.col("id").alias("chunk_id"), "doc_id", terms(F.col("body")).alias("words")).join(corpus, "doc_id")
+        bags = cut(chunks.select(F.col("id").alias("chunk_id"), "doc_id", terms(F.col("body")).alias("words")).join(corpus, "doc_id"))  # parsed once for all corpora
         names = [name for _, name in PARTITIONS] + ["main"]
         return {"counts": counts, "fts": {name: postings.build(bags.where(F.col("corpus") == name), f"{path}/fts/{name}") for name in names}}
 

@@ -138,6 +138,16 @@ def test_a_search_of_lists_sends_the_best_of_bundles_not_of_lists(spark, tmp_pat
     assert n < 20_000  # 30 queries, 58 lists: 34,800 from each list
 
 
+def test_texts_of_a_published_index_are_parsed_once_for_all_corpora(spark, tmp_path, monkeypatch):
+    from lectern.sources import sinks
+
+    plans = []
+    monkeypatch.setattr(postings, "build", lambda bags, path: plans.append(bags._jdf.queryExecution().optimizedPlan().toString()) or {"n": 0})
+    docs = spark.createDataFrame([("a", "a.md", "A", "the word here", ["kind:bible"], [1], [2], "{}")], "id string, path string, title string, body string, tags array<string>, s array<long>, e array<long>, metadata string")
+    sinks.publish_index(docs, f"{tmp_path}/whole")
+    assert len(plans) == 5 and not any("regexp" in p or "Join" in p for p in plans)
+
+
 def test_greatest_values_of_rows():
     rng = np.random.default_rng(4)
     sims = rng.integers(0, 6, (50, 40)).astype(float)
