@@ -227,7 +227,7 @@ def api_09_pericope(t):
 @query("tags titles", "SELECT tag, doc_id, title FROM (SELECT tag, doc_id, title, row_number() OVER (PARTITION BY tag ORDER BY title, doc_id) AS rn FROM tags JOIN titles USING (doc_id) WHERE tag LIKE 'kind:%') WHERE rn <= 300")
 def api_10_leaves(t):
     own = t.tags().where(F.col("tag").startswith("kind:")).join(t.titles(), "doc_id")
-    return ranking.per_key(own, ["tag"], 300, F.col("title"), F.col("doc_id")).select("tag", "doc_id", "title")
+    return ranking.per_key(own, ["tag"], 300, F.asc_nulls_last("title"), F.col("doc_id")).select("tag", "doc_id", "title")
 
 
 @query("refs tags", "WITH p AS (SELECT a.doc_id, b.doc_id AS other FROM refs a JOIN refs b ON a.s <= b.e AND b.s <= a.e WHERE a.doc_id <> b.doc_id AND a.e - a.s < 100) SELECT doc_id, other FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY other) AS rn FROM p) WHERE rn <= 10")
