@@ -79,4 +79,5 @@ def agg_35_reconciliation(t):
 def fn_21_gloss_clean(t):
     d, title = F.col("doc_id") % 6, F.col("title")
     g = F.when(d == 0, F.concat(F.lit("[the] "), F.replace(title, F.lit(" "), F.lit(".")))).when(d == 1, F.concat(F.lit("to "), title, F.lit(": went"))).when(d == 2, F.concat(title, F.lit("/other: x"))).when(d == 3, F.concat(F.lit("(of men) "), title)).when(d == 4, "-").otherwise("NAME")
-    return t.titles().select("doc_id", matching.without_markup(g).alias("plain"), matching.headword_sense(g).alias("sense"), matching.real_gloss(g).alias("usable"))
+    own = lambda c: F.when(g.isNotNull(), c)  # noqa: E731  a document without a title has no gloss to clean
+    return t.titles().select("doc_id", own(matching.without_markup(g)).alias("plain"), own(matching.headword_sense(g)).alias("sense"), matching.real_gloss(g).alias("usable"))
