@@ -301,7 +301,7 @@ def srt_02_nulls_last(t):
 @query("titles", "SELECT doc_id, title, (SELECT count(*) FROM titles) AS total FROM titles ORDER BY title, doc_id LIMIT 20 OFFSET 40")
 def srt_03_page(t):
     total = t.titles().agg(F.count("*").alias("total"))
-    return ranking.page(t.titles(), 40, 20, F.col("title"), F.col("doc_id")).crossJoin(F.broadcast(total))
+    return ranking.page(t.titles(), 40, 20, F.asc_nulls_last("title"), F.asc_nulls_last("doc_id")).crossJoin(F.broadcast(total))
 
 
 @query("", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
@@ -324,7 +324,7 @@ def srt_06_rare_first(t):
 @query("titles", "SELECT doc_id, doc_id % 17 = 0 AS featured FROM titles ORDER BY doc_id % 17 = 0 DESC, title, doc_id LIMIT 50")
 def srt_07_featured(t):
     f = t.titles().withColumn("featured", F.col("doc_id") % 17 == 0)
-    return f.orderBy(F.desc("featured"), "title", "doc_id").limit(50).select("doc_id", "featured")
+    return f.orderBy(F.desc("featured"), F.asc_nulls_last("title"), "doc_id").limit(50).select("doc_id", "featured")
 
 
 @query("entities", "SELECT type, id FROM (SELECT type, id, row_number() OVER (PARTITION BY type ORDER BY length(metadata) DESC, id) AS rn FROM entities) WHERE rn = 1")
