@@ -167,7 +167,7 @@ def sup_29_verse_facets(t):
 @query("tags titles", "SELECT kind, doc_id, title, place FROM (SELECT tag[6:] AS kind, doc_id, title, row_number() OVER (PARTITION BY tag ORDER BY title, doc_id) AS place FROM tags JOIN titles USING (doc_id) WHERE tag LIKE 'kind:%') WHERE place <= 300")
 def sup_31_leaves(t):
     own = t.tags().where("tag LIKE 'kind:%'").join(t.titles(), "doc_id").withColumn("kind", F.substring("tag", 6, 64))
-    return ranking.per_key(own, ["kind"], 300, F.col("title"), F.col("doc_id"), name="place").select("kind", "doc_id", "title", "place")
+    return ranking.per_key(own, ["kind"], 300, F.asc_nulls_last("title"), F.col("doc_id"), name="place").select("kind", "doc_id", "title", "place")
 
 
 @query("", "SELECT page_id, regexp_extract(url, '([^/]+)/?$', 1) AS module FROM pages WHERE page_id IN (SELECT l_partkey FROM lineitem)")

@@ -72,7 +72,7 @@ def texts(spark, *lines):
 ODD = ("ßa b", "ŉb c", "ﬁne day", "ǰc", "ᾳ", "ᾼ", "été", "abc", "Zed", "1st", "", "\u00a0nbsp first", "İx")
 
 
-@pytest.mark.parametrize("name", ["api_04_study_packet", "api_10_leaves", "fn_21_gloss_clean", "srt_03_page", "srt_07_featured"])
+@pytest.mark.parametrize("name", ["api_04_study_packet", "api_10_leaves", "fn_21_gloss_clean", "srt_03_page", "srt_07_featured", "sup_31_leaves"])
 def test_documents_without_a_title(spark, tmp_path, name):
     labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
     lines = spark.createDataFrame([(1, 2, 1, "O", "N")], "l_orderkey long, l_partkey long, l_linenumber int, l_linestatus string, l_returnflag string")
