@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -74,17 +75,18 @@ def lcs_align(left: DataFrame, right: DataFrame, key: str, order: str, code: str
 def single_linkage(df: DataFrame, key: str, item: str, vector: str, threshold: float, across: bool = False, undefined: bool = False) -> DataFrame:
     """key, item, cluster: within each key, items linked by a cosine of ``threshold`` or more, named by the least item.
 
-    Items are whole numbers, not below zero; rows of one number are one item of their key, or with ``across`` of all keys,
+    Items are whole numbers; rows of one number are one item of their key, or with ``across`` of all keys,
     with the links of all these rows. Those without a number have no cluster. No key is held by one task. A cosine is
     undefined if a vector is zero or holds a non-finite component: it links nothing, or with ``undefined`` all vectors of
     the key, as where NaN counts as greater than any number.
     """
-    number = F.lpad(F.col(item).cast("string"), 19, "0")  # sorts as the number does
+    shift = F.lit(Decimal(1 << 63))  # so that none is below zero
+    number = F.lpad((F.col(item).cast("decimal(20,0)") + shift).cast("string"), 20, "0")  # sorts as the number does
     name = number if across else F.when(number.isNotNull(), F.concat_ws("|", F.col(key).cast("string"), number))
     items = df.select(F.col(key).alias("key"), F.col(item).alias("item"), name.alias("id"), F.col(vector).alias("vector"))
     own = items.where("id IS NOT NULL").select("key", "id", "vector")
     found = linked(own, threshold, more=_unordered(own) if undefined else None)
-    return items.join(found, "id", "left").select("key", "item", F.substring_index("cluster", "|", -1).cast("long").alias("cluster"))
+    return items.join(found, "id", "left").select("key", "item", (F.substring_index("cluster", "|", -1).cast("decimal(20,0)") - shift).cast("long").alias("cluster"))
 
 
 def _unordered(items: DataFrame) -> DataFrame:

@@ -303,3 +303,20 @@ def test_sense_merge_keeps_senses_without_a_lexeme(spark):
     s = spark.createDataFrame([(1, 1, 2, "a"), (1, 2, 5, "b"), (None, 3, 1, "c"), (None, 4, 1, "d")], "lex long, sense long, n long, label string")
     v = spark.createDataFrame([(i, [1.0, 0.1]) for i in range(1, 5)], "sense long, embedding array<double>")
     assert sorted(senses.merge_by_vector(s, v).collect(), key=lambda r: r["merged"]) == [(1, 1, 7, "b"), (None, 3, 1, "c"), (None, 4, 1, "d")]
+
+
+@pytest.mark.parametrize("name", ["seq_03_linkage"])
+def test_linkage_of_odd_vectors_and_ids_equals_its_sql(spark, tmp_path, name):
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(7, 8))
+    rows = [(i, [float(x) for x in centres[i * 5 % 7] + rng.normal(size=8) * 0.1], i % 4) for i in range(60)]
+    rows += [(70, [0.0] * 8, 1), (71, [float("inf")] + [1.0] * 7, 2), (72, None, 2), (5, rows[6][1], 3), rows[9], (None, rows[0][1], 0), (73, rows[0][1], None), (-5, rows[0][1], 0), (-50, rows[1][1], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(str, map(tuple, queries()[name](spark, str(tmp_path)).collect())))
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        assert got == sorted(map(str, c.execute(oracle_sql()[name]).fetchall()))
