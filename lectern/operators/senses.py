@@ -6,20 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.operators.align import single_linkage
 from lectern.operators.align import single_linkage
 from lectern.operators.linkage import linked as link_items
 
 
-def merge_by_vector(senses: DataFrame, vectors: DataFrame, threshold: float = 0.72) -> DataFrame:
+def merge_by_vector(senses: DataFrame, vectors: DataFrame | None = None, threshold: float = 0.72, across: bool = False, undefined: bool = False) -> DataFrame:
     """lex, merged, n, label: senses (lex long, sense long, n, label) whose vectors (sense, embedding) link within a lexeme.
 
-    The most frequent member names the merged sense. A context-centroid merge is the same with 0.88.
+    The most frequent member names the merged sense. A context-centroid merge is the same with 0.88. Without ``vectors``
+    each row of the senses has its own ``embedding``. ``across`` and ``undefined`` are those of ``single_linkage``.
     """
-    own = senses.join(vectors, "sense").select("lex", "sense", "embedding")
-    linked = single_linkage(own, "lex", "sense", "embedding", threshold).select(F.col("key").alias("lex"), F.col("item").alias("sense"), F.col("cluster").alias("merged"))
-    found = linked.withColumnRenamed("lex", "_lex").withColumnRenamed("sense", "_sense")
-    both = senses.join(found, F.col("lex").eqNullSafe(F.col("_lex")) & (F.col("sense") == F.col("_sense")))  # a sense without a lexeme stays alone
+    own = senses if vectors is None else senses.join(vectors, "sense")
+    found = single_linkage(own.select("lex", "sense", "embedding"), "lex", "sense", "embedding", threshold, across, undefined)
+    found = found.select(F.col("key").alias("_lex"), F.col("item").alias("_sense"), F.col("cluster").alias("merged"))
+    same = F.col("sense") == F.col("_sense")
+    if across:
+        both = senses.join(found.drop("_lex").distinct(), same)
+    else:
+        both = senses.join(found.distinct(), F.col("lex").eqNullSafe(F.col("_lex")) & same)  # a sense without a lexeme stays alone
     return both.groupBy("lex", "merged").agg(F.sum("n").alias("n"), F.min_by("label", F.struct(-F.col("n"), "sense")).alias("label"))
 
 

@@ -88,9 +88,8 @@ def crd_02_concept(t):
 
 @query("", "WITH RECURSIVE v AS (SELECT label AS lex, vec_id AS sense, vec_id % 7 + 1 AS n, 'g' || vec_id AS label, embedding::DOUBLE[] AS x FROM embeddings), e AS (SELECT a.sense AS u, b.sense AS v FROM v a JOIN v b ON a.lex = b.lex AND a.sense <> b.sense AND list_cosine_similarity(a.x, b.x) >= 0.72), r AS (SELECT sense AS u, sense AS v FROM v UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v), c AS (SELECT u AS sense, min(v) AS merged FROM r GROUP BY 1) SELECT lex, merged, sum(n)::BIGINT AS n, arg_min(label, (-n, sense)) AS label FROM v JOIN c USING (sense) GROUP BY 1, 2")
 def seq_04_sense_merge(t):
-    v = t.table("embeddings")
-    own = v.select(F.col("label").cast("long").alias("lex"), F.col("vec_id").alias("sense"), (F.col("vec_id") % 7 + 1).alias("n"), F.concat(F.lit("g"), F.col("vec_id").cast("string")).alias("label"))
-    return senses.merge_by_vector(own, v.select(F.col("vec_id").alias("sense"), "embedding"))
+    own = t.table("embeddings").select(F.col("label").cast("long").alias("lex"), F.col("vec_id").alias("sense"), (F.col("vec_id") % 7 + 1).alias("n"), F.concat(F.lit("g"), F.col("vec_id").cast("string")).alias("label"), "embedding")
+    return senses.merge_by_vector(own, across=True, undefined=True)
 
 
 @query("", "SELECT substr(sha256('in/' || doc_id || '.md'), 1, 16) AS id, 'in/' || doc_id || '.md' AS path, CASE WHEN doc_id % 3 = 0 THEN doc_id::VARCHAR ELSE 'Title of ' || doc_id END AS title, 'lang:' || lang || CASE WHEN doc_id % 2 = 0 THEN ',source:' || source ELSE '' END AS tags, CASE WHEN doc_id % 4 = 0 THEN '' ELSE (1000000 + doc_id % 900 + 1) || '-' || (1000000 + doc_id % 900 + 5) END AS passages, sha256(coalesce(nullif(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), ''), '-')) AS body FROM documents")

@@ -305,7 +305,7 @@ def test_sense_merge_keeps_senses_without_a_lexeme(spark):
     assert sorted(senses.merge_by_vector(s, v).collect(), key=lambda r: r["merged"]) == [(1, 1, 7, "b"), (None, 3, 1, "c"), (None, 4, 1, "d")]
 
 
-@pytest.mark.parametrize("name", ["seq_03_linkage"])
+@pytest.mark.parametrize("name", ["seq_03_linkage", "seq_04_sense_merge"])
 def test_linkage_of_odd_vectors_and_ids_equals_its_sql(spark, tmp_path, name):
     import duckdb
 
