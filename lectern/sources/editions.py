@@ -8,6 +8,8 @@ left out; null and empty files give none.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,19 @@ def _cut(text: Column, before: str) -> Column:
     return F.split(text, f"(?={before})")
 
 
+def _verses(files: DataFrame, chapter: tuple[str, str], verse: tuple[str, str], text: Callable[[Column], Column]) -> DataFrame:
+    """path, ref, text of files (path, book, text), cut before each chapter and then each verse, given by where they begin and their number.
+
+    What holds for a whole file or chapter is a column before its pieces become rows; with them it would be found again for
+    each, in time that grows with the square of the verses.
+    """
+    number = lambda x, pattern: F.nullif(F.regexp_extract(x, pattern, 1), F.lit("")).cast("long")
+    chapters = files.select("path", "book", _cut(F.col("text"), chapter[0]).alias("pieces")).select("path", "book", F.explode("pieces").alias("piece"))
+    found = F.transform(_cut(F.col("piece"), verse[0]), lambda x: F.struct(number(x, verse[1]).alias("verse"), text(x).alias("text")))
+    rows = chapters.select("path", "book", number(F.col("piece"), chapter[1]).alias("chapter"), found.alias("found")).select("path", "book", "chapter", F.explode("found").alias("x"))
+    return rows.select("path", encode(F.col("book"), F.col("chapter"), F.col("x.verse")).alias("ref"), "x.text")
+
+
 def _kept(verses: DataFrame, books: tuple[int, int]) -> DataFrame:
     own = verses.where(F.col("ref").isNotNull() & (F.col("text") != ""))
     return own.where(book_of(F.col("ref")).between(*books)).select("path", "ref", "text")
@@ -48,27 +63,24 @@ def usfm_verses(files: DataFrame, books: tuple[int, int] = (1, 66)) -> DataFrame
     bare = F.regexp_replace(bare, r"\\zaln-[se]\b[^\n\\]*(?:\\\*)?", "")
     bare = F.regexp_replace(bare, r"(?s)\\w\s+([^\\|]*?)(?:\|[^\\]*?)?\\w\*", "$1")
     book = book_number(F.substring(F.regexp_extract("raw", r"\\id\s+(\w+)", 1), 1, 3))
-    chapters = files.select("path", book.alias("book"), F.explode(_cut(bare, r"\\c\s+\d")).alias("piece"))
-    chapter = F.nullif(F.regexp_extract("piece", r"^\\c\s+(\d+)", 1), F.lit("")).cast("long")
-    verses = chapters.select("path", "book", chapter.alias("chapter"), F.explode(_cut(F.col("piece"), r"\\v\s+\d")).alias("piece"))
-    verse = F.nullif(F.regexp_extract("piece", r"^\\v\s+(\d+)", 1), F.lit("")).cast("long")
-    text = _flat(F.regexp_replace(F.regexp_replace("piece", r"^\\v\s+\d+", ""), r"\\[a-z0-9]+\*?", " "))
-    return _kept(verses.select("path", encode(F.col("book"), F.col("chapter"), verse).alias("ref"), text.alias("text")), books)
+    text = lambda x: _flat(F.regexp_replace(F.regexp_replace(x, r"^\\v\s+\d+", ""), r"\\[a-z0-9]+\*?", " "))
+    return _kept(_verses(files.select("path", book.alias("book"), bare.alias("text")), (r"\\c\s+\d", r"^\\c\s+(\d+)"), (r"\\v\s+\d", r"^\\v\s+(\d+)"), text), books)
 
 
 def usfx_verses(files: DataFrame, books: tuple[int, int] = (1, 66)) -> DataFrame:
     """Verses of USFX, whose chapters and verses are empty elements between texts; ``<v id="3-4"/>`` counts as verse 3."""
     found = F.regexp_extract_all("raw", F.lit(r'(?s)<book\s+id="[A-Za-z0-9]{3}"\s*>.*?</book>'), F.lit(0))
-    body = files.select("path", F.explode(found).alias("book"))
+    body = files.select("path", found.alias("found")).select("path", F.explode("found").alias("book"))
     code = F.regexp_extract("book", r'id="([A-Za-z0-9]{3})"', 1)
     bare = F.regexp_replace(F.regexp_replace("book", r"(?s)<f\b.*?</f>", ""), r"(?s)<x\b.*?</x>", "")
-    chapters = body.select("path", book_number(code).alias("book"), F.explode(_cut(bare, r"<c\s+id=")).alias("piece"))
-    chapter = F.nullif(F.regexp_extract("piece", r'^<c\s+id="(\d+)"\s*/?>', 1), F.lit("")).cast("long")
-    verses = chapters.select("path", "book", chapter.alias("chapter"), F.explode(_cut(F.col("piece"), r"<v\s+id=")).alias("piece"))
-    verse = F.nullif(F.regexp_extract("piece", r'^<v\s+id="(\d+)[\d-]*"', 1), F.lit("")).cast("long")
-    text = _flat(F.regexp_replace("piece", r"<[^>]+>", " "))
-    text = F.replace(F.replace(F.replace(F.replace(F.replace(text, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&apos;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
-    return _kept(verses.select("path", encode(F.col("book"), F.col("chapter"), verse).alias("ref"), text.alias("text")), books)
+
+    def text(x: Column) -> Column:
+        for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+            x = F.replace(x, F.lit(entity), F.lit(sign))
+        return x
+
+    own = body.select("path", book_number(code).alias("book"), bare.alias("text"))
+    return _kept(_verses(own, (r"<c\s+id=", r'^<c\s+id="(\d+)"\s*/?>'), (r"<v\s+id=", r'^<v\s+id="(\d+)[\d-]*"'), lambda x: text(_flat(F.regexp_replace(x, r"<[^>]+>", " ")))), books)
 
 
 READERS = {"markdown": markdown_verses, "usfm": usfm_verses, "usfx": usfx_verses}

@@ -1,6 +1,7 @@
 """Queries whose work or rows went wrong only on larger or odd tables."""
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import align, fts, lists, matching, postings, retrieve, strategies, vectors
 from lectern.plans.catalog import ORACLE, QUERIES
+from lectern.sources import editions
 from lectern.streaming import lookups
 
 
@@ -83,3 +85,15 @@ def test_documents_without_a_title(spark, tmp_path, name):
         documents = documents.withColumn("doc_id", F.expr("doc_id div 8"))
     got, want = against_sql(spark, name, tmp_path, documents=documents, labels=labels, lineitem=lines)
     assert got == want
+
+
+@pytest.mark.parametrize("form", ["usfm", "usfx"])
+def test_verses_do_not_carry_their_file(spark, form):
+    """What is found in a whole file or chapter is found once, not again for each of its verses."""
+    raw = "\\id GEN x\n\\c 1\n\\v 1 a\n\\v 2 b\n\\c 2\n\\v 1 c" if form == "usfm" else '<usfx><book id="GEN"><c id="1"/><v id="1"/>a<ve/><v id="2"/>b<ve/><c id="2"/><v id="1"/>c &amp;lt;<ve/></book></usfx>'
+    own = editions.READERS[form](spark.range(3).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("path"), F.lit(raw).alias("raw")).repartition(2))
+    rows = sorted(map(tuple, own.collect()))
+    assert rows[:3] == [("f0", 1001001, "a"), ("f0", 1001002, "b"), ("f0", 1002001, "c" if form == "usfm" else "c &lt;")] and len(rows) == 9
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    carried = re.findall(r"Generate .*\), \[([^\[\]]*)\], (?:true|false), \[\w+#\w+\]", plan)
+    assert len(carried) >= 2 and {re.sub("#.*", "", c) for x in carried for c in x.split(", ")} <= {"path", "book", "chapter"}
