@@ -80,21 +80,22 @@ def _inverted(avgdl: float, size: int):
     return blocks
 
 
-def build(bags: DataFrame, path: str, unit: str = "chunk_id") -> dict:
+def build(bags: DataFrame, path: str, unit: str = "chunk_id", stored: bool = False) -> dict:
     """Write the index of bags (unit, words) below ``path``; returns its statistics.
 
     Null and empty bags and units without a key have no postings; units without words don't count. Repeated keys count
-    as one unit whose words add up.
+    as one unit whose words add up. ``stored`` bags lie in files already; others are written first, since they are read three times.
     """
-    held = cut(bags.select(F.col(unit).alias("unit"), "words").where(F.col("unit").isNotNull() & (F.size("words") > 0)))  # parsed once, read three times
+    held = bags.select(F.col(unit).alias("unit"), "words").where(F.col("unit").isNotNull() & (F.size("words") > 0))
+    held = held if stored else cut(held)
     n, total = held.agg(F.count("*"), F.sum(F.size("words"))).first()
     if not n:
         return {"unit": held.schema["unit"].dataType.simpleString(), "n": 0, "avgdl": 0.0, "terms": 0, "postings": 0, "blocks": 0, "shards": 0, "parts": 0}
     avgdl, shards = total / n, math.ceil(max(n / SHARD, total / GROUPED))
     terms = held.select(F.explode(F.array_distinct("words")).alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
     terms.write.parquet(f"{path}/terms")
-    stored = held.sparkSession.read.parquet(f"{path}/terms")
-    distinct, postings = stored.agg(F.count("*"), F.sum("df")).first()
+    known = held.sparkSession.read.parquet(f"{path}/terms")
+    distinct, postings = known.agg(F.count("*"), F.sum("df")).first()
     parts = min(PARTS, max(8, distinct // TERMS))
     files = max(8, n // FILED)
     shard = F.pmod(F.xxhash64("unit"), F.lit(shards)).cast("int")

@@ -169,7 +169,7 @@ def sup_35_health(t):
 def snk_02_published(t):
     """The documents published as a whole index, and what its manifest counts: tables, orphan-free vectors, postings by corpus."""
     d, none = F.col("doc_id"), F.array().cast("array<bigint>")
-    own = tags_of(t).join(t.table("documents").select("doc_id", "text"), "doc_id")
+    own = t.table("documents").select("doc_id", "text").where("doc_id IS NOT NULL").join(tags_of(t), "doc_id", "left")  # texts alone are read without the tags
     body = F.nullif(F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", ""), F.lit(""))
     documents = own.select(d.cast("string").alias("id"), F.concat(d.cast("string"), F.lit(".md")).alias("path"), F.lit("t").alias("title"), body.alias("body"), "tags", none.alias("s"), none.alias("e"), F.lit("{}").alias("metadata"))
     vectors = t.table("embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit(":0000")).alias("id"), "embedding")

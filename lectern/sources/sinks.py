@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import terms
 from lectern.operators import postings
-from lectern.operators.graph import cut
 from lectern.sources import store
 
 #: Tables of a store and their columns.
@@ -23,6 +22,9 @@ SCHEMAS = {
 #: The tags that send a document to a partition of its own, by precedence.
 PARTITIONS = (("resource:aquifer", "aquifer"), ("kind:bible", "bible"), ("kind:lexicon", "lexicon"), ("kind:morphology", "morphology"))
 
+#: Keys that were counted first and may be broadcast.
+COUNTED = 100_000
+
 
 def init_schema(spark: SparkSession, database: str = "default") -> None:
     """Create the store's tables where they are missing; existing ones stay."""
@@ -37,9 +39,19 @@ def corpus_column(tags: str = "tags"):
     return out
 
 
+def once(df: DataFrame, key: str) -> DataFrame:
+    """One row of each key. Only the keys are shuffled, and the rows of those that are repeated."""
+    again = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n")).where("_n > 1").select("_key")
+    n = again.count()
+    if not n:
+        return df
+    again, same = F.broadcast(again) if n <= COUNTED else again, F.col(key).eqNullSafe(F.col("_key"))
+    return df.join(again, same, "left_anti").unionByName(df.join(again, same, "left_semi").dropDuplicates([key]))
+
+
 def tables_of(documents: DataFrame) -> dict[str, DataFrame]:
     """The store's tables out of scanned documents (id, path, title, body, tags, s, e, metadata), without repeats."""
-    d = documents.dropDuplicates(["id"])
+    d = once(documents, "id")
     return {
         "documents": d.select("id", "path", "title", "metadata", corpus_column().alias("corpus")),
         "chunks": d.where("body IS NOT NULL").select(F.concat("id", F.lit(":0000")).alias("id"), F.col("id").alias("doc_id"), F.lit(0).alias("chunk_index"), "body"),
@@ -60,7 +72,9 @@ def build_index(documents: DataFrame, root: str) -> dict[str, int]:
 
 def publish_index(documents: DataFrame, folder: str, vectors: DataFrame | None = None) -> str:
     """A whole index as one version of ``folder``, seen only when all of it is there: tables, vectors without orphans, and for
-    each corpus postings with statistics of its own. The manifest has all counts. documents: as ``tables_of``; vectors: id, embedding."""
+    each corpus postings with statistics of its own. The manifest has all counts. documents: as ``tables_of``; vectors: id, embedding.
+
+    The texts are parsed once for all corpora, into files that go when the postings are there."""
     spark = documents.sparkSession
 
     def build(path: str) -> dict:
@@ -70,9 +84,12 @@ def publish_index(documents: DataFrame, folder: str, vectors: DataFrame | None =
             without_orphans(vectors, chunks).write.parquet(f"{path}/vectors")
             counts["vectors"] = spark.read.parquet(f"{path}/vectors").count()
         corpus = spark.read.parquet(f"{path}/documents").select(F.col("id").alias("doc_id"), "corpus")
-        bags = cut(chunks.select(F.col("id").alias("chunk_id"), "doc_id", terms(F.col("body")).alias("words")).join(corpus, "doc_id"))  # parsed once for all corpora
-        names = [name for _, name in PARTITIONS] + ["main"]
-        return {"counts": counts, "fts": {name: postings.build(bags.where(F.col("corpus") == name), f"{path}/fts/{name}") for name in names}}
+        own = chunks.select(F.col("id").alias("chunk_id"), "doc_id", "body").join(corpus, "doc_id")
+        own.select("chunk_id", terms(F.col("body")).alias("words"), "corpus").write.partitionBy("corpus").parquet(f"{path}/bags")
+        bags, names = spark.read.parquet(f"{path}/bags"), [name for _, name in PARTITIONS] + ["main"]
+        fts = {name: postings.build(bags.where(F.col("corpus") == name), f"{path}/fts/{name}", stored=True) for name in names}
+        store.drop(spark, f"{path}/bags")
+        return {"counts": counts, "fts": fts}
 
     return store.publish(spark, folder, build)
 

@@ -88,6 +88,12 @@ def prune(spark: SparkSession, folder: str, keep: int = 2) -> list[int]:
     return gone
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete what a build needed but its version doesn't."""
+    fs, p = _files(spark, path)
+    fs.delete(p, True)
+
+
 def snapshot(spark: SparkSession, *paths: str) -> str:
     """A digest of what lies at the paths: bytes, number of files and the time of the last change of each."""
     state = []

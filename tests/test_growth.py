@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import align, fts, lists, matching, postings, retrieve, strategies, vectors
 from lectern.plans.catalog import ORACLE, QUERIES
-from lectern.sources import editions
+from lectern.sources import editions, sinks, store
 from lectern.streaming import lookups
 
 
@@ -97,3 +97,18 @@ def test_verses_do_not_carry_their_file(spark, form):
     plan = own._jdf.queryExecution().executedPlan().toString()
     carried = re.findall(r"Generate .*\), \[([^\[\]]*)\], (?:true|false), \[\w+#\w+\]", plan)
     assert len(carried) >= 2 and {re.sub("#.*", "", c) for x in carried for c in x.split(", ")} <= {"path", "book", "chapter"}
+
+
+def test_publishing_shuffles_no_text_for_repeats_and_keeps_no_bags(spark, tmp_path):
+    none = F.array().cast("array<bigint>")
+    body = F.concat_ws(" ", F.lit("word"), *[F.sha2(F.concat(F.col("id").cast("string"), F.lit(f"/{i}")), 256) for i in range(100)])
+    docs = spark.range(100).select((F.col("id") % 98).cast("string").alias("id"), F.lit("p").alias("path"), F.lit("t").alias("title"), body.alias("body"), F.array(F.when(F.col("id") % 2 == 0, "kind:bible").otherwise("x")).alias("tags"), none.alias("s"), none.alias("e"), F.lit("{}").alias("metadata")).repartition(3)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs, last = spark.read.parquet(f"{tmp_path}/docs"), max((s.stageId() for s in stages(spark)), default=-1)
+    tables = {name: df.collect() for name, df in sinks.tables_of(docs).items()}
+    assert {n: len(rows) for n, rows in tables.items()} == {"documents": 98, "chunks": 98, "passage_refs": 0, "tags": 98}
+    assert sum(s.shuffleWriteBytes() for s in stages(spark) if s.stageId() > last) < 100_000  # 650 kB of texts
+    path = sinks.publish_index(docs, f"file://{tmp_path}/whole")
+    found = store.current(spark, f"file://{tmp_path}/whole")[1]
+    assert found["fts"]["bible"]["n"] == 49 and found["fts"]["main"]["n"] == 49
+    assert not (tmp_path / "whole" / path.rsplit("/", 1)[1] / "bags").exists()
