@@ -5,11 +5,17 @@ Stores are word tables (corpus, book, chapter, verse, idx, surface, strong, lemm
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.graph import cut
 from lectern.operators.ranking import per_key
 
+#: Bytes of the texts of codes that a task holds, on average.
+HELD = 16_000_000
+
 
 def dominant_domains(domains: DataFrame, least: float = 0.5) -> DataFrame:
     """code, domain: the domain of a code's largest share, where that reaches ``least``. domains: code, domain, share."""
@@ -44,14 +50,21 @@ def homographs(lexemes: DataFrame, senses: DataFrame) -> DataFrame:
     """code, lexemes, senses: the lexemes that one code conflates, and for each stem of each its senses, most frequent first.
 
     lexemes: code, lex. senses: lex, stem, gloss, n. A sense reads ``lex.stem: gloss (share)``.
+
+    A code's texts are one row, so tasks are dealt by their bytes, counted first: a task holds some ``HELD`` of them or one code,
+    and nothing is collected before that shuffle.
     """
     share = F.round(F.col("n") / F.col("total"), 3)
     total = senses.groupBy("lex", "stem").agg(F.sum("n").alias("total"))
     told = F.concat("lex", F.lit("."), "stem", F.lit(": "), "gloss", F.lit(" ("), share.cast("string"), F.lit(")"))
     # only the finished texts go to every code of a lexeme, without what they were ordered by
     ordered = F.array_sort(F.collect_list(F.struct("stem", (-F.col("n")).alias("m"), "gloss", told.alias("told"))))
-    listed = senses.join(total, ["lex", "stem"]).groupBy("lex").agg(F.transform(ordered, lambda x: x["told"]).alias("told"))
-    own = lexemes.select("code", "lex").distinct().join(listed, "lex", "left").groupBy("code").agg(F.array_sort(F.collect_list(F.struct("lex", "told"))).alias("x"))
+    listed = cut(senses.join(total, ["lex", "stem"]).groupBy("lex").agg(F.transform(ordered, lambda x: x["told"]).alias("told")))
+    pairs = cut(lexemes.select("code", "lex").distinct())
+    size = listed.select("lex", F.aggregate("told", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16).alias("size"))
+    held = pairs.join(size, "lex").agg(F.sum("size")).first()[0] or 0
+    tasks = max(int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(held / HELD))
+    own = pairs.join(listed, "lex", "left").repartition(tasks, "code").groupBy("code").agg(F.array_sort(F.collect_list(F.struct("lex", "told"))).alias("x"))
     none = F.array().cast("array<string>")
     return own.select("code", F.transform("x", lambda x: x["lex"]).alias("lexemes"), F.flatten(F.transform("x", lambda x: F.coalesce(x["told"], none))).alias("senses"))
 

@@ -45,14 +45,13 @@ def cor_11_concordance(t):
 _LEX = "lx AS (SELECT DISTINCT strong AS code, lemma AS lex FROM words), ls AS (SELECT lemma AS lex, morph[1] AS stem, surface AS gloss, count(*) AS n FROM words GROUP BY ALL), lt AS (SELECT *, lex || '.' || stem || ': ' || gloss || ' (' || round(n / sum(n) OVER (PARTITION BY lex, stem), 3) || ')' AS told FROM ls), hg AS (SELECT code, list(lex ORDER BY lex) AS lexemes, flatten(list(told ORDER BY lex)) AS senses FROM lx JOIN (SELECT lex, list(told ORDER BY stem, n DESC, gloss) AS told FROM lt GROUP BY lex) USING (lex) GROUP BY code)"
 
 
-def _homographs(t):
-    w = t.words()
+def _homographs(w):
     return composites.homographs(w.select(F.col("strong").alias("code"), F.col("lemma").alias("lex")), w.groupBy(F.col("lemma").alias("lex"), F.substring("morph", 1, 1).alias("stem"), F.col("surface").alias("gloss")).agg(F.count("*").alias("n")))
 
 
 @query("words", f"WITH {_LEX} SELECT * FROM hg")
 def cor_15_homographs(t):
-    return _homographs(t)
+    return _homographs(t.words())
 
 
 _BASE = "s0 AS (SELECT strong AS code, surface, count(*) AS m FROM words GROUP BY 1, 2), b AS (SELECT code, arg_min(surface, (-m, surface)) AS gloss, sum(m)::BIGINT AS n FROM s0 GROUP BY 1), d0 AS (SELECT DISTINCT strong AS code, lemma[1] AS domain FROM words), f0 AS (SELECT code, min(domain) AS domain FROM d0 GROUP BY 1), r0 AS (SELECT domain, code AS other, row_number() OVER (PARTITION BY domain ORDER BY n DESC, code) AS place FROM f0 JOIN b USING (code)), x0 AS (SELECT f0.code, other, row_number() OVER (PARTITION BY f0.code ORDER BY place) AS rn FROM f0 JOIN r0 ON r0.domain = f0.domain AND other <> f0.code WHERE place <= 7), n0 AS (SELECT code, list(other ORDER BY rn) AS siblings FROM x0 WHERE rn <= 6 GROUP BY 1), dl AS (SELECT code, list(domain ORDER BY domain) AS domains FROM d0 GROUP BY 1), sl AS (SELECT code, list(v ORDER BY v) AS stems FROM (SELECT strong AS code, morph[1] || '=' || count(*) AS v FROM words GROUP BY strong, morph[1]) GROUP BY 1), bl AS (SELECT code, list(v ORDER BY v) AS books FROM (SELECT strong AS code, book || '=' || count(*) AS v FROM words GROUP BY strong, book) GROUP BY 1)"
@@ -71,4 +70,4 @@ def cor_13_word_study(t):
     lexemes = words.select(F.col("strong").alias("code"), F.col("lemma").alias("lex")).distinct()
     bridge = lexemes.join(lexemes.withColumnRenamed("code", "other"), "lex").where("code != other").groupBy("code", F.concat(F.lit("G"), F.substring("other", 2, 8)).alias("other")).agg(F.count("*").alias("n"))
     senses = words.select(F.col("strong").alias("code"), (F.length("surface") % 4).cast("long").alias("sense"), (F.col("book") * 1000000 + F.col("chapter") * 1000 + F.col("verse")).alias("ref"))
-    return composites.full_study(base, domains, articles(t), bridge, senses, _homographs(t))
+    return composites.full_study(base, domains, articles(t), bridge, senses, _homographs(words))

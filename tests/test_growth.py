@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import align, fts, lists, matching, postings, retrieve, strategies, vectors
+from lectern.operators import align, composites, fts, lists, matching, postings, retrieve, strategies, vectors
 from lectern.plans.catalog import ORACLE, QUERIES
 from lectern.sources import editions, sinks, store
 from lectern.streaming import lookups
@@ -112,3 +112,15 @@ def test_publishing_shuffles_no_text_for_repeats_and_keeps_no_bags(spark, tmp_pa
     found = store.current(spark, f"file://{tmp_path}/whole")[1]
     assert found["fts"]["bible"]["n"] == 49 and found["fts"]["main"]["n"] == 49
     assert not (tmp_path / "whole" / path.rsplit("/", 1)[1] / "bags").exists()
+
+
+def test_tasks_of_homographs_grow_with_their_texts(spark, monkeypatch):
+    """The texts of a code are collected only where they end up, a few codes to a task."""
+    monkeypatch.setattr(composites, "HELD", 10_000)
+    name = lambda c, n: F.concat(F.lit(c), (F.col("id") % n).cast("string"))
+    lex = spark.range(600).select(name("H", 30).alias("code"), name("l", 50).alias("lex"))
+    inv = spark.range(500).select(name("l", 50).alias("lex"), F.lit("qal").alias("stem"), F.concat(F.lit("x" * 100), F.col("id").cast("string")).alias("gloss"), F.lit(1).alias("n"))
+    own, last = composites.homographs(lex, inv), max((s.stageId() for s in stages(spark)), default=-1)
+    rows = own.collect()
+    assert len(rows) == 30 and all(len(r["senses"]) == 10 * len(r["lexemes"]) for r in rows)
+    assert 10 < max(s.numTasks() for s in stages(spark) if s.stageId() > last) <= 30
