@@ -80,14 +80,15 @@ def _inverted(avgdl: float, size: int):
     return blocks
 
 
-def build(bags: DataFrame, path: str, unit: str = "chunk_id", stored: bool = False) -> dict:
+def build(bags: DataFrame, path: str, unit: str = "chunk_id") -> dict:
     """Write the index of bags (unit, words) below ``path``; returns its statistics.
 
     Null and empty bags and units without a key have no postings; units without words don't count. Repeated keys count
-    as one unit whose words add up. ``stored`` bags lie in files already; others are written first, since they are read three times.
+    as one unit whose words add up. Bags whose words' metadata say ``stored`` lie in
+    files already; others are written first, since they are read three times.
     """
     held = bags.select(F.col(unit).alias("unit"), "words").where(F.col("unit").isNotNull() & (F.size("words") > 0))
-    held = held if stored else cut(held)
+    held = held if bags.schema["words"].metadata.get("stored") else cut(held)
     n, total = held.agg(F.count("*"), F.sum(F.size("words"))).first()
     if not n:
         return {"unit": held.schema["unit"].dataType.simpleString(), "n": 0, "avgdl": 0.0, "terms": 0, "postings": 0, "blocks": 0, "shards": 0, "parts": 0}

@@ -86,8 +86,9 @@ def publish_index(documents: DataFrame, folder: str, vectors: DataFrame | None =
         corpus = spark.read.parquet(f"{path}/documents").select(F.col("id").alias("doc_id"), "corpus")
         own = chunks.select(F.col("id").alias("chunk_id"), "doc_id", "body").join(corpus, "doc_id")
         own.select("chunk_id", terms(F.col("body")).alias("words"), "corpus").write.partitionBy("corpus").parquet(f"{path}/bags")
-        bags, names = spark.read.parquet(f"{path}/bags"), [name for _, name in PARTITIONS] + ["main"]
-        fts = {name: postings.build(bags.where(F.col("corpus") == name), f"{path}/fts/{name}", stored=True) for name in names}
+        bags = spark.read.parquet(f"{path}/bags").withColumn("words", F.col("words").alias("words", metadata={"stored": True}))
+        names = [name for _, name in PARTITIONS] + ["main"]
+        fts = {name: postings.build(bags.where(F.col("corpus") == name), f"{path}/fts/{name}") for name in names}
         store.drop(spark, f"{path}/bags")
         return {"counts": counts, "fts": fts}
 
